@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import signature_tree
+from pagemill.llm import leaks, signature_tree, site_lines
 from pagemill.shared import table
 
 
@@ -15,8 +15,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "sent_pages").select("page_id", "url", "markdown", "batch_no")
+    return site_lines.repeated_lines(pages, "page_id", "url", "markdown", "batch_no").withColumnRenamed("id", "page_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
