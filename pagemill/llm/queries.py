@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import leaks, signature_tree, site_lines
+from pagemill.functions.urls import normalize_url
+from pagemill.llm import graph_index, leaks, signature_tree, site_lines
 from pagemill.shared import table
 
 
@@ -20,12 +21,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(pages, "page_id", "url", "markdown", "batch_no").withColumnRenamed("id", "page_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "sent_pages").select("page_id", "url", "markdown", "batch_no")
+    texts = graph_index.seen_texts(pages, "page_id", "markdown", "batch_no", size=3, num=3, den=5, least_words=60)
+    urls = graph_index.seen_urls(pages, "page_id", normalize_url(F.col("url")), "batch_no")
+    return texts.union(urls).distinct().withColumnRenamed("id", "page_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p9_found": p9_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -239,6 +239,15 @@ def keyed(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", F.xxhash64("text"))
 
 
+def exact_links(candidates: DataFrame, pages: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """Of candidate pairs (a, b) of keys those at or above the threshold, compared shingle by shingle."""
+    ends = candidates.select(F.col("a").alias("key")).union(candidates.select(F.col("b").alias("key"))).distinct()
+    held = keyed(pages, id_col, text_col).select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    held = materialize(held, "near-texts")
+    both = candidates.join(held.withColumnRenamed("key", "a").withColumnRenamed("text", "text_a"), "a").join(held.withColumnRenamed("key", "b").withColumnRenamed("text", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, num, den), "a long, b long, similarity double")
+
+
 def similar_texts(pages: DataFrame, id_col: str, text_col: str, size: int = 5, num: int = 4, den: int = 5, least_words: int = 1, cells: int | None = None) -> DataFrame:
     """Pairs (a, b, similarity) of keys of different texts at or above ``num/den``; keys are ``xxhash64(text)``, a < b.
 
@@ -254,17 +263,11 @@ def similar_texts(pages: DataFrame, id_col: str, text_col: str, size: int = 5, n
     by_cell = routed.repartitionById(cells, F.col("cell"))
     partial = by_cell.mapInArrow(_join_cell(num, den), "a long, b long, n_a int, n_b int, shared int")
     # What is shared beyond both prefixes is at most the longer of the two rests.
-    rest = [F.floor(F.lit(num) * F.col(c) + F.lit(den - 1)).cast("long") for c in ("n_a", "n_b")]
     need = F.lit(num) * (F.col("n_a") + F.col("n_b"))
     tail = F.greatest(*[F.expr(f"({num} * {c} + {den - 1}) div {den} - 1") for c in ("n_a", "n_b")])
-    del rest
     candidates = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where((F.col("shared") + tail) * (num + den) >= need).select("a", "b")
     candidates = materialize(candidates, "near-candidates")
-    ends = candidates.select(F.col("a").alias("key")).union(candidates.select(F.col("b").alias("key"))).distinct()
-    held = keyed(pages, id_col, text_col).select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    held = materialize(held, "near-texts")
-    both = candidates.join(held.withColumnRenamed("key", "a").withColumnRenamed("text", "text_a"), "a").join(held.withColumnRenamed("key", "b").withColumnRenamed("text", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, num, den), "a long, b long, similarity double")
+    return exact_links(candidates, pages, id_col, text_col, size, num, den)
 
 
 def similar_pairs(pages: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
