@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pagemill.llm.shingles import WORD
 from pagemill.shared import spread
 
-Q = 8
+#: Longest q-grams; shorter ones are taken as more edits are allowed.
+Q = 20
 BAND = 8
 LEAST_WORDS = 13
 BLOCK_CHARS = 8_000_000
@@ -123,11 +124,17 @@ class ItemIndex:
         return any(" ".join(words[i : i + n]) in runs for i in range(len(words) - n + 1))
 
 
+def gram_length(least_chars: int, edits: int) -> int:
+    """The longest q-grams of which a region of ``least_chars`` characters keeps some after ``edits`` edits."""
+    return max(1, min(Q, least_chars // (edits + 1) - 1))
+
+
 def _find(blocks, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*blocks.value)
+        ids, passages, least_words = blocks.value
         # the shortest passage of that many words: one character each, and the spaces between them
-        least_chars = 2 * index.least_words - 1
+        least_chars = 2 * least_words - 1
+        index = ItemIndex(ids, passages, gram_length(least_chars, edits), least_words)
         for batch in batches:
             ids, lists = batch.column(0).to_pylist(), [plain_words(t) for t in batch.column(1).to_pylist()]
             long = [k for k, w in enumerate(lists) if len(w) >= index.least_words]
@@ -157,7 +164,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     result, block, size = None, ([], []), 0
 
     def search(block):
-        found = source.mapInArrow(_find(spark.sparkContext.broadcast((*block, Q, least_words)), edits), "doc_id long, item_id long, edits int")
+        found = source.mapInArrow(_find(spark.sparkContext.broadcast((*block, least_words)), edits), "doc_id long, item_id long, edits int")
         return found if result is None else result.union(found)
 
     for row in items.select(item_id, passage).where(f"{passage} is not null").toLocalIterator():
