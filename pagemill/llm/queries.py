@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
-from pagemill.llm import graph_index, leaks, signature_tree, site_lines
+from pagemill.llm import graph_index, leaks, packing, sentences, signature_tree, site_lines
 from pagemill.shared import table
 
 
@@ -32,8 +32,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
