@@ -81,12 +81,11 @@ class ItemIndex:
         self.grams, self.starts, self.counts = np.unique(every[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.grams & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)] = True
-        runs: dict[int, set[str]] = {}
-        for k, w in enumerate(self.words):
-            runs[k] = {" ".join(w[i : i + least_words]) for i in range(len(w) - least_words + 1)}
-        self.runs = runs
+        self.runs = [{" ".join(w[i : i + least_words]) for i in range(len(w) - least_words + 1)} for w in self.words]
+        #: characters of each item's shortest passage of that many words; no copy that counts is shorter
+        self.least_chars = np.array([min(map(len, r), default=1 << 30) for r in self.runs], np.int64)
 
-    def regions(self, texts: list[str], edits: int, least_chars: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    def regions(self, texts: list[str], edits: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(text, item) -> (first, last) place of q-grams in the text and in the item, for bands with enough q-grams."""
         gap = "\x00" * self.q
         starts = np.cumsum([0, *(len(t) + self.q for t in texts)])
@@ -103,7 +102,7 @@ class ItemIndex:
         text = np.searchsorted(starts, at, "right") - 1
         inside = at - starts[text]
         diagonal = inside - place
-        least = max(1, least_chars + 1 - self.q * (edits + 1))
+        least = np.maximum(1, self.least_chars + 1 - self.q * (edits + 1))
         found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for shift in (0, BAND // 2):  # bands overlap by half, so any `BAND // 2` neighbouring diagonals share one
             band = (diagonal + shift) // BAND
@@ -111,7 +110,8 @@ class ItemIndex:
             t, i, b = text[order], item[order], band[order]
             new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]) if len(t) else np.empty(0, np.int64)
             sizes = np.diff(np.r_[new, len(t)])
-            for s, n in zip(new[sizes >= least], sizes[sizes >= least]):
+            enough = sizes >= least[i[new]]
+            for s, n in zip(new[enough], sizes[enough]):
                 own = order[s : s + n]
                 key = (int(t[s]), int(i[s]))
                 region = (int(inside[own].min()), int(inside[own].max()) + self.q, int(place[own].min()), int(place[own].max()) + self.q)
@@ -142,7 +142,7 @@ def _find(blocks, edits: int):
             for k in range(0, len(long), 512):
                 own = long[k : k + 512]
                 texts = [" ".join(lists[i]) for i in own]
-                for (t, item), (a, b, c, d) in index.regions(texts, edits, least_chars).items():
+                for (t, item), (a, b, c, d) in index.regions(texts, edits).items():
                     if index.longest_shared(lists[own[t]], item):
                         docs.append(ids[own[t]])
                         items.append(index.ids[item])
