@@ -52,14 +52,14 @@ def _count(folder: str, file: str):
 
 
 def source_layers(tokens: list[int], sources: list, capacity: int) -> int:
-    """Most texts of one source in a container: twice the largest source's share of the texts of a full container."""
+    """Most texts of one source in a container: four times the largest source's share of the texts of a full container."""
     counts: dict = {}
     for s in sources:
         if s is not None:
             counts[s] = counts.get(s, 0) + 1
     mean = max(1.0, sum(min(t, capacity) for t in tokens) / max(1, len(tokens)))
     share = max(counts.values(), default=0) / max(1, len(tokens))
-    return max(1, int(-(-2 * share * capacity // mean)))
+    return max(1, int(-(-4 * share * capacity // mean)))
 
 
 def pack(ids: list[int], tokens: list[int], sources: list, clusters: list, capacity: int, layers: int | None = None) -> list[tuple[int, int, int, int, int]]:
