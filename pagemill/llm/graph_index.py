@@ -34,6 +34,8 @@ SPLIT = 4 * CELL
 DIMENSIONS = 64
 NEIGHBOURS = 8
 LONG_LINKS = 2
+#: Nodes a search opens at a time.
+STEP = 4
 BEAMS = (8, 16, 32, 64, 128)
 TUNING_QUERIES = 48
 TUNING_RECALL = 0.97
@@ -91,10 +93,11 @@ class Shard:
         seen = np.zeros((q, n), bool)
         seen[np.arange(q)[:, None], self.pivots[best]] = True
         done = np.zeros((q, beam), bool)
-        active = np.arange(q)
+        scratch = np.empty((q, n), np.int16)
+        active, step = np.arange(q), min(STEP, beam)
         for _ in range(rounds):
             open_cosines = np.where(done[active] | (ids[active] < 0), -3, cosines[active])
-            pick = np.argpartition(open_cosines, -min(2, beam), axis=1)[:, -min(2, beam) :]
+            pick = np.argpartition(open_cosines, -step, axis=1)[:, -step:]
             value = np.take_along_axis(open_cosines, pick, 1)
             moving = value.max(1) > -3
             active, pick, value = active[moving], pick[moving], value[moving]
@@ -107,12 +110,10 @@ class Shard:
             seen[active[:, None], fresh] = True
             score = np.einsum("qkd,qd->qk", self.vectors[fresh], queries[active])
             score[known] = -2
-            # the same node can be met twice in one step: only its first place counts
-            order = np.argsort(fresh, axis=1, kind="stable")
-            ranked = np.take_along_axis(fresh, order, 1)
-            again = np.zeros(fresh.shape, bool)
-            np.put_along_axis(again, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
-            score[again] = -2
+            # the same node can be met twice in one step: only its last place counts
+            place = np.arange(fresh.shape[1], dtype=np.int16)
+            scratch[active[:, None], fresh] = place
+            score[scratch[active[:, None], fresh] != place] = -2
             all_ids = np.concatenate([ids[active], fresh], 1)
             all_scores = np.concatenate([cosines[active], score], 1)
             all_done = np.concatenate([done[active], np.zeros(fresh.shape, bool)], 1)
