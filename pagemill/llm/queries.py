@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
-from pagemill.llm import graph_index, leaks, packing, sentences, signature_tree, site_lines
+from pagemill.llm import graph_index, leaks, packing, residue, sentences, signature_tree, site_lines
 from pagemill.shared import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.flagged_pages(table(spark, sf_dir, "page_info"), table(spark, sf_dir, "sent_pages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "sent_pages").select("page_id", "markdown")
     pairs = signature_tree.similar_pairs(pages, "page_id", "markdown", size=3, num=3, den=5, least_words=60)
@@ -41,7 +45,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
