@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
-from pagemill.llm import graph_index, leaks, packing, residue, sentences, signature_tree, site_lines
+from pagemill.llm import graph_index, leaks, main_content, packing, residue, sentences, signature_tree, site_lines
 from pagemill.shared import table
 
 
@@ -14,6 +14,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flagged_pages(table(spark, sf_dir, "page_info"), table(spark, sf_dir, "sent_pages"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info, sent = table(spark, sf_dir, "page_info"), table(spark, sf_dir, "sent_pages")
+    model = residue.page_model(info, sent)
+    pages = sent.select("page_id", "markdown", F.col("crawler_report.main_content_chars").alias("chars"))
+    lines = main_content.chrome_lines(pages, "page_id", "markdown", "chars", judge=spark.sparkContext.broadcast(model))
+    titles = residue.scores(info, "page_id", "title", model, title=True).where("odds > 0").select("id").distinct()
+    return lines.join(titles, "id", "left_anti").withColumnRenamed("id", "page_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "sent_pages").select("page_id", "markdown")
     pairs = signature_tree.similar_pairs(pages, "page_id", "markdown", size=3, num=3, den=5, least_words=60)
@@ -45,7 +54,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
