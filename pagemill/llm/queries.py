@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
-from pagemill.llm import graph_index, leaks, main_content, packing, residue, sentences, signature_tree, site_lines
+from pagemill.llm import graph_index, leaks, main_content, markup, packing, residue, sentences, signature_tree, site_lines
 from pagemill.shared import table
 
 
@@ -45,6 +45,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, sf_dir, "sent_pages"), "page_id", "markdown").withColumnRenamed("id", "page_id")
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(table(spark, sf_dir, "sent_pages"), "page_id", "markdown").withColumnRenamed("id", "page_id")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
@@ -54,7 +62,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
