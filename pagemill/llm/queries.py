@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
-from pagemill.llm import graph_index, leaks, main_content, markup, packing, residue, sentences, signature_tree, site_lines
+from pagemill.llm import graph_index, leaks, main_content, markup, packing, residue, sentences, signature_tree, site_lines, text_types
 from pagemill.shared import table
 
 
@@ -23,6 +23,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(titles, "id", "left_anti").withColumnRenamed("id", "page_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info, sent = table(spark, sf_dir, "page_info"), table(spark, sf_dir, "sent_pages")
+    model = residue.page_model(info, sent)
+    pages = sent.select("page_id", "markdown", F.col("crawler_report.main_content_chars").alias("chars"))
+    found = text_types.typed(pages, "page_id", "markdown", "chars", judge=spark.sparkContext.broadcast(model)).where("prose_posterior < 0.5")
+    titles = residue.scores(info, "page_id", "title", model, title=True).where("odds > 0").select("id").distinct()
+    return found.select("id").distinct().join(titles, "id", "left_anti").withColumnRenamed("id", "page_id")
+
+
+def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the type of every page with words, and what page_info says of its length."""
+    pages = table(spark, sf_dir, "sent_pages").select("page_id", "markdown", F.col("crawler_report.main_content_chars").alias("chars"))
+    told = table(spark, sf_dir, "page_info").groupBy("page_id").agg(F.max("markdown_chars").alias("told_chars"))
+    lengths = pages.select("page_id", F.length("markdown").alias("markdown_chars")).join(told, "page_id", "left")
+    types = text_types.typed(pages, "page_id", "markdown", "chars", least_words=1).withColumnRenamed("id", "page_id")
+    return types.join(lengths, "page_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "sent_pages").select("page_id", "markdown")
     pairs = signature_tree.similar_pairs(pages, "page_id", "markdown", size=3, num=3, den=5, least_words=60)
@@ -62,7 +80,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
