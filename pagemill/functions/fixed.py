@@ -82,3 +82,69 @@ ROUTE_POINTS = {"blog_detail": 32, "job_detail": 38, "service_detail": 32, "port
 USEFUL_ANCHORS = ["details", "read more", "learn more", "view", "case study", "opening", "job", "career", "service", "solution", "product", "portfolio", "resource", "whitepaper", "guide", "report"]
 LOW_VALUE_PATHS = ["privacy", "terms", "cookie", "login", "register", "cart", "checkout", "search", "tag", "category", "author", "feed", "print"]
 LEAST_SCORE = -30
+
+# Parts of addresses of trackers.
+TRACKERS = [
+    "google-analytics.com", "googletagmanager.com", "doubleclick.net", "googlesyndication.com", "googleadservices.com", "adservice.google.com",
+    "facebook.net", "connect.facebook.net", "facebook.com/tr", "hotjar.com", "clarity.ms", "segment.com", "segment.io", "mixpanel.com", "intercom.io",
+    "widget.intercom.io", "hs-scripts.com", "hs-analytics.net", "hubspot.com", "crisp.chat", "tawk.to", "amazon-adsystem.com", "criteo.com", "taboola.com",
+    "outbrain.com", "bing.com/bat", "linkedin.com/px", "snapchat.com", "tiktok.com/i18n", "newrelic.com", "nr-data.net", "sentry.io", "bugsnag.com",
+]
+HEAVY_RESOURCES = ["image", "media", "font", "stylesheet"]
+
+# Agents whose robots rules are followed.
+ROBOTS_AGENTS = ["*", "Googlebot", "crawler", "bot"]
+
+# Places of sitemaps; most sitemaps read.
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap.xml.gz", "/server-sitemap.xml", "/sitemap-0.xml", "/sitemap-pages.xml"]
+MOST_SITEMAPS = 100
+
+# Attributes that hold a link, in their order.
+LINK_ATTRIBUTES = ["href", "data-href", "data-url", "data-link", "router-link", "routerlink", "ng-href"]
+
+# Lines and image texts of user interfaces.
+UI_PHRASES = [
+    "read more", "learn more", "view more", "view all", "view details", "click here", "submit", "send", "send message", "apply now", "explore",
+    "explore more", "get started", "back to top", "next", "previous", "prev", "share", "follow us", "subscribe", "newsletter",
+]
+IMAGE_NOISE = ["image", "img", "icon", "logo", "shape", "banner", "avatar", "photo", "calendar", "location", "mail", "email", "phone", "arrow", "angle", "partners"]
+SOCIAL_NAMES = ["facebook", "twitter", "x", "linkedin", "instagram", "youtube", "whatsapp"]
+ASSET_LINE_FOLDERS = "asset|assets|static|uploads|images|img|css|js|fonts?"
+ASSET_LINE_ENDINGS = "png|jpe?g|webp|gif|svg|css|js|woff2?|ttf|ico"
+
+# What makes a page poor.
+BAD_TITLES = ["404 not found", "page not found", "access denied", "forbidden", "server error", "method not allowed", "503 service"]
+BAD_PHRASES = ["404 not found", "page not found", "method not allowed", "invalid request", "access denied", "forbidden", "503 service unavailable"]
+BAD_PHRASE_CHARS = 800
+JOB_WORDS = [
+    "experience", "responsibilities", "requirements", "qualifications", "skills", "location", "employment type", "job description", "apply", "role",
+    "position", "vacancy", "opening", "salary", "compensation", "benefits", "contract", "permanent", "full-time", "part-time",
+]
+LEAST_JOB_WORDS, JOB_DETAIL_CHARS, LEAST_PAGE_WORDS, MANY_WORDS, LEAST_DISTINCT_SHARE = 2, 400, 15, 80, 0.05
+LEAST_CHARS, LEAST_DETAIL_CHARS = 120, 250
+
+# Where a page's content is looked for, and what is taken out before.
+CONTENT_SELECTORS = [
+    "main article", "article", "main", "[role='main']", ".post-content", ".entry-content", ".article-content", ".article-body", ".blog-content",
+    ".blog-detail", ".blog-details", ".post-body", ".story-body", ".news-content", ".news-detail", ".news-body", ".job-content", ".job-detail",
+    ".job-details", ".career-content", ".career-detail", ".career-details", ".position-content", ".service-content", ".service-detail",
+    ".service-details", ".product-content", ".solution-content", ".main-content", ".page-content", ".content-area", ".content-wrapper",
+    ".content-body", ".content-inner", ".single-content", ".single-post", ".detail-content", ".details-content", ".section-content", "#content",
+    "#main", "#main-content", "#page-content", "body",
+]
+NOISE_SELECTORS = [
+    "script", "style", "noscript", "iframe", "svg", "canvas", "nav", "footer", "header", "form", "aside", "[class*='sidebar']", "[class*='widget']",
+    "[class*='related']", "[class*='recent-post']", "[class*='popular-post']", "[class*='breadcrumb']", "[class*='tag-cloud']",
+    "[class*='social-share']", "[class*='share-btn']", "[class*='share-box']", "[class*='cookie']", "[class*='consent']", "[class*='gdpr']",
+    "[class*='newsletter']", "[class*='subscription']", "[id*='sidebar']", "[id*='related']", "[id*='cookie']", "[id*='social']", "[id*='share']",
+    "[class*='advertisement']", "[class*='ads-']", "[id*='google-ads']", "[class*='comment']", "#comments", ".disqus-container", "[class*='sticky']",
+    "[class*='fixed-']", "[class*='floating']",
+]
+HEADING_SELECTORS = ["h1", "h2.page_title", "h2.details_item_title", "h2[class*='title']", "h3.post_title", "h3[class*='title']", "h2", "h3"]
+ENOUGH_CONTENT = 2000
+
+# Sending pages, jobs and rates.
+RETRIED_STATUSES, MOST_ATTEMPTS = [0, 408, 429, 500, 502, 503, 504], 4
+ABORT_AFTER, ABORT_RATE = 5, 0.8
+RATE_REQUESTS, RATE_SECONDS = 30, 60
+ACTIVE_STATUSES, FINAL_STATUSES, MOST_ACTIVE, JOB_SECONDS = ["QUEUED", "PROCESSING"], ["COMPLETED", "COMPLETED_WITH_ERRORS", "FAILED"], 10, 7200
