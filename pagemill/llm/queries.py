@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
 from pagemill.llm import graph_index, leaks, main_content, markup, packing, residue, sentences, signature_tree, site_lines, text_types
-from pagemill.shared import table
+from pagemill.shared import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     info, sent = table(spark, sf_dir, "page_info"), table(spark, sf_dir, "sent_pages")
-    model = residue.page_model(info, sent)
     pages = sent.select("page_id", "markdown", F.col("crawler_report.main_content_chars").alias("chars"))
-    found = text_types.typed(pages, "page_id", "markdown", "chars", judge=spark.sparkContext.broadcast(model)).where("prose_posterior < 0.5")
-    titles = residue.scores(info, "page_id", "title", model, title=True).where("odds > 0").select("id").distinct()
-    return found.select("id").distinct().join(titles, "id", "left_anti").withColumnRenamed("id", "page_id")
+    types = text_types.typed(pages, "page_id", "markdown", "chars")
+    other = materialize(types.where("prose_posterior < 0.5").select(F.col("id").alias("page_id")).distinct(), "not-prose")
+    # which of these are cases of problem 1 is judged last, as only theirs need to be known
+    model = residue.page_model(info, sent)
+    flagged = residue.flagged_pages(info.join(other, "page_id", "left_semi"), sent.join(other, "page_id", "left_semi"), model)
+    return other.join(flagged, "page_id", "left_anti")
 
 
 def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:

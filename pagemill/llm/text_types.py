@@ -137,9 +137,8 @@ def learn(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, np.ndarray]
     return dict(zip(patterns, posterior))
 
 
-def _measure(judge, least_words: int):
+def _measure(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = judge.value if judge is not None else None
         for batch in batches:
             ids, rows = [], []
             for page, text, chars in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -148,8 +147,6 @@ def _measure(judge, least_words: int):
                 lines = text.split("\n")
                 first, stop = body_range(lines, chars)
                 row = statistics(lines[first:stop])
-                if model is not None and model.record(text) > 0:
-                    continue
                 ids.append(page)
                 rows.append(row)
             columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(STATISTICS))]
@@ -161,19 +158,19 @@ def _measure(judge, least_words: int):
 _SCHEMA = "id long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", votes string"
 
 
-def measured(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = 1, judge=None) -> DataFrame:
+def measured(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = 1) -> DataFrame:
     """(id, statistics..., votes) of each page with at least ``least_words`` words, its chrome and title left out.
 
     Null and empty texts have no row; a null count of the body's characters is no constraint; a repeated row gives its
     row again; other columns are ignored; an empty table gives no rows.
     """
     rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(chars_col).cast("int").alias("chars")))
-    return rows.mapInArrow(_measure(judge, least_words), _SCHEMA)
+    return rows.mapInArrow(_measure(least_words), _SCHEMA)
 
 
-def typed(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = LEAST_WORDS, judge=None) -> DataFrame:
+def typed(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, statistics..., text_type, prose_posterior) of each page as in ``measured``."""
-    rows = materialize(measured(pages, id_col, text_col, chars_col, least_words, judge), "statistics")
+    rows = materialize(measured(pages, id_col, text_col, chars_col, least_words), "statistics")
     counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
     answers = [(p, TYPES[int(np.argmax(q))], float(q[0])) for p, q in learn(counts).items()]
     schema = T.StructType([T.StructField("votes", T.StringType()), T.StructField("text_type", T.StringType()), T.StructField("prose_posterior", T.DoubleType())])
