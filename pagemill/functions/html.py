@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import fixed
@@ -302,9 +303,13 @@ def read(html: str | None, url: str | None) -> tuple:
     return (*meta, to_markdown(best), selector, chars)
 
 
-@F.pandas_udf(SCHEMA)
-def read_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+def _read_batch(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     names = ["title", "h1", "best_heading", "canonical_url", "refresh_url", "og_url", "data_urls", "links", "markdown", "selector", "main_content_chars"]
     rows = [read(h, u) for h, u in zip(html, url)]
     rows = [(*r[:7], [dict(zip(("url", "source", "text"), x)) for x in r[7]], *r[8:]) for r in rows]
     return pd.DataFrame(rows, columns=names)
+
+
+def read_page(html: Column | str, url: Column | str) -> Column:
+    """A struct of SCHEMA for each page; one pass over its HTML for all that is asked of it."""
+    return F.pandas_udf(_read_batch, SCHEMA)(html, url)

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import fixed
@@ -22,8 +22,7 @@ def _told(alt: str) -> bool:
     return len(plain) >= 4 and plain not in fixed.IMAGE_NOISE
 
 
-@F.pandas_udf("struct<text: string, images: int, links: int>")
-def unwrapped(text: pd.Series) -> pd.DataFrame:
+def _unwrap_batch(text: pd.Series) -> pd.DataFrame:
     """NFKC, table rules dropped, images by their telling descriptions, links by their labels, with their numbers."""
     out = []
     for t in text:
@@ -34,13 +33,18 @@ def unwrapped(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "images", "links"])
 
 
-def cleaned(text: Column) -> Column:
-    """struct(text, report) of a markdown text; null counts as ''.
+def unwrapped(text: Column) -> Column:
+    return F.pandas_udf(_unwrap_batch, "struct<text: string, images: int, links: int>")(text)
+
+
+def with_cleaned(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with ``name``: struct(text, report) of a column of markdown; null counts as ''.
 
     Lines pass, in this order: empty headings, repeated headings, noise, repeated lines. The report has the numbers of
     characters before and after, images, links, noise lines (repeated headings among them) and repeated lines.
     """
-    opened = unwrapped(F.coalesce(text, F.lit("")))
+    df = df.withColumn("__opened", unwrapped(F.coalesce(text_col, F.lit(""))))
+    text, opened = F.col(text_col), F.col("__opened")
     spaced = rules.lines(rules.spacing(opened["text"]))
     own = F.filter(F.transform(spaced, lambda x: rules.spaced_heading(rules.strip(x))), lambda x: ~x.rlike(r"^#{1,6}\s*$"))
     headed = rules.lines(rules.without_repeated_headings(F.array_join(own, "\n")))
@@ -55,4 +59,4 @@ def cleaned(text: Column) -> Column:
         F.lit(True).alias("enabled"), F.length(F.coalesce(text, F.lit(""))).alias("original_chars"), F.length(result).alias("cleaned_chars"),
         opened["images"].alias("removed_images"), opened["links"].alias("replaced_links"), noise.alias("removed_noise_lines"), repeated.alias("removed_duplicate_lines"),
     )
-    return F.struct(result.alias("text"), report.alias("report"))
+    return df.withColumn(name, F.struct(result.alias("text"), report.alias("report"))).drop("__opened")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pagemill.functions import fixed
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def page_counters(pages: DataFrame) -> DataFrame:
     """Counters of each job's pages, of distinct rows: (job_id, crawled, sent, failed_sends, skipped_duplicates, skipped_quality, page_errors)."""
     count = lambda c: F.count_if(c)
@@ -71,8 +76,8 @@ def engine_eta(queue: Column, crawled: Column, max_pages: Column, recent: Column
 
 def rolling_rate(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """``events`` with the number of events of their key in the ``seconds`` up to them, and the span of these in seconds."""
-    window = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("recent", F.count("*").over(window)).withColumn("span", (F.unix_micros(ts) - F.min(F.unix_micros(ts)).over(window)) / F.lit(1_000_000.0))
+    window = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    return events.withColumn("recent", F.count("*").over(window)).withColumn("span", (micros(ts) - F.min(micros(ts)).over(window)) / F.lit(1_000_000.0))
 
 
 def circuit_breaker(sends: DataFrame, key: str, order: list[str], failed: str) -> DataFrame:
@@ -106,7 +111,7 @@ def rate_limit(requests: DataFrame, key: str, ts: str, max_requests: int = fixed
     """
     kind = dict(requests.dtypes)[key]
     window = Window.partitionBy(key).orderBy(ts, "request_id")
-    pause = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(window) >= seconds * 1_000_000
+    pause = micros(ts) - F.lag(micros(ts)).over(window) >= seconds * 1_000_000
     pieces = requests.withColumn("piece", F.sum(F.coalesce(pause, F.lit(False)).cast("int")).over(window))
     return pieces.select("request_id", key, ts, "piece").groupBy(key, "piece").applyInPandas(_limited(max_requests, seconds, key, ts), f"request_id long, {key} {kind}, accepted boolean")
 
@@ -126,7 +131,7 @@ def send_outcomes(attempts: DataFrame) -> DataFrame:
 
 def expired(jobs: DataFrame, now: Column, seconds: int = fixed.JOB_SECONDS) -> DataFrame:
     """Finished jobs that were made more than ``seconds`` ago."""
-    return jobs.where(F.col("status").isin(fixed.FINAL_STATUSES) & (F.unix_micros("created_at") < F.unix_micros(now) - seconds * 1_000_000))
+    return jobs.where(F.col("status").isin(fixed.FINAL_STATUSES) & (micros("created_at") < micros(now) - seconds * 1_000_000))
 
 
 def health(jobs: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def link_baseline_difference(spark, sf_dir):
     return rows.where("source LIKE '%click%'").join(base, ["job_id", "norm"], "left_anti").groupBy("job_id", "norm").agg(F.count("*").alias("n"))
 
 
-@query("page_title_h1", f"""SELECT id, title, h1, CASE WHEN h1 <> '' THEN h1 ELSE title END AS effective_title FROM (SELECT id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1 FROM {samples.HTML.sql()})""")
+@query("page_title_h1", f"""SELECT id, title, h1, CASE WHEN h1 <> '' THEN h1 ELSE title END AS effective_title FROM (SELECT id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s*<[^>]*>\\s*', '', 'g')) AS h1 FROM {samples.HTML.sql()})""")
 def page_title_h1(spark, sf_dir):
     rows = _rows(spark, samples.HTML).withColumn("page", read_page("html", "url")).select("id", "page.title", "page.h1")
     return rows.withColumn("effective_title", F.coalesce(F.nullif("h1", F.lit("")), "title"))
@@ -305,7 +305,8 @@ def md_heading_collapse(spark, sf_dir):
 
 @query("md_preprocess_report")
 def md_preprocess_report(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "sent_pages").select("page_id", "markdown")).withColumn("done", markdown.cleaned(F.col("markdown")))
+    rows = spread(table(spark, sf_dir, "sent_pages").select("page_id", "markdown"))
+    rows = markdown.with_cleaned(rows, "markdown", "done")
     return rows.select("page_id", F.sha2("done.text", 256).alias("text_hash"), "done.report.*")
 
 
@@ -380,7 +381,7 @@ def final_status(spark, sf_dir):
 def job_progress(spark, sf_dir):
     counts = job_stats(spark, sf_dir).select("job_id", F.col("crawled").alias("pages"))
     # whole seconds are counted between the starts of seconds
-    whole = lambda c: F.floor(F.unix_micros(c) / 1_000_000)
+    whole = lambda c: F.floor(jobs.micros(c) / 1_000_000)
     rows = table(spark, sf_dir, "jobs").join(counts, "job_id", "left")
     return rows.select("job_id", F.coalesce("pages", F.lit(0)).alias("pages"), "crawled", (whole(F.coalesce("completed_at", "updated_at")) - whole(F.col("created_at"))).alias("elapsed"))
 
@@ -402,7 +403,7 @@ ELSE floor((total - crawled) / greatest(greatest(1, floor(crawled * 3 / 10)) / g
 
 @query("eta_status", f"SELECT job_id, {_ETA_SQL} AS eta FROM (SELECT *, CASE WHEN discovered > crawled THEN least(max_pages, discovered) ELSE max_pages END AS total, date_diff('second', created_at, updated_at) AS elapsed FROM jobs)")
 def eta_status(spark, sf_dir):
-    whole = lambda c: F.floor(F.unix_micros(c) / 1_000_000)
+    whole = lambda c: F.floor(jobs.micros(c) / 1_000_000)
     rows = table(spark, sf_dir, "jobs").withColumn("elapsed", whole("updated_at") - whole("created_at"))
     return rows.select("job_id", jobs.status_eta(F.col("status"), F.col("crawled"), F.col("discovered"), F.col("max_pages"), F.col("elapsed")).alias("eta"))
 

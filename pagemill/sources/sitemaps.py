@@ -13,12 +13,15 @@ from pagemill.operators.dedup import last_by
 from pagemill.shared import materialize
 
 
-@F.pandas_udf("string")
-def decoded(body: pd.Series) -> pd.Series:
-    """Text of a binary body, unpacked if it is gzip; bytes that are no UTF-8 are left out."""
+def _decode_batch(body: pd.Series) -> pd.Series:
     return body.map(lambda b: None if b is None else (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else bytes(b)).decode("utf-8", "ignore"))
 
 
+def decoded(body: Column) -> Column:
+    """Text of a binary body, unpacked if it is gzip; bytes that are no UTF-8 are left out."""
+    return F.pandas_udf(_decode_batch, "string")(body)
+
+
 def locations(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?i)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
 
