@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import fixed
 from pagemill.functions import text as rules
+from pagemill.shared import once
 
 _SIGNS = re.compile(r"[*_`#>\-\[\]().,:;!|]+")
 _IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
@@ -43,20 +44,19 @@ def with_cleaned(df: DataFrame, text_col: str, name: str) -> DataFrame:
     Lines pass, in this order: empty headings, repeated headings, noise, repeated lines. The report has the numbers of
     characters before and after, images, links, noise lines (repeated headings among them) and repeated lines.
     """
-    df = df.withColumn("__opened", unwrapped(F.coalesce(text_col, F.lit(""))))
-    text, opened = F.col(text_col), F.col("__opened")
-    spaced = rules.lines(rules.spacing(opened["text"]))
-    own = F.filter(F.transform(spaced, lambda x: rules.spaced_heading(rules.strip(x))), lambda x: ~x.rlike(r"^#{1,6}\s*$"))
-    headed = rules.lines(rules.without_repeated_headings(F.array_join(own, "\n")))
-    quiet = F.filter(headed, rules.is_kept_line)
-    noise = F.size(own) - F.size(quiet)
-    # the split of an empty text is one empty line, which no list of lines had
-    noise = F.when(F.size(own) == 0, 0).otherwise(noise)
-    once = rules.lines(rules.without_repeated_lines(F.array_join(quiet, "\n")))
-    repeated = F.when(F.size(quiet) == 0, 0).otherwise(F.size(quiet) - F.size(once))
-    result = rules.spacing(F.array_join(once, "\n"))
+    df = once(df, "__opened", unwrapped(F.coalesce(text_col, F.lit(""))))
+    own = F.filter(F.transform(rules.lines(rules.spacing(F.col("__opened.text"))), lambda x: rules.spaced_heading(rules.strip(x))), lambda x: ~x.rlike(r"^#{1,6}\s*$"))
+    df = once(df, "__own", own)
+    df = once(df, "__headed", rules.lines(rules.without_repeated_headings(F.array_join("__own", "\n"))))
+    df = once(df, "__quiet", rules.kept_lines(F.col("__headed")))
+    df = once(df, "__once", rules.lines(rules.without_repeated_lines(F.array_join("__quiet", "\n"))))
+    df = once(df, "__result", rules.spacing(F.array_join("__once", "\n")))
+    # joining and splitting makes one empty line of no line
+    noise = F.when(F.size("__own") == 0, 0).otherwise(F.size("__own") - F.size("__quiet"))
+    repeated = F.when(F.size("__quiet") == 0, 0).otherwise(F.size("__quiet") - F.size("__once"))
     report = F.struct(
-        F.lit(True).alias("enabled"), F.length(F.coalesce(text, F.lit(""))).alias("original_chars"), F.length(result).alias("cleaned_chars"),
-        opened["images"].alias("removed_images"), opened["links"].alias("replaced_links"), noise.alias("removed_noise_lines"), repeated.alias("removed_duplicate_lines"),
+        F.lit(True).alias("enabled"), F.length(F.coalesce(text_col, F.lit(""))).alias("original_chars"), F.length("__result").alias("cleaned_chars"),
+        F.col("__opened.images").alias("removed_images"), F.col("__opened.links").alias("replaced_links"), noise.alias("removed_noise_lines"), repeated.alias("removed_duplicate_lines"),
     )
-    return df.withColumn(name, F.struct(result.alias("text"), report.alias("report"))).drop("__opened")
+    df = df.withColumn(name, F.struct(F.col("__result").alias("text"), report.alias("report")))
+    return df.drop("__opened", "__own", "__headed", "__quiet", "__once", "__result")

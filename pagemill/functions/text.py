@@ -49,9 +49,12 @@ def heading_text(line: Column) -> Column:
     return F.when(line.rlike(r"^#{1,6}\s+\S"), compared(F.regexp_extract(line, r"^#{1,6}\s+(.+)$", 1))).otherwise(F.lit(""))
 
 
-def is_noise_line(line: Column) -> Column:
-    """Whether a line says nothing: interface phrases, bare urls, signs only, asset paths, names of social networks."""
-    own, low = compared(line), F.lower(line)
+def is_noise_line(line: Column, own: Column | None = None) -> Column:
+    """Whether a line says nothing: interface phrases, bare urls, signs only, asset paths, names of social networks.
+
+    ``own`` is the compared line, where it is known already.
+    """
+    own, low = compared(line) if own is None else own, F.lower(line)
     letters = F.length(F.regexp_replace(own, r"[^\p{L}]", ""))
     return (
         (own == "")
@@ -64,21 +67,29 @@ def is_noise_line(line: Column) -> Column:
     )
 
 
-def is_kept_line(line: Column) -> Column:
+def is_kept_line(line: Column, own: Column | None = None) -> Column:
     """Headings with some text stay even if they look like noise."""
-    return ~is_noise_line(line) | (F.startswith(line, F.lit("#")) & (F.length(compared(line)) >= 2))
+    own = compared(line) if own is None else own
+    return ~is_noise_line(line, own) | (F.startswith(line, F.lit("#")) & (F.length(own) >= 2))
+
+
+def kept_lines(own: Column) -> Column:
+    """Those of an array of lines that say something; each line is compared once."""
+    both = F.transform(own, lambda x: F.struct(x.alias("line"), compared(x).alias("own")))
+    return F.transform(F.filter(both, lambda x: is_kept_line(x["line"], x["own"])), lambda x: x["line"])
 
 
 def without_noise_lines(text: Column) -> Column:
     own = F.transform(lines(text), lambda x: spaced_heading(strip(x)))
-    return F.array_join(F.filter(own, lambda x: ~x.rlike(r"^#{1,6}\s*$") & is_kept_line(x)), "\n")
+    return F.array_join(kept_lines(F.filter(own, lambda x: ~x.rlike(r"^#{1,6}\s*$"))), "\n")
 
 
 def without_repeated_lines(text: Column) -> Column:
     """First occurrence of each line by its compared text; lines of fewer than four compared characters all stay."""
     own = lines(text)
-    keys = F.transform(own, compared)
-    return F.array_join(F.filter(own, lambda x, i: (F.length(F.get(keys, i)) < 4) | (F.array_position(keys, F.get(keys, i)) == i + 1)), "\n")
+    # a lambda's variable holds the compared lines, so that they are made once and not for each line
+    first = F.transform(F.array(F.transform(own, compared)), lambda keys: F.filter(own, lambda x, i: (F.length(F.get(keys, i)) < 4) | (F.array_position(keys, F.get(keys, i)) == i + 1)))
+    return F.array_join(F.get(first, F.lit(0)), "\n")
 
 
 def without_repeated_headings(text: Column) -> Column:

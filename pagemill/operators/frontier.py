@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import fixed, routes, urls
 from pagemill.functions.links import joined
 from pagemill.operators.dedup import first_by
-from pagemill.shared import materialize
+from pagemill.shared import materialize, once
 
 
 def candidates(links: DataFrame, roots: DataFrame, follow: bool = False) -> DataFrame:
@@ -19,9 +19,10 @@ def candidates(links: DataFrame, roots: DataFrame, follow: bool = False) -> Data
 
     ``roots``: (job_id, root) with the host of each job; it is joined, not collected.
     """
-    rows = links.join(roots, "job_id").withColumn("norm", urls.normalize_url(joined(F.col("parent"), F.col("url"))))
-    rows = rows.withColumn("reason", urls.reject_reason(F.col("norm"), F.col("root"), F.lit(follow), F.array().cast("array<string>")))
-    return rows.withColumn("route_type", routes.classify_route(F.col("norm"))).withColumn("score", routes.score(F.col("norm"), F.col("source"), F.col("anchor_text"), F.lit(0), F.lit(follow)))
+    rows = once(links.join(roots, "job_id"), "norm", urls.normalize_url(joined(F.col("parent"), F.col("url"))))
+    rows = once(rows, "reason", urls.reject_reason(F.col("norm"), F.col("root"), F.lit(follow), F.array().cast("array<string>")))
+    rows = rows.withColumn("route_type", routes.classify_route(F.col("norm")))
+    return once(rows, "score", routes.score(F.col("norm"), F.col("source"), F.col("anchor_text"), F.lit(0), F.lit(follow)))
 
 
 def admitted(rows: DataFrame, depth: int) -> DataFrame:

@@ -286,7 +286,7 @@ def md_spacing(spark, sf_dir):
 def md_line_noise(spark, sf_dir):
     own = F.transform(text.lines(F.col("markdown")), urls.strip)
     rows = spread(table(spark, sf_dir, "sent_pages").select("page_id", "markdown"))
-    return rows.select("page_id", F.size(own).alias("lines"), (F.size(own) - F.size(F.filter(own, text.is_kept_line))).alias("noise"))
+    return rows.select("page_id", F.size(own).alias("lines"), (F.size(own) - F.size(text.kept_lines(own))).alias("noise"))
 
 
 @query("md_line_dedup", f"SELECT page_id, count(*) FILTER (WHERE length(k) < 4 OR place = 1) AS kept FROM (SELECT page_id, k, row_number() OVER (PARTITION BY page_id, k ORDER BY row) AS place FROM (SELECT page_id, {sql.compared('raw')} AS k, row FROM (SELECT page_id, unnest(string_split(markdown, chr(10))) AS raw, generate_subscripts(string_split(markdown, chr(10)), 1) AS row FROM sent_pages))) GROUP BY page_id")
