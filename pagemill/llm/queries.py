@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_url
 from pagemill.llm import graph_index, leaks, main_content, markup, packing, residue, sentences, signature_tree, site_lines, text_types
+from pagemill.plans import sql
 from pagemill.shared import materialize, table
 
 
@@ -85,5 +86,26 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
+_SITE = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
+_LINE = r"regexp_replace(trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')), '\d+', '0', 'g')"
+
+_SHINGLES = r"""words AS MATERIALIZED (SELECT page_id, batch_no, url, markdown, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') AS w FROM sent_pages WHERE markdown IS NOT NULL),
+shingles AS MATERIALIZED (SELECT DISTINCT page_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT page_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 60)),
+sizes AS MATERIALIZED (SELECT page_id, count(*) AS n FROM shingles GROUP BY page_id),
+shared AS MATERIALIZED (SELECT a.page_id AS a, b.page_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.page_id < b.page_id GROUP BY a.page_id, b.page_id),
+alike AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.page_id = a JOIN sizes y ON y.page_id = b WHERE 5 * common >= 3 * (x.n + y.n - common))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"WITH {_SHINGLES} SELECT a AS page_id_a, b AS page_id_b FROM alike JOIN words x ON x.page_id = a JOIN words y ON y.page_id = b WHERE x.markdown <> y.markdown",
+        "p5_found": f"""WITH lines AS MATERIALIZED (SELECT page_id, line_no, site, {_LINE} AS own FROM (SELECT page_id, {_SITE} AS site, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no FROM sent_pages)),
+often AS (SELECT site, own FROM lines WHERE length(own) >= 20 GROUP BY site, own HAVING count(DISTINCT page_id) >= 6)
+SELECT DISTINCT page_id, line_no::INT AS line_no FROM lines JOIN often USING (site, own)""",
+        "p6_found": f"""WITH {_SHINGLES}, pages AS (SELECT page_id, batch_no, {sql.normalized('url')} AS norm FROM sent_pages)
+SELECT DISTINCT page_id FROM (SELECT CASE WHEN x.batch_no < y.batch_no THEN y.page_id ELSE x.page_id END AS page_id FROM alike JOIN words x ON x.page_id = a JOIN words y ON y.page_id = b WHERE x.batch_no <> y.batch_no
+UNION SELECT p.page_id FROM pages p JOIN (SELECT norm, min(batch_no) AS first FROM pages WHERE norm <> '' GROUP BY norm) f USING (norm) WHERE p.batch_no > f.first)""",
+        "p9_found": r"""WITH items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT item_id, regexp_extract_all(lower(nfc_normalize(passage)), '[\p{L}\p{N}]+') AS w FROM eval_items) WHERE len(w) >= 13)),
+docs AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents) WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, item_id FROM docs JOIN items USING (g)""",
+    }
