@@ -154,7 +154,7 @@ def fill_containers(documents: DataFrame, containers: DataFrame, id_col: str = "
     kinds = {r[0]: int(r[1]) for r in containers.select("container_kind", "capacity_tokens").where("capacity_tokens > 0 and container_kind is not null").limit(MOST_KINDS + 1).collect()}
     if len(kinds) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
-    words = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.lower(F.trim(F.col(source_col))), r"^www\.", "").alias("source"), F.xxhash64(words).alias("cluster"), F.col(text_col).alias("text"))
     sized = spread(rows).mapInArrow(_count(folder, file), "id long, source string, cluster long, tokens int")
     packers = max(1, documents.count() // packer_texts)
