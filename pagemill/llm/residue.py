@@ -33,6 +33,8 @@ PRIOR = 0.02
 SMOOTHING = 12.0
 #: Weight of an unlabelled passage that is thought positive against a trusted one.
 UNLABELLED_WEIGHT = 0.2
+#: Most that one feature speaks for a passage, so that a stray word alone, beside others, is not enough.
+MOST_WEIGHT = 5.0
 #: Weight of a word the samples do not have.
 UNKNOWN_WORD = -0.7
 #: Occurrences of a feature in the samples from which it is kept.
@@ -49,7 +51,7 @@ Page introuvable. Erreur 404. Accès refusé. Erreur interne du serveur. Service
 Página no encontrada. Error 404. Acceso denegado. Error interno del servidor. Servicio no disponible. Inténtelo más tarde. Volver al inicio.
 Fatal error: Uncaught exception in index.php on line 0. Traceback (most recent call last): File "app.py", line 0, in run. ValueError: value is missing. KeyError: key is missing. TemplateError: template is missing. Traceback:
 Please enable JavaScript. You need to enable JavaScript to run this app. Please activate scripting in your browser to view this content. Kindly turn on JavaScript in the settings and reload. To continue, allow scripting for this site.
-This page requires JavaScript. Checking your browser. Verifying that you are human. One moment please. Just a moment... Complete the check below. This may take a few seconds. Too many requests. Your access is being reviewed. To continue, turn on JavaScript and cookies for this site and reload.
+This page requires JavaScript. Checking your browser before you enter this site. Too many requests before you enter this site. Checking your browser. Verifying that you are human. One moment please. Just a moment... Complete the check below. This may take a few seconds. Too many requests. Your access is being reviewed. To continue, turn on JavaScript and cookies for this site and reload.
 Bitte JavaScript im Browser aktivieren. Um fortzufahren, JavaScript in den Einstellungen einschalten und neu laden. Ihr Browser wird geprüft. Bitte warten. Zu viele Anfragen.
 Veuillez activer JavaScript dans le navigateur puis recharger. Pour continuer, il faut activer JavaScript dans les réglages pour voir la page. Vérification de votre navigateur. Trop de requêtes. Un instant. Veuillez patienter.
 Por favor, active JavaScript en el navegador. Para continuar, active JavaScript en los ajustes para ver la página y recargue. Comprobando su navegador. Demasiadas solicitudes. Espere un momento.
@@ -76,6 +78,7 @@ _HOLDERS = [
     ("percent", re.compile(r"%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+%|%%?[A-Z]{3,}%%?")),
     ("at", re.compile(r"@@[A-Z][A-Z0-9_]*@@")),
     ("under", re.compile(r"(?<![^\W_])__[A-Z][A-Z0-9_]*__(?![^\W_])")),
+    ("slot", re.compile(r"(?<!\[)\[(?:(?:INSERT|Insert|insert)\b[^\[\]\n]{0,60}|[^\[\]\n]{0,60}\b(?:goes|name|text|title) here)\](?!\()")),
     ("brace", re.compile(r"(?<![\\\w}\]^_{$#])\{[A-Za-z][\w.]*\}(?![}{\]])")),
 ]
 _BRACKET = re.compile(r"(?<!\[)\[([^\[\]|\n]{3,60})\](?![\](\[:])")
@@ -103,7 +106,8 @@ def passages(text: str | None, title: bool = False) -> list[list[str]]:
             line = _OPAQUE.sub(" ", line)
         for sentence in _SENTENCE.split(line):
             own = _features(sentence)
-            if own:
+            # numbers alone say nothing in a text
+            if own and (title or any(not f[0].isdigit() for f in own)):
                 out.append(own)
     return out
 
@@ -159,7 +163,7 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], rounds: int =
         off = np.bincount(column, 1 - posterior[row], len(names))
         n_on, n_off = (trust * posterior).sum(), (1 - posterior).sum()
         weights = np.log((on + SMOOTHING * rate) / (n_on + SMOOTHING)) - np.log((off + SMOOTHING * rate) / (n_off + SMOOTHING))
-        weights *= halved
+        weights = np.minimum(weights * halved, MOST_WEIGHT)
         odds = bias + np.bincount(row, weights[column], len(rows))
         posterior = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
     return Model(dict(zip(names, weights.tolist())), bias)
