@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.shared import materialize
@@ -69,6 +69,7 @@ def duplicate_gate(pages: DataFrame) -> DataFrame:
 
 
 def first_fingerprints(pages: DataFrame, keys: list[str], fingerprint: str, order: str) -> DataFrame:
-    """``pages`` with ``is_first``: whether a page is the first of its job with this fingerprint; '' is never a repetition."""
-    window = Window.partitionBy(*keys, fingerprint).orderBy(order)
-    return pages.withColumn("is_first", (F.col(fingerprint) == "") | (F.row_number().over(window) == 1))
+    """``pages`` with ``is_first``: whether a page is the first of its keys with this fingerprint; '' is never a repetition."""
+    first = pages.where(F.col(fingerprint) != "").groupBy(*keys, fingerprint).agg(F.min(order).alias("__first"))
+    joined = pages.join(first, [*keys, fingerprint], "left")
+    return joined.withColumn("is_first", (F.col(fingerprint) == "") | (F.col(order) == F.col("__first"))).drop("__first")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +91,19 @@ def circuit_breaker(sends: DataFrame, key: str, order: list[str], failed: str) -
 
 
 def _limited(max_requests: int, seconds: float, key: str, ts: str):
-    def run(rows):
-        accepted: list[float] = []
-        out = []
-        rows = rows.sort_values([ts, "request_id"])
-        for now in rows[ts].astype("int64") / 1e6 if rows[ts].dtype.kind != "M" else rows[ts].astype("datetime64[us]").astype("int64") / 1e6:
-            accepted = [t for t in accepted if now - t < seconds]
-            out.append(len(accepted) < max_requests)
-            if out[-1]:
-                accepted.append(now)
-        return rows[["request_id", key]].assign(accepted=out)
+    def run(batches):
+        client, accepted = None, deque()
+        for rows in batches:
+            out = []
+            for own, now in zip(rows[key], rows["__micros"]):
+                if own != client:
+                    client, accepted = own, deque()
+                while accepted and now - accepted[0] >= seconds * 1_000_000:
+                    accepted.popleft()
+                out.append(len(accepted) < max_requests)
+                if out[-1]:
+                    accepted.append(now)
+            yield rows[["request_id", key]].assign(accepted=out)
 
     return run
 
@@ -106,14 +111,14 @@ def _limited(max_requests: int, seconds: float, key: str, ts: str):
 def rate_limit(requests: DataFrame, key: str, ts: str, max_requests: int = fixed.RATE_REQUESTS, seconds: int = fixed.RATE_SECONDS) -> DataFrame:
     """(request_id, key, accepted): a request is refused if ``max_requests`` were accepted in the last ``seconds``.
 
-    Refused requests do not count, so the fold is sequential within a client. A client's requests are cut where it was
-    quiet for ``seconds`` or more: nothing is remembered over such a pause, and the pieces are independent tasks.
+    Refused requests do not count, so the fold is sequential within a client. Rows are sorted by client and time, which
+    spills, and the fold goes over them batch by batch: what a task holds is the accepted times of one window, however
+    many requests a client has. Rows without a client are left out.
     """
     kind = dict(requests.dtypes)[key]
-    window = Window.partitionBy(key).orderBy(ts, "request_id")
-    pause = micros(ts) - F.lag(micros(ts)).over(window) >= seconds * 1_000_000
-    pieces = requests.withColumn("piece", F.sum(F.coalesce(pause, F.lit(False)).cast("int")).over(window))
-    return pieces.select("request_id", key, ts, "piece").groupBy(key, "piece").applyInPandas(_limited(max_requests, seconds, key, ts), f"request_id long, {key} {kind}, accepted boolean")
+    rows = requests.where(F.col(key).isNotNull()).select("request_id", key, micros(ts).alias("__micros"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "__micros", "request_id")
+    return ordered.mapInPandas(_limited(max_requests, seconds, key, ts), f"request_id long, {key} {kind}, accepted boolean")
 
 
 def send_outcomes(attempts: DataFrame) -> DataFrame:
