@@ -313,3 +313,37 @@ def _read_batch(html: pd.Series, url: pd.Series) -> pd.DataFrame:
 def read_page(html: Column | str, url: Column | str) -> Column:
     """A struct of SCHEMA for each page; one pass over its HTML for all that is asked of it."""
     return F.pandas_udf(_read_batch, SCHEMA)(html, url)
+
+
+HEADINGS = "array<struct<tag: string, text: string, class: string>>"
+MOST_HEADINGS, HEADING_CHARS, CLASS_CHARS = 10, 120, 60
+MOST_ROUTES, DEEPEST_ROUTES = 200, 6
+
+
+def headings(html: str | None) -> list[dict]:
+    """Headings of the first four ranks and elements whose class speaks of a title or heading, in order."""
+    out = []
+    for node in parse(html).walk():
+        name = node.attrs.get("class", "")
+        if node.tag in ("h1", "h2", "h3", "h4") or "title" in name or "heading" in name:
+            out.append({"tag": node.tag, "text": " ".join("".join(node.strings()).split())[:HEADING_CHARS], "class": name[:CLASS_CHARS]})
+            if len(out) == MOST_HEADINGS:
+                break
+    return out
+
+
+def spa_routes(state: str | None, url: str | None) -> list[str]:
+    """Paths in the JSON state of a single-page application, resolved; at most MOST_ROUTES, none deeper than DEEPEST_ROUTES."""
+    try:
+        found = _strings_of(json.loads(state or "null"), DEEPEST_PATHS - DEEPEST_ROUTES)
+        return [_join(url or "", s) for s in found if s.startswith("/")][:MOST_ROUTES]
+    except ValueError:
+        return []
+
+
+def _heading_batch(html: pd.Series) -> pd.Series:
+    return html.map(headings)
+
+
+def _route_batch(state: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([spa_routes(s, u) for s, u in zip(state, url)])

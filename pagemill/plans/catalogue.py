@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import fixed, links, markdown, routes, text, urls
 from pagemill.functions.html import read_page
+from pagemill.functions.register import register
 from pagemill.operators import dedup, frontier, jobs
-from pagemill.plans import samples, sql
+from pagemill.plans import pipeline, samples, sql
 from pagemill.shared import materialize, spread, table
-from pagemill.sources import payloads, robots, sitemaps
+from pagemill.sources import payloads, requests, robots, sitemaps
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -252,6 +253,39 @@ def page_content(spark, sf_dir):
     return _rows(spark, samples.HTML).withColumn("page", read_page("html", "url")).select("id", "page.markdown", "page.selector", "page.main_content_chars")
 
 
+@query("page_links_sql", "SELECT * FROM (VALUES (1, 'https://s.test/home'), (1, 'https://s.test/a/two.html'), (2, 'https://s.test/home'), (3, 'https://s.test/data')) t(id, url)")
+def page_links_sql(spark, sf_dir):
+    """The links of pages by the table function in SQL."""
+    register(spark)
+    _rows(spark, samples.HTML).createOrReplaceTempView("pagemill_html")
+    return spark.sql("SELECT h.id, l.url FROM pagemill_html h, LATERAL explode_links(h.html, h.url) l")
+
+
+@query("heading_probe")
+def heading_probe(spark, sf_dir):
+    register(spark)
+    return _rows(spark, samples.HTML).select("id", F.posexplode(F.call_function("headings", "html")).alias("place", "heading")).select("id", "place", "heading.*")
+
+
+@query("spa_routes", "SELECT * FROM (VALUES (1, 'https://s.test/a'), (1, 'https://s.test/b/c'), (1, 'https://s.test/')) t(id, url)")
+def spa_routes(spark, sf_dir):
+    register(spark)
+    rows = spark.sql("""SELECT * FROM VALUES (1, '{"x": ["/a", {"y": "/b/c"}, "no"], "z": "/"}'), (2, 'no json'), (3, CAST(NULL AS STRING)) AS t(id, state)""")
+    return rows.select("id", F.explode(F.call_function("spa_routes", "state", F.lit("https://s.test/p/q"))).alias("url"))
+
+
+@query("page_decisions", "SELECT * FROM (VALUES (1, 'SEND', 'ok'), (2, 'SKIP_DUPLICATE', 'duplicate_content_and_title:https://s.test/blog/one'), (3, 'SKIP_DUPLICATE', 'duplicate_canonical:https://s.test/blog/one'), (4, 'PAGE_ERROR', 'http_404'), (5, 'SKIP_LOW_QUALITY', 'too_short'), (6, 'SKIP_LOW_QUALITY', 'bad_title'), (8, 'SEND', 'ok')) t(seq, decision, reason)")
+def page_decisions(spark, sf_dir):
+    """The whole way of a job's pages from HTML to a decision."""
+    return pipeline.decide(_rows(spark, samples.CRAWLED)).select(F.col("seq").cast("int").alias("seq"), "decision", "reason")
+
+
+@query("job_requests", "SELECT * FROM (VALUES (1, 300, ''), (2, 5, 'max_depth'), (3, 300, 'url agent_id'), (4, NULL, 'body'), (5, 0, 'tenant_id max_pages')) t(id, max_pages, faults)")
+def job_requests(spark, sf_dir):
+    rows = requests.read_requests(_rows(spark, samples.REQUEST_BODIES))
+    return rows.select("id", "request.max_pages", F.array_join("faults", " ").alias("faults"))
+
+
 @query("nav_fingerprint_first", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, true)) t(id, is_first)")
 def nav_fingerprint_first(spark, sf_dir):
     rows = _rows(spark, samples.HTML).withColumn("job_id", F.lit("j")).withColumn("fingerprint", links.nav_fingerprint(F.col("html")))

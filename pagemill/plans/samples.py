@@ -12,7 +12,7 @@ class Rows:
     @staticmethod
     def _spark(value) -> str:
         if value is None:
-            return "CAST(NULL AS STRING)"
+            return "NULL"
         if isinstance(value, bool):
             return str(value).lower()
         return str(value) if isinstance(value, (int, float)) else "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
@@ -74,3 +74,15 @@ GATE = Rows("seq, url, canonical", [
     (5, "https://s.test/f", "https://s.test/a"), (6, "https://s.test/x", "https://s.test/f"), (7, "https://s.test/g", None), (8, "https://s.test/h", "https://s.test/g"), (9, "https://s.test/i", "https://s.test/h"),
 ])
 ETAS = Rows("id, queue, crawled, max_pages, recent, span, elapsed", [(1, 10, 5, 100, 4, 8, 20), (2, 0, 100, 100, 9, 30, 90), (3, 50, 2, 100, 1, 0, 5), (4, 5, 60, 100, 30, 60, 200), (5, 40, 60, 100, 0, 0, 9000), (6, 0, 0, 10, 0, 0, 0)])
+
+_BODY = "<main><h1>%s</h1><p>" + " ".join(f"word{k} and" for k in range(60)) + "</p></main>"
+CRAWLED = Rows("job_id, seq, url, html, http_status, revealed_text", [
+    ("j", 1, "https://s.test/blog/one", _BODY % "One", None, None), ("j", 2, "https://s.test/blog/two", _BODY % "One", None, None),
+    ("j", 3, "https://s.test/blog/three", '<link rel="canonical" href="/blog/one">' + _BODY % "Three", None, None), ("j", 4, "https://s.test/gone", "<h1>Gone</h1>", 404, None),
+    ("j", 5, "https://s.test/short", "<p>few words</p>", None, None), ("j", 6, "https://s.test/denied", "<title>Access denied</title>" + "<p>text</p>" * 90, None, None),
+    ("j", 7, "http://www.s.test/blog/one/#again", _BODY % "Other", None, None), ("j", 8, "https://s.test/tail", "<h1>Tail</h1><p>start</p>", None, "more revealed words in a row " * 8),
+])
+REQUEST_BODIES = Rows("id, body", [
+    (1, '{"url": "https://s.test", "tenant_id": "t", "agent_id": "a", "unknown": 1}'), (2, '{"url": "https://s.test", "tenant_id": "t", "agent_id": "a", "max_pages": 5, "max_depth": 21}'),
+    (3, '{"url": "ftp://s.test", "tenant_id": "t"}'), (4, None), (5, '{"url": "https://s.test", "agent_id": "a", "max_pages": 0}'),
+])
