@@ -219,7 +219,7 @@ def seen_texts(pages: DataFrame, id_col: str, text_col: str, batch_col: str, siz
     first. Repeated rows and copies within a batch are no reason; other columns are ignored; an empty table gives none.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(batch_col).cast("int"), F.lit(-(2**31) + 1)).alias("batch"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", F.xxhash64("text"))
-    first = rows.groupBy("key").agg(F.min("batch").alias("first_batch"))
+    keys = materialize(rows.select("id", "key", "batch"), "keys")
     cells = cells or max(1, pages.count() // CELL)
     texts = spread(rows.select("key", "text", "batch"))
     routed = texts.mapInArrow(_route(size, least_words, cells), "route int, cell int, key long, batch int, vector binary")
@@ -231,20 +231,10 @@ def seen_texts(pages: DataFrame, id_col: str, text_col: str, batch_col: str, siz
     candidates = materialize(near.distinct(), "graph-candidates")
     links = exact_links(candidates, pages, id_col, text_col, size, num, den).select("a", "b")
     like = links.select(F.col("b").alias("key")).distinct()
-    # a text itself: later rows of a text that an earlier batch has, if it is long enough to count
-    again = rows.join(first, "key").where("batch > first_batch").select("id", "text")
-    again = again.mapInArrow(_long_enough(least_words), "id long")
-    return rows.join(like, "key", "left_semi").select("id").union(again).distinct()
-
-
-def _long_enough(least_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            keep = [len(word_hashes(t, cache)) >= least_words for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["id"])
-
-    return run
+    # a text itself: later rows of a text that an earlier batch has; only texts long enough to count have routes
+    first = keys.groupBy("key").agg(F.min("batch").alias("first_batch"))
+    again = keys.join(first, "key").where("batch > first_batch").join(routed.select("key").distinct(), "key", "left_semi")
+    return keys.join(like, "key", "left_semi").select("id").union(again.select("id")).distinct()
 
 
 def seen_urls(pages: DataFrame, id_col: str, url: Column, batch_col: str) -> DataFrame:
