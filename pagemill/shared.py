@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,12 +49,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_SHUFFLED = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|Window|Sort|Distinct|MapInArrow|Generate)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan enough tasks for Python work: small files arrive as one row group, hence as one task.
 
     A row count is not needed: the scan's own number of splits decides, and a scan that already has a task
-    for each core is left alone, so that large inputs are never shuffled for this.
+    for each core is left alone, so that large inputs are never shuffled for this. What is no plain scan has the
+    partitions of its own shuffles and stays as it is; asking it for them would run it.
     """
+    if _SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
