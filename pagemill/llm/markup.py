@@ -193,7 +193,7 @@ class Tree:
     def __init__(self, root):
         self.root = root
 
-    def answer(self, row: list[float]) -> bool:
+    def answer(self, row: list[float]):
         node = self.root
         while node.__class__ is tuple:
             node = node[2] if row[node[0]] <= node[1] else node[3]
@@ -224,6 +224,38 @@ class Tree:
         return Tree(build(rows, labels, depth))
 
 
+    @staticmethod
+    def grow_types(rows: np.ndarray, labels: np.ndarray, depth: int = 9) -> Tree:
+        """A tree for more than two answers, by the same measure."""
+        names = np.unique(labels)
+
+        def counts(y):
+            return np.array([(y == name).sum() for name in names], float)
+
+        def impurity(y):
+            c = counts(y)
+            return len(y) - (c**2).sum() / len(y) if len(y) else 0.0
+
+        def build(x, y, left):
+            usual = str(names[int(counts(y).argmax())])
+            if left == 0 or len(set(y)) == 1:
+                return usual
+            best = None
+            for f in range(x.shape[1]):
+                values = np.unique(x[:, f])
+                for a, b in zip(values[:-1], values[1:]):
+                    low = x[:, f] <= (a + b) / 2
+                    cost = impurity(y[low]) + impurity(y[~low])
+                    if best is None or cost < best[0] - 1e-12:
+                        best = (cost, f, float((a + b) / 2), low)
+            if best is None or best[0] >= impurity(y) - 1e-12:
+                return usual
+            _, f, cut, low = best
+            return (f, cut, build(x[low], y[low], left - 1), build(x[~low], y[~low], left - 1))
+
+        return Tree(build(rows, labels, depth))
+
+
 def labelled() -> tuple[np.ndarray, dict[str, np.ndarray]]:
     rows, kinds = [], []
     for line in LABELLED.split("\n"):
@@ -253,6 +285,104 @@ def trees() -> dict[str, Tree]:
     return out
 
 
+# Labelled pages: the type of each block and the block, in the order of the page; pages end with a line of dashes.
+LABELLED_PAGES = """
+menu | [Home](/) / [News](/n) / [About](/a) / [Contact](/c)
+heading | # The new bridge
+text | The bridge was opened in May and has been used by all of the people who live near the river since then.
+list | - one small thing / - another small thing / - a third thing
+text | It will be closed for two days in the winter, as the steel has to be looked at by the team of the town.
+table | | a | b | / |---|---| / | 1 | 2 |
+menu | [Imprint](/i) [Privacy](/p) [Terms](/t)
+-----
+heading | == Older bridges ==
+text | There were three older bridges, of which one is still there; the others were taken down when the new one was built.
+formula | $$ / \\frac{a}{b} = c / $$
+text | The load is given by this formula, which holds for every bridge of the same kind and size in the whole valley.
+list | * stone bridge / * wooden bridge
+heading | A closing word
+text | We thank all who have helped us with this work, and we hope that the bridge will stand for many more years to come.
+-----
+menu | Home | News | About | Contact
+heading | <h2>Plans</h2>
+text | <p>The plans are kept in the town hall, where everyone may look at them in the morning and in the afternoon.</p>
+table | {| class=x / |- / | a || b / |- / | c || d / |}
+list | <ul> / <li>first plan</li> / <li>second plan</li> / </ul>
+formula | \\( a + b = c \\)
+-----
+list | 1. walk over / 2. look down / 3. walk back
+text | This is all there is to do on the bridge in the evening, when the shops near the river are closed.
+heading | \\section{Ways to the bridge}
+list | \\begin{itemize} / \\item by train / \\item by bus / \\end{itemize}
+table | name;length;year / old;20;1890 / new;45;2020
+text | Short note.
+-----
+heading | ### Visit us
+text | You can visit the bridge at any time of the day, and there is no fee to be paid by those who walk over it.
+menu | [Back](/b) | [Next](/n)
+text | A ticket for the museum is sold at the gate, and it may be used on the next day as well if it was not used.
+formula | $x = y^2$
+text | so that the height follows from the width, as it was shown in the first part of the text on the old bridge.
+menu | * [Home](/home) / * [News](/news) / * [Team](/team)
+-----
+menu | Home / News / About / Contact / Team / Search
+heading | # A much longer heading of eleven words about the old bridge
+text | We use cookies to make this page work as it should
+list | 1. small red lamp / 2. large blue lamp / - old green lamp / * new lamp
+text | This text has no mark at its end but it goes on for a good while with words of all kinds in one long line
+heading | ## One more heading (with a remark)
+text | Written by Jo Miller, 3 May 2020
+table | 5 | 6 | 7 / 8 | 9 | 10 / 1 | 2 | 3
+heading | ## How the lamp was made
+text | <div class="x"> / The lamp was made by hand in the town, and it took the team four weeks to do so. / </div>
+menu | Home > Lamps > The old lamp
+text | A line of text that speaks of one thing / and goes on in a second line about it / and then in a third one.
+table | a lamp    5    red / b lamp    6    blue / c lamp    7    green
+menu | Start › Shop › Lamps › Team › About
+text | © 2020 The Lamp Shop. All rights reserved.
+-----
+""".strip()
+_HEAD = re.compile(r"^\s*(?:#{1,6}\s*\S|={2,6}[^=]+={2,6}\s*$|\\\\(?:sub)*section\*?\{|<h[1-6][ >])")
+_ITEM = re.compile(r"^\s*(?:[-*+•]\s|\d{1,3}[.)]\s|<li[ >]|\\\\item\b)")
+_ROW = re.compile(r"^\s*\|.*\||^\s*(?:\{\||\|\}|\|-)|<t[dr][ >]|^\s*\|[^|]+\|\|")
+_CELLS = re.compile(r"[;\t]| {3,}")
+_MENU_SIGN = re.compile(r"\s[|›»]\s")
+TYPE_FEATURES = ["head", "formula", "row_share", "cell_share", "item_share", "menu_signs", "link_density", "ends", "words", "lines", "words_before", "links_before", "words_after", "links_after"]
+
+
+def type_features(texts: list[str]) -> list[list[float]]:
+    """Features of the blocks of a page in order: words and link density of each and its neighbours, and signs of form."""
+    rows = []
+    for t in texts:
+        own = block_features(t)
+        lines = t.strip("\n").split("\n")
+        n = len(lines)
+        formulas = sum(own[_AT[f]] for f in ("latex_bracket", "latex_formula", "latex_display"))
+        # a formula is what is left when nothing much besides is
+        plain = len(re.findall(r"[^\W\d_]{3,}", re.sub(r"\$\$.*?\$\$|\$[^$\n]*\$|\\\\\(.*?\\\\\)|\\\\[a-z]+", " ", t, flags=re.S)))
+        rows.append([
+            float(bool(_HEAD.match(t)) and n <= 2), float(formulas > 0 and plain < 3), sum(bool(_ROW.search(x)) for x in lines) / n, sum(bool(_CELLS.search(x.strip())) for x in lines) / n * (n > 1),
+            sum(bool(_ITEM.match(x)) for x in lines) / n, float(len(_MENU_SIGN.findall(t)) * (n == 1)), own[1] if "](" in t or "<a" in t else 0.0,
+            float(bool(re.search(r"[.!?][\"'”»)]*\s*(?:</p>)?\s*$", t))), own[0], float(n), 0.0, 0.0, 0.0, 0.0,
+        ])
+    for k, row in enumerate(rows):
+        if k:
+            row[10:12] = rows[k - 1][8], rows[k - 1][6]
+        if k + 1 < len(rows):
+            row[12:14] = rows[k + 1][8], rows[k + 1][6]
+    return rows
+
+
+def type_tree() -> Tree:
+    """The tree of block types, grown on the labelled pages."""
+    rows, labels = [], []
+    for page in LABELLED_PAGES.split("-----\n"):
+        own = [line.split(" | ", 1) for line in page.removesuffix("-----").strip("\n").split("\n") if " | " in line]
+        rows += type_features([block.replace(" / ", "\n").replace("\\\\", "\\") for _, block in own])
+        labels += [label for label, _ in own]
+    return Tree.grow_types(np.array(rows), np.array(labels))
+
+
 def judge(text: str, grown: dict[str, Tree]) -> list[tuple[int, int, tuple[str, ...]]]:
     """(first line, last line + 1, markups) of each block."""
     found = blocks(text)
@@ -342,3 +472,25 @@ def clean_texts(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text): each row's text with residue of markup rewritten; a null text stays null."""
     rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(_apply(trees(), True), "id long, text string")
+
+
+def _typed(grown, types):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = blocks(text) if text else []
+                kinds = judge(text, grown) if found else []
+                for (a, b, _), (_, _, own), row in zip(found, kinds, type_features([x[2] for x in found])):
+                    for column, value in zip(out, (page, a, b, types.answer(row), " ".join(own))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "first_line", "stop_line", "block_type", "markup"])
+
+    return run
+
+
+def typed_blocks(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, first_line, stop_line, block_type, markup) of each block outside fenced code: heading, text, list, table, menu or
+    formula, and the markups found in it. Null and empty texts have no block; a repeated row gives its blocks again."""
+    rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(_typed(trees(), type_tree()), "id long, first_line int, stop_line int, block_type string, markup string")

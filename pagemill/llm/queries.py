@@ -74,6 +74,10 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_texts(table(spark, sf_dir, "sent_pages"), "page_id", "markdown").withColumnRenamed("id", "page_id")
 
 
+def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.typed_blocks(table(spark, sf_dir, "sent_pages"), "page_id", "markdown").withColumnRenamed("id", "page_id")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
@@ -83,7 +87,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"

@@ -169,21 +169,21 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], rounds: int =
     return Model(dict(zip(names, weights.tolist())), bias)
 
 
-def _sample(df: DataFrame, column: Column, most: int) -> list:
-    """About ``most`` values of a text column, by hash."""
-    total = df.count()
-    share = max(1, math.ceil(total / most))
-    return [r[0] for r in df.select(column.alias("x")).where("x is not null").where(F.pmod(F.xxhash64("x"), F.lit(share)) == 0).collect()]
+def _sample(df: DataFrame, id_col: str, column: Column, most: int) -> list:
+    """About ``most`` values of a text column, by the hash of the rows' ids, so that a frequent value is taken in proportion."""
+    share = max(1, math.ceil(df.count() / most))
+    rows = df.select(F.xxhash64(id_col).alias("h"), column.alias("x")).where(F.pmod(F.col("h"), F.lit(share)) == 0).where("x is not null")
+    return [r[0] for r in rows.orderBy("h", "x").select("x").collect()]
 
 
-def fit(titles: DataFrame, trusted: Column, texts: DataFrame, title_col: str = "title", text_col: str = "markdown") -> Model:
+def fit(titles: DataFrame, trusted: Column, texts: DataFrame, id_col: str = "page_id", title_col: str = "title", text_col: str = "markdown") -> Model:
     positive = [f for line in SEEDS.split("\n") for f in passages(line, True)] * 3
-    for t in _sample(titles.where(trusted), F.col(title_col), TRUSTED):
+    for t in _sample(titles.where(trusted), id_col, F.col(title_col), TRUSTED):
         positive.extend(passages(t, True))
     unlabelled = []
-    for t in _sample(titles.where(~F.coalesce(trusted, F.lit(False))), F.col(title_col), TITLES):
+    for t in _sample(titles.where(~F.coalesce(trusted, F.lit(False))), id_col, F.col(title_col), TITLES):
         unlabelled.extend(passages(t, True))
-    for t in _sample(texts, F.col(text_col), TEXTS):
+    for t in _sample(texts, id_col, F.col(text_col), TEXTS):
         unlabelled.extend(passages(t))
     return train(positive, unlabelled)
 

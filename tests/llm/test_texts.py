@@ -133,6 +133,13 @@ def test_cleaning_keeps_structure(dirty, clean):
     assert markup.clean(dirty, markup.trees()) == clean
 
 
+def test_block_types(spark):
+    page = "# The bridge\n\n" + PROSE + "\n\n- one\n- two\n\n```\ncode\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n* [A](/a)\n* [B](/b)\n* [C](/c)\n\n<p>" + PROSE + "</p>"
+    df = spark.createDataFrame([(1, page, 0), (2, None, 0), (3, "", 0)], "page long, md string, id int")
+    rows = sorted(tuple(r) for r in markup.typed_blocks(df, "page", "md").collect())
+    assert [(r[1], r[2], r[3], r[4]) for r in rows] == [(0, 1, "heading", ""), (2, 3, "text", ""), (4, 6, "list", ""), (11, 14, "table", ""), (15, 18, "menu", ""), (19, 20, "text", "html")]
+
+
 def test_fences():
     assert code_lines(["a", "```x", "b", "~~~", "```", "c", "~~~", "d"]) == [False, True, True, True, True, False, True, True]
 
