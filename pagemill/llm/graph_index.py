@@ -11,8 +11,9 @@ links at random). A new batch searches all shards with a beam, then becomes a ne
 exhaustive search of a sample of ``TUNING_QUERIES`` queries finds. What the beams find is compared exactly, shingle by
 shingle, before it counts.
 
-Cells that hold more than ``SPLIT`` texts (one key can hold a third of all rows) are split by stored text; their
-queries go to every part.
+Cells that hold more than ``SPLIT`` texts (a family of near copies can hold a third of all rows) are split by stored
+text. Their queries go to one part first; what is found there, and stands the exact comparison, need not go on, and
+only the other queries go to the rest of the parts.
 """
 
 from __future__ import annotations
@@ -155,15 +156,16 @@ def new_shard(vectors: np.ndarray, ids: np.ndarray) -> Shard:
     return shard
 
 
-def search_cell(keys: np.ndarray, vectors: np.ndarray, batches: np.ndarray, stored: np.ndarray) -> tuple[list, list]:
-    """Pairs (key of an earlier batch, key of a later batch) whose vectors are near."""
+def search_cell(keys: np.ndarray, vectors: np.ndarray, batches: np.ndarray, stored: np.ndarray, asks: np.ndarray | None = None) -> tuple[list, list]:
+    """Pairs (key of an earlier batch, key of a later batch that ``asks``) whose vectors are near."""
     shards: list[Shard] = []
     early, late = [], []
     for batch in np.unique(batches):
         own = np.flatnonzero(batches == batch)
+        asking = own if asks is None else own[asks[own]]
         for shard in shards:
-            for a in range(0, len(own), QUERY_BLOCK):
-                block = own[a : a + QUERY_BLOCK]
+            for a in range(0, len(asking), QUERY_BLOCK):
+                block = asking[a : a + QUERY_BLOCK]
                 ids, cosines = shard.search(vectors[block], shard.beam)
                 row, column = np.nonzero(cosines >= LEAST_COSINE)
                 early.append(shard.ids[ids[row, column]])
@@ -203,11 +205,11 @@ def _route(size: int, least_words: int, cells: int):
 
 
 def _search(group: pa.Table) -> pa.Table:
-    keys, batches, stored = (group[c].to_numpy(zero_copy_only=False) for c in ("key", "batch", "stored"))
+    keys, batches, stored, asks = (group[c].to_numpy(zero_copy_only=False) for c in ("key", "batch", "stored", "asks"))
     vectors = np.frombuffer(b"".join(group["vector"].to_pylist()), np.int8).reshape(len(keys), -1).astype(np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     order = np.lexsort((keys, batches))
-    early, late = search_cell(keys[order], vectors[order], batches[order], stored[order])
+    early, late = search_cell(keys[order], vectors[order], batches[order], stored[order], asks[order])
     pairs = np.unique(np.stack([np.concatenate(early), np.concatenate(late)], 1), axis=0) if early else np.empty((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -224,12 +226,21 @@ def seen_texts(pages: DataFrame, id_col: str, text_col: str, batch_col: str, siz
     texts = spread(rows.select("key", "text", "batch"))
     routed = texts.mapInArrow(_route(size, least_words, cells), "route int, cell int, key long, batch int, vector binary")
     routed = materialize(routed.groupBy("route", "cell", "key").agg(F.min("batch").alias("batch"), F.first("vector").alias("vector")), "routes")
-    parts = routed.groupBy("route", "cell").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    parts = materialize(routed.groupBy("route", "cell").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")), "parts")
     spreadout = routed.join(parts, ["route", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spreadout = spreadout.withColumn("stored", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")) == F.col("part"))
-    near = spreadout.select("route", "cell", "part", "key", "batch", "vector", "stored").groupBy("route", "cell", "part").applyInArrow(_search, "a long, b long")
-    candidates = materialize(near.distinct(), "graph-candidates")
-    links = exact_links(candidates, pages, id_col, text_col, size, num, den).select("a", "b")
+
+    def found(rows: DataFrame) -> DataFrame:
+        near = rows.select("route", "cell", "part", "key", "batch", "vector", "stored", "asks").groupBy("route", "cell", "part").applyInArrow(_search, "a long, b long")
+        candidates = materialize(near.distinct(), "graph-candidates")
+        return exact_links(candidates, pages, id_col, text_col, size, num, den).select("a", "b")
+
+    links = found(spreadout.where("part = 0").withColumn("asks", F.lit(True)))
+    if not parts.where("parts > 1").isEmpty():
+        links = materialize(links, "graph-links")
+        settled = links.select(F.col("b").alias("key"), F.lit(True).alias("settled")).distinct()
+        rest = spreadout.where("part > 0").join(settled, "key", "left").withColumn("asks", F.col("settled").isNull()).where("stored OR asks")
+        links = links.union(found(rest))
     like = links.select(F.col("b").alias("key")).distinct()
     # a text itself: later rows of a text that an earlier batch has; only texts long enough to count have routes
     first = keys.groupBy("key").agg(F.min("batch").alias("first_batch"))
