@@ -33,8 +33,8 @@ ROUTES = 6
 CELL = 4096
 SPLIT = 4 * CELL
 DIMENSIONS = 64
-NEIGHBOURS = 8
-LONG_LINKS = 2
+NEIGHBOURS = 12
+LONG_LINKS = 4
 #: Nodes a search opens at a time.
 STEP = 4
 #: Queries searched at a time, few enough for what they touch to stay in cache.
