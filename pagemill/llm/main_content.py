@@ -31,6 +31,9 @@ _KERNEL /= _KERNEL.sum()
 MISS = 0.5
 #: Weight of the lines' support, where the crawler's count leaves a choice, against the form of a region's ends.
 WITHIN = 0.25
+#: Characters of a line from which it supports content in full; what a code block cut in two costs.
+SHORT_LINE = 130
+BROKEN_CODE = 4.0
 _MENU = re.compile(r"\s[|›»]\s|^\S+ > ")
 _MARKS = re.compile(r"^\s*(?:[-*+•>]|\d+[.)])\s|\]\(|\[[^\]]*\]|\s[|›»·]\s|\s>\s|\*\*|>>|©|\([cC]\)")
 
@@ -101,18 +104,40 @@ def support(lines: list[str]) -> np.ndarray:
     return value - two_means(value)
 
 
-def form(lines: list[str], first: int, stop: int) -> float:
-    """How well a region's ends look like a body's: a main heading first, blank lines around, code blocks whole."""
-    start = lines[first]
-    return (
-        4.0 * (start.startswith("#") and not start.startswith("##"))
-        + 1.5 * (first == 0 or not lines[first - 1].strip())
-        + 1.5 * (stop >= len(lines) or not lines[stop].strip())
-        - 4.0 * (sum(line.lstrip().startswith(("```", "~~~")) for line in lines[first:stop]) % 2)
-        # a short line by itself at either end is rather a menu, a prompt or a notice
-        - 2.5 * (bool(_MENU.search(start)) and not start.startswith("#"))
-        - 2.5 * (stop - first > 2 and not lines[stop - 2].strip() and len(lines[stop - 1]) < 130)
-    )
+def start_form(lines: list[str], first: int) -> float:
+    """How well a line begins a body: a main heading, after a blank line, no menu."""
+    line = lines[first]
+    heading = line.startswith("#")
+    return 4.0 * (heading and not line.startswith("##")) + 1.5 * (first == 0 or not lines[first - 1].strip()) - 2.5 * (bool(_MENU.search(line)) and not heading)
+
+
+def stop_form(lines: list[str], stop: int) -> float:
+    """How well a body ends before ``stop``: before a blank line, not with a short line by itself, as prompts and notices are."""
+    alone = stop > 1 and not lines[stop - 2].strip() and len(lines[stop - 1]) < SHORT_LINE
+    return 1.5 * (stop >= len(lines) or not lines[stop].strip()) - 2.5 * alone
+
+
+def _fences(lines: list[str]) -> np.ndarray:
+    """Parity of the number of code fences before each line."""
+    marks = [line.lstrip().startswith(("```", "~~~")) for line in lines]
+    return np.cumsum([0, *marks]) % 2
+
+
+def free_range(lines: list[str], own: list[int]) -> tuple[int, int]:
+    """The region with the best sum of support and form, over all regions, in one pass; short lines support less."""
+    value = support([lines[k] for k in own]) * np.array([min(1.0, len(lines[k]) / SHORT_LINE + 0.2) for k in own])
+    total, parity = np.r_[0, np.cumsum(value)], _fences(lines)
+    open_ = {0: (-np.inf, 0), 1: (-np.inf, 0)}  # the best start so far, by the parity of the fences before it
+    best = (-np.inf, 0, 0)
+    for b in range(1, len(own) + 1):
+        k = own[b - 1]
+        start = (start_form(lines, k) - total[b - 1], b - 1)
+        open_[int(parity[k])] = max(open_[int(parity[k])], start, key=lambda x: x[0])
+        end = total[b] + stop_form(lines, k + 1)
+        here = int(parity[k + 1])
+        for side, (merit, a) in open_.items():
+            best = max(best, (end + merit - BROKEN_CODE * (side != here), a, b), key=lambda x: x[0])
+    return own[best[1]], own[best[2] - 1] + 1
 
 
 def body_range(lines: list[str], body_chars: int | None) -> tuple[int, int]:
@@ -127,13 +152,9 @@ def body_range(lines: list[str], body_chars: int | None) -> tuple[int, int]:
         exact = [(a, b) for b, v in enumerate(before.tolist()) if (a := places.get(v - body_chars)) is not None]
         if len(exact) == 1:
             return own[exact[0][0]], own[exact[0][1] - 1] + 1
-    total = np.r_[0, np.cumsum(support([lines[k] for k in own]))]
     if body_chars is None:
-        # the region with the largest sum: its start is the smallest total before its end
-        start = np.minimum.accumulate(total)
-        end = int(np.argmax(total - start))
-        first = int(np.argmin(total[: end + 1]))
-        return (own[first], own[end - 1] + 1) if end > first else (own[0], own[-1] + 1)
+        return free_range(lines, own)
+    total, parity = np.r_[0, np.cumsum(support([lines[k] for k in own]))] * WITHIN, _fences(lines)
     if not exact:
         # for each end the starts whose sizes enclose the count
         candidates = set()
@@ -141,12 +162,11 @@ def body_range(lines: list[str], body_chars: int | None) -> tuple[int, int]:
             k = int(np.searchsorted(before, before[b] - body_chars))
             candidates.update((a, b) for a in (k - 1, k) if 0 <= a < b)
         exact = list(candidates)
-    total *= WITHIN
-
     def merit(r: tuple[int, int]) -> tuple[float, int, int]:
         a, b = r
-        miss = abs(float(before[b] - before[a]) - body_chars)
-        return total[b] - total[a] + form(lines, own[a], own[b - 1] + 1) - MISS * miss, -a, b
+        first, stop = own[a], own[b - 1] + 1
+        form = start_form(lines, first) + stop_form(lines, stop) - BROKEN_CODE * (parity[first] != parity[stop])
+        return total[b] - total[a] + form - MISS * abs(float(before[b] - before[a]) - body_chars), -a, b
 
     a, b = max(exact, key=merit)
     return own[a], own[b - 1] + 1
