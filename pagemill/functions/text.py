@@ -117,15 +117,20 @@ def has_job_content(text: Column) -> Column:
 def quality_reason(text: Column, title: Column, content_chars: Column, route: Column, least_chars: int = fixed.LEAST_CHARS, least_detail_chars: int = fixed.LEAST_DETAIL_CHARS) -> Column:
     """Why a page is poor, the first rule that holds; 'ok' if none does. Null texts, titles and counts count as empty."""
     body, own_title = strip(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    head, chars, found = F.substring(F.lower(body), 1, fixed.BAD_PHRASE_CHARS), F.coalesce(content_chars, F.lit(0)), words(body)
+    head, chars = F.substring(F.lower(body), 1, fixed.BAD_PHRASE_CHARS), F.coalesce(content_chars, F.lit(0))
     detail = F.coalesce(F.endswith(route, F.lit("_detail")), F.lit(False))
     least = F.when((route == "job_detail") & has_job_content(body), min(least_detail_chars, fixed.JOB_DETAIL_CHARS)).otherwise(least_detail_chars)
-    return (
-        F.when(own_title.rlike("|".join(fixed.BAD_TITLES)), "bad_title")
-        .when(head.rlike("|".join(fixed.BAD_PHRASES)), "bad_phrase")
-        .when(detail & (chars < least), F.concat(F.lit("detail_body_too_short:"), chars.cast("string")))
-        .when(~detail & (F.length(body) < least_chars), "too_short")
-        .when(F.size(found) < fixed.LEAST_PAGE_WORDS, "too_few_words")
-        .when((F.size(found) > fixed.MANY_WORDS) & (F.size(F.array_distinct(found)) / F.size(found) < fixed.LEAST_DISTINCT_SHARE), "low_unique_word_ratio")
-        .otherwise("ok")
-    )
+
+    def judged(found: Column) -> Column:
+        return (
+            F.when(own_title.rlike("|".join(fixed.BAD_TITLES)), "bad_title")
+            .when(head.rlike("|".join(fixed.BAD_PHRASES)), "bad_phrase")
+            .when(detail & (chars < least), F.concat(F.lit("detail_body_too_short:"), chars.cast("string")))
+            .when(~detail & (F.length(body) < least_chars), "too_short")
+            .when(F.size(found) < fixed.LEAST_PAGE_WORDS, "too_few_words")
+            .when((F.size(found) > fixed.MANY_WORDS) & (F.size(F.array_distinct(found)) / F.size(found) < fixed.LEAST_DISTINCT_SHARE), "low_unique_word_ratio")
+            .otherwise("ok")
+        )
+
+    # a lambda's variable holds the words, so that they are looked for once
+    return F.get(F.transform(F.array(words(body)), judged), F.lit(0))

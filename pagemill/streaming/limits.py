@@ -20,10 +20,11 @@ def _seconds(values: pd.Series) -> list[float]:
     return (values.astype("datetime64[us]").astype("int64") / 1e6).tolist()
 
 
-def rate_limited(requests: DataFrame, key: str, ts: str, max_requests: int = fixed.RATE_REQUESTS, seconds: int = fixed.RATE_SECONDS) -> DataFrame:
+def rate_limited(requests: DataFrame, key: str, ts: str, max_requests: int = fixed.RATE_REQUESTS, seconds: int = fixed.RATE_SECONDS, late: str = "10 minutes") -> DataFrame:
     """(request_id, key, accepted) of a stream of requests (request_id, key, ts); refused requests do not count.
 
-    The times of accepted requests are the client's state. It goes when nothing has come for a while.
+    The times of accepted requests are the client's state. It goes when the watermark, ``late`` behind the newest
+    request, has left them behind; requests older than the watermark are dropped.
     """
     kind = dict(requests.dtypes)[key]
 
@@ -40,10 +41,10 @@ def rate_limited(requests: DataFrame, key: str, ts: str, max_requests: int = fix
             if out[-1]:
                 accepted.append(now)
         state.update((accepted,))
-        state.setTimeoutDuration(max(1, 2 * seconds) * 1000)
+        state.setTimeoutTimestamp(max(int((now + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"request_id": rows["request_id"], key: group[0], "accepted": out})
 
-    return requests.groupBy(key).applyInPandasWithState(run, f"request_id long, {key} {kind}, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"request_id long, {key} {kind}, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def circuit_breaker(sends: DataFrame, key: str, ts: str, failed: str) -> DataFrame:

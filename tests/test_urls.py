@@ -26,7 +26,7 @@ def test_normalize(spark):
     assert [g[0] for g in got] == [b for _, b in NORMALIZED]
 
 
-@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "utm_x", "ref", "id"]), st.text("abc-_.~ 1", max_size=4)), max_size=4), st.text("ab/-", max_size=8))
 def test_normalize_is_idempotent_and_like_the_standard_library(spark, pairs, path):
     url = "http://www.Site.test/" + path.lstrip("/") + "?" + urlencode(pairs)
