@@ -44,11 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def width(spark: SparkSession) -> int:
-    """The number of shuffle partitions the session is set to; operators size their cells by it."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 _SHUFFLED = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|Window|Sort|Distinct|MapInArrow|Generate)\b")
 
 
