@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.shared import materialize, spread, width
+from pagemill.shared import materialize, spread
 from pagemill.llm.shingles import WordHashes, overlap, shingles, word_hashes
 
 #: Entries of the table of shingle counts, a power of two; as a broadcast it takes one byte each, whatever the corpus.
 RARITY_SLOTS = 1 << 20
 RARITY_SLICES = 64
 SIGNATURE_BITS = 512
+#: Texts of the corpus for each cell: with these, a cell has some 100 000 to a million rows of about 100 bytes at any size.
+CELL_TEXTS = 10_000
 LEAF = 64
 FANOUT = 8
 _PAIR_BLOCK = 1 << 19
@@ -257,7 +259,7 @@ def similar_texts(pages: DataFrame, id_col: str, text_col: str, size: int = 5, n
     spark = pages.sparkSession
     texts = spread(pages.select(text_col))
     rarity = spark.sparkContext.broadcast(rarity_table(texts, size, least_words))
-    cells = cells or width(spark)
+    cells = cells or max(spark.sparkContext.defaultParallelism, pages.count() // CELL_TEXTS)
     source = spread(keyed(pages, id_col, text_col).select("key", "text"))
     routed = source.mapInArrow(_routes(rarity, size, least_words, num, den, cells), "cell int, key long, n int, signature binary, first binary")
     by_cell = routed.repartitionById(cells, F.col("cell"))
