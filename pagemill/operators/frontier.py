@@ -44,7 +44,9 @@ def crawl_rounds(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, max_pag
     best = Window.partitionBy("job_id").orderBy(F.desc("score"), "seq")
     for depth in range(1, max_depth + 2):
         used = state.groupBy("job_id").agg(F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).alias("used"))
-        pending = state.where("status = 'pending'").withColumn("rank", F.row_number().over(best)).join(used, "job_id").where(F.col("rank") + F.col("used") <= max_pages).select("job_id", "norm")
+        # the bound on the rank alone lets each task keep a job's best rows only, before they are brought together
+        ranked = state.where("status = 'pending'").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_pages)
+        pending = ranked.join(used, "job_id").where(F.col("rank") + F.col("used") <= max_pages).select("job_id", "norm")
         pending = materialize(pending, "claimed")
         state = state.join(pending.withColumn("claimed", F.lit(True)), ["job_id", "norm"], "left").withColumn("status", F.when(F.col("claimed"), "completed").otherwise(F.col("status"))).drop("claimed")
         if depth > max_depth or pending.isEmpty():
