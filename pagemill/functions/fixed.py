@@ -148,3 +148,25 @@ RETRIED_STATUSES, MOST_ATTEMPTS = [0, 408, 429, 500, 502, 503, 504], 4
 ABORT_AFTER, ABORT_RATE = 5, 0.8
 RATE_REQUESTS, RATE_SECONDS = 30, 60
 ACTIVE_STATUSES, FINAL_STATUSES, MOST_ACTIVE, JOB_SECONDS = ["QUEUED", "PROCESSING"], ["COMPLETED", "COMPLETED_WITH_ERRORS", "FAILED"], 10, 7200
+
+# Patterns of links in raw HTML, in their order; of navigation in click handlers; of handlers' quoted arguments.
+SOURCE_LINK_PATTERNS = [
+    r"""href=['"]((?!javascript:|mailto:|#)[^'"]+)['"]""",
+    r""""path"\s*:\s*"([^"]+)\"""",
+    r""""url"\s*:\s*"(https?://[^"]+)\"""",
+    r"""['"](/[a-zA-Z0-9\-_][a-zA-Z0-9\-_/]*)['"]""",
+]
+SCRIPT_TARGET_PATTERN = r"""(?:location\.href|location\.assign|location\.replace|window\.location(?:\.href)?|window\.open)\s*[=(]\s*['"]([^'"]+)['"]"""
+FORM_HANDLER_PATTERN = r"""submitForm\d*\s*\(\s*event\s*,\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]*)['"]\s*,\s*['"]([^'"]+)['"]\s*\)"""
+PLAIN_FORM_HANDLER_PATTERN = r"""submitForm\s*\(\s*event\s*,\s*['"]([^'"]+)['"]\s*,\s*['"]([^'"]*)['"]\s*,\s*['"]([^'"]+)['"]\s*\)"""
+PATH_HANDLER_PATTERN = r"""(?:navigateTo|goToPage|gotoDetail|openDetail|viewItem)\s*\(\s*['"]([^'"]+)['"]\s*,\s*['"](/[^'"]+)['"]"""
+QUOTED_PATH_PATTERN = r"""['"](/[a-zA-Z0-9\-_/]+/[a-zA-Z0-9\-_]+)['"]"""
+LEAST_HANDLER_CHARS = 15
+
+# Patterns of markdown and of addresses.
+MARKDOWN_SIGNS = r"[*_`#>\-\[\]().,:;!|]+"
+IMAGE_PATTERN = r"!\[([^\]]*)\]\(([^)]+)\)"
+LINK_PATTERN = r"\[([^\]]+)\]\(([^)]+)\)"
+SITEMAP_LOCATION = r"<loc>\s*(.*?)\s*</loc>"
+REFRESH_TARGET = r"url=(.+)"
+REVEALED_HEADING = "\n\n---\n\n# Click-Revealed Content\n\n"

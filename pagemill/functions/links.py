@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions import urls
+from pagemill.functions import fixed, urls
 
 
 
@@ -39,27 +39,17 @@ def href_links(html: Column) -> Column:
 
 def source_links(html: Column) -> Column:
     """Links four patterns find in raw HTML, pattern by pattern, repeats kept: hrefs, "path" and "url" values, quoted paths."""
-    patterns = [
-        r"""href=['"]((?!javascript:|mailto:|#)[^'"]+)['"]""",
-        r""""path"\s*:\s*"([^"]+)\"""",
-        r""""url"\s*:\s*"(https?://[^"]+)\"""",
-        r"""['"](/[a-zA-Z0-9\-_][a-zA-Z0-9\-_/]*)['"]""",
-    ]
-    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns])
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in fixed.SOURCE_LINK_PATTERNS])
     return F.filter(_usable(found), lambda x: ~urls.is_asset(x))
 
 
 def script_targets(onclick: Column) -> Column:
     """Targets of plain navigation in a click handler: location and window.open with a quoted link."""
-    pattern = r"""(?i)(?:location\.href|location\.assign|location\.replace|window\.location(?:\.href)?|window\.open)\s*[=(]\s*['"]([^'"]+)['"]"""
-    return _usable(F.regexp_extract_all(onclick, F.lit(pattern), F.lit(1)))
+    return _usable(F.regexp_extract_all(onclick, F.lit("(?i)" + fixed.SCRIPT_TARGET_PATTERN), F.lit(1)))
 
 
 def handler_paths(onclick: Column) -> Column:
     """Paths built by navigation handlers with quoted arguments; handlers of fewer than 15 characters have none."""
-    word, any_ = r"""['"]([^'"]+)['"]""", r"""['"]([^'"]*)['"]"""
-    form = rf"(?i)submitForm%s\s*\(\s*event\s*,\s*{word}\s*,\s*{any_}\s*,\s*{word}\s*\)"
-    go = rf"""(?i)(?:navigateTo|goToPage|gotoDetail|openDetail|viewItem)\s*\(\s*{word}\s*,\s*['"](/[^'"]+)['"]"""
     trim = lambda x: F.regexp_replace(x, "^/+|/+$", "")
 
     def built(pattern, section_group):
@@ -69,9 +59,9 @@ def handler_paths(onclick: Column) -> Column:
             return F.transform(both, lambda x: F.concat(F.lit("/"), x["section"], F.lit("/"), trim(x["slug"])))
         return F.transform(both, lambda x: F.concat(F.regexp_replace(x["section"], "/+$", ""), F.lit("/"), trim(x["slug"])))
 
-    plain = F.filter(F.regexp_extract_all(onclick, F.lit(r"""['"](/[a-zA-Z0-9\-_/]+/[a-zA-Z0-9\-_]+)['"]"""), F.lit(1)), lambda x: ~x.rlike(r"\.(js|css|png|jpg)$"))
-    every = F.concat(built(form % r"\d*", 3), built(form % "", 3), built(go, 2), plain)
-    return F.when(F.length(F.coalesce(onclick, F.lit(""))) < 15, F.array().cast("array<string>")).otherwise(every)
+    plain = F.filter(F.regexp_extract_all(onclick, F.lit(fixed.QUOTED_PATH_PATTERN), F.lit(1)), lambda x: ~x.rlike(r"\.(js|css|png|jpg)$"))
+    every = F.concat(built("(?i)" + fixed.FORM_HANDLER_PATTERN, 3), built("(?i)" + fixed.PLAIN_FORM_HANDLER_PATTERN, 3), built("(?i)" + fixed.PATH_HANDLER_PATTERN, 2), plain)
+    return F.when(F.length(F.coalesce(onclick, F.lit(""))) < fixed.LEAST_HANDLER_CHARS, F.array().cast("array<string>")).otherwise(every)
 
 
 def nav_regions(html: Column) -> Column:

@@ -13,9 +13,9 @@ from pagemill.functions import fixed
 from pagemill.functions import text as rules
 from pagemill.shared import once
 
-_SIGNS = re.compile(r"[*_`#>\-\[\]().,:;!|]+")
-_IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
-_LINK = re.compile(r"\[([^\]]+)\]\(([^)]+)\)")
+_SIGNS = re.compile(fixed.MARKDOWN_SIGNS)
+_IMAGE = re.compile(fixed.IMAGE_PATTERN)
+_LINK = re.compile(fixed.LINK_PATTERN)
 
 
 def _told(alt: str) -> bool:

@@ -21,7 +21,7 @@ def content_hash(text: Column) -> Column:
 
 def compared(text: Column) -> Column:
     """Lower case without markdown's signs, one space between words."""
-    plain = F.regexp_replace(strip(F.lower(text)), r"[*_`#>\-\[\]().,:;!|]+", " ")
+    plain = F.regexp_replace(strip(F.lower(text)), fixed.MARKDOWN_SIGNS, " ")
     return strip(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 

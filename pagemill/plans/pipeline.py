@@ -11,8 +11,6 @@ from pagemill.functions.markdown import with_cleaned
 from pagemill.operators.dedup import duplicate_gate, first_by
 from pagemill.shared import materialize, once, spread
 
-REVEALED = "\n\n---\n\n# Click-Revealed Content\n\n"
-
 
 def decide(pages: DataFrame, clean: bool = True, least_chars: int = fixed.LEAST_CHARS, least_detail_chars: int = fixed.LEAST_DETAIL_CHARS) -> DataFrame:
     """Decision on each page: (job_id, seq, url, route_type, title, h1, main_content_chars, markdown, markdown_chars, report, status, decision, reason).
@@ -25,7 +23,7 @@ def decide(pages: DataFrame, clean: bool = True, least_chars: int = fixed.LEAST_
     rows = first_by(rows.select("job_id", "seq", "norm", "url", "html", "http_status", "revealed_text"), ["job_id", "norm"], ["seq"])
     rows = once(spread(rows), "page", read_page("html", "url")).drop("html")
     title = F.coalesce(F.nullif("page.best_heading", F.lit("")), F.nullif("page.h1", F.lit("")), "page.title")
-    raw = F.concat("page.markdown", F.when(F.coalesce("revealed_text", F.lit("")) != "", F.concat(F.lit(REVEALED), "revealed_text")).otherwise(""))
+    raw = F.concat("page.markdown", F.when(F.coalesce("revealed_text", F.lit("")) != "", F.concat(F.lit(fixed.REVEALED_HEADING), "revealed_text")).otherwise(""))
     rows = rows.select("job_id", "seq", "url", "norm", "http_status", routes.classify_route(F.col("norm")).alias("route_type"), title.alias("title"), F.col("page.h1").alias("h1"), F.col("page.canonical_url").alias("canonical_url"), F.col("page.main_content_chars").alias("main_content_chars"), raw.alias("raw"))
     if clean:
         rows = with_cleaned(rows, "raw", "done").select("*", F.col("done.text").alias("markdown"), F.col("done.report").alias("report")).drop("done", "raw")

@@ -23,7 +23,7 @@ def decoded(body: Column) -> Column:
 
 
 def locations(body: Column) -> Column:
-    return F.regexp_extract_all(body, F.lit(r"(?i)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    return F.regexp_extract_all(body, F.lit("(?i)" + fixed.SITEMAP_LOCATION), F.lit(1))
 
 
 def first_sitemaps(start_urls: DataFrame) -> DataFrame:
