@@ -32,21 +32,31 @@ def admitted(rows: DataFrame, depth: int) -> DataFrame:
     return first_by(good, ["job_id", "norm"], ["seq"])
 
 
+def _start(seeds: DataFrame, max_pages: int) -> DataFrame:
+    """Seeds (job_id, norm, seq, max_pages); without an order of their own they go by url, without a budget they have the default."""
+    seq = F.col("seq").cast("long") if "seq" in seeds.columns else F.lit(-1).cast("long")
+    most = F.coalesce(F.col("max_pages").cast("int"), F.lit(max_pages)) if "max_pages" in seeds.columns else F.lit(max_pages)
+    return seeds.select("job_id", "norm", seq.alias("seq"), most.alias("max_pages")).groupBy("job_id", "norm").agg(F.min("seq").alias("seq"), F.max("max_pages").alias("max_pages"))
+
+
 def crawl_rounds(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, max_pages: int = 300) -> DataFrame:
     """(job_id, norm, depth, score, seq, status) of the urls a crawl in rounds comes upon.
 
-    ``edges``: the links as ``candidates`` gives them, with ``parent_norm``; ``seeds``: (job_id, norm). In each round
-    the best pending urls of each job, within what is left of its budget, are crawled and their links admitted. Depth by
+    ``edges``: the links as ``candidates`` gives them, with ``parent_norm``; ``seeds``: (job_id, norm), with seq (their
+    order, below 0) and max_pages (the job's own budget) if there are any. In each round the best pending urls of each job, within what is left of its budget, are crawled and their links admitted. Depth by
     depth, so the order differs from a best-first crawl; each round is written out, and the driver sees only whether
     there is another.
     """
-    state = materialize(seeds.select("job_id", "norm", F.lit(0).alias("depth"), F.lit(100).alias("score"), F.lit(-1).cast("long").alias("seq"), F.lit("pending").alias("status")), "frontier")
-    best = Window.partitionBy("job_id").orderBy(F.desc("score"), "seq")
+    start = materialize(_start(seeds, max_pages), "seeds")
+    budgets = start.groupBy("job_id").agg(F.max("max_pages").alias("budget"))
+    largest = start.agg(F.max("max_pages")).first()[0] or 0
+    state = materialize(start.select("job_id", "norm", F.lit(0).alias("depth"), F.lit(100).alias("score"), "seq", F.lit("pending").alias("status")), "frontier")
+    best = Window.partitionBy("job_id").orderBy(F.desc("score"), "seq", "norm")
     for depth in range(1, max_depth + 2):
         used = state.groupBy("job_id").agg(F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).alias("used"))
         # the bound on the rank alone lets each task keep a job's best rows only, before they are brought together
-        ranked = state.where("status = 'pending'").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_pages)
-        pending = ranked.join(used, "job_id").where(F.col("rank") + F.col("used") <= max_pages).select("job_id", "norm")
+        ranked = state.where("status = 'pending'").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= largest)
+        pending = ranked.join(used, "job_id").join(budgets, "job_id").where(F.col("rank") + F.col("used") <= F.col("budget")).select("job_id", "norm")
         pending = materialize(pending, "claimed")
         state = state.join(pending.withColumn("claimed", F.lit(True)), ["job_id", "norm"], "left").withColumn("status", F.when(F.col("claimed"), "completed").otherwise(F.col("status"))).drop("claimed")
         if depth > max_depth or pending.isEmpty():
@@ -58,11 +68,13 @@ def crawl_rounds(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, max_pag
     return state
 
 
-def _best_first(max_depth: int, max_pages: int):
+def _best_first(max_depth: int):
     def run(edges: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {}
         by_parent: dict[str, list] = {}
-        for row in edges.sort_values("seq").itertuples(index=False):
+        edges = edges.sort_values(["seq", "seed"])
+        max_pages = edges["max_pages"].max()
+        for row in edges.itertuples(index=False):
             by_parent.setdefault(row.parent_norm, []).append(row)
         heap: list[tuple[int, int, str]] = []
 
@@ -90,12 +102,12 @@ def _best_first(max_depth: int, max_pages: int):
 def crawl_exact(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, max_pages: int = 300) -> DataFrame:
     """(job_id, norm, depth, score, visit): the order of a crawl with one worker, best score first, then first come.
 
-    A job is one task's work, as its order is sequential; its pages are bounded by ``max_pages``, and links that cannot
+    ``seeds`` as in ``crawl_rounds``. A job is one task's work, as its order is sequential; its pages are bounded by its budget, and links that cannot
     be admitted at any depth, and all but the best-placed occurrences of a link on its page, are left out before.
     """
     useful = edges.where("reason = 'accepted'").where(f"score - 6 >= {fixed.LEAST_SCORE}").select("job_id", "parent_norm", "norm", "score", "seq")
     once = useful.groupBy("job_id", "parent_norm", "norm", "score").agg(F.min("seq").alias("seq"))
     # every job has a row even without links
-    start = seeds.select("job_id", F.lit(None).cast("string").alias("parent_norm"), F.lit(None).cast("string").alias("norm"), F.lit(0).alias("score"), F.lit(-1).cast("long").alias("seq"), F.col("norm").alias("seed"))
-    rows = once.select("*", F.lit(None).cast("string").alias("seed")).unionByName(start)
-    return rows.groupBy("job_id").applyInPandas(_best_first(max_depth, max_pages), "job_id string, norm string, depth int, score int, visit int")
+    start = _start(seeds, max_pages).select("job_id", F.lit(None).cast("string").alias("parent_norm"), F.lit(None).cast("string").alias("norm"), F.lit(0).alias("score"), "seq", F.col("norm").alias("seed"), "max_pages")
+    rows = once.select("*", F.lit(None).cast("string").alias("seed"), F.lit(0).alias("max_pages")).unionByName(start)
+    return rows.groupBy("job_id").applyInPandas(_best_first(max_depth), "job_id string, norm string, depth int, score int, visit int")

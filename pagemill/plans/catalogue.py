@@ -15,7 +15,7 @@ from pagemill.functions.html import read_page
 from pagemill.functions.register import register
 from pagemill.operators import dedup, frontier, jobs
 from pagemill.plans import pipeline, samples, sql
-from pagemill.shared import materialize, spread, table
+from pagemill.shared import materialize, once, spread, table
 from pagemill.sources import payloads, requests, robots, sitemaps
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,9 +196,23 @@ def frontier_rounds(spark, sf_dir):
     return found.select("job_id", "norm", "depth")
 
 
+def _crawl_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each job's crawl begins, with its own budget: its start page, then its pages of depth 0 (no link leads from the start page to these)."""
+    jobs_ = table(spark, sf_dir, "jobs").select("job_id", "url", "max_pages")
+    own = table(spark, sf_dir, "page_info").where("depth = 0").join(jobs_.select("job_id", "max_pages"), "job_id")
+    rows = jobs_.select("job_id", "url", F.lit(-(2**40)).alias("seq"), "max_pages").unionByName(own.select("job_id", "url", (F.col("seq") - 2**39).alias("seq"), "max_pages"))
+    return once(rows, "norm", urls.normalize_url(F.col("url"))).where(f"norm <> '' or seq = {-(2**40)}").select("job_id", "norm", "seq", "max_pages")
+
+
+@query("frontier_crawl")
+def frontier_crawl(spark, sf_dir):
+    """The whole crawl in rounds, from all seeds to depth 5 within each job's budget; frontier_rounds is what its SQL says, the start pages alone."""
+    return frontier.crawl_rounds(_edges(spark, sf_dir), _crawl_seeds(spark, sf_dir))
+
+
 @query("frontier_exact")
 def frontier_exact(spark, sf_dir):
-    return frontier.crawl_exact(_edges(spark, sf_dir), _seeds(spark, sf_dir))
+    return frontier.crawl_exact(_edges(spark, sf_dir), _crawl_seeds(spark, sf_dir))
 
 
 # --- html ---

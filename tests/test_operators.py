@@ -1,8 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import fixed
 from pagemill.operators import dedup, frontier, jobs
+from pagemill.plans import catalogue
+from tests.conftest import SMALL
 
 
 def sequential_gate(rows):
@@ -60,6 +64,68 @@ def test_frontiers(spark):
     assert exact == {("j", "s"): (0, 0), ("j", "b"): (1, 1), ("j", "a"): (1, 2), ("j", "c"): (2, 3), ("j", "d"): (3, -1), ("k", "t"): (0, 0)}
 
 
+def rounds_of(edges, seeds, max_depth):
+    """Brute force of one job's crawl in rounds: {norm: (depth, status)}."""
+    most, out = max(s["max_pages"] for s in seeds), {}
+    for s in seeds:
+        out[s["norm"]] = (0, 100, min(s["seq"], out[s["norm"]][2]) if s["norm"] in out else s["seq"])
+    done, pending = set(), set(out)
+    for depth in range(1, max_depth + 2):
+        claimed = sorted(pending, key=lambda n: (-out[n][1], out[n][2], n))[: most - len(done)]
+        done |= set(claimed)
+        pending -= set(claimed)
+        if depth > max_depth:
+            break
+        for e in edges:  # by seq
+            score = e["score"] - 6 * depth
+            if e["parent_norm"] in claimed and e["norm"] not in out and score >= fixed.LEAST_SCORE:
+                out[e["norm"]] = (depth, score, e["seq"])
+                pending.add(e["norm"])
+    return {n: (d, "completed" if n in done else "pending") for n, (d, *_) in out.items()}
+
+
+def best_first_of(edges, seeds, max_depth):
+    """Brute force of one worker's crawl: {norm: (depth, visit)}."""
+    most, out, waiting = max(s["max_pages"] for s in seeds), {}, []
+    for s in sorted(seeds, key=lambda s: (s["seq"], s["norm"])):
+        if s["norm"] not in out:
+            out[s["norm"]] = [0, -1]
+            waiting.append((-100, len(out), s["norm"]))
+    for visit in range(most):
+        if not waiting:
+            break
+        waiting.sort()
+        norm = waiting.pop(0)[2]
+        out[norm][1], depth = visit, out[norm][0] + 1
+        for e in edges:
+            score = e["score"] - 6 * depth
+            if e["parent_norm"] == norm and e["norm"] not in out and depth <= max_depth and score >= fixed.LEAST_SCORE:
+                out[e["norm"]] = [depth, -1]
+                waiting.append((-score, len(out), e["norm"]))
+    return {n: tuple(x) for n, x in out.items()}
+
+
+@pytest.mark.parametrize("budget", [None, 7])
+def test_crawls_of_the_tables_are_those_of_brute_force(spark, budget):
+    """All seeds, depth 5 and each job's budget; of 7 pages and fewer it binds."""
+    edges, seeds = catalogue._edges(spark, SMALL), catalogue._crawl_seeds(spark, SMALL)
+    if budget:
+        seeds = seeds.withColumn("max_pages", F.lit(budget) - F.pmod(F.hash("job_id"), F.lit(budget - 1)))
+        rounds, exact = frontier.crawl_rounds(edges, seeds), frontier.crawl_exact(edges, seeds)
+    else:
+        rounds, exact = catalogue.queries()["frontier_crawl"](spark, SMALL), catalogue.queries()["frontier_exact"](spark, SMALL)
+    links, starts = {}, {}
+    for e in sorted(edges.collect(), key=lambda e: e["seq"]):
+        links.setdefault(e["job_id"], []).append(e)
+    for s in seeds.collect():
+        starts.setdefault(s["job_id"], []).append(s)
+    want = {(j, n): v for j, own in starts.items() for n, v in rounds_of(links.get(j, []), own, 5).items()}
+    assert {(r["job_id"], r["norm"]): (r["depth"], r["status"]) for r in rounds.collect()} == want
+    assert any(d > 1 for d, _ in want.values()) and any(s == "pending" for _, s in want.values()) == bool(budget)
+    want = {(j, n): v for j, own in starts.items() for n, v in best_first_of(links.get(j, []), own, 5).items()}
+    assert {(r["job_id"], r["norm"]): (r["depth"], r["visit"]) for r in exact.collect()} == want
+
+
 def sequential_limit(times, most, seconds):
     accepted, out = [], []
     for t in times:
