@@ -165,6 +165,22 @@ def test_split_cells(spark, monkeypatch):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_partner_behind_full_beams(spark):
+    """Each new text has one partner of similarity 0.61 among 150 stored texts of 0.58, which are about as near by cosine."""
+    rng, rows, wanted = random.Random(4), [], set()
+    fresh = itertools.count()
+    for family in range(8):
+        base = [f"b{family}x{k}" for k in range(100)]
+        for k in range(151):
+            cut, at = (22 if k == 75 else 24), rng.randrange(1, 74)
+            rows.append((len(rows), " ".join(base[:at] + [f"n{next(fresh)}" for _ in range(cut)] + base[at + cut :]), 0))
+        rows.append((len(rows), " ".join(base), 1))
+        wanted.add(rows[-1][0])
+    assert brute_seen(rows[:152], 3, 3, 5, 60) == {151}
+    df = spark.createDataFrame(rows, "page long, body string, part int")
+    assert {r[0] for r in graph_index.seen_texts(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()} == wanted
+
+
 def test_seen_urls(spark):
     df = spark.createDataFrame([(1, "u", 0), (2, "u", 1), (3, "u", 0), (4, "", 0), (5, "", 1), (6, None, 2), (7, "v", None), (8, "v", 0)], "page long, url string, batch int")
     assert {r[0] for r in graph_index.seen_urls(df, "page", F.col("url"), "batch").collect()} == {2, 8}
