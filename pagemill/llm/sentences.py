@@ -7,24 +7,26 @@ probability that two ends are only a word or two apart. Forward and backward pas
 the posterior of each event; from one half on it is a boundary.
 
 The model is trained without labels: paragraph ends and starts are certain, and expectation-maximization does the rest.
-It is fitted to a sample of at most ``SAMPLE_DOCUMENTS`` texts, taken by hash, and then applied to all texts, whole.
+All texts are counted, wherever they lie: their places are written to the shared folder once, each round of expectation is
+a distributed sum over these, and only the counts by class reach the driver. The model is then applied to all texts, whole.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.shared import spread
+from pagemill.shared import materialize, spread
 
-#: Most texts the model is fitted to.
-SAMPLE_DOCUMENTS = 8_000
+#: Texts whose places are one row of the table of places.
+TEXTS_A_ROW = 200
 ROUNDS = 4
 LEAST_COUNT = 4
 #: Count from which a word's own rate stands alone, and end rates a rarer one may have.
@@ -227,30 +229,59 @@ def _clip(p: float) -> float:
     return min(0.9995, max(0.0005, p))
 
 
-def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
-    ends, ends_shape, starts, background = Counter(), Counter(), Counter(), Counter()
-    chains: list[list[Place]] = []
-    lengths, short = 0, 0
+def _counted(texts: list[str]) -> tuple[Counter, list[list[Place]]]:
+    """Counts by (kind, class, shape), and the chains of places, of texts."""
+    counts, chains = Counter(), []
     for text in texts:
         for a, b in units(text):
             at, first = _first(text, a, b)
-            starts[first] += 1
+            counts["start", first, ""] += 1
             chain = places(text, at, b)
             tail = places(text[a:b] + " A", at - a, b - a + 2)
             if tail and tail[-1].start >= b - a:
-                ends[tail[-1].before] += 1
-                ends_shape[tail[-1].shape] += 1
+                counts["end", tail[-1].before, tail[-1].shape] += 1
             if chain:
                 chains.append(chain)
+                for p in chain:
+                    counts["seen", p.before, p.shape] += 1
+                    counts["after", p.after, ""] += 1
             else:
-                lengths += 1
-                short += text.count(" ", a, b) < NEAR_WORDS
-            background.update(next_class(w) for w in _INSIDE.findall(text, at, b))
-    seen, seen_shape = Counter(), Counter()
+                counts["lengths", "", ""] += 1
+                counts["short", "", ""] += text.count(" ", a, b) < NEAR_WORDS
+            for w in _INSIDE.findall(text, at, b):
+                counts["inside", next_class(w), ""] += 1
+    return counts, chains
+
+
+def _expected(chains: list[list[Place]], model: HiddenEventModel) -> Counter:
+    """Expected counts by (kind, class, shape) of one round."""
+    counts = Counter()
     for chain in chains:
-        for p in chain:
-            seen[p.before] += 1
-            seen_shape[p.shape] += 1
+        for p, value in zip(chain, model.posteriors(chain)):
+            counts["on", p.before, p.shape] += value
+            counts["begin", p.after, ""] += value
+            counts["inner", p.after, ""] += 1 - value
+    return counts
+
+
+def _by(counts: dict, kind: str, at: int = 1) -> Counter:
+    out = Counter()
+    for key, n in counts.items():
+        if key[0] == kind:
+            out[key[at]] += n
+    return out
+
+
+def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
+    counts, chains = _counted(texts)
+    return _maximized(counts, lambda model: _expected(chains, model), rounds)
+
+
+def _maximized(counts: dict, expected: Callable[[HiddenEventModel], dict], rounds: int = ROUNDS) -> HiddenEventModel:
+    """The model of counts, and of the expected counts that ``expected`` gives for a model."""
+    ends, ends_shape, seen, seen_shape = _by(counts, "end"), _by(counts, "end", 2), _by(counts, "seen"), _by(counts, "seen", 2)
+    starts, background, followers = _by(counts, "start"), _by(counts, "inside"), _by(counts, "after")
+    lengths, short = counts.get(("lengths", "", ""), 0), counts.get(("short", "", ""), 0)
     # The rate at which sure ends close a paragraph, by which the end rate of any class is judged at first.
     usual = sum(ends_shape[s] for s in ("<word>.", "<।>", "<。>")) / max(1, sum(seen_shape[s] + ends_shape[s] for s in ("<word>.", "<।>", "<。>")))
     usual = min(0.9, max(0.01, usual))
@@ -262,7 +293,8 @@ def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
     shape["<thai>"] = THAI_SPACE
     # A word's own rate is how often it closes paragraphs; if it is rare, the mean of a posterior over GRID with its
     # shape's rate as prior.
-    shapes = {p.before: p.shape for chain in chains for p in chain}
+    # A class met in several shapes has its most frequent one.
+    shapes = {before: shape_ for _, before, shape_ in sorted((n, b, s) for (kind, b, s), n in counts.items() if kind == "seen")}
     event = {}
     for b in set(ends) | set(seen):
         n, k = ends[b] + seen[b], ends[b]
@@ -276,7 +308,6 @@ def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
             weights = [math.exp(x - max(logs)) for x in logs]
             event[b] = _clip(sum(g * w for g, w in zip(GRID, weights)) / sum(weights))
     event["<thai>"] = THAI_SPACE
-    followers = Counter(p.after for chain in chains for p in chain)
     vocabulary = {w for w, n in (starts + background + followers).items() if n >= LEAST_COUNT}
 
     def distribution(counts: dict) -> dict:
@@ -294,13 +325,8 @@ def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
     model = HiddenEventModel(event, shape, flat, flat, 0.5)
     short = _clip(short / max(1, lengths))
     for _ in range(rounds):
-        on, on_shape, begin, inner = Counter(), Counter(), Counter(), Counter()
-        for chain in chains:
-            for p, value in zip(chain, model.posteriors(chain)):
-                on[p.before] += value
-                on_shape[p.shape] += value
-                begin[p.after] += value
-                inner[p.after] += 1 - value
+        told = expected(model)
+        on, on_shape, begin, inner = _by(told, "on"), _by(told, "on", 2), _by(told, "begin"), _by(told, "inner")
         new_shape = {s: _clip((on_shape[s] + 0.5 * shape.get(s, 0.5)) / (seen_shape[s] + 0.5)) for s in seen_shape}
         new_shape["<thai>"] = THAI_SPACE
         # a rate leans on its first estimate, which is the paragraphs' evidence, as on as many observations as it has
@@ -322,11 +348,46 @@ def sentence_starts(text: str, model: HiddenEventModel) -> list[int]:
     return out
 
 
-def fit(documents: DataFrame, id_col: str, text_col: str, most: int = SAMPLE_DOCUMENTS) -> HiddenEventModel:
-    """A model of a sample of about ``most`` documents, taken by the hash of their ids."""
-    share = max(1, math.ceil(documents.count() / most))
-    rows = documents.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).where(f"{text_col} is not null").select(text_col).collect()
-    return train([r[0] for r in rows])
+_COUNTS = "kind string, word string, shape string, n double, places binary"
+
+
+def _rows_of(counts: Counter, places_: bytes | None = None) -> pa.RecordBatch:
+    rows = [(*key, float(n), None) for key, n in counts.items()] + ([("places", "", "", 0.0, places_)] if places_ else [])
+    kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "word", "shape", "n", "places"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for a in range(0, len(texts), TEXTS_A_ROW):
+            counts, chains = _counted(texts[a : a + TEXTS_A_ROW])
+            yield _rows_of(counts, pickle.dumps([[(p.start, p.before, p.shape, p.after, p.words) for p in c] for c in chains]))
+
+
+def _expect(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                yield _rows_of(_expected([[Place(*p) for p in c] for c in pickle.loads(row)], model.value))
+
+    return run
+
+
+def _summed(rows: DataFrame) -> dict:
+    return {(r[0], r[1], r[2]): r[3] for r in rows.groupBy("kind", "word", "shape").agg(F.sum("n")).collect()}
+
+
+def fit(documents: DataFrame, text_col: str) -> HiddenEventModel:
+    """A model of all documents."""
+    spark = documents.sparkSession
+    rows = materialize(spread(documents.where(f"{text_col} is not null").select(text_col)).mapInArrow(_count, _COUNTS), "sentence-counts")
+    held = rows.where("kind = 'places'").select("places")
+
+    def expected(model: HiddenEventModel) -> dict:
+        return _summed(held.mapInArrow(_expect(spark.sparkContext.broadcast(model)), _COUNTS))
+
+    return _maximized(_summed(rows.where("kind <> 'places'")), expected)
 
 
 def _apply(model):
@@ -346,6 +407,6 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null, empty and blank texts have no row; a repeated row gives its rows again; other columns are ignored; an empty
     table gives none.
     """
-    model = model or fit(documents, id_col, text_col)
+    model = model or fit(documents, text_col)
     held = documents.sparkSession.sparkContext.broadcast(model)
     return spread(documents.select(F.col(id_col).cast("long"), text_col)).mapInArrow(_apply(held), "id long, start_char int")

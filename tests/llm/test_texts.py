@@ -227,3 +227,12 @@ def test_posteriors_are_those_of_all_paths(events):
             on[k] += w * b
     total = sum(weight.values())
     assert events.posteriors(found) == pytest.approx([x / total for x in on], rel=1e-6, abs=1e-9)
+
+
+def test_sentence_counts_are_of_all_texts(spark):
+    """An abbreviation seen in 4 of 9,000 texts is in the model: every text counts, and the parts' counts add up."""
+    texts = ["It was a day. We met Qrx. Smith there."] * 4 + ["It was a day. The sun was out."] * 8_996
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole, parts = sentences.train(texts), sentences.fit(df, "text")
+    assert "qrx." in parts.event and whole.event.keys() == parts.event.keys()
+    assert all(abs(p - parts.event[b]) < 1e-9 for b, p in whole.event.items())
