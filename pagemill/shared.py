@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +40,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared storage that nothing will read any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-_SHUFFLED = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|Window|Sort|Distinct|MapInArrow|Generate)\b")
+#: Nodes of a plan whose output has the partitions of their own shuffles, or work of its own.
+_NOT_A_SCAN = {"Join", "Aggregate", "Repartition", "RepartitionByExpression", "Window", "Sort", "Distinct", "MapInArrow", "Generate", "Union", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow"}
+
+
+def _nodes(plan) -> Iterator[str]:
+    yield plan.nodeName()
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -54,10 +69,11 @@ def spread(df: DataFrame) -> DataFrame:
     for each core is left alone, so that large inputs are never shuffled for this. What is no plain scan has the
     partitions of its own shuffles and stays as it is; asking it for them would run it.
     """
-    if _SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+    execution = df._jdf.queryExecution()
+    if not _NOT_A_SCAN.isdisjoint(_nodes(execution.optimizedPlan())):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
