@@ -57,9 +57,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "sent_pages").select("page_id", "url", "markdown", "batch_no")
-    texts = graph_index.seen_texts(pages, "page_id", "markdown", "batch_no", size=3, num=3, den=5, least_words=60)
-    urls = graph_index.seen_urls(pages, "page_id", normalize_url(F.col("url")), "batch_no")
-    return texts.union(urls).distinct().withColumnRenamed("id", "page_id")
+    seen = graph_index.seen_before(pages, "page_id", "markdown", "batch_no", normalize_url(F.col("url")), size=3, num=3, den=5, least_words=60)
+    return seen.withColumnRenamed("id", "page_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
