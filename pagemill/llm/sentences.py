@@ -1,14 +1,17 @@
 """Sentences in many languages and scripts (problem 10) by a hidden-event n-gram language model.
 
-Between two words there may be a hidden event: the end of a sentence. Only places that can end one are looked at: end
-marks, and spaces between Thai letters. For each, the model has the probability of the event after the word before
-(with its mark, quotes and brackets), the probability of the next word at the start and inside of a sentence, and the
-probability that two ends are only a word or two apart. Forward and backward passes over the places of a paragraph give
-the posterior of each event; from one half on it is a boundary.
+Between two words there may be a hidden event: the end of a sentence. Where a paragraph has end marks, the marks, and
+spaces between Thai letters, are the places looked at; in a long one without any, every space between two words is. For
+each place the model has the probability of the event after the word before (with its mark, quotes and brackets), the
+probability of the next word at the start and inside of a sentence, and the probability that two ends are only a word or
+two apart. Forward and backward passes over the places of a paragraph give the posterior of each event; from one half on
+it is a boundary.
 
 The model is trained without labels: paragraph ends and starts are certain, and expectation-maximization does the rest.
-All texts are counted, wherever they lie: their places are written to the shared folder once, each round of expectation is
-a distributed sum over these, and only the counts by class reach the driver. The model is then applied to all texts, whole.
+Every text is read once: its places are written to the shared folder, and what is counted is summed over all texts. A
+posterior depends on the places it is linked with by nearness alone, so chains fall into short segments; expectation goes
+over the distinct segments and their counts. Only classes met ``LEAST_COUNT`` times reach the driver. The finished model
+is then applied to the written places.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ import math
 import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +38,12 @@ COMMON_COUNT = 40
 GRID = (0.0005, 0.05, 0.2, 0.5, 0.8, 1.0)
 #: Words between two ends that are near each other.
 NEAR_WORDS = 2
-#: Probability that a space between Thai letters is an end, before the words around it are looked at.
-THAI_SPACE = 0.95
+#: Words of a paragraph without any end mark from which the spaces between words are places, too.
+LONG_UNIT = 40
+#: Occurrences of a word, at the rate of all words, that its own rate of closing a sentence leans on.
+GAP_LEAN = 20.0
+#: Distinct counts a task holds before it hands them on.
+_MOST_COUNTS = 200_000
 
 END_MARKS = ".!?。！？｡।॥؟۔…"
 CLOSERS = "\"'»”’“」』）)\\]"
@@ -46,6 +54,8 @@ _LINE = re.compile(r"\r\n|\r|\n| ")
 _MARKER = re.compile(r"[^\S\r\n]*(?:[-*•·–—+‣▪◦]\s|#{1,6}\s|(?:\d{1,3}|[a-zA-Z])[.)]\s|\(\w{1,3}\)\s)")
 _NUMBERED = re.compile(r"[^\S\r\n]*(?:\d{1,3}|[a-zA-Z])\.\s")
 _PLACE = re.compile(rf"([^\s{END_MARKS}]*)([{END_MARKS}]+(?:\s(?=»))?[{CLOSERS}]*)(\s*)(?=(\S?\S?\S{{0,18}}))|(?<=[฀-๿])([^\S\r\n]+)(?=([฀-๿]\S?\S?))")
+_GAP = re.compile(r"(\S+)[^\S\r\n]+(?=(\S{1,20}))|(\S+)(?:\r\n|\r|\n)[^\S\r\n]*(?=(\S{1,20}))")
+_MARK = re.compile(rf"[{END_MARKS}]")
 _INSIDE = re.compile(rf"(?<=[^\s{END_MARKS}{CLOSERS}])[^\S\r\n]+([{OPENERS}]|[^\W\d_]+|\d)")
 
 
@@ -83,6 +93,15 @@ class Place:
         self.start, self.before, self.shape, self.after, self.words = start, before, shape, after, words
 
 
+def gaps(text: str, low: int, high: int) -> list[Place]:
+    """The spaces between the words of text[low:high], in which there is no end mark."""
+    found = []
+    for m in _GAP.finditer(text, low, high):
+        word, after = m.group(1) or m.group(3), m.group(2) or m.group(4)
+        found.append(Place(m.end(), "<gap> " + word.strip(OPENERS + CLOSERS + ",;:").lower(), "<gap>", next_class(after), 1))
+    return found
+
+
 def _quote_kind(text: str, closer_at: int, closer: str, low: int) -> str:
     """Whether a quotation or bracket that closes here began where a sentence can begin ('s') or inside one ('m')."""
     opener = {"»": "«", "”": "“„", "“": "„", "’": "‘", "」": "「", "』": "『", "）": "（", ")": "(", "]": "["}.get(closer, closer)
@@ -194,20 +213,25 @@ class HiddenEventModel:
         self.start_floor, self.inside_floor = start[None], inside[None]
         self.short_odds = short / max(1e-6, 1 - short)
 
-    def odds(self, place: Place) -> float:
-        p = self.event.get(place.before)
+    def class_odds(self, before: str, shape: str, after: str) -> float:
+        p = self.event.get(before)
         if p is None:
-            p = self.event_shape.get(place.shape, 0.5)
-        return p / (1 - p) * self.start.get(place.after, self.start_floor) / self.inside.get(place.after, self.inside_floor)
+            p = self.event_shape.get(shape, 0.5)
+        return p / (1 - p) * self.start.get(after, self.start_floor) / self.inside.get(after, self.inside_floor)
+
+    def odds(self, place: Place) -> float:
+        return self.class_odds(place.before, place.shape, place.after)
 
     def posteriors(self, found: list[Place]) -> list[float]:
-        """Posterior of each event: forward and backward over the chain of places of one unit."""
-        n = len(found)
+        """Posterior of each event of the chain of places of one unit."""
+        return self.chain([self.odds(p) for p in found], [k > 0 and p.words <= NEAR_WORDS for k, p in enumerate(found)])
+
+    def chain(self, odds: list[float], linked: list[bool]) -> list[float]:
+        """Posteriors by forward and backward passes; ``linked``: whether a place is near the one before it."""
+        n = len(odds)
         if n == 1:
-            o = self.odds(found[0])
-            return [o / (1 + o)]
-        odds = [self.odds(p) for p in found]
-        both = [self.short_odds if p.words <= NEAR_WORDS else 1.0 for p in found]
+            return [odds[0] / (1 + odds[0])]
+        both = [self.short_odds if near else 1.0 for near in linked]
         forward, off, on = [], 1.0, 0.0
         for k in range(n):
             off, on = (off + on), (off + on * both[k]) * odds[k]
@@ -229,41 +253,120 @@ def _clip(p: float) -> float:
     return min(0.9995, max(0.0005, p))
 
 
-def _counted(texts: list[str]) -> tuple[Counter, list[list[Place]]]:
-    """Counts by (kind, class, shape), and the chains of places, of texts."""
-    counts, chains = Counter(), []
-    for text in texts:
+_BETWEEN, _WITHIN, _RARE = "\x1e", "\x1f", "\x00"
+
+
+class _Counts:
+    """What is counted of texts: (kind, class, shape) -> number, words inside sentences, and segments of linked places."""
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+        self.inside: Counter = Counter()
+
+    def add(self, text: str) -> list[tuple[int, list[Place]]]:
+        """Count a text; its units as (start, places)."""
+        counts, out = self.counts, []
         for a, b in units(text):
             at, first = _first(text, a, b)
             counts["start", first, ""] += 1
-            chain = places(text, at, b)
-            tail = places(text[a:b] + " A", at - a, b - a + 2)
-            if tail and tail[-1].start >= b - a:
-                counts["end", tail[-1].before, tail[-1].shape] += 1
-            if chain:
-                chains.append(chain)
+            chain, tail = chain_of(text, a, at, b)
+            out.append((a, chain))
+            self.inside.update(_INSIDE.findall(text, at, b))
+            if tail is not None:
+                counts["end", tail.before, tail.shape] += 1
+            if not chain:
+                counts["lengths", "", ""] += 1
+                counts["short", "", ""] += text.count(" ", a, b) < NEAR_WORDS
+            elif chain[0].shape != "<gap>":  # what has no mark tells nothing of marks
+                if tail is None and "\u0e00" <= text[b - 1] <= "\u0e7f":
+                    counts["end", "<thai>", "<thai>"] += 1
                 for p in chain:
                     counts["seen", p.before, p.shape] += 1
                     counts["after", p.after, ""] += 1
-            else:
-                counts["lengths", "", ""] += 1
-                counts["short", "", ""] += text.count(" ", a, b) < NEAR_WORDS
-            for w in _INSIDE.findall(text, at, b):
-                counts["inside", next_class(w), ""] += 1
-    return counts, chains
+                for segment in segments(chain):
+                    counts["segment", _BETWEEN.join([_WITHIN.join((p.before, p.shape, p.after)) for p in segment]), ""] += 1
+        return out
+
+    def taken(self) -> Counter:
+        """The counts so far, which are then forgotten."""
+        out = self.counts
+        for word, n in self.inside.items():
+            out["inside", next_class(word), ""] += n
+        self.counts, self.inside = Counter(), Counter()
+        return out
+
+
+def chain_of(text: str, a: int, at: int, b: int) -> tuple[list[Place], Place | None]:
+    """The places inside the unit text[a:b], whose words begin at ``at``, and the place at its end."""
+    # two characters more show what a mark at the end would be if a sentence followed
+    found = places(text[at:b] + " A", 0, b - at + 2)
+    tail = found.pop() if found and found[-1].start >= b - at else None
+    for p in found:
+        p.start += at
+    if not found and tail is None and text.count(" ", at, b) >= LONG_UNIT - 1 and not _MARK.search(text, at, b):
+        found = gaps(text, at, b)
+    return found, tail
+
+
+def segments(chain: list[Place]) -> Iterator[list[Place]]:
+    """The chain cut wherever a place is not near the one before it: beyond a cut nothing bears on a posterior."""
+    start = 0
+    for k in range(1, len(chain)):
+        if chain[k].words > NEAR_WORDS:
+            yield chain[start:k]
+            start = k
+    yield chain[start:]
 
 
-def _expected(chains: list[list[Place]], model: HiddenEventModel) -> Counter:
-    """Expected counts by (kind, class, shape) of one round."""
+def _expected(rows: Iterable[tuple[str, float]], model: HiddenEventModel) -> Counter:
+    """Expected counts by (kind, class, shape) of one round, of distinct segments and their counts. Classes the model
+    has none of its own for are counted together."""
     counts = Counter()
-    for chain in chains:
-        for p, value in zip(chain, model.posteriors(chain)):
-            counts["on", p.before, p.shape] += value
-            counts["begin", p.after, ""] += value
-            counts["inner", p.after, ""] += 1 - value
+    for segment, n in rows:
+        found = [p.split(_WITHIN) for p in segment.split(_BETWEEN)]
+        values = model.chain([model.class_odds(*p) for p in found], [k > 0 for k in range(len(found))])
+        for (before, shape, after), value in zip(found, values):
+            counts["on", before if before in model.event else _RARE, shape] += n * value
+            after = after if after in model.start else _RARE
+            counts["begin", after, ""] += n * value
+            counts["inner", after, ""] += n * (1 - value)
     return counts
 
 
+class Evidence:
+    """The counts the model is made of: words (start, inside, after), the rest of the words, classes (ends, seen, shape),
+    shapes (ends, seen), and units without places (all, short ones)."""
+
+    def __init__(self, words: dict, rest: tuple, classes: dict, shapes: dict, lengths: float, short: float):
+        self.words, self.rest, self.classes, self.shapes, self.lengths, self.short = words, rest, classes, shapes, lengths, short
+
+    @classmethod
+    def of(cls, counts: dict) -> Evidence:
+        words, shapes = defaultdict(lambda: [0.0, 0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+        totals, by_shape = defaultdict(lambda: [0.0, 0.0]), defaultdict(Counter)
+        for (kind, word, shape), n in counts.items():
+            if kind in ("start", "inside", "after"):
+                words[word][("start", "inside", "after").index(kind)] += n
+            elif kind in ("end", "seen"):
+                totals[word][kind == "seen"] += n
+                shapes[shape][kind == "seen"] += n
+                by_shape[word][shape] += n
+        rare = [v for v in words.values() if sum(v) < LEAST_COUNT]
+        kept = {w: tuple(v) for w, v in words.items() if sum(v) >= LEAST_COUNT}
+        # a class met in several shapes has its most frequent one
+        classes = {w: (*v, max(by_shape[w], key=lambda s: (by_shape[w][s], s))) for w, v in totals.items() if sum(v) >= LEAST_COUNT}
+        return cls(kept, tuple(sum(v[k] for v in rare) for k in range(3)), classes, {s: tuple(v) for s, v in shapes.items()}, counts.get(("lengths", "", ""), 0), counts.get(("short", "", ""), 0))
+
+
+def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
+    held = _Counts()
+    for text in texts:
+        held.add(text)
+    counts = held.taken()
+    rows = [(key[1], n) for key, n in counts.items() if key[0] == "segment"]
+    return _maximized(Evidence.of(counts), lambda model: _expected(rows, model), rounds)
+
+
 def _by(counts: dict, kind: str, at: int = 1) -> Counter:
     out = Counter()
     for key, n in counts.items():
@@ -272,122 +375,196 @@ def _by(counts: dict, kind: str, at: int = 1) -> Counter:
     return out
 
 
-def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
-    counts, chains = _counted(texts)
-    return _maximized(counts, lambda model: _expected(chains, model), rounds)
-
-
-def _maximized(counts: dict, expected: Callable[[HiddenEventModel], dict], rounds: int = ROUNDS) -> HiddenEventModel:
+def _maximized(evidence: Evidence, expected: Callable[[HiddenEventModel], dict], rounds: int = ROUNDS) -> HiddenEventModel:
     """The model of counts, and of the expected counts that ``expected`` gives for a model."""
-    ends, ends_shape, seen, seen_shape = _by(counts, "end"), _by(counts, "end", 2), _by(counts, "seen"), _by(counts, "seen", 2)
-    starts, background, followers = _by(counts, "start"), _by(counts, "inside"), _by(counts, "after")
-    lengths, short = counts.get(("lengths", "", ""), 0), counts.get(("short", "", ""), 0)
+    classes, shapes = evidence.classes, evidence.shapes
     # The rate at which sure ends close a paragraph, by which the end rate of any class is judged at first.
-    usual = sum(ends_shape[s] for s in ("<word>.", "<।>", "<。>")) / max(1, sum(seen_shape[s] + ends_shape[s] for s in ("<word>.", "<।>", "<。>")))
-    usual = min(0.9, max(0.01, usual))
+    sure = [shapes[s] for s in ("<word>.", "<।>", "<。>") if s in shapes]
+    usual = min(0.9, max(0.01, sum(e for e, _ in sure) / max(1, sum(e + n for e, n in sure))))
 
-    def rate(end: int, inner: int) -> float:
+    def rate(end: float, inner: float) -> float:
         return _clip(min(1.0, end / max(1e-9, usual) / max(1.0, end + inner)))
 
-    shape = {s: rate(ends_shape[s], seen_shape[s]) for s in set(ends_shape) | set(seen_shape)}
-    shape["<thai>"] = THAI_SPACE
+    shape = {s: rate(*v) for s, v in shapes.items()}
     # A word's own rate is how often it closes paragraphs; if it is rare, the mean of a posterior over GRID with its
     # shape's rate as prior.
-    # A class met in several shapes has its most frequent one.
-    shapes = {before: shape_ for _, before, shape_ in sorted((n, b, s) for (kind, b, s), n in counts.items() if kind == "seen")}
     event = {}
-    for b in set(ends) | set(seen):
-        n, k = ends[b] + seen[b], ends[b]
-        if n >= LEAST_COUNT:
-            if n >= COMMON_COUNT or shapes.get(b, b) == b:
-                event[b] = rate(ends[b], seen[b])
-                continue
-            p = shape.get(shapes[b], 0.5)
-            prior = ((1 - p) * 0.8, (1 - p) * 0.1, 0.1 * (1 - p) + 0.02, 0.03, 0.1 * p, 0.85 * p)
-            logs = [math.log(w) + k * math.log(g * usual) + (n - k) * math.log(1 - g * usual) for g, w in zip(GRID, prior)]
-            weights = [math.exp(x - max(logs)) for x in logs]
-            event[b] = _clip(sum(g * w for g, w in zip(GRID, weights)) / sum(weights))
-    event["<thai>"] = THAI_SPACE
-    vocabulary = {w for w, n in (starts + background + followers).items() if n >= LEAST_COUNT}
-
-    def distribution(counts: dict) -> dict:
-        total, kept = sum(counts.values()), defaultdict(float)
-        for w, n in counts.items():
-            kept[w if w in vocabulary else None] += n
-        size = len(vocabulary) + 1
+    for b, (ends, seen, own_shape) in classes.items():
+        n = ends + seen
+        if n >= COMMON_COUNT or own_shape == b:
+            event[b] = rate(ends, seen)
+            continue
+        p = shape.get(own_shape, 0.5)
+        prior = ((1 - p) * 0.8, (1 - p) * 0.1, 0.1 * (1 - p) + 0.02, 0.03, 0.1 * p, 0.85 * p)
+        logs = [math.log(w) + ends * math.log(g * usual) + (n - ends) * math.log(1 - g * usual) for g, w in zip(GRID, prior)]
+        weights = [math.exp(x - max(logs)) for x in logs]
+        event[b] = _clip(sum(g * w for g, w in zip(GRID, weights)) / sum(weights))
+
+    def distribution(first: int, more: Counter) -> dict:
+        """Smoothed rates of the words counted at place ``first`` of the evidence, and of expected ones."""
+        held = {w: v[first] + more.get(w, 0.0) for w, v in evidence.words.items()}
+        others = evidence.rest[first] + sum(n for w, n in more.items() if w not in evidence.words)
+        total, size = sum(held.values()) + others, len(held) + 1
+        out = {w: (n + 0.05) / (total + 0.05 * size) for w, n in held.items()}
         # unseen words: what the words left out weigh, shared by as many
-        out = {w: (kept.get(w, 0.0) + 0.05) / (total + 0.05 * size) for w in vocabulary}
-        out[None] = (kept.get(None, 0.0) + 1.0) / (total + 0.05 * size)
+        out[None] = (others + 1.0) / (total + 0.05 * size)
         return out
 
     # The first expectation knows the classes before only: a word is no start because it follows a mark.
-    flat = {None: 1.0}
+    flat = dict.fromkeys(evidence.words, 1.0) | {None: 1.0}
     model = HiddenEventModel(event, shape, flat, flat, 0.5)
-    short = _clip(short / max(1, lengths))
+    short = _clip(evidence.short / max(1, evidence.lengths))
     for _ in range(rounds):
         told = expected(model)
         on, on_shape, begin, inner = _by(told, "on"), _by(told, "on", 2), _by(told, "begin"), _by(told, "inner")
-        new_shape = {s: _clip((on_shape[s] + 0.5 * shape.get(s, 0.5)) / (seen_shape[s] + 0.5)) for s in seen_shape}
-        new_shape["<thai>"] = THAI_SPACE
         # a rate leans on its first estimate, which is the paragraphs' evidence, as on as many observations as it has
-        new_shape = {s: _clip((new_shape[s] + shape.get(s, 0.5)) / 2) for s in new_shape}
-        new_event = {b: _clip((on[b] / max(seen[b], 1) + event[b]) / 2) for b in event if seen[b]} | {b: p for b, p in event.items() if not seen[b]}
-        new_event["<thai>"] = THAI_SPACE
-        model = HiddenEventModel(new_event, new_shape, distribution(starts + begin), distribution(background + inner), short)
+        new_shape = {s: _clip((_clip((on_shape[s] + 0.5 * shape[s]) / (seen + 0.5)) + shape[s]) / 2) if seen else shape[s] for s, (_, seen) in shapes.items()}
+        new_event = {b: _clip((on[b] / classes[b][1] + p) / 2) if classes[b][1] else p for b, p in event.items()}
+        model = HiddenEventModel(new_event, new_shape, distribution(0, begin), distribution(1, inner), short)
+    _add_gaps(model, evidence)
     return model
 
 
+def _add_gaps(model: HiddenEventModel, evidence: Evidence) -> None:
+    """The rate at which a word closes a sentence, from its ends with a full stop: the event after it where there are no marks."""
+    closing: Counter = Counter()
+    for before, (ends, seen, _) in evidence.classes.items():
+        if before.endswith(".") and " " not in before:
+            closing[before[:-1]] += ends + seen * model.event[before]
+    # a class of the words inside, with case; ends are without
+    inside: Counter = Counter()
+    for word, (_, n, _) in evidence.words.items():
+        inside[word.lower()] += n
+    usual = (sum(closing.values()) + 1.0) / (sum(closing.values()) + sum(inside.values()) + 20.0)
+    model.event_shape["<gap>"] = _clip(usual)
+    for word, n in inside.items():
+        model.event["<gap> " + word] = _clip((closing[word] + GAP_LEAN * usual) / (closing[word] + n + GAP_LEAN))
+
+
 def sentence_starts(text: str, model: HiddenEventModel) -> list[int]:
     out = []
     for a, b in units(text):
         out.append(a)
         at, _ = _first(text, a, b)
-        found = places(text, at, b)
+        found, _ = chain_of(text, a, at, b)
         if found:
             out.extend(p.start for p, value in zip(found, model.posteriors(found)) if value >= 0.5)
     return out
 
 
+class _Packed:
+    """The units and places of some texts as arrays: what the finished model needs to find their sentences."""
+
+    def __init__(self):
+        self.classes: dict[tuple[str, str, str], int] = {}
+        self.ids, self.unit_text, self.unit_start = [], [], []
+        self.text, self.start, self.code, self.linked = [], [], [], []
+
+    def add(self, id_: int, found: list[tuple[int, list[Place]]]) -> None:
+        k, classes = len(self.ids), self.classes
+        self.ids.append(id_)
+        for start, chain in found:
+            self.unit_text.append(k)
+            self.unit_start.append(start)
+            for j, p in enumerate(chain):
+                self.text.append(k)
+                self.start.append(p.start)
+                self.code.append(classes.setdefault((p.before, p.shape, p.after), len(classes)))
+                self.linked.append(j > 0 and p.words <= NEAR_WORDS)
+
+    def dump(self) -> bytes:
+        numbers = [np.array(x, np.int32).tobytes() for x in (self.unit_text, self.unit_start, self.text, self.start, self.code)]
+        return pickle.dumps((list(self.classes), np.array(self.ids, np.int64).tobytes(), *numbers, np.array(self.linked, bool).tobytes()))
+
+
+def _starts_of(packed: bytes, model: HiddenEventModel) -> tuple[np.ndarray, np.ndarray]:
+    """(id, start) of the sentences of packed texts."""
+    classes, ids, *numbers, linked = pickle.loads(packed)
+    unit_text, unit_start, text, start, code = (np.frombuffer(x, np.int32) for x in numbers)
+    linked = np.frombuffer(linked, bool)
+    odds = np.array([model.class_odds(*c) for c in classes])[code] if len(code) else np.empty(0)
+    value = odds / (1 + odds)
+    near = np.flatnonzero(linked)
+    if len(near):
+        first = near[np.r_[True, np.diff(near) > 1]] - 1
+        stop = near[np.r_[np.diff(near) > 1, True]] + 1
+        for a, b in zip(first.tolist(), stop.tolist()):
+            value[a:b] = model.chain(odds[a:b].tolist(), linked[a:b].tolist())
+    kept = value >= 0.5
+    owner, begins = np.concatenate([unit_text, text[kept]]), np.concatenate([unit_start, start[kept]])
+    order = np.lexsort((begins, owner))
+    return np.frombuffer(ids, np.int64)[owner[order]], begins[order]
+
+
 _COUNTS = "kind string, word string, shape string, n double, places binary"
 
 
-def _rows_of(counts: Counter, places_: bytes | None = None) -> pa.RecordBatch:
+def _rows_of(counts: dict, places_: bytes | None = None) -> pa.RecordBatch:
     rows = [(*key, float(n), None) for key, n in counts.items()] + ([("places", "", "", 0.0, places_)] if places_ else [])
     kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "word", "shape", "n", "places"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = _Counts()
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a in range(0, len(texts), TEXTS_A_ROW):
-            counts, chains = _counted(texts[a : a + TEXTS_A_ROW])
-            yield _rows_of(counts, pickle.dumps([[(p.start, p.before, p.shape, p.after, p.words) for p in c] for c in chains]))
+            packed = _Packed()
+            for id_, text in zip(ids[a : a + TEXTS_A_ROW], texts[a : a + TEXTS_A_ROW]):
+                packed.add(id_, held.add(text))
+            full = len(held.counts) + len(held.inside) > _MOST_COUNTS
+            yield _rows_of(held.taken() if full else {}, packed.dump())
+    yield _rows_of(held.taken())
 
 
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Counter()
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                yield _rows_of(_expected([[Place(*p) for p in c] for c in pickle.loads(row)], model.value))
+            total.update(_expected(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), model.value))
+        yield _rows_of(total)
 
     return run
 
 
-def _summed(rows: DataFrame) -> dict:
-    return {(r[0], r[1], r[2]): r[3] for r in rows.groupBy("kind", "word", "shape").agg(F.sum("n")).collect()}
+def read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The table of what is counted, and of the places, of all texts."""
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return materialize(spread(rows).mapInArrow(_count, _COUNTS), "sentence-counts")
+
+
+def fit(rows: DataFrame) -> HiddenEventModel:
+    """A model of all texts in a table ``read`` has made."""
+    spark = rows.sparkSession
+    summed = materialize(rows.where("kind <> 'places'").groupBy("kind", "word", "shape").agg(F.sum("n").alias("n")), "sentence-sums")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0.0)).alias(kind)
+    words = materialize(summed.where("kind in ('start', 'inside', 'after')").groupBy("word").agg(of("start"), of("inside"), of("after")), "sentence-words")
+    enough = F.expr(f"start + inside + after >= {LEAST_COUNT}")
+    kept = {r["word"]: (r["start"], r["inside"], r["after"]) for r in words.where(enough).collect()}
+    rest = words.where(~enough).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("start", "inside", "after")]).first()
+    ends = summed.where("kind in ('end', 'seen')")
+    shaped = ends.groupBy("word", "shape").agg(F.sum("n").alias("n"), of("end"), of("seen"))
+    by_word = shaped.groupBy("word").agg(F.sum("end").alias("end"), F.sum("seen").alias("seen"), F.max_by("shape", F.struct("n", "shape")).alias("shape"))
+    classes = {r["word"]: (r["end"], r["seen"], r["shape"]) for r in by_word.where(f"end + seen >= {LEAST_COUNT}").collect()}
+    shapes = {r["shape"]: (r["end"], r["seen"]) for r in ends.groupBy("shape").agg(of("end"), of("seen")).collect()}
+    single = {r["kind"]: r["n"] for r in summed.where("kind in ('lengths', 'short')").collect()}
+    held = summed.where("kind = 'segment'").select("word", "n")
 
+    def expected(model: HiddenEventModel) -> dict:
+        told = held.mapInArrow(_expect(spark.sparkContext.broadcast(model)), _COUNTS)
+        return {(r[0], r[1], r[2]): r[3] for r in told.groupBy("kind", "word", "shape").agg(F.sum("n")).collect()}
 
-def fit(documents: DataFrame, text_col: str) -> HiddenEventModel:
-    """A model of all documents."""
-    spark = documents.sparkSession
-    rows = materialize(spread(documents.where(f"{text_col} is not null").select(text_col)).mapInArrow(_count, _COUNTS), "sentence-counts")
-    held = rows.where("kind = 'places'").select("places")
+    return _maximized(Evidence(kept, tuple(rest), classes, shapes, single.get("lengths", 0.0), single.get("short", 0.0)), expected)
 
-    def expected(model: HiddenEventModel) -> dict:
-        return _summed(held.mapInArrow(_expect(spark.sparkContext.broadcast(model)), _COUNTS))
 
-    return _maximized(_summed(rows.where("kind <> 'places'")), expected)
+def _find(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _starts_of(packed, model.value)], ["id", "start_char"])
+
+    return run
 
 
 def _apply(model):
@@ -407,6 +584,9 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null, empty and blank texts have no row; a repeated row gives its rows again; other columns are ignored; an empty
     table gives none.
     """
-    model = model or fit(documents, text_col)
-    held = documents.sparkSession.sparkContext.broadcast(model)
-    return spread(documents.select(F.col(id_col).cast("long"), text_col)).mapInArrow(_apply(held), "id long, start_char int")
+    schema, context = "id long, start_char int", documents.sparkSession.sparkContext
+    if model is not None:
+        rows = documents.select(F.col(id_col).cast("long"), text_col)
+        return spread(rows).mapInArrow(_apply(context.broadcast(model)), schema)
+    rows = read(documents, id_col, text_col)
+    return rows.where("kind = 'places'").select("places").mapInArrow(_find(context.broadcast(fit(rows))), schema)

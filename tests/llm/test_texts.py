@@ -1,6 +1,7 @@
 """The text operators on small cases with known answers, and their edge cases."""
 
 import random
+import re
 
 import pytest
 
@@ -212,6 +213,30 @@ def test_sentence_tables(spark, events):
     assert sentences.sentences(df).where("id = 4").count() == 1
 
 
+def test_paragraphs_without_marks(spark, events):
+    """Without end marks most sentences of a long paragraph are found again, and little else; short ones stay whole."""
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("text").collect()
+    true = found = both = 0
+    for (text,) in texts:
+        for a, b in sentences.units(text):
+            unit = text[a:b]
+            bare = re.sub(r"[.!?]+(?=\s|$)", "", unit)
+            own = {len(unit[:s].split()) for s in sentences.sentence_starts(unit, events)}
+            if len(own) < 4 or len(bare.split()) < sentences.LONG_UNIT or any(m in bare for m in sentences.END_MARKS):
+                continue
+            got = {len(bare[:s].split()) for s in sentences.sentence_starts(bare, events)}
+            true, found, both = true + len(own), found + len(got), both + len(own & got)
+    assert true > 300 and both >= 0.8 * true and both >= 0.9 * found
+    assert sentences.sentence_starts("A heading with no mark\nThe next line", events) == [0]
+
+
+def test_written_places_give_the_same_sentences(spark):
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = sentences.fit(sentences.read(df, "doc_id", "text"))
+    assert sorted(map(tuple, sentences.sentences(df).collect())) == sorted((k, s) for k, t in enumerate(texts) if t for s in sentences.sentence_starts(t, model))
+
+
 def test_posteriors_are_those_of_all_paths(events):
     rng = random.Random(1)
     found = [sentences.Place(k, rng.choice(["dr.", "bridge.", "q?\"s"]), "<word>.", rng.choice(["The", "asked", "Jones"]), rng.choice([1, 5])) for k in range(6)]
@@ -233,6 +258,6 @@ def test_sentence_counts_are_of_all_texts(spark):
     """An abbreviation seen in 4 of 9,000 texts is in the model: every text counts, and the parts' counts add up."""
     texts = ["It was a day. We met Qrx. Smith there."] * 4 + ["It was a day. The sun was out."] * 8_996
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    whole, parts = sentences.train(texts), sentences.fit(df, "text")
+    whole, parts = sentences.train(texts), sentences.fit(sentences.read(df, "doc_id", "text"))
     assert "qrx." in parts.event and whole.event.keys() == parts.event.keys()
     assert all(abs(p - parts.event[b]) < 1e-9 for b, p in whole.event.items())
