@@ -46,13 +46,13 @@ SPLIT = 4 * CELL
 DIMENSIONS = 64
 NEIGHBOURS = 10
 LONG_LINKS = 4
-PIVOTS = 64
+PIVOTS = 128
 #: Nodes a search opens at a time.
 STEP = 4
 #: Queries searched at a time, few enough for what they touch to stay in cache.
 QUERY_BLOCK = 512
 BEAMS = (8, 16, 32, 64, 128)
-TUNING_QUERIES = 32
+TUNING_QUERIES = 64
 TUNING_RECALL = 0.97
 #: Shards of a cell from which a compaction merges them.
 MOST_SHARDS = 4
@@ -70,7 +70,8 @@ _FIRST_BATCH = -(2**31) + 1
 def embed(own: np.ndarray) -> np.ndarray:
     """Sum of the sign vectors of shingles, scaled to int8."""
     signs = np.unpackbits(mix(own).view(np.uint8).reshape(len(own), 8), axis=1)
-    total = 2.0 * signs.sum(0, dtype=np.int64) - len(own)
+    # sums of up to 255 bits fit the bytes they come in
+    total = 2.0 * np.add.reduceat(signs, np.arange(0, len(own), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64) - len(own)
     return np.round(total * (127.0 / max(1.0, np.abs(total).max()))).astype(np.int8)
 
 
@@ -80,15 +81,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def packed_set(own: np.ndarray) -> bytes:
-    """Distinct low bits of shingle hashes, sorted."""
-    low = np.unique(own & np.uint64((1 << (8 * _SET_BYTES)) - 1))
-    return low.view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes()
+    """Distinct high bits of sorted shingle hashes, in order."""
+    high = own >> np.uint64(64 - 8 * _SET_BYTES)
+    kept = own[np.r_[True, high[1:] != high[:-1]]] if len(own) else own
+    return kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes()
 
 
 def unpacked_set(data: bytes) -> np.ndarray:
     wide = np.zeros((len(data) // _SET_BYTES, 8), np.uint8)
-    wide[:, :_SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _SET_BYTES)
-    return wide.view(np.uint64).ravel()
+    wide[:, 8 - _SET_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, _SET_BYTES)
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 class Shard:
@@ -179,17 +181,19 @@ class Shard:
         return ids, cosines
 
     def tune(self, queries: np.ndarray) -> None:
-        """Widen the beam until a sample's nearest texts above LEAST_COSINE are found as by an exhaustive search; if the
+        """From the beam it has, widen the beam until a sample's nearest texts above LEAST_COSINE are found as by an exhaustive search; if the
         widest does not find them, the shard is searched exhaustively (beam 0).
 
         The sample is stored texts, disturbed as linked texts are, and so has near texts in every shard.
         """
         truth = (queries @ self.vectors.T).max(1)
         wanted = truth >= LEAST_COSINE
+        if not wanted.any():
+            return
         for beam in BEAMS:
+            if beam < self.beam:
+                continue
             self.beam = beam
-            if not wanted.any():
-                return
             if beam >= len(self.ids):
                 break
             _, cosines = self.search(queries[wanted], beam)
@@ -328,14 +332,16 @@ def _build(group: pa.Table) -> pa.Table:
 def _merge(group: pa.Table) -> pa.Table:
     """The shards of one cell and part, each smaller one put into the largest as long as that has room."""
     rows = sorted(group.to_pylist(), key=lambda r: (-r["n"], r["ids"]))
-    merged = [Shard.of_row(rows[0])]
-    for row in rows[1:]:
-        other = Shard.of_row(row)
-        if len(merged[-1].ids) + len(other.ids) <= SPLIT:
-            merged[-1] = merged[-1].extended(other.stored, other.ids)
-        else:
-            merged.append(other)
-    return _rows_of(rows[0]["route"], rows[0]["cell"], rows[0]["part"], merged)
+    merged = []
+    while rows:
+        whole = [rows.pop(0)]
+        size = whole[0]["n"]
+        while rows and size + rows[0]["n"] <= SPLIT:
+            size += rows[0]["n"]
+            whole.append(rows.pop(0))
+        first, others = Shard.of_row(whole[0]), [Shard.of_row(r) for r in whole[1:]]
+        merged.append(first.extended(np.concatenate([s.stored for s in others]), np.concatenate([s.ids for s in others])) if others else first)
+    return _rows_of(*(group[c][0].as_py() for c in ("route", "cell", "part")), merged)
 
 
 def _compare(num: int, den: int):
@@ -382,7 +388,7 @@ class History:
         rows.write.insertInto(self._bucketed(kind))
 
     def _sets(self) -> DataFrame | None:
-        paths = [p for _, p in self.about["batches"]]
+        paths = [p for _, p in self.about["batches"] if p]
         return self.spark.read.schema("key long, shingles binary").parquet(*paths) if paths else None
 
     def drop(self) -> None:
@@ -390,7 +396,7 @@ class History:
         for name in self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self._tables.clear()
-        discard(self.spark, self.folder, *(p for _, p in self.about["batches"]))
+        discard(self.spark, self.folder, *(p for _, p in self.about["batches"] if p))
 
     def stage(self, texts: DataFrame) -> DataFrame:
         """Vector, cells and shingles of each text of (batch, key, text) that has enough words."""
@@ -413,7 +419,7 @@ class History:
         else:
             asks = routed.join(parts, ["route", "cell"], "left").fillna(1, ["parts"])
         own_part = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
-        found = self._found(asks.withColumn("part", own_part), staged, NEAREST)
+        found = self._found(asks.withColumn("part", own_part), NEAREST)
         linked = materialize(self._linked(found.where("not more"), staged), "graph-links")
         rest = found.where("more").select(F.col("b").alias("key")).distinct()
         if parts is not None:
@@ -421,14 +427,18 @@ class History:
         rest = materialize(rest.join(linked, "key", "left_anti"), "graph-rest")
         if not rest.isEmpty():
             again = asks.join(rest, "key", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            others = self._found(again, staged, None).where("not more")
+            others = self._found(again, None).where("not more")
             linked = linked.union(self._linked(others, staged))
         return linked.distinct()
 
-    def _found(self, asks: DataFrame, staged: DataFrame, most: int | None) -> DataFrame:
+    def _found(self, asks: DataFrame, most: int | None) -> DataFrame:
         by = ["route", "cell", "part"]
         asks = asks.select(*by, "key", "vector")
         shards = self.spark.table(self._bucketed("shards"))
+        if most is None:  # few ask again, and only the shards of their cells are read
+            asks = materialize(asks, "graph-asks")
+            if asks.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+                shards = shards.join(F.broadcast(asks.select(*by).distinct()), by, "left_semi").select(*shards.columns)
         near = asks.groupBy(*by).cogroup(shards.groupBy(*by)).applyInArrow(_search(most), _FOUND)
         return materialize(near.distinct(), "graph-found")
 
@@ -450,8 +460,9 @@ class History:
         keys = self.spark.table(self._bucketed("keys")).select(F.col("h1").alias(h1), F.col("h2").alias(h2))
         return rows.join(keys, [h1, h2], "left_semi")
 
-    def accept(self, batch: int, staged: DataFrame, staged_path: str, hashes: DataFrame) -> None:
-        """Add a batch: a shard of its own in each cell it has texts in, its shingles, and its (h1, h2) of texts and urls."""
+    def accept(self, batch: int, staged: DataFrame, staged_path: str | None, hashes: DataFrame) -> None:
+        """Add a batch: a shard of its own in each cell it has texts in, its shingles, which
+        stay where it was staged (None if it has no text long enough), and its (h1, h2) of texts and urls."""
         routed = staged.select("key", "cells", "vector").mapInArrow(_routed, "route int, cell int, key long, vector binary")
         sizes = {(r[0], r[1]): r[2] for r in routed.groupBy("route", "cell").count().where(F.col("count") > SPLIT).collect()}  # at most ROUTES * rows / SPLIT
         if sizes:
@@ -500,12 +511,12 @@ def seen_before(pages: DataFrame, id_col: str, text_col: str, batch_col: str, ur
     hashes.write.partitionBy("batch").parquet(f"{folder}/hashes")
     found = []
     fields = ", ".join(f for f in _STAGED.split(", ") if not f.startswith("batch"))
-    numbers = [r[0] for r in spark.read.parquet(f"{folder}/hashes").select("batch").distinct().orderBy("batch").collect()]
+    numbers = [r[0] for r in spark.read.schema(hashes.schema).parquet(f"{folder}/hashes").select("batch").distinct().orderBy("batch").collect()]
     staged_numbers = {r[0] for r in spark.read.schema(_STAGED).parquet(f"{folder}/staged").select("batch").distinct().collect()} if numbers else set()
     for number in numbers:
         own = spark.read.schema("id " + dict(hashes.dtypes)["id"] + ", t1 long, t2 long, u1 long, u2 long").parquet(f"{folder}/hashes/batch={number}")
-        path = f"{folder}/staged/batch={number}"
-        staged = spark.read.schema(fields).parquet(path) if number in staged_numbers else spark.createDataFrame([], fields)
+        path = f"{folder}/staged/batch={number}" if number in staged_numbers else None
+        staged = spark.read.schema(fields).parquet(path) if path else spark.createDataFrame([], fields)
         texts = own.join(staged.select(F.col("key").alias("t1")).distinct(), "t1", "left_semi")
         if history.about["batches"]:
             like = own.join(history.like(staged).withColumnRenamed("key", "t1"), "t1", "left_semi").where("t2 is not null").select("id")

@@ -119,8 +119,8 @@ def test_empty_tables(pages, spark):
     df = pages[1].limit(0)
     assert signature_tree.similar_pairs(df, "page", "body").count() == 0
     assert signature_tree.near_duplicate_classes(df, "page", "body").count() == 0
-    assert graph_index.seen_texts(df, "page", "body", "part").count() == 0
-    assert graph_index.seen_urls(df, "page", F.col("body"), "part").count() == 0
+    assert graph_index.seen_before(df, "page", "body", "part").count() == 0
+    assert graph_index.seen_before(df, "page", "body", "part", F.col("body")).count() == 0
     assert site_lines.repeated_lines(df, "page", "key", "body").count() == 0
     items = spark.createDataFrame([], "item_id long, passage string")
     assert leaks.leaked_items(df, items, "page", "body").count() == 0
@@ -140,27 +140,73 @@ def brute_seen(rows, size, num, den, least):
 def test_new_batches(spark):
     rows = [(i, t, None if i == 7 else b) for i, t, b in corpus(2, 40)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page long, body string, part int, batch string")
-    got = {r[0] for r in graph_index.seen_texts(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()}
+    got = {r[0] for r in graph_index.seen_before(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()}
     want = brute_seen(rows, 3, 3, 5, 60)
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
 def test_graph_recall_against_exhaustive_search():
     rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(3000, graph_index.DIMENSIONS)).astype(np.float32)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    shard = graph_index.new_shard(vectors, np.arange(3000))
-    queries = graph_index.disturbed(vectors[::50], 9)
-    ids, cosines = shard.search(queries, shard.beam)
-    truth = (queries @ vectors.T).max(1)
-    assert (cosines.max(1) >= truth - 1e-4).mean() >= 0.9
+    stored = np.round(30 * rng.normal(size=(3000, graph_index.DIMENSIONS))).clip(-127, 127).astype(np.int8)
+    whole = graph_index.Shard.build(stored, np.arange(3000))
+    grown = graph_index.Shard.build(stored[:2000], np.arange(2000)).extended(stored[2000:], np.arange(2000, 3000))
+    again = graph_index.Shard.of_row(whole.row())
+    assert (again.links == whole.links).all() and (again.vectors == whole.vectors).all() and again.beam == whole.beam
+    queries = graph_index.disturbed(whole.vectors[::10], 9)
+    truth = (queries @ whole.vectors.T).max(1)
+    for shard in (whole, grown):
+        assert shard.beam in graph_index.BEAMS
+        _, cosines = shard.search(queries, shard.beam)
+        assert (cosines.max(1) >= truth - 1e-4).mean() >= 0.9
+
+
+def test_shards_search_exhaustively_where_beams_do_not_do():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=graph_index.DIMENSIONS)
+    stored = np.round(25 * (base + 0.4 * rng.normal(size=(900, graph_index.DIMENSIONS)))).clip(-127, 127).astype(np.int8)
+    shard = graph_index.Shard.build(stored, np.arange(900))
+    queries = graph_index.disturbed(shard.vectors[::90], 3)
+    for beam in (8, 0):  # every text is near, so beams are full; and a shard that no beam suits
+        shard.beam = beam
+        row, position, cosine = shard.near(queries)
+        want = queries @ shard.vectors.T >= graph_index.LEAST_COSINE
+        assert want.sum() == len(row) and want[row, position].all()
+
+
+def test_sets_are_packed():
+    values = np.unique(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64))
+    assert (graph_index.unpacked_set(graph_index.packed_set(values)) == np.unique(values >> np.uint64(24))).all()
+    assert len(graph_index.unpacked_set(b"")) == 0
+
+
+def test_history_is_kept_from_batch_to_batch(spark, tmp_path, monkeypatch):
+    """A later batch is checked by an index opened anew, with nothing of the earlier texts at hand; compaction changes no answer."""
+    rows = [r for r in corpus(8, 20) if r[1]]
+    folder, how = f"file://{tmp_path}/index", {"size": 3, "num": 3, "den": 5, "least_words": 60}
+    df = spark.createDataFrame(rows, "page long, text string, batch int").withColumn("key", F.xxhash64("text"))
+    for number in range(4):
+        history = graph_index.History(spark, folder, 2, **how)
+        path = f"file://{tmp_path}/staged-{number}"
+        own = df.where(F.col("batch") == number)
+        history.stage(own.select("batch", "key", "text")).drop("batch").write.parquet(path)
+        staged = spark.read.parquet(path)
+        before = {r[0] for r in history.like(staged).collect()}
+        if number == 3:
+            history.compact()
+            assert history.about["shards"] == 1 and {r[0] for r in history.like(staged).collect()} == before
+            got = {r[0] for r in own.join(history.like(staged), "key").select("page").collect()}
+        history.accept(number, staged, path, own.select(F.col("key").alias("h1"), F.xxhash64("text", F.lit("text")).alias("h2")))
+        assert history.known(own.withColumn("second", F.xxhash64("text", F.lit("text"))), "key", "second").count() == own.count()
+    pairs, part = brute_pairs(rows, 3, 3, 5, 60), {i: b for i, _, b in rows}
+    want = {x for a, b in pairs for x, y in ((a, b), (b, a)) if part[x] == 3 and part[y] < 3}
+    assert got <= want and len(got) >= 0.95 * len(want)
 
 
 def test_split_cells(spark, monkeypatch):
     rows = corpus(5, 20)
     df = spark.createDataFrame(rows, "page long, body string, part int")
     monkeypatch.setattr(graph_index, "SPLIT", 20)
-    got = {r[0] for r in graph_index.seen_texts(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()}
+    got = {r[0] for r in graph_index.seen_before(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()}
     want = brute_seen(rows, 3, 3, 5, 60)
     assert got <= want and len(got) >= 0.95 * len(want)
 
@@ -178,12 +224,13 @@ def test_partner_behind_full_beams(spark):
         wanted.add(rows[-1][0])
     assert brute_seen(rows[:152], 3, 3, 5, 60) == {151}
     df = spark.createDataFrame(rows, "page long, body string, part int")
-    assert {r[0] for r in graph_index.seen_texts(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()} == wanted
+    assert {r[0] for r in graph_index.seen_before(df, "page", "body", "part", size=3, num=3, den=5, least_words=60).collect()} == wanted
 
 
 def test_seen_urls(spark):
     df = spark.createDataFrame([(1, "u", 0), (2, "u", 1), (3, "u", 0), (4, "", 0), (5, "", 1), (6, None, 2), (7, "v", None), (8, "v", 0)], "page long, url string, batch int")
-    assert {r[0] for r in graph_index.seen_urls(df, "page", F.col("url"), "batch").collect()} == {2, 8}
+    df = df.withColumn("body", F.lit(None).cast("string"))
+    assert {r[0] for r in graph_index.seen_before(df, "page", "body", "batch", F.col("url")).collect()} == {2, 8}
 
 
 LINES = "This line is repeated 2020 times!\nown line of page {k} with enough words {w}\nshort\n> This LINE is_repeated 7 times\r\n"
