@@ -1,9 +1,9 @@
 """Residue of HTML, wiki and LaTeX markup in markdown (problem 7).
 
 A text is cut into flat blocks at blank lines, code apart. Each block has its number of words, its link density, the
-same of the blocks before and after, and counts of the signs of each markup. One decision tree for each markup, grown
-on the labelled table ``LABELLED``, decides whether the block holds it. ``clean`` rewrites the blocks so judged and
-keeps headings, lists, tables, code and formulas.
+same of the blocks before and after, counts of the signs of each markup, and the strongest signs of its neighbours. One
+decision tree for each markup, grown on the labelled pages of ``labelled``, decides whether the block holds it.
+``clean`` rewrites the blocks so judged and keeps headings, lists, tables, links, code and formulas.
 """
 
 from __future__ import annotations
@@ -19,20 +19,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.code_spans import code_lines, without_spans
+from pagemill.llm.labelled import labelled_pages
 from pagemill.shared import spread
 
 KINDS = ("html", "wiki", "latex")
-DEPTH = 5
+DEPTH = 9
 
 # Tag names a tag is known by.
 TAGS = "a abbr article aside b blockquote body br button caption center cite code dd div dl dt em figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input label li link main meta nav ol option p pre s script section select small span strong style sub sup table tbody td tfoot th thead title tr u ul video"
-_TAG = re.compile(r"</?(?:" + "|".join(TAGS.split()) + r")(?:\s[^<>]*)?/?>|<!--|<!doctype", re.I)
+#: Attributes that stand without a value.
+BARE_ATTRIBUTES = "async autofocus autoplay checked controls default defer disabled hidden loop multiple muted novalidate open readonly required reversed selected"
+_NAMES = "|".join(TAGS.split())
+_BARE = "|".join(BARE_ATTRIBUTES.split())
+#: 'x <b and c> y' compares numbers: a tag has no words behind its name but attributes, of which one has a value or all need none.
+_TAG = re.compile(rf"</?(?:{_NAMES})(?:\s+(?:{_BARE}))*\s*/?>|<(?:{_NAMES})\s[^<>]*=[^<>]*>|<!--|<!doctype", re.I)
+_TAG_LIKE = re.compile(rf"</?(?:{_NAMES})\s[^<>=]*>", re.I)
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _WIKI = {
     "wiki_link": re.compile(r"\[\[(?![\d\s.,;:–-]*\]\])[^\[\]\n{}]+\]\]"),
     "wiki_bold": re.compile(r"(?<!')'{2,3}(?![\s'])[^'\n]+(?:'[^'\n]+)*?'{2,3}(?!')"),
     "wiki_heading": re.compile(r"^[^\S\n]*(={2,6})[^\S\n]*[^=\n]+?[^\S\n]*\1[^\S\n]*\r?$", re.M),
-    "wiki_template": re.compile(r"\{\{[^{}|\n]+\|[^{}]*\}\}"),
+    "wiki_template": re.compile(r"\{\{[^{}|]+\|[^{}]*\}\}"),
     "wiki_table": re.compile(r"^[^\S\n]*(?:\{\|(?!\})|\|\}(?!\}))", re.M),
 }
 _LATEX = {
@@ -43,97 +50,17 @@ _LATEX = {
     "latex_display": re.compile(r"\$\$[^$]+\$\$"),
     "latex_sign": re.compile(r"\\(?:alpha|beta|gamma|delta|lambda|sigma|omega|pi|le|leq|ge|geq|neq|approx|sum|int|times|cdot|infty|item|ldots|dots|to)\b"),
 }
+#: Rows of tables cut off from their beginning: alone they are not sure to be of that markup, beside it they are.
+_WIKI_ROW = re.compile(r"^[^\S\n]*(?:\|-|[|!][^|\n]*(?:\|\||!!))", re.M)
+_LATEX_ROW = re.compile(r"&[^&\n]*\\\\[^\S\n]*$", re.M)
 _HOLDER = re.compile(r"\{\{[^{}|\n]*\}\}|\$\{[^{}\n]*\}|<%[^%\n]*%>")
 _PRICE = re.compile(r"\$\s?\d[\d,.]*")
 _LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)|<a\s[^>]*>([^<]*)</a>", re.I)
 _SIGN = re.compile(r"[<&\[\]'={}\\$|]")
-FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "html_tag", "html_entity", *_WIKI, *_LATEX, "holder", "price", "odd_share"]
+#: Words and link density of a block and its neighbours, signs of its own, and the strongest sign of each markup beside it.
+FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "html_tag", "tag_like", "html_entity", *_WIKI, *_LATEX, "wiki_row", "latex_row", "holder", "price", "odd_share", "html_beside", "wiki_beside", "latex_beside"]
 _AT = {name: k for k, name in enumerate(FEATURES)}
-
-# Labelled blocks: kinds ("-" for none) and the block; "/" stands for a line break.
-LABELLED = """
-html | <p>The report was sent.</p>
-html | <div class="x1">
-html | </div>
-html | <ul>/<li>one thing</li>/<li>another thing</li>/</ul>
-html | The new <strong>engine</strong> is quiet and works well in every shop we know.
-html | See <a href="/page">the page</a> for more on this and on other things we do.
-html | Tea &amp; coffee are served at noon in the hall.
-html | Two&nbsp;words stay together in this long sentence about nothing much.
-html | It&#8217;s late and the office is closed until the morning.
-html | one line<br/>another line
-html | <table><tr><td>a</td><td>b</td></tr></table>
-html | He said &quot;yes&quot; and left the room with the plan.
-html | text <span style="color: red">red</span> text
-html | <!-- a comment --> and some text after it
-html | <li>single item</li>
-html | &copy; and &mdash; in a text
-html, latex | The <em>sum</em> \\(a + b\\) is small.
-html, wiki | The <b>page</b> links to [[Other page]].
-wiki | See [[the page|this]] for the details of the plan and its parts.
-wiki | [[Main page]]
-wiki | The '''important''' word stands out in this sentence.
-wiki | A ''slanted'' word.
-wiki | == Heading of a part ==
-wiki | === Lower heading ===/Text of the part follows here.
-wiki | {{cite web|title=A page|year=2019}}
-wiki | The plan {{convert|5|km|mi}} was long.
-wiki | {| class=wikitable/|-/| a || b/|}
-wiki | {|/! head/|-/| cell/|}
-wiki | |}
-wiki, latex | The '''value''' of $x = y^2$ is known.
-latex | \\section{The plan}
-latex | \\textbf{Bold} words in a sentence of ordinary length for a test.
-latex | \\begin{itemize}/\\item one/\\item two/\\end{itemize}
-latex | \\begin{equation}/a = b/\\end{equation}
-latex | $$/\\frac{a}{b} \\le \\sum_{i} w_{i}/$$
-latex | The value \\(n \\approx 6\\) is small in all of the cases that we tried.
-latex | It follows that $a_{1} = b^2 + 3c$ in this case and in all others.
-latex | We have $x_i < y$ here.
-latex | \\item a third thing
-latex | \\[ E = m c^2 \\]
-latex | Some \\emph{stressed} word
-latex | $$ a + b = c $$
-latex | a \\le b in this case
-- | A plain sentence about the garden and its gate, and nothing else.
-- | The price is between $92 and $54 for a mast, and a < b holds for every canal.
-- | Range [[4, 21]] is what the meter returned after the test.
-- | It costs $5 or $6 a piece, so that $11 buys two.
-- | From 5 to 10 we wait; 3 < 4 and 7 > 2, as everyone knows.
-- | Dear {{ customer.name }}, your order {{ order.id }} is ready.
-- | {{ title }}
-- | Welcome to ${firstName}, ${lastName}
-- | ${a}: ${b}
-- | <%= user.name %> - <%= user.id %>
-- | [INSERT NAME] - [INSERT TITLE]
-- | %NAME% and @@TITLE@@
-- | {name} and {title}
-- | - one item/- another item/- a third item
-- | # Heading of the page
-- | ## Lower heading
-- | [link](/page) and [other](/other)
-- | * [Home](/home)/* [About](/about)/* [News](/news)
-- | | a | b |/|---|---|/| 1 | 2 |
-- | **bold** words and _slanted_ words
-- | > quoted text of some length in a block
-- | Home > News > The page
-- | Home | News | About | Contact
-- | The company's rules are the owners' own; it's ours.
-- | AT&T and R&D are names; Smith & Sons is another.
-- | A = B and C == D are said to be the same here.
-- | ====
-- | a <- b and c -> d
-- | C:\\Users\\name is a path
-- | We use cookies. [Accept] [Reject] [Preferences]
-- | q@#x {k|} ~!< &v w;= \\Z $p^ |+ '' x
-- | 12 34 56 78 9 10 11 12
-- | a,b,c,1.5/d,e,f,2.5
-- | Name: value/Other: value
-- | if (a && b) then c
-- | The range 5-10, 7..9 and ~3 is fine, and 5% of $100 is $5.
-- | Prices: $5, $6_000 and $7
-""".strip()
-
+_OF_KIND = [[_AT[f] for f in names] for names in (("html_tag", "html_entity"), tuple(_WIKI), tuple(_LATEX))]
 
 def block_features(text: str) -> list[float]:
     """The block's own features; those of its neighbours are filled in by ``features``."""
@@ -145,6 +72,7 @@ def block_features(text: str) -> list[float]:
     out[1] = linked / out[0]
     if "<" in text:
         out[_AT["html_tag"]] = float(len(_TAG.findall(text)))
+        out[_AT["tag_like"]] = float(len(_TAG_LIKE.findall(text)))
     if "&" in text:
         out[_AT["html_entity"]] = float(sum(1 for e in _ENTITY.findall(text) if e[0] == "#" or e + ";" in html5))
     for table in (_WIKI, _LATEX):
@@ -152,6 +80,10 @@ def block_features(text: str) -> list[float]:
             continue
         for name, pattern in table.items():
             out[_AT[name]] = float(len(pattern.findall(text)))
+    if "|" in text:
+        out[_AT["wiki_row"]] = float(len(_WIKI_ROW.findall(text)))
+    if "&" in text and "\\\\" in text:
+        out[_AT["latex_row"]] = float(len(_LATEX_ROW.findall(text)))
     if "{" in text or "<%" in text:
         out[_AT["holder"]] = float(len(_HOLDER.findall(text)))
     if "$" in text:
@@ -179,11 +111,13 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
 
 def features(texts: list[str]) -> list[list[float]]:
     rows = [block_features(t) for t in texts]
+    own = [[max(r[k] for k in places) for places in _OF_KIND] for r in rows]
     for k in range(len(rows)):
         if k:
             rows[k][2:4] = rows[k - 1][0:2]
         if k + 1 < len(rows):
             rows[k][4:6] = rows[k + 1][0:2]
+        rows[k][-3:] = [max(own[k - 1][j] if k else 0.0, own[k + 1][j] if k + 1 < len(rows) else 0.0) for j in range(3)]
     return rows
 
 
@@ -201,44 +135,21 @@ class Tree:
 
     @staticmethod
     def grow(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH) -> Tree:
-        def impurity(y):
-            p = y.mean() if len(y) else 0.0
-            return 2 * p * (1 - p) * len(y)
-
-        def build(x, y, left):
-            if left == 0 or y.all() or not y.any():
-                return bool(y.mean() > 0.5)
-            best = None
-            for f in range(x.shape[1]):
-                values = np.unique(x[:, f])
-                for a, b in zip(values[:-1], values[1:]):
-                    low = x[:, f] <= a
-                    cost = impurity(y[low]) + impurity(y[~low])
-                    if best is None or cost < best[0] - 1e-12:
-                        best = (cost, f, float(a if b - a >= 1 else (a + b) / 2), low)
-            if best is None or best[0] >= impurity(y) - 1e-12:
-                return bool(y.mean() > 0.5)
-            _, f, cut, low = best
-            return (f, cut, build(x[low], y[low], left - 1), build(x[~low], y[~low], left - 1))
-
-        return Tree(build(rows, labels, depth))
-
-
-    @staticmethod
-    def grow_types(rows: np.ndarray, labels: np.ndarray, depth: int = 9) -> Tree:
-        """A tree for more than two answers, by the same measure."""
-        names = np.unique(labels)
+        """The tree of the splits that lower the Gini impurity most, until answers are pure or no split helps. Of equal splits the
+        first feature's has it, with the cut half way."""
+        names, answers = np.unique(labels, return_inverse=True)
+        labels = answers
 
         def counts(y):
-            return np.array([(y == name).sum() for name in names], float)
+            return np.bincount(y, minlength=len(names)).astype(float)
 
         def impurity(y):
             c = counts(y)
             return len(y) - (c**2).sum() / len(y) if len(y) else 0.0
 
         def build(x, y, left):
-            usual = str(names[int(counts(y).argmax())])
-            if left == 0 or len(set(y)) == 1:
+            usual = names[int(counts(y).argmax())].item()
+            if left == 0 or (y == y[0]).all():
                 return usual
             best = None
             for f in range(x.shape[1]):
@@ -256,33 +167,11 @@ class Tree:
         return Tree(build(rows, labels, depth))
 
 
-def labelled() -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    rows, kinds = [], []
-    for line in LABELLED.split("\n"):
-        head, block = line.split(" | ", 1)
-        rows.append(block_features(block.replace("/", "\n") if not block.startswith("<") and "</" not in block and "(/" not in block and '"/' not in block and "<br/" not in block else block))
-        kinds.append(head)
-    return np.array(rows), {k: np.array([k in h for h in kinds]) for k in KINDS}
-
-
-#: Sizes and neighbours vary in texts far more than in the labelled table; a markup's tree asks for its own signs, and
-#: for what tells them from other things.
-_ASKED = {
-    "html": ["html_tag", "html_entity", "odd_share"],
-    "wiki": [*_WIKI, "holder", "odd_share", "link_density"],
-    "latex": [*_LATEX, "holder", "price", "odd_share"],
-}
-
-
-def trees() -> dict[str, Tree]:
-    rows, labels = labelled()
-    out = {}
-    for kind in KINDS:
-        kept = np.zeros_like(rows)
-        own = [_AT[f] for f in _ASKED[kind]]
-        kept[:, own] = rows[:, own]
-        out[kind] = Tree.grow(kept, labels[kind], DEPTH + 2)
-    return out
+def trees(pages: list | None = None) -> dict[str, Tree]:
+    """One tree for each markup, grown on labelled pages."""
+    pages = labelled_pages() if pages is None else pages
+    rows = np.array([row for page in pages for row in features([without_spans(block) for _, block in page])])
+    return {kind: Tree.grow(rows, np.array([kind in kinds for page in pages for kinds, _ in page])) for kind in KINDS}
 
 
 # Labelled pages: the type of each block and the block, in the order of the page; pages end with a line of dashes.
@@ -380,7 +269,7 @@ def type_tree() -> Tree:
         own = [line.split(" | ", 1) for line in page.removesuffix("-----").strip("\n").split("\n") if " | " in line]
         rows += type_features([block.replace(" / ", "\n").replace("\\\\", "\\") for _, block in own])
         labels += [label for label, _ in own]
-    return Tree.grow_types(np.array(rows), np.array(labels))
+    return Tree.grow(np.array(rows), np.array(labels))
 
 
 def judge(text: str, grown: dict[str, Tree]) -> list[tuple[int, int, tuple[str, ...]]]:
@@ -390,35 +279,122 @@ def judge(text: str, grown: dict[str, Tree]) -> list[tuple[int, int, tuple[str,
     return [(a, b, tuple(k for k in KINDS if grown[k].answer(row))) for (a, b, _), row in zip(found, rows)]
 
 
+def _cells(rows: list[list[str]]) -> str:
+    """A table of markdown, its first row as the head."""
+    rows = [[" ".join(c.split()).replace("|", "\\|") for c in r] for r in rows if r]
+    width = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) if lines else ""
+
+
+_ROW_OF = re.compile(r"<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|</table>|\Z)", re.I | re.S)
+_CELL_OF = re.compile(r"<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dhr]\b|</tr>|\Z)", re.I | re.S)
+
+
+def _html_table(m: re.Match) -> str:
+    return "\n" + _cells([_CELL_OF.findall(row) for row in _ROW_OF.findall(m.group(1))]) + "\n"
+
+
+def _wiki_table(m: re.Match) -> str:
+    rows: list[list[str]] = [[]]
+    for line in m.group(0).split("\n"):
+        line = line.strip()
+        if line.startswith(("{|", "|}", "|+")):
+            continue
+        if line.startswith("|-"):
+            rows.append([])
+        elif line[:1] in ("|", "!"):
+            for cell in re.split(r"\|\||!!", line[1:]):
+                # what stands before a single bar are the cell's attributes
+                rows[-1].append(re.sub(r"^[^\[|]*=[^\[|]*\|", "", cell))
+        elif line and rows[-1]:
+            rows[-1][-1] += " " + line
+    return _cells(rows)
+
+
+def _template(m: re.Match) -> str:
+    """What a template shows: its values without names, of a measure the number and its unit, or the one that names the thing."""
+    name, *values = [v.strip() for v in m.group(1).split("|")]
+    named = dict(v.split("=", 1) for v in values if "=" in v)
+    plain = [v for v in values if "=" not in v and v]
+    if name.lower() in ("convert", "cvt"):
+        return " ".join(plain[:2])
+    return " ".join(plain) or next((v.strip() for k, v in named.items() if k.strip().lower() in ("title", "name", "text")), "")
+
+
+def _numbered(m: re.Match) -> str:
+    number = iter(range(1, len(m.group(1)) + 2))
+    return re.sub(r"<li[^>]*>\s*", lambda _: f"\n{next(number)}. ", m.group(1), flags=re.I)
+
+
+_LINK_TAG = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\s\"'<>]*)[\"']?[^<>]*>(.*?)</a>", re.I | re.S)
 _HTML_RULES = [
     (re.compile(r"<!--.*?-->", re.S), ""),
+    (re.compile(r"<table\b[^>]*>(.*?)</table>", re.I | re.S), _html_table),
+    (_LINK_TAG, r"[\2](\1)"),
     (re.compile(r"<h([1-6])[^>]*>(.*?)</h\1>", re.I | re.S), lambda m: "\n" + "#" * int(m.group(1)) + " " + m.group(2) + "\n"),
+    (re.compile(r"<ol[^>]*>(.*?)(?:</ol>|\Z)", re.I | re.S), _numbered),
     (re.compile(r"<li[^>]*>\s*", re.I), "\n- "),
-    (re.compile(r"</?(?:strong|b)(?:\s[^>]*)?>", re.I), "**"),
-    (re.compile(r"</?(?:em|i)(?:\s[^>]*)?>", re.I), "_"),
+    (re.compile(r"</?(?:strong|b)(?:\s[^<>]*=[^<>]*)?>", re.I), "**"),
+    (re.compile(r"</?(?:em|i)(?:\s[^<>]*=[^<>]*)?>", re.I), "_"),
+    (re.compile(r"</?code(?:\s[^<>]*=[^<>]*)?>", re.I), "`"),
     (re.compile(r"</t[dh]>\s*<t[dh][^>]*>", re.I), " | "),
     (re.compile(r"<br\s*/?>|</(?:p|div|tr|li|ul|ol|table|section|article)>", re.I), "\n"),
 ]
 _WIKI_RULES = [
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
-    (re.compile(r"'''(.+?)'''"), r"**\1**"),
-    (re.compile(r"''(.+?)''"), r"_\1_"),
+    (re.compile(r"(?<!\[)\[(https?://\S+)\s+([^\[\]\n]+)\](?!\()"), r"[\2](\1)"),
+    (re.compile(r"\'\'\'(.+?)\'\'\'"), r"**\1**"),
+    (re.compile(r"\'\'(.+?)\'\'"), r"_\1_"),
     (re.compile(r"^[^\S\n]*(={2,6})[^\S\n]*([^=\n]+?)[^\S\n]*\1[^\S\n]*$", re.M), lambda m: "#" * len(m.group(1)) + " " + m.group(2)),
-    (re.compile(r"\{\{[^{}|\n]+\|[^{}]*\}\}"), ""),
-    (re.compile(r"^[^\S\n]*(?:\{\|.*|\|\}|\|-.*)$\n?", re.M), ""),
-    (re.compile(r"^[^\S\n]*[|!][^\S\n]*(.*)$", re.M), lambda m: re.sub(r"\s*(?:\|\||!!)\s*", " | ", m.group(1))),
+    (re.compile(r"\{\{([^{}|]+\|[^{}]*)\}\}"), _template),
+    (re.compile(r"^[^\S\n]*\{\|.*?(?:^[^\S\n]*\|\}[^\S\n]*$|\Z)", re.M | re.S), _wiki_table),
+    (re.compile(r"^[^\S\n]*\|\}[^\S\n]*$\n?", re.M), ""),
 ]
 _LATEX_RULES = [
-    (re.compile(r"\\(sub)*section\*?\{([^{}]*)\}"), lambda m: "## " + m.group(2)),
+    (re.compile(r"\\((?:sub)*)section\*?\{([^{}]*)\}"), lambda m: "#" * (2 + len(m.group(1)) // 3) + " " + m.group(2)),
     (re.compile(r"\\textbf\{([^{}]*)\}"), r"**\1**"),
     (re.compile(r"\\(?:emph|textit)\{([^{}]*)\}"), r"_\1_"),
+    (re.compile(r"\\texttt\{([^{}]*)\}"), r"`\1`"),
+    (re.compile(r"\\href\{([^{}]*)\}\{([^{}]*)\}"), r"[\2](\1)"),
+    (re.compile(r"\\begin\{enumerate\}(.*?)(?:\\end\{enumerate\}|\Z)", re.S), lambda m: _enumerated(m.group(1))),
     (re.compile(r"^[^\S\n]*\\item\s*", re.M), "- "),
     (re.compile(r"^[^\S\n]*\\(?:begin|end)\{(?:itemize|enumerate|center|document|quote)\}[^\S\n]*\n?", re.M), ""),
 ]
 
 
+def _enumerated(items: str) -> str:
+    number = iter(range(1, items.count("\\item") + 2))
+    return re.sub(r"\\item\s*", lambda _: f"{next(number)}. ", items)
+
+
+_UNSEEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+_PRE = re.compile(r"<pre\b[^>]*>(.*?)</pre\s*>", re.I | re.S)
+
+
+def _fenced(m: re.Match) -> str:
+    code = html.unescape(re.sub(r"</?code\b[^>]*>", "", m.group(1), flags=re.I)).strip("\n")
+    fence = "~~~" if "```" in code else "```"
+    return f"\n{fence}\n{code}\n{fence}\n"
+
+
+def _without_code(text: str) -> str:
+    """Scripts and styles out, preformatted text into fences; these may have blank lines inside. Fenced code stays."""
+    if "<" not in text or not (_UNSEEN.search(text) or _PRE.search(text)):
+        return text
+    lines = text.split("\n")
+    code, out, start = code_lines(lines), [], 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or code[k] != code[start]:
+            part = "\n".join(lines[start:k])
+            out.append(part if code[start] else _PRE.sub(_fenced, _UNSEEN.sub("", part)).strip("\n"))
+            start = k
+    return "\n".join(out)
+
+
 def clean(text: str, grown: dict[str, Tree]) -> str:
     """The text with its residue rewritten as markdown; code, formulas and everything else stay as they are."""
+    text = _without_code(text)
     lines = text.split("\n")
     for a, b, kinds in reversed(judge(text, grown)):
         if not kinds:
