@@ -3,17 +3,21 @@
 Each line goes through the standard library's streaming HTML parser; its text and its tags are counted, markdown's own
 marks (bullets, links, buttons, emphasis, separators of menus) as tags like HTML's. The ratios of text to tags are
 smoothed by a Gaussian over the lines, and the logarithms are split into two clusters. The threshold between them says
-how much each line speaks for content.
+how much each line speaks for content. A line model adds what the words and the form of a line say: log odds by naive
+Bayes, fitted to a bounded sample of labelled pages, namely those where just one region of lines has as many characters as
+the crawler has counted in the body.
 
-The body is a region of lines. Where the crawler has counted the body's characters (without white space), the region is
-the one of that many characters for which most speaks; if the page was changed since, the nearest in size. Without a
-count the region alone for which most speaks is taken.
+The body is the region of lines, of all there are, for which lines and the forms of its ends speak most. Where there is a
+count of the body's characters, a region of another size loses by its distance from it, up to a limit, so that an outdated
+count does not decide against the lines.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,13 +31,22 @@ SIGMA = 1.0
 _RADIUS = 3
 _KERNEL = np.exp(-0.5 * (np.arange(-_RADIUS, _RADIUS + 1) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
-#: Log-ratio units that a character of difference from the crawler's count costs.
+#: Log-ratio units that a character of difference from the crawler's count costs, and the most it costs.
 MISS = 0.5
-#: Weight of the lines' support, where the crawler's count leaves a choice, against the form of a region's ends.
-WITHIN = 0.25
+MOST_MISS = 8.0
+#: Weight of the line model's log odds against the smoothed ratios, and the most the odds of a line are.
+LEARNED = 0.5
+MOST_ODDS = 8.0
+#: Labelled pages the line model is fitted to, at most; occurrences from which a feature is kept; smoothing.
+LABELLED = 4_000
+LEAST_COUNT = 4
+SMOOTHING = 3.0
 #: Characters of a line from which it supports content in full; what a code block cut in two costs.
 SHORT_LINE = 130
 BROKEN_CODE = 4.0
+_WORD = re.compile(r"[^\W\d_]+|\d")
+_ITEM = re.compile(r"\s*(?:[-*+•–]|\d{1,3}[.)])\s")
+_STOP = re.compile(r"[.!?…][\"'”»“)*_]*$")
 _MENU = re.compile(r"\s[|›»]\s|^\S+ > ")
 _MARKS = re.compile(r"^\s*(?:[-*+•>]|\d+[.)])\s|\]\(|\[[^\]]*\]|\s[|›»·]\s|\s>\s|\*\*|>>|©|\([cC]\)")
 
@@ -104,6 +117,64 @@ def support(lines: list[str]) -> np.ndarray:
     return value - two_means(value)
 
 
+def line_features(lines: list[str]) -> list[list[str]]:
+    """Features of each line that is not blank: its words, its form and, for an item of a list, the words of the line above it."""
+    out, lead, last = [], [], len(lines) - 1
+    blank = [not line.strip() for line in lines]
+    for k, line in enumerate(lines):
+        if blank[k]:
+            continue
+        text = line.strip()
+        words = list(dict.fromkeys(_WORD.findall(text.lower())))
+        n = len(words)
+        size = f"n{n}" if n < 6 else f"n{6 + int(2 * math.log2(n / 6))}"
+        first, final = text[0], text[-1]
+        begins = "#" if text.startswith("# ") else "##" if first == "#" else first if not first.isalnum() else "A" if first.isupper() else "0" if first.isdigit() else "a"
+        own = [*words, size, "<" + begins, ">" + ("." if _STOP.search(text) else final if not final.isalnum() else "a"), f"{k == 0 or blank[k - 1]:d}|{k == last or blank[k + 1]:d}"]
+        if text.isupper():
+            own.append("^")
+        if len(text) != len(line):
+            own.append("_")
+        if _ITEM.match(line):
+            own.extend(lead)
+        else:
+            lead = ["/" + w for w in (*words, size)]
+        out.append(own)
+    return out
+
+
+class LineModel:
+    """Log odds that a line is body: ``bias`` plus the weights of its features."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias = weights, bias
+
+    def odds(self, lines: list[str]) -> np.ndarray:
+        get = self.weights.get
+        return np.array([max(-MOST_ODDS, min(MOST_ODDS, self.bias + sum([get(f, 0.0) for f in own]))) for own in line_features(lines)])
+
+    @classmethod
+    def train(cls, pages: Iterable[tuple[list[str], tuple[int, int]]]) -> LineModel | None:
+        """A model of pages with known bodies (first line, last + 1); None if there is no line of either kind."""
+        on, off, n_on, n_off = Counter(), Counter(), 0, 0
+        for lines, (first, stop) in pages:
+            for k, own in zip([k for k, line in enumerate(lines) if line.strip()], line_features(lines)):
+                if first <= k < stop:
+                    on.update(own)
+                    n_on += 1
+                else:
+                    off.update(own)
+                    n_off += 1
+        if not n_on or not n_off:
+            return None
+        weights = {}
+        for f, n in (on + off).items():
+            if n >= LEAST_COUNT:
+                credit = SMOOTHING * n / (n_on + n_off)
+                weights[f] = math.log((on[f] + credit) / (n_on + SMOOTHING)) - math.log((off[f] + credit) / (n_off + SMOOTHING))
+        return cls(weights, math.log(n_on / n_off))
+
+
 def start_form(lines: list[str], first: int) -> float:
     """How well a line begins a body: a main heading, after a blank line, no menu."""
     line = lines[first]
@@ -123,12 +194,18 @@ def _fences(lines: list[str]) -> np.ndarray:
     return np.cumsum([0, *marks]) % 2
 
 
-def free_range(lines: list[str], own: list[int]) -> tuple[int, int]:
-    """The region with the best sum of support and form, over all regions, in one pass; short lines support less."""
-    value = support([lines[k] for k in own]) * np.array([min(1.0, len(lines[k]) / SHORT_LINE + 0.2) for k in own])
-    total, parity = np.r_[0, np.cumsum(value)], _fences(lines)
+def line_scores(lines: list[str], own: list[int], model: LineModel | None) -> np.ndarray:
+    """How much each of the ``own`` lines, those not blank, speaks for content; without a model short lines speak less."""
+    value = support([lines[k] for k in own])
+    if model is None:
+        return value * np.array([min(1.0, len(lines[k]) / SHORT_LINE + 0.2) for k in own])
+    return value + LEARNED * model.odds(lines)
+
+
+def best_region(lines: list[str], own: list[int], total: np.ndarray, parity: np.ndarray) -> tuple[float, int, int]:
+    """(merit, a, b) of the region own[a:b] with the best sum of scores and form, over all regions, in one pass."""
     open_ = {0: (-np.inf, 0), 1: (-np.inf, 0)}  # the best start so far, by the parity of the fences before it
-    best = (-np.inf, 0, 0)
+    best = (-np.inf, 0, 1)
     for b in range(1, len(own) + 1):
         k = own[b - 1]
         start = (start_form(lines, k) - total[b - 1], b - 1)
@@ -137,58 +214,86 @@ def free_range(lines: list[str], own: list[int]) -> tuple[int, int]:
         here = int(parity[k + 1])
         for side, (merit, a) in open_.items():
             best = max(best, (end + merit - BROKEN_CODE * (side != here), a, b), key=lambda x: x[0])
-    return own[best[1]], own[best[2] - 1] + 1
+    return best
+
+
+def near_count(before: np.ndarray, body_chars: int) -> list[tuple[int, int]]:
+    """Of each end the starts whose sizes enclose the count; ``before``: characters before each line."""
+    ends = np.arange(1, len(before))
+    starts = np.searchsorted(before, before[1:] - body_chars)
+    pairs = np.concatenate([np.stack([starts - 1, ends], 1), np.stack([starts, ends], 1)])
+    return pairs[(pairs[:, 0] >= 0) & (pairs[:, 0] < pairs[:, 1])].tolist()
 
 
-def body_range(lines: list[str], body_chars: int | None) -> tuple[int, int]:
+def counted_regions(lines: list[str], body_chars: int) -> list[tuple[int, int]]:
+    """The regions (first line, last + 1) that begin and end with text and have exactly that many characters."""
+    sizes = [len("".join(line.split())) for line in lines]
+    own = [k for k, n in enumerate(sizes) if n]
+    before = np.cumsum([0, *(sizes[k] for k in own)])
+    return [(own[a], own[b - 1] + 1) for a, b in near_count(before, body_chars) if before[b] - before[a] == body_chars]
+
+
+def body_range(lines: list[str], body_chars: int | None, model: LineModel | None = None) -> tuple[int, int]:
     """(first, last + 1) of the body's lines; (0, 0) if there is none."""
     sizes = [len("".join(line.split())) for line in lines]
     own = [k for k, n in enumerate(sizes) if n]
     if not own or body_chars == 0:
         return 0, 0
-    before = np.cumsum([0, *(sizes[k] for k in own)])
+    total, parity = np.concatenate([[0.0], np.cumsum(line_scores(lines, own, model))]), _fences(lines)
+    merit, a, b = best_region(lines, own, total, parity)
     if body_chars is not None:
-        places = {v: k for k, v in enumerate(before.tolist())}
-        exact = [(a, b) for b, v in enumerate(before.tolist()) if (a := places.get(v - body_chars)) is not None]
-        if len(exact) == 1:
-            return own[exact[0][0]], own[exact[0][1] - 1] + 1
-    if body_chars is None:
-        return free_range(lines, own)
-    total, parity = np.r_[0, np.cumsum(support([lines[k] for k in own]))] * WITHIN, _fences(lines)
-    if not exact:
-        # for each end the starts whose sizes enclose the count
-        candidates = set()
-        for b in range(1, len(before)):
-            k = int(np.searchsorted(before, before[b] - body_chars))
-            candidates.update((a, b) for a in (k - 1, k) if 0 <= a < b)
-        exact = list(candidates)
-    def merit(r: tuple[int, int]) -> tuple[float, int, int]:
-        a, b = r
-        first, stop = own[a], own[b - 1] + 1
-        form = start_form(lines, first) + stop_form(lines, stop) - BROKEN_CODE * (parity[first] != parity[stop])
-        return total[b] - total[a] + form - MISS * abs(float(before[b] - before[a]) - body_chars), -a, b
-
-    a, b = max(exact, key=merit)
+        before = np.cumsum([0, *(sizes[k] for k in own)])
+        best = (merit - min(MOST_MISS, MISS * abs(int(before[b] - before[a]) - body_chars)), a, b)
+        for x, y in near_count(before, body_chars):
+            miss = MISS * abs(int(before[y] - before[x]) - body_chars)
+            here = total[y] - total[x] - miss
+            if miss < MOST_MISS and here + 7.0 > best[0]:  # the forms of the ends add at most 7
+                first, stop = own[x], own[y - 1] + 1
+                here += start_form(lines, first) + stop_form(lines, stop) - BROKEN_CODE * float(parity[first] != parity[stop])
+                best = max(best, (here, x, y), key=lambda r: r[0])
+        _, a, b = best
     return own[a], own[b - 1] + 1
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [body_range(t.split("\n"), n) if t else (0, 0) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], pa.int32()) for k in (0, 1))], ["id", "first", "stop"])
+def fit_lines(pages: DataFrame, id_col: str, text_col: str, chars_col: str, most: int = LABELLED) -> LineModel | None:
+    """The line model of at most ``most`` pages, taken by the hash of their ids, whose count fits one region."""
+    rows = pages.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("x"), F.col(chars_col).cast("int").alias("n")).where("x is not null and n > 0")
+    share = max(1, pages.count() // most)
+    sample = rows.where(F.pmod("h", F.lit(share)) == 0).orderBy("h", "x").limit(most).select("x", "n").collect()
+    labelled = ((lines, found[0]) for lines, found in ((x.split("\n"), counted_regions(x.split("\n"), n)) for x, n in sample) if len(found) == 1)
+    return LineModel.train(labelled)
+
 
+def _rows(pages: DataFrame, id_col: str, text_col: str, chars_col: str) -> DataFrame:
+    return spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(chars_col).cast("int").alias("chars")))
 
-def body_ranges(pages: DataFrame, id_col: str, text_col: str, chars_col: str) -> DataFrame:
-    """(id, first, stop): the body of each page is its lines first to stop - 1, counted from 0 at line feeds.
 
-    Null and empty texts have (0, 0); a null count is no constraint; a repeated row gives its row again; other columns
-    are ignored; an empty table gives no rows.
+def _bodies(lines):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, chars in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = (text or "").split("\n")
+                first, stop = body_range(own, chars, lines.value)
+                out.append((first, stop, None if text is None else "\n".join(own[first:stop])))
+            kinds = (pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["id", "first", "stop", "body"])
+
+    return run
+
+
+def bodies(pages: DataFrame, id_col: str, text_col: str, chars_col: str, model: LineModel | None = None) -> DataFrame:
+    """(id, first, stop, body): each page's lines first to stop - 1, counted from 0 at line feeds, without the others.
+
+    Empty texts have (0, 0) and an empty body, null texts (0, 0) and a null one; a null count is no constraint; each row
+    gives its own row, also where ids repeat; other columns are ignored; an empty table gives no rows. Without a model
+    one is fitted to the pages.
     """
-    rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(chars_col).cast("int").alias("chars")))
-    return rows.mapInArrow(_ranges, "id long, first int, stop int")
+    held = pages.sparkSession.sparkContext.broadcast(model or fit_lines(pages, id_col, text_col, chars_col))
+    return _rows(pages, id_col, text_col, chars_col).mapInArrow(_bodies(held), "id long, first int, stop int, body string")
 
 
-def _outside(judge):
+def _outside(judge, found):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = judge.value if judge is not None else None
         for batch in batches:
@@ -197,7 +302,7 @@ def _outside(judge):
                 if not text or model is not None and model.record(text) > 0:
                     continue
                 lines = text.split("\n")
-                first, stop = body_range(lines, chars)
+                first, stop = body_range(lines, chars, found.value)
                 for k, line in enumerate(lines):
                     if not first <= k < stop and line.strip():
                         ids.append(page)
@@ -207,15 +312,10 @@ def _outside(judge):
     return run
 
 
-def chrome_lines(pages: DataFrame, id_col: str, text_col: str, chars_col: str, judge=None) -> DataFrame:
-    """(id, line_no) of each non-blank line outside the body; with ``judge``, a broadcast model, of the pages it passes."""
-    rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(chars_col).cast("int").alias("chars")))
-    return rows.mapInArrow(_outside(judge), "id long, line_no int")
-
+def chrome_lines(pages: DataFrame, id_col: str, text_col: str, chars_col: str, judge=None, model: LineModel | None = None) -> DataFrame:
+    """(id, line_no) of each non-blank line outside the body; with ``judge``, a broadcast model, of the pages it passes.
 
-def bodies(pages: DataFrame, id_col: str, text_col: str, chars_col: str) -> DataFrame:
-    """(id, body): each page's text without the lines outside its body."""
-    ranges = body_ranges(pages, id_col, text_col, chars_col)
-    lines = F.slice(F.split("text", "\n", -1), F.col("first") + 1, F.col("stop") - F.col("first"))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.join(ranges.dropDuplicates(["id"]), "id").select("id", F.when(F.col("text").isNotNull(), F.array_join(lines, "\n")).alias("body"))
+    Null and empty texts have no line; a repeated row gives its lines again; otherwise as ``bodies``.
+    """
+    held = pages.sparkSession.sparkContext.broadcast(model or fit_lines(pages, id_col, text_col, chars_col))
+    return _rows(pages, id_col, text_col, chars_col).mapInArrow(_outside(judge, held), "id long, line_no int")

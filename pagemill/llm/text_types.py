@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.code_spans import code_lines
-from pagemill.llm.main_content import body_range
+from pagemill.llm.main_content import LineModel, body_range, fit_lines
 from pagemill.llm.shingles import WORD, words
 from pagemill.shared import materialize, spread
 
@@ -137,7 +137,7 @@ def learn(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, np.ndarray]
     return dict(zip(patterns, posterior))
 
 
-def _measure(least_words: int):
+def _measure(least_words: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
@@ -145,7 +145,7 @@ def _measure(least_words: int):
                 if not text or len(WORD.findall(text)) < least_words:
                     continue
                 lines = text.split("\n")
-                first, stop = body_range(lines, chars)
+                first, stop = body_range(lines, chars, held.value)
                 row = statistics(lines[first:stop])
                 ids.append(page)
                 rows.append(row)
@@ -158,14 +158,15 @@ def _measure(least_words: int):
 _SCHEMA = "id long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", votes string"
 
 
-def measured(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = 1) -> DataFrame:
+def measured(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = 1, model: LineModel | None = None) -> DataFrame:
     """(id, statistics..., votes) of each page with at least ``least_words`` words, its chrome and title left out.
 
     Null and empty texts have no row; a null count of the body's characters is no constraint; a repeated row gives its
     row again; other columns are ignored; an empty table gives no rows.
     """
     rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(chars_col).cast("int").alias("chars")))
-    return rows.mapInArrow(_measure(least_words), _SCHEMA)
+    held = pages.sparkSession.sparkContext.broadcast(model or fit_lines(pages, id_col, text_col, chars_col))
+    return rows.mapInArrow(_measure(least_words, held), _SCHEMA)
 
 
 def typed(pages: DataFrame, id_col: str, text_col: str, chars_col: str, least_words: int = LEAST_WORDS) -> DataFrame:
