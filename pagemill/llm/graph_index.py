@@ -28,7 +28,6 @@ by stored text. A query goes to the part of its own hash first, and to all other
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.shingles import WordHashes, mix, overlap, shingles, word_hashes
+from pagemill.llm.stored import StoredTable, bucket_count, note, noted
 from pagemill.shared import discard, materialize, shared_folder, spread
 
 ROUTES = 6
@@ -55,11 +55,11 @@ BEAMS = (8, 16, 32, 64, 128)
 TUNING_QUERIES = 64
 TUNING_RECALL = 0.97
 #: Shards of a cell from which a compaction merges them.
-MOST_SHARDS = 4
+MOST_SHARDS = 5
 #: Cosine from which a text found is compared exactly. Texts of similarity 0.6 have 0.75 on average, deviation 0.06.
 LEAST_COSINE = 0.5
 #: Texts of each shard that are compared first; the others only where these settle nothing.
-NEAREST = 4
+NEAREST = 16
 #: Most rows of keys (8 bytes each) that are sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Bits kept of a shingle's hash in the stored sets: two sets of 250 shingles have a false match with probability 6e-8.
@@ -363,29 +363,13 @@ class History:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, cells: int = 1, size: int = 5, num: int = 4, den: int = 5, least_words: int = 1):
         self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-        about = {"cells": cells, "size": size, "num": num, "den": den, "least_words": least_words, "buckets": max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "version": 0, "batches": [], "shards": 0, "cleaned": 0}
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/about")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            about |= json.loads(spark.read.text(f"{self.folder}/about").first()[0])
-        self.about = about
-        self._name = f"history_{uuid.uuid4().hex}"
-        self._tables: set[str] = set()
-
-    def _save(self) -> None:
-        self.spark.createDataFrame([(json.dumps(self.about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/about")
-
-    def _bucketed(self, kind: str) -> str:
-        """Name of the table of a kind in this session; its files are in the folder."""
-        columns, by = {"shards": (_SHARDS, "route, cell, part"), "keys": ("h1 long, h2 long", "h1, h2")}[kind]
-        version = self.about["version"] if kind == "shards" else 0
-        name = f"{self._name}_{kind}_{version}"
-        if name not in self._tables:
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {self.about['buckets']} BUCKETS LOCATION '{self.folder}/{kind}-{version}'")
-            self._tables.add(name)
-        return name
-
-    def _append(self, rows: DataFrame, kind: str) -> None:
-        rows.write.insertInto(self._bucketed(kind))
+        fresh = {"cells": cells, "size": size, "num": num, "den": den, "least_words": least_words, "buckets": bucket_count(spark), "version": 0, "batches": [], "shards": 0, "split": False}
+        self.about = noted(spark, self.folder, fresh)
+        self.keys = StoredTable(spark, f"{self.folder}/keys", "h1 long, h2 long", "h1, h2", self.about["buckets"])
+        self.shards = self._shard_table()
+
+    def _shard_table(self) -> StoredTable:
+        return StoredTable(self.spark, f"{self.folder}/shards-{self.about['version']}", _SHARDS, "route, cell, part", self.about["buckets"])
 
     def _sets(self) -> DataFrame | None:
         paths = [p for _, p in self.about["batches"] if p]
@@ -393,9 +377,8 @@ class History:
 
     def drop(self) -> None:
         """Remove the index, its folder included."""
-        for name in self._tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self._tables.clear()
+        self.keys.drop()
+        self.shards.drop()
         discard(self.spark, self.folder, *(p for _, p in self.about["batches"] if p))
 
     def stage(self, texts: DataFrame) -> DataFrame:
@@ -405,7 +388,7 @@ class History:
 
     def _parts(self) -> DataFrame:
         """(route, cell, parts) of the cells that are split, of which there are few."""
-        return self.spark.table(self._bucketed("shards")).groupBy("route", "cell").agg((F.max("part") + 1).alias("parts")).where("parts > 1")
+        return self.shards.read().groupBy("route", "cell").agg((F.max("part") + 1).alias("parts")).where("parts > 1")
 
     def like(self, staged: DataFrame) -> DataFrame:
         """(key) of the staged texts that are like a text of an accepted batch."""
@@ -413,7 +396,7 @@ class History:
         if held is None:
             return self.spark.createDataFrame([], "key long")
         routed = staged.select("key", "cells", "vector").mapInArrow(_routed, "route int, cell int, key long, vector binary")
-        parts = self._parts() if self.about.get("split") else None
+        parts = self._parts() if self.about["split"] else None
         if parts is None:
             asks = routed.withColumn("parts", F.lit(1))
         else:
@@ -434,7 +417,7 @@ class History:
     def _found(self, asks: DataFrame, most: int | None) -> DataFrame:
         by = ["route", "cell", "part"]
         asks = asks.select(*by, "key", "vector")
-        shards = self.spark.table(self._bucketed("shards"))
+        shards = self.shards.read()
         if most is None:  # few ask again, and only the shards of their cells are read
             asks = materialize(asks, "graph-asks")
             if asks.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
@@ -457,7 +440,7 @@ class History:
 
     def known(self, rows: DataFrame, h1: str, h2: str) -> DataFrame:
         """The rows whose pair of hashes an accepted batch has."""
-        keys = self.spark.table(self._bucketed("keys")).select(F.col("h1").alias(h1), F.col("h2").alias(h2))
+        keys = self.keys.read().select(F.col("h1").alias(h1), F.col("h2").alias(h2))
         return rows.join(keys, [h1, h2], "left_semi")
 
     def accept(self, batch: int, staged: DataFrame, staged_path: str | None, hashes: DataFrame) -> None:
@@ -473,23 +456,22 @@ class History:
         else:
             routed = routed.withColumn("part", F.lit(0))
         shards = routed.select("route", "cell", "part", "key", "vector").groupBy("route", "cell", "part").applyInArrow(_build, _SHARDS)
-        self._append(shards, "shards")
-        self._append(hashes.select("h1", "h2").distinct(), "keys")
+        self.shards.append(shards)
+        self.keys.append(hashes.select("h1", "h2").distinct())
         self.about["batches"].append((batch, staged_path))
         self.about["shards"] += 1
-        self._save()
+        note(self.spark, self.folder, self.about)
 
     def compact(self) -> None:
         """Merge the shards of every cell; the tables of before are removed."""
-        before, name = f"{self.folder}/shards-{self.about['version']}", self._bucketed("shards")
-        merged = self.spark.table(name).groupBy("route", "cell", "part").applyInArrow(_merge, _SHARDS)
+        before = self.shards
+        merged = before.read().groupBy("route", "cell", "part").applyInArrow(_merge, _SHARDS)
         self.about["version"] += 1
-        self._append(merged, "shards")
+        self.shards = self._shard_table()
+        self.shards.append(merged)
         self.about["shards"] = 1
-        self._save()
-        self.spark.sql(f"DROP TABLE {name}")
-        self._tables.discard(name)
-        discard(self.spark, before)
+        note(self.spark, self.folder, self.about)
+        before.drop()
 
 
 def seen_before(pages: DataFrame, id_col: str, text_col: str, batch_col: str, url: Column | None = None, size: int = 5, num: int = 4, den: int = 5, least_words: int = 1, cells: int | None = None) -> DataFrame:

@@ -24,6 +24,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(titles, "id", "left_anti").withColumnRenamed("id", "page_id")
 
 
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's body alone, and which lines it is."""
+    pages = table(spark, sf_dir, "sent_pages").select("page_id", "markdown", F.col("crawler_report.main_content_chars").alias("chars"))
+    return main_content.bodies(pages, "page_id", "markdown", "chars").withColumnRenamed("id", "page_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     info, sent = table(spark, sf_dir, "page_info"), table(spark, sf_dir, "sent_pages")
     pages = sent.select("page_id", "markdown", F.col("crawler_report.main_content_chars").alias("chars"))
@@ -55,6 +61,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(pages, "page_id", "url", "markdown", "batch_no").withColumnRenamed("id", "page_id")
 
 
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with repeated lines, without these lines, and how many there were."""
+    pages = table(spark, sf_dir, "sent_pages").select("page_id", "url", "markdown", "batch_no")
+    removed = site_lines.repeated_lines(pages, "page_id", "url", "markdown", "batch_no")
+    return site_lines.rebuild(pages, "page_id", "markdown", removed).select(F.col("id").alias("page_id"), F.col("text").alias("markdown"), "removed")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "sent_pages").select("page_id", "url", "markdown", "batch_no")
     seen = graph_index.seen_before(pages, "page_id", "markdown", "batch_no", normalize_url(F.col("url")), size=3, num=3, den=5, least_words=60)
@@ -86,7 +99,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"

@@ -250,15 +250,18 @@ def test_site_lines(spark):
     assert set(built) == set(range(7)) and built[1]["text"] == "own line of page b with enough words x\nshort\n" and built[1]["removed"] == 2
 
 
-def test_line_counts_merge_as_deltas(spark):
-    rows = [(k, "https://s.test/", "the same long line for all of them", k // 4) for k in range(9)]
+def test_line_counts_merge_as_deltas(spark, tmp_path):
+    """The line crosses with the second partition, which brings in the first one's documents; later ones bring their own only."""
+    rows = [(k, "https://s.test/", "the same long line for all of them\nown line of words no other has " + "abcdefghi"[k], k // 4) for k in range(9)]
     df = spark.createDataFrame(rows, "page long, url string, body string, part int")
-    found = site_lines.occurrences(df, "page", "url", "body", "part")
-    counts, crossed = site_lines.LineCounts(spark), []
+    found, out = site_lines.occurrences(df, "page", "url", "body", "part"), []
     for part in (0, 1, 2):
-        crossed.append(counts.merge(found.where(F.col("part") == part)).count())
-    assert crossed == [0, 1, 0]
-    assert [r["documents"] for r in counts.state().collect()] == [9]
+        counts = site_lines.LineCounts(spark, folder=f"file://{tmp_path}/counts")  # opened anew each time
+        out.append(sorted(tuple(r) for r in counts.merge(found.where(F.col("part") == part)).collect()))
+        if part == 1:
+            counts.compact()
+    assert out == [[], [(k, 0) for k in range(8)], [(8, 0)]]
+    assert sorted(r["documents"] for r in counts.state().collect()) == [1] * 9 + [9]
 
 
 def brute_leaks(docs, items, least=13):
