@@ -74,8 +74,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumnRenamed("id", "page_id")
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold part of an item's passage, also with small edits."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return p9_leaks(spark, sf_dir).where("exact").select("doc_id", "item_id")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"

@@ -276,8 +276,8 @@ def brute_leaks(docs, items, least=13):
     return {(d, i) for d, t in docs for w in [plain(t)] for k in range(len(w) - least + 1) for i in grams.get(tuple(w[k : k + least]), ())}
 
 
-@pytest.mark.parametrize("edits,block", [(0, 10**9), (1, 10**9), (0, 400)])
-def test_leaks(spark, edits, block):
+@pytest.mark.parametrize("share,block", [(0.0, 10**9), (1 / 40, 10**9), (0.1, 10**9), (1 / 40, 400)])
+def test_leaks(spark, share, block):
     rng = random.Random(3)
     words = ["a", "bé", "c3", "dog", "ever", "é", "word", "长句", "слово"]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40)))) for k in range(20)] + [(50, None), (51, ""), (52, "a b c d e f g h i j k l m")]
@@ -289,11 +289,49 @@ def test_leaks(spark, edits, block):
     docs += [(100, None), (101, ""), (102, "A. B, c; D e f g\u00a0h i j k l M"), (103, "e\u0301 " * 5), docs[0]]
     d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, passage string, doc_id int")
-    got = {(r[0], r[1]) for r in leaks.leaked_items(d, i, edits=edits, block_chars=block).collect()}
-    assert got == brute_leaks(docs, items)
-
-
-def test_banded_distance():
-    assert leaks.banded_distance("kitten", "sitting", 8) == 3
-    assert leaks.banded_distance("abc", "abc", 0) == 0
-    assert leaks.banded_distance("", "ab", 2) == 2
+    got = leaks.leaked_items(d, i, edit_share=share, block_chars=block).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["exact"]} == brute_leaks(docs, items)
+    assert all(r["exact"] or r["edits"] > 0 or share == 0 for r in got)
+
+
+def nearest(pattern, text):
+    """Edit distance of a pattern and the stretch of a text nearest to it."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        last, row[0] = row[0], i
+        for j, t in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != t))
+    return min(row)
+
+
+def test_leaks_with_edits_are_those_of_brute_force(spark):
+    """Windows with typing errors, dropped and added characters, in texts of the same words."""
+    rng = random.Random(9)
+    words = [("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))) for _ in range(40)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(18))) for k in range(8)]
+    docs, share = [], 0.04
+    for k in range(90):
+        part = items[k % 8][1].split()[k % 5 : k % 5 + 13]
+        chars = list(" ".join(part))
+        for _ in range(k % 6):
+            at, how = rng.randrange(len(chars)), rng.randrange(3)
+            if chars[at] != " ":
+                chars[at : at + 1] = [["z"], [], [chars[at], "q"]][how]
+        filler = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        docs.append((k, " ".join(filler[:15] + ["".join(chars)] + filler[15:])))
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), edit_share=share).collect()}
+    want = {}
+    for d, text in docs:
+        for i, passage in items:
+            w = passage.split()
+            windows = [" ".join(w[k : k + 13]) for k in range(len(w) - 12)]
+            within = [n for x in windows if (n := nearest(x, text)) <= int(share * len(x))]
+            if within:
+                want[d, i] = min(within)
+    assert len(want) > 30 and got == want
+
+
+def test_banded_distances():
+    code = lambda *texts: np.array([leaks.codes_of(t) for t in texts])
+    assert leaks.banded_distances(code("kitten", "abcdef"), np.array([6, 3]), code("xkitteenyyy", "zzabzzzzzzz")).tolist() == [1, 1]
+    assert leaks.banded_distances(code("abc"), np.array([3]), code("abc")).tolist() == [0]
