@@ -56,6 +56,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's group of near duplicates, and the number of different texts its own is linked with."""
+    pages = table(spark, sf_dir, "sent_pages").select("page_id", "markdown")
+    return signature_tree.near_duplicate_classes(pages, "page_id", "markdown", size=3, num=3, den=5, least_words=60).withColumnRenamed("id", "page_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "sent_pages").select("page_id", "url", "markdown", "batch_no")
     return site_lines.repeated_lines(pages, "page_id", "url", "markdown", "batch_no").withColumnRenamed("id", "page_id")
@@ -104,7 +110,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"

@@ -7,9 +7,10 @@ Two texts are linked if the distinct sequences of ``size`` consecutive words in
 2. All texts order their shingles the same way, rare ones first (rarity: counts over all texts in a table of fixed
    length). Two linked texts share one of their first ``n - ceil(t n) + 1`` shingles, so a text is sent, once, to each
    *cell* (hash range of shingles) in which it has such a shingle.
-3. In a cell, the texts under one shingle form a signature tree: leaves of up to ``LEAF`` texts in order of size, each
-   node with the OR of its texts' bitmaps and the range of their sizes. A dual traversal of the tree with itself drops
-   every pair of nodes whose largest possible overlap is too small; short runs are one leaf.
+3. In a cell, the texts under each shingle form a signature tree, whatever their number: leaves of ``LEAF`` texts, texts
+   with the same leading shingles side by side, each node with the OR of its texts' bitmaps and the range of their sizes. A
+   dual traversal of each tree with itself, all trees of the cell together, drops every pair of nodes whose largest
+   possible overlap is too small.
 4. The shared leading shingles of a pair are added up over the cells; pairs that cannot reach the threshold any more
    are dropped, and the rest are compared exactly, shingle by shingle.
 
@@ -34,101 +35,126 @@ RARITY_SLICES = 64
 SIGNATURE_BITS = 512
 #: Texts of the corpus for each cell: with these, a cell has some 100 000 to a million rows of about 100 bytes at any size.
 CELL_TEXTS = 10_000
-LEAF = 64
-FANOUT = 8
-_PAIR_BLOCK = 1 << 19
-
-
-class SignatureTree:
-    """Texts in order of size; ``nodes[k]`` covers them in runs of ``LEAF * FANOUT**k``."""
-
-    def __init__(self, signatures: np.ndarray, sizes: np.ndarray, excess: np.ndarray, num: int, den: int):
-        self.signatures, self.sizes, self.excess, self.num, self.den = signatures, sizes, excess, num, den
-        self.levels = []
-        starts = np.arange(0, len(sizes), LEAF)
-        bits = np.bitwise_or.reduceat(signatures, starts, axis=0)
-        low, high, extra = sizes[starts], np.maximum.reduceat(sizes, starts), np.maximum.reduceat(excess, starts)
-        self.levels.append((bits, low, high, extra))
-        while len(bits) > 1:
-            starts = np.arange(0, len(bits), FANOUT)
-            bits, low = np.bitwise_or.reduceat(bits, starts, axis=0), low[starts]
-            high, extra = np.maximum.reduceat(high, starts), np.maximum.reduceat(extra, starts)
-            self.levels.append((bits, low, high, extra))
-
-    def _possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether some text of node a and some of node b can be linked."""
-        bits, low, high, extra = self.levels[level]
-        sizes = (self.num * low[b] <= self.den * high[a]) & (self.num * low[a] <= self.den * high[b])
+LEAF = 2
+FANOUT = 4
+#: Pairs of nodes looked at together, and pairs of texts a cell holds before it hands them on.
+_NODE_PAIRS = 1 << 15
+_TEXT_PAIRS = 1 << 21
+
+
+class SignatureForest:
+    """A tree for each run of texts; ``starts`` are the places at which runs begin in the arrays of texts.
+
+    ``levels[k]`` covers the texts of a run in nodes of ``LEAF * FANOUT**k``; a run's root is its one node on some level.
+    """
+
+    def __init__(self, signatures: np.ndarray, sizes: np.ndarray, excess: np.ndarray, starts: np.ndarray, num: int, den: int):
+        self.num, self.den = num, den
+        self.texts = (signatures, sizes, sizes, excess)
+        self.starts, self.lengths = starts, np.diff(np.concatenate([starts, [len(sizes)]]))
+        #: pairs of nodes tested, and dropped by size and by overlap
+        self.tested = self.by_size = self.by_overlap = 0
+        self.levels, runs, counts = [], np.arange(len(starts)), -(-self.lengths // LEAF)
+        below, first_below, count_below, fanout = self.texts, starts, self.lengths, LEAF
+        while len(runs):
+            run = np.repeat(runs, counts)
+            first = np.zeros(len(starts), np.int64)
+            first[runs] = np.cumsum(counts) - counts
+            count = np.zeros(len(starts), np.int64)
+            count[runs] = counts
+            within = np.arange(len(run)) - first[run]
+            children = first_below[run] + within * fanout
+            bits, low, high, extra = below
+            nodes = (bits[children], low[children], high[children], extra[children])
+            size = np.minimum(fanout, count_below[run] - within * fanout)
+            for k in range(1, fanout):
+                more = np.flatnonzero(size > k)
+                child = children[more] + k
+                nodes[0][more] |= bits[child]
+                nodes[1][more] = np.minimum(nodes[1][more], low[child])
+                nodes[2][more] = np.maximum(nodes[2][more], high[child])
+                nodes[3][more] = np.maximum(nodes[3][more], extra[child])
+            self.levels.append((nodes, run, first, count))
+            below, first_below, count_below, fanout = nodes, first, count, FANOUT
+            going = counts > 1
+            runs, counts = runs[going], -(-counts[going] // FANOUT)
+
+    def _possible(self, nodes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes, or of texts, can hold a link by their sizes and the largest overlap their bitmaps allow."""
+        bits, low, high, extra = nodes
+        kept = np.flatnonzero((a == b) | (self.num * low[b] <= self.den * high[a]) & (self.num * low[a] <= self.den * high[b]))
+        self.tested += len(a)
+        self.by_size += len(a) - len(kept)
+        a, b = a[kept], b[kept]
         most = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
-        return sizes & (most * (self.num + self.den) >= self.num * (low[a] + low[b]))
+        enough = (a == b) | (most * (self.num + self.den) >= self.num * (low[a] + low[b]))
+        self.by_overlap += len(a) - int(enough.sum())
+        return kept[enough]
+
+    def _children(self, a, b, first, count, within_a, within_b, fanout: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of children (x <= y) of pairs of nodes of one run."""
+        i, j = (g.ravel() for g in np.meshgrid(np.arange(fanout), np.arange(fanout), indexing="ij"))
+        x, y = within_a[:, None] * fanout + i, within_b[:, None] * fanout + j
+        keep = (x < count[:, None]) & (y < count[:, None]) & ((a != b)[:, None] | (x <= y))
+        base = np.broadcast_to(first[:, None], x.shape)[keep]
+        return base + x[keep], base + y[keep]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions (a < b) that may be linked, leaf pair by leaf pair."""
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        """Pairs of places (a < b) of texts that may be linked."""
+        stack = []
+        for level, (_, run, first, count) in enumerate(self.levels):
+            roots = first[np.unique(run)[count[np.unique(run)] == 1]]
+            stack.extend((level, roots[k : k + _NODE_PAIRS], roots[k : k + _NODE_PAIRS]) for k in range(0, len(roots), _NODE_PAIRS))
         while stack:
             level, a, b = stack.pop()
-            keep = self._possible(level, a, b)
-            a, b = a[keep], b[keep]
+            nodes, run, first, _ = self.levels[level]
+            kept = self._possible(nodes, a, b)
+            a, b = a[kept], b[kept]
             if not len(a):
                 continue
-            if level == 0:
-                for x, y in zip(a, b):
-                    i = np.arange(x * LEAF, min((x + 1) * LEAF, len(self.sizes)))
-                    j = np.arange(y * LEAF, min((y + 1) * LEAF, len(self.sizes)))
-                    i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-                    yield i[i < j], j[i < j]
+            own = run[a]
+            within_a, within_b = a - first[own], b - first[own]
+            if level:
+                _, _, first_below, count_below = self.levels[level - 1]
+                x, y = self._children(a, b, first_below[own], count_below[own], within_a, within_b, FANOUT)
+                stack.extend((level - 1, x[k : k + _NODE_PAIRS], y[k : k + _NODE_PAIRS]) for k in range(0, len(x), _NODE_PAIRS))
                 continue
-            below = len(self.levels[level - 1][1])
-            grid = np.arange(FANOUT)
-            x = (a[:, None, None] * FANOUT + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
-            y = (b[:, None, None] * FANOUT + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
-            keep = (x < below) & (y < below) & (x <= y)
-            x, y = x[keep], y[keep]
-            for k in range(0, len(x), 4096):
-                stack.append((level - 1, x[k : k + 4096], y[k : k + 4096]))
-
-
-def linkable(signatures, sizes, excess, a, b, num: int, den: int) -> np.ndarray:
-    """Whether texts a and b can be linked by their sizes and the largest overlap their bitmaps allow."""
-    small = np.minimum(sizes[a], sizes[b])
-    keep = np.flatnonzero(den * small >= num * np.maximum(sizes[a], sizes[b]))
-    out = np.zeros(len(a), bool)
-    a, b = a[keep], b[keep]
-    most = np.bitwise_count(signatures[a] & signatures[b]).sum(1, dtype=np.int64) + np.minimum(excess[a], excess[b])
-    out[keep] = most * (num + den) >= num * (sizes[a] + sizes[b])
-    return out
-
-
-def cell_pairs(keys, sizes, signatures, tokens, owners, num: int, den: int):
-    """Of the texts of a cell: pairs that may be linked, with the number of leading shingles they share here."""
+            x, y = self._children(a, b, self.starts[own], self.lengths[own], within_a, within_b, LEAF)
+            x, y = x[x != y], y[x != y]
+            kept = self._possible(self.texts, x, y)
+            yield x[kept], y[kept]
+
+
+def cell_pairs(sizes, signatures, tokens, owners, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the texts of a cell: pairs that may be linked, with the number of leading shingles they share here (in parts)."""
+    n = len(sizes)
     excess = sizes - np.bitwise_count(signatures).sum(1, dtype=np.int64)
-    order = np.lexsort((sizes[owners], tokens))
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, owners, tokens)
+    order = np.lexsort((sizes[owners], least[owners], tokens))
     tokens, owners = tokens[order], owners[order]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
-    lengths = np.diff(np.r_[starts, len(tokens)])
-    found: list[np.ndarray] = []
-    n = len(keys)
-
-    def add(a, b):
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        keep = linkable(signatures, sizes, excess, a, b, num, den)
-        found.append(a[keep] * n + b[keep])
-
-    for length in np.unique(lengths[lengths > 1]):
-        runs = starts[lengths == length]
-        if length <= LEAF:
-            i, j = np.triu_indices(length, 1)
-            block = max(1, _PAIR_BLOCK // len(i))
-            for k in range(0, len(runs), block):
-                members = owners[runs[k : k + block, None] + np.arange(length)]
-                add(members[:, i].ravel(), members[:, j].ravel())
-        else:
-            for run in runs:
-                own = owners[run : run + length]
-                for i, j in SignatureTree(signatures[own], sizes[own], excess[own], num, den).pairs():
-                    add(own[i], own[j])
-    pairs, shared = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
-    return pairs // max(n, 1), pairs % max(n, 1), shared
+    again = np.concatenate([[False], tokens[1:] == tokens[:-1]]) if len(tokens) else np.empty(0, bool)
+    shared = again | np.concatenate([again[1:], [False]]) if len(tokens) else again
+    tokens, owners = tokens[shared], owners[shared]
+    if not len(tokens):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    forest = SignatureForest(signatures[owners], sizes[owners], excess[owners], starts, num, den)
+    held, number = [], 0
+
+    def counted():
+        pairs, times = np.unique(np.concatenate(held), return_counts=True)
+        return pairs // n, pairs % n, times
+
+    for x, y in forest.pairs():
+        a, b = owners[x], owners[y]
+        held.append(np.minimum(a, b) * n + np.maximum(a, b))
+        number += len(a)
+        if number > _TEXT_PAIRS:
+            yield counted()
+            held, number = [], 0
+    if number:
+        yield counted()
 
 
 def _count_slots(size: int, least_words: int):
@@ -199,26 +225,35 @@ def _routes(rarity, size: int, least_words: int, num: int, den: int, cells: int)
 
 
 def _join_cell(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = [b for b in batches if b.num_rows]
-        if not taken:
-            return
-        whole = pa.Table.from_batches(taken).combine_chunks()
-        cells = whole["cell"].to_numpy()
-        for cell in np.unique(cells):
-            own = whole.filter(pa.array(cells == cell))
-            keys, at = np.unique(own["key"].to_numpy(), return_index=True)
-            own = own.take(pa.array(at))
-            sizes = own["n"].to_numpy().astype(np.int64)
-            signatures = np.frombuffer(b"".join(own["signature"].to_pylist()), np.uint64).reshape(len(keys), -1)
-            first = own["first"].to_pylist()
-            tokens = np.frombuffer(b"".join(first), np.uint64)
-            owners = np.repeat(np.arange(len(keys)), [len(x) // 8 for x in first])
-            a, b, shared = cell_pairs(keys, sizes, signatures, tokens, owners, num, den)
+    def joined(own: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, at = np.unique(own["key"].to_numpy(), return_index=True)
+        own = own.take(pa.array(at))
+        sizes = own["n"].to_numpy().astype(np.int64)
+        signatures = np.frombuffer(b"".join(own["signature"].to_pylist()), np.uint64).reshape(len(keys), -1)
+        first = own["first"].to_pylist()
+        tokens = np.frombuffer(b"".join(first), np.uint64)
+        owners = np.repeat(np.arange(len(keys)), [len(x) // 8 for x in first])
+        for a, b, shared in cell_pairs(sizes, signatures, tokens, owners, num, den):
             for k in range(0, len(a), 65536):
                 i, j = a[k : k + 65536], b[k : k + 65536]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(keys[j]), pa.array(sizes[i].astype(np.int32)), pa.array(sizes[j].astype(np.int32)), pa.array(shared[k : k + 65536].astype(np.int32))], ["a", "b", "n_a", "n_b", "shared"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of their cells, and one cell is held at a time."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(cells)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(cells)]):
+                if held and held[0].column(0)[0].as_py() != cells[a]:
+                    yield from joined(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
+
     return run
 
 
@@ -262,7 +297,7 @@ def similar_texts(pages: DataFrame, id_col: str, text_col: str, size: int = 5, n
     cells = cells or max(spark.sparkContext.defaultParallelism, pages.count() // CELL_TEXTS)
     source = spread(keyed(pages, id_col, text_col).select("key", "text"))
     routed = source.mapInArrow(_routes(rarity, size, least_words, num, den, cells), "cell int, key long, n int, signature binary, first binary")
-    by_cell = routed.repartitionById(cells, F.col("cell"))
+    by_cell = routed.repartitionById(cells, F.col("cell")).sortWithinPartitions("cell")
     partial = by_cell.mapInArrow(_join_cell(num, den), "a long, b long, n_a int, n_b int, shared int")
     # What is shared beyond both prefixes is at most the longer of the two rests.
     need = F.lit(num) * (F.col("n_a") + F.col("n_b"))
@@ -281,7 +316,7 @@ def similar_pairs(pages: DataFrame, id_col: str, text_col: str, **how) -> DataFr
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, class): the smallest node each node is connected with; ``edges`` (a, b), ``nodes`` (node).
 
     Labels spread along links and through the label's own label, so a chain of length n takes about log2 n rounds. A
@@ -290,7 +325,7 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> Dat
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialize(nodes.select("node", F.col("node").alias("class")).distinct(), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.least("class", F.coalesce("near", "class")).alias("next"), "class")
         via = step.select(F.col("node").alias("next"), F.col("next").alias("jump"))
@@ -299,7 +334,6 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> Dat
         labels = step.select("node", F.col("next").alias("class"))
         if step.where("next <> class").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicate_classes(pages: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:

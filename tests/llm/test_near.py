@@ -105,14 +105,42 @@ def test_tree_traversal_loses_nothing():
         bits[k, (s >> np.uint64(40)).astype(np.int64) % 512] = 1
     signatures = np.packbits(bits, axis=1).view(np.uint64)
     excess = sizes - np.bitwise_count(signatures).sum(1, dtype=np.int64)
-    tree = signature_tree.SignatureTree(signatures, sizes, excess, 3, 5)
-    found = {(int(a), int(b)) for i, j in tree.pairs() for a, b in zip(i, j)}
-    true = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 8 * overlap(sets[a], sets[b]) >= 3 * (sizes[a] + sizes[b])}
-    assert true and true <= found
-    i, j = (np.array(x) for x in zip(*found))
-    kept = signature_tree.linkable(signatures, sizes, excess, i, j, 3, 5)
-    assert true <= {(a, b) for a, b, k in zip(i.tolist(), j.tolist(), kept) if k}
-    assert kept.sum() < 0.2 * len(found)
+    for starts in ([0], [0, 2, 5, 6, 150]):
+        forest = signature_tree.SignatureForest(signatures, sizes, excess, np.array(starts), 3, 5)
+        run = np.searchsorted(starts, np.arange(len(sets)), "right")
+        found = [(int(a), int(b)) for i, j in forest.pairs() for a, b in zip(i, j)]
+        true = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if run[a] == run[b] and 8 * overlap(sets[a], sets[b]) >= 3 * (sizes[a] + sizes[b])}
+        assert true and true <= set(found) and len(found) == len(set(found))
+        assert all(a < b and run[a] == run[b] for a, b in found) and len(found) < 2 * len(true)
+
+
+def test_trees_prune_nodes_by_overlap(spark):
+    """On the pages of sf0.1 trees are built, and most pairs of different nodes in them go for their bitmaps' overlap."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/sent_pages.parquet").where("markdown is not null").select("markdown").limit(6000).collect()]
+    cache, sets = WordHashes(), []
+    for text in dict.fromkeys(texts):
+        if len(hashes := word_hashes(text, cache)) >= 60:
+            sets.append(shingles(hashes, 3))
+    sizes = np.array([len(s) for s in sets])
+    bits = np.zeros((len(sets), 512), np.uint8)
+    for k, s in enumerate(sets):
+        bits[k, (s >> np.uint64(40)).astype(np.int64) % 512] = 1
+    signatures = np.packbits(bits, axis=1).view(np.uint64)
+    excess = sizes - np.bitwise_count(signatures).sum(1, dtype=np.int64)
+    # texts that share one shingle, families side by side
+    tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    least = np.array([s[0] for s in sets])
+    order = np.lexsort((sizes[owners], least[owners], tokens))
+    tokens, owners = tokens[order], owners[order]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(tokens)]]))
+    members = np.concatenate([owners[s : s + n] for s, n in zip(starts, lengths) if 8 <= n <= 64][:3000])
+    runs = [n for n in lengths if 8 <= n <= 64][:3000]
+    forest = signature_tree.SignatureForest(signatures[members], sizes[members], excess[members], np.concatenate([[0], np.cumsum(runs)[:-1]]), 3, 5)
+    assert len(forest.levels) >= 3
+    for _ in forest.pairs():
+        pass
+    assert forest.by_overlap > 0.5 * (forest.tested - forest.by_size)
 
 
 def test_empty_tables(pages, spark):
