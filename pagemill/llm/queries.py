@@ -105,12 +105,17 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
 
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.fill_of(p8_containers(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_types": p3_types, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_blocks": p7_blocks, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"

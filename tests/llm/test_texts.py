@@ -199,6 +199,22 @@ def test_packing_fills_well():
     assert sum(tokens) / (1000 * len({r[4] for r in rows})) > 0.99
 
 
+def test_many_texts_of_one_cluster_or_of_no_token():
+    """300 texts without a token share containers; thousands of one cluster are placed without looking at each other's containers."""
+    rows = packing.pack(list(range(300)), [0] * 300, [None] * 300, [None] * 300, 100)
+    assert len({r[4] for r in rows}) == 1
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        rows = packing.pack(list(range(n)), [10] * n, [None] * n, ["same"] * n, 100)
+        assert len({r[4] for r in rows}) == n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 12 * seconds(4_000) + 0.2
+
+
 def test_containers(spark):
     docs = spark.createDataFrame([(1, "one two three", "a.test"), (2, None, None), (3, "", "a.test"), (4, "word " * 300, "b.test"), (5, "One, two three!", "c.test"), (1, "one two three", "a.test")], "doc_id long, text string, source string")
     kinds = spark.createDataFrame([("s", 64), ("l", 512), ("none", None), ("zero", 0)], "container_kind string, capacity_tokens int")
@@ -211,6 +227,8 @@ def test_containers(spark):
         place = {r["doc_id"]: r["container"] for r in own if r["doc_id"] in (1, 5)}
         assert place[1] != place[5]
     assert sum(r["tokens"] for r in rows if r["container_kind"] == "s" and r["doc_id"] == 4) == sum(r["tokens"] for r in rows if r["container_kind"] == "l" and r["doc_id"] == 4)
+    fill = {r["container_kind"]: r for r in packing.fill_of(packing.fill_containers(docs, kinds), kinds).collect()}
+    assert set(fill) == {"s", "l"} and all(r["texts"] == 5 and 0 < r["fill"] <= 1 for r in fill.values())
     assert packing.fill_containers(docs.limit(0), kinds).count() == packing.fill_containers(docs, kinds.limit(0)).count() == 0
 
 
