@@ -59,7 +59,7 @@ MOST_SHARDS = 5
 #: Cosine from which a text found is compared exactly. Texts of similarity 0.6 have 0.75 on average, deviation 0.06.
 LEAST_COSINE = 0.5
 #: Texts of each shard that are compared first; the others only where these settle nothing.
-NEAREST = 16
+NEAREST = 64
 #: Most rows of keys (8 bytes each) that are sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Bits kept of a shingle's hash in the stored sets: two sets of 250 shingles have a false match with probability 6e-8.
