@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -44,7 +45,6 @@ SMOOTHING = 3.0
 #: Characters of a line from which it supports content in full; what a code block cut in two costs.
 SHORT_LINE = 130
 BROKEN_CODE = 4.0
-_WORD = re.compile(r"[^\W\d_]+|\d")
 _ITEM = re.compile(r"\s*(?:[-*+•–]|\d{1,3}[.)])\s")
 _STOP = re.compile(r"[.!?…][\"'”»“)*_]*$")
 _MENU = re.compile(r"\s[|›»]\s|^\S+ > ")
@@ -89,10 +89,15 @@ def ratios(lines: list[str]) -> np.ndarray:
             inside = bool(counter.rawdata)
         else:
             text, tags = len(line), 0
-        out[k] = text / max(1, tags + len(_MARKS.findall(line)))
+        out[k] = text / max(1, tags + (_short_marks(line) if len(line) < 80 else len(_MARKS.findall(line))))
     return out
 
 
+@lru_cache(100_000)
+def _short_marks(line: str) -> int:
+    return len(_MARKS.findall(line))
+
+
 def two_means(values: np.ndarray, rounds: int = 20) -> float:
     """Threshold between two clusters of numbers: the middle of their means."""
     low, high = float(values.min()), float(values.max())
@@ -117,6 +122,22 @@ def support(lines: list[str]) -> np.ndarray:
     return value - two_means(value)
 
 
+def _own_features(line: str, before: bool, after: bool) -> tuple[list[str], list[str]]:
+    """Features of a line's words and form, and those it lends to the items of a list below it; before, after: blank lines there."""
+    text = line.strip()
+    words = list(dict.fromkeys(text.lower().split()))
+    n = len(words)
+    size = f"n{n}" if n < 6 else f"n{6 + int(2 * math.log2(n / 6))}"
+    first, final = text[0], text[-1]
+    begins = "#" if text.startswith("# ") else "##" if first == "#" else first if not first.isalnum() else "A" if first.isupper() else "0" if first.isdigit() else "a"
+    own = [*words, size, "<" + begins, ">" + ("." if _STOP.search(text) else final if not final.isalnum() else "a"), f"{before:d}|{after:d}"]
+    if text.isupper():
+        own.append("^")
+    if len(text) != len(line):
+        own.append("_")
+    return own, [*words, size]
+
+
 def line_features(lines: list[str]) -> list[list[str]]:
     """Features of each line that is not blank: its words, its form and, for an item of a list, the words of the line above it."""
     out, lead, last = [], [], len(lines) - 1
@@ -124,21 +145,11 @@ def line_features(lines: list[str]) -> list[list[str]]:
     for k, line in enumerate(lines):
         if blank[k]:
             continue
-        text = line.strip()
-        words = list(dict.fromkeys(_WORD.findall(text.lower())))
-        n = len(words)
-        size = f"n{n}" if n < 6 else f"n{6 + int(2 * math.log2(n / 6))}"
-        first, final = text[0], text[-1]
-        begins = "#" if text.startswith("# ") else "##" if first == "#" else first if not first.isalnum() else "A" if first.isupper() else "0" if first.isdigit() else "a"
-        own = [*words, size, "<" + begins, ">" + ("." if _STOP.search(text) else final if not final.isalnum() else "a"), f"{k == 0 or blank[k - 1]:d}|{k == last or blank[k + 1]:d}"]
-        if text.isupper():
-            own.append("^")
-        if len(text) != len(line):
-            own.append("_")
+        own, words = _own_features(line, k == 0 or blank[k - 1], k == last or blank[k + 1])
         if _ITEM.match(line):
             own.extend(lead)
         else:
-            lead = ["/" + w for w in (*words, size)]
+            lead = ["/" + w for w in words]
         out.append(own)
     return out
 
@@ -148,10 +159,32 @@ class LineModel:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.seen: dict = {}
 
     def odds(self, lines: list[str]) -> np.ndarray:
-        get = self.weights.get
-        return np.array([max(-MOST_ODDS, min(MOST_ODDS, self.bias + sum([get(f, 0.0) for f in own]))) for own in line_features(lines)])
+        """As the features of ``line_features`` add up; short lines, which pages of a site share, are looked up."""
+        get, out, leads, last = self.weights.get, [], 0.0, len(lines) - 1
+        blank = [not line or line.isspace() for line in lines]
+        for k, line in enumerate(lines):
+            if blank[k]:
+                continue
+            key = (line, k == 0 or blank[k - 1], k == last or blank[k + 1])
+            known = self.seen.get(key)
+            if known is None:
+                own, words = _own_features(*key)
+                item = bool(_ITEM.match(line))
+                known = (self.bias + sum([get(f, 0.0) for f in own]), None if item else sum([get("/" + w, 0.0) for w in words]))
+                if len(line) < 80:
+                    if len(self.seen) >= 100_000:
+                        self.seen.clear()
+                    self.seen[key] = known
+            value = known[0]
+            if known[1] is None:
+                value += leads
+            else:
+                leads = known[1]
+            out.append(max(-MOST_ODDS, min(MOST_ODDS, value)))
+        return np.array(out)
 
     @classmethod
     def train(cls, pages: Iterable[tuple[list[str], tuple[int, int]]]) -> LineModel | None:
@@ -178,8 +211,10 @@ class LineModel:
 def start_form(lines: list[str], first: int) -> float:
     """How well a line begins a body: a main heading, after a blank line, no menu."""
     line = lines[first]
-    heading = line.startswith("#")
-    return 4.0 * (heading and not line.startswith("##")) + 1.5 * (first == 0 or not lines[first - 1].strip()) - 2.5 * (bool(_MENU.search(line)) and not heading)
+    form = 1.5 * (first == 0 or not lines[first - 1].strip())
+    if line.startswith("#"):
+        return form + 4.0 * (not line.startswith("##"))
+    return form - 2.5 * bool(_MENU.search(line))
 
 
 def stop_form(lines: list[str], stop: int) -> float:
@@ -206,14 +241,17 @@ def best_region(lines: list[str], own: list[int], total: np.ndarray, parity: np.
     """(merit, a, b) of the region own[a:b] with the best sum of scores and form, over all regions, in one pass."""
     open_ = {0: (-np.inf, 0), 1: (-np.inf, 0)}  # the best start so far, by the parity of the fences before it
     best = (-np.inf, 0, 1)
+    sums, sides = total.tolist(), parity.tolist()
     for b in range(1, len(own) + 1):
         k = own[b - 1]
-        start = (start_form(lines, k) - total[b - 1], b - 1)
-        open_[int(parity[k])] = max(open_[int(parity[k])], start, key=lambda x: x[0])
-        end = total[b] + stop_form(lines, k + 1)
-        here = int(parity[k + 1])
+        start = start_form(lines, k) - sums[b - 1]
+        if start > open_[sides[k]][0]:
+            open_[sides[k]] = (start, b - 1)
+        end, here = sums[b] + stop_form(lines, k + 1), sides[k + 1]
         for side, (merit, a) in open_.items():
-            best = max(best, (end + merit - BROKEN_CODE * (side != here), a, b), key=lambda x: x[0])
+            value = end + merit - BROKEN_CODE * (side != here)
+            if value > best[0]:
+                best = (value, a, b)
     return best
 
 
