@@ -2,10 +2,11 @@
 
 Trusted records are the positives: titles of pages the crawler turned away for a bad title or phrase, and the short
 list ``SEEDS``. All other passages are unlabelled. Naive Bayes is first trained with the unlabelled as negative; then
-expectation (posterior of each unlabelled passage) and maximization (counts weighted by it) alternate, the positives
-staying what they are. The model is fitted to bounded samples, taken by hash, and applied to every passage of every
-record: a sentence, a title, or a placeholder with the words beside it, outside code. A record's decision joins its
-passages' by their greatest log odds, with further suspicious passages of the record adding to it.
+expectation (posterior of each unlabelled passage) and maximization (counts weighted by it, and the share of positives)
+alternate, the positives staying what they are. So wordings that stand beside trusted ones are learned. The model is fitted
+to bounded samples, taken by hash, and applied to every passage of every record: a sentence, a title, or a placeholder
+with the words beside it, outside code. A record's decision joins its passages' by their greatest log odds, with further
+suspicious passages of the record adding to it.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pagemill.shared import spread
 TRUSTED = 6_000
 TITLES = 6_000
 TEXTS = 4_000
-ROUNDS = 4
-#: Share of passages that are positive.
+ROUNDS = 8
+#: Share of passages that are positive, before any is looked at, and the passages this guess counts for afterwards.
 PRIOR = 0.02
+PRIOR_WEIGHT = 20_000
 #: Occurrences, at the feature's rate over all passages, that each class is credited with.
 SMOOTHING = 12.0
 #: Weight of an unlabelled passage that is thought positive against a trusted one.
@@ -40,35 +42,38 @@ UNKNOWN_WORD = -0.7
 #: Occurrences of a feature in the samples from which it is kept.
 LEAST_COUNT = 2
 
-# Passages of trusted error and placeholder records, by kind.
+# Passages of trusted error and placeholder records, by kind, and the usual filler text.
 SEEDS = """
-Error 404. Page not found. 404 - page not found. 404 Not Found. The page you requested does not exist. We can't find that page. Oops!
-This link is broken or was moved. Sorry, this listing has expired. 410 Gone. 403 Forbidden. Access denied. You do not have permission to view this resource.
-500 Internal Server Error. Something went wrong on our side. Bad gateway (502). 503 Service Temporarily Unavailable. Gateway time-out. Database connection failed.
-Service unavailable. Please try again later. Contact the administrator. Go back to the start page. Use the search or the menu.
-Seite nicht gefunden. Fehler 404. Zugriff verweigert. Interner Serverfehler. Dienst vorübergehend nicht verfügbar. Bitte später versuchen. Zurück zur Startseite.
-Page introuvable. Erreur 404. Accès refusé. Erreur interne du serveur. Service indisponible. Réessayez plus tard. Retour à l'accueil. Cette page n'existe pas.
-Página no encontrada. Error 404. Acceso denegado. Error interno del servidor. Servicio no disponible. Inténtelo más tarde. Volver al inicio.
-Fatal error: Uncaught exception in index.php on line 0. Traceback (most recent call last): File "app.py", line 0, in run. ValueError: value is missing. KeyError: key is missing. TemplateError: template is missing. Traceback:
-Please enable JavaScript. You need to enable JavaScript to run this app. Please activate scripting in your browser to view this content. Kindly turn on JavaScript in the settings and reload. To continue, allow scripting for this site.
-This page requires JavaScript. Checking your browser before you enter this site. Too many requests before you enter this site. Checking your browser. Verifying that you are human. One moment please. Just a moment... Complete the check below. This may take a few seconds. Too many requests. Your access is being reviewed. To continue, turn on JavaScript and cookies for this site and reload.
-Bitte JavaScript im Browser aktivieren. Um fortzufahren, JavaScript in den Einstellungen einschalten und neu laden. Ihr Browser wird geprüft. Bitte warten. Zu viele Anfragen.
-Veuillez activer JavaScript dans le navigateur puis recharger. Pour continuer, il faut activer JavaScript dans les réglages pour voir la page. Vérification de votre navigateur. Trop de requêtes. Un instant. Veuillez patienter.
-Por favor, active JavaScript en el navegador. Para continuar, active JavaScript en los ajustes para ver la página y recargue. Comprobando su navegador. Demasiadas solicitudes. Espere un momento.
-Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
-Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Error 404: there is nothing at this address. Not found. The document that was asked for could not be located on this server. It may have been deleted, or its name was changed. This offer ended and was taken off the site. 410: the item is gone for good.
+Error 403: forbidden. You are not allowed to open this. Sign in with rights to see it. Error 500: the server failed. An unexpected error occurred while the page was put together. Error 502: bad answer of another server. Error 503: the service is down for maintenance. Error 504: no answer in time. No connection to the database.
+The service cannot be reached at present, try again in some minutes. Tell the webmaster if this goes on. Return to the homepage or use the search field.
+Fehler 404: unter dieser Adresse gibt es nichts. Die gewünschte Seite wurde nicht gefunden. Der Zugriff auf dieses Dokument ist verboten. Der Server meldet einen internen Fehler. Der Dienst ist zurzeit nicht erreichbar, bitte versuchen Sie es später noch einmal. Zur Startseite zurückkehren.
+Erreur 404 : il n'y a rien à cette adresse. La page demandée est introuvable. Accès interdit à ce document. Erreur interne du serveur web. Le service est indisponible pour le moment, veuillez réessayer plus tard. Revenir à la page d'accueil.
+Error 404: no hay nada en esta dirección. La página solicitada no se ha encontrado. Acceso prohibido a este documento. Error interno del servidor web. El servicio no está disponible por ahora, vuelva a intentarlo más tarde. Volver a la página de inicio.
+Fatal error: uncaught exception thrown in main.php on line 7. Traceback (most recent call last): File "main.py", line 7, in start. TypeError: argument is missing. ValueError: bad value. KeyError: no such key. Warning: undefined variable on line 7. Stack trace: at main.java line 7.
+JavaScript is turned off in your browser. This site needs JavaScript to work: enable it, then reload. Your browser has scripts disabled; allow scripting to see the content. This app will not run without JavaScript. Turn on cookies and JavaScript to continue.
+We are checking that your browser is safe, wait a few seconds. Prove that you are human to continue. Security check of your connection. Too many requests from your network, slow down. Please wait a moment. Your request is being verified before access is given.
+JavaScript ist im Browser ausgeschaltet. Bitte aktivieren Sie JavaScript in den Einstellungen und laden Sie die Seite neu. Wir prüfen Ihren Browser, bitte einen Moment warten. Zu viele Anfragen aus Ihrem Netz.
+JavaScript est désactivé dans votre navigateur. Veuillez activer JavaScript dans les réglages puis recharger la page. Nous vérifions votre navigateur, veuillez patienter un instant. Trop de requêtes depuis votre réseau.
+JavaScript está desactivado en su navegador. Active JavaScript en los ajustes y recargue la página. Estamos comprobando su navegador, espere un momento. Demasiadas solicitudes desde su red.
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
-Excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum.
-test test foo bar xxx asdf qwer abc dummy text. Your text goes here. Content will be added here. Coming soon. Under construction. This page is being prepared. Check back later. Replace this block with your own copy. [insert content] [Insert title here] Page title goes here. Untitled Document. Untitled page.
-Inhalt folgt in Kürze. Ihr Text steht hier. Hier entsteht eine neue Seite. bitte ersetzen. Contenu à venir. Votre texte ici. Page en construction. à remplacer. Contenido próximamente. Su texto aquí. Página en construcción. sustituir.
-{{ page.title }} ${pageTitle} <%= title %> %SITE_NAME% @@TITLE@@ __TITLE__ [INSERT NAME] {title} #{page.title} null undefined
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Sample text, to be replaced. Placeholder text: write your own here. Dummy content for testing. foo bar baz. test test test. asdf qwerty. xxx. The content of this page is coming soon. This site is under construction, check back soon. Put the headline here. Insert your text here. Replace this with your own words. Untitled. Untitled document. No title.
+Platzhalter: hier kommt Ihr eigener Text hin. Inhalt folgt bald. Diese Seite ist noch im Aufbau. Texte d'exemple à remplacer : écrivez ici votre propre texte. Contenu bientôt disponible. Ce site est en construction. Texto de ejemplo para sustituir: escriba aquí su propio texto. Contenido disponible pronto. Este sitio está en construcción.
+{{ page.name }} ${name} <%= name %> %PAGE_NAME% @@NAME@@ __NAME__ [INSERT HEADLINE] {name} #{name} null undefined NaN
 """.strip()
 
 _WORD = re.compile(r"[^\W\d_]+|\d+|<[a-z]+>")
+_DIGIT = re.compile(r"\d")
+_CODES = frozenset("404 403 410 500 502 503".split())
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+(?=[^\sa-z])|\s+[-|]\s+")
 #: Paths, urls and ids say nothing of what a passage is.
 _OPAQUE = re.compile(r"\S*/\S+|\b(?=\w*\d)(?=\w*[a-z])\w{5,}\b")
-_TABLE = re.compile(r"[{}$%@#_\[<]")
+_OPAQUE_HINT = re.compile(r"/|[^\W\d]\d|\d[^\W\d]")
+#: What every placeholder but a slot in brackets has.
+_HINT = re.compile(r"\{|<%|%[A-Z]|@@|__")
 #: Placeholders by their signs. Braces of formulas and commands, templates with parameters, links and bare marks do not match.
 _HOLDERS = [
     ("mustache", re.compile(r"\{\{\{?\s*[#/^&>]?\s*[\w.\- ]+?\s*\}?\}\}")),
@@ -81,41 +86,57 @@ _HOLDERS = [
     ("slot", re.compile(r"(?<!\[)\[(?:(?:INSERT|Insert|insert)\b[^\[\]\n]{0,60}|[^\[\]\n]{0,60}\b(?:goes|name|text|title) here)\](?!\()")),
     ("brace", re.compile(r"(?<![\\\w}\]^_{$#])\{[A-Za-z][\w.]*\}(?![}{\]])")),
 ]
+_HOLDER_KINDS = frozenset("<" + kind + ">" for kind, _ in _HOLDERS)
+_SLOTS = [(kind, pattern) for kind, pattern in _HOLDERS if kind == "slot"]
 _BRACKET = re.compile(r"(?<!\[)\[([^\[\]|\n]{3,60})\](?![\](\[:])")
 
 
-def passages(text: str | None, title: bool = False) -> list[list[str]]:
-    """Features of each passage: words in lower case (numbers by length), pairs of words, marks of placeholders."""
+def _lines(text: str | None, title: bool) -> list[str]:
+    """The lines outside fenced code; a title is one."""
     if not text:
         return []
-    lines = [text] if title else text.split("\n")
-    out = []
-    for line, code in zip(lines, [False] if title else code_lines(lines)):
-        if code:
-            continue
-        line = without_spans(line)
-        if _TABLE.search(line):
-            for kind, pattern in _HOLDERS:
-                for m in pattern.finditer(line):
-                    out.append(["<" + kind + ">", "<holder>"])
-            for m in _BRACKET.finditer(line):
-                out.append(_features("<bracket> " + m.group(1)))
-            for _, pattern in _HOLDERS:
-                line = pattern.sub(" <holder> ", line)
-        if "/" in line or any(c in line for c in "0123456789"):
-            line = _OPAQUE.sub(" ", line)
-        for sentence in _SENTENCE.split(line):
-            own = _features(sentence)
-            # numbers alone say nothing in a text
-            if own and (title or any(not f[0].isdigit() for f in own)):
-                out.append(own)
-    return out
-
-
-def _features(sentence: str) -> list[str]:
-    words = [("0" * min(len(w), 4) if w[0].isdigit() and w not in ("404", "403", "410", "500", "502", "503") else w) for w in _WORD.findall(sentence.lower())]
-    if not words:
-        return []
+    if title:
+        return [text]
+    lines = text.split("\n")
+    return lines if "```" not in text and "~~~" not in text else [line for line, code in zip(lines, code_lines(lines)) if not code]
+
+
+def _line_parts(line: str, title: bool) -> Iterator[list[str]]:
+    """The words of each passage in order, in lower case (numbers by length); a placeholder found by its signs is one of its own."""
+    line = without_spans(line)
+    if "[" in line or _HINT.search(line):
+        patterns = _HOLDERS if _HINT.search(line) else _SLOTS
+        for kind, pattern in patterns:
+            for _ in pattern.finditer(line):
+                yield ["<" + kind + ">", "<holder>"]
+        for m in _BRACKET.finditer(line):
+            yield _words("<bracket> " + m.group(1))
+        for _, pattern in patterns:
+            line = pattern.sub(" <holder> ", line)
+    if _OPAQUE_HINT.search(line):
+        line = _OPAQUE.sub(" ", line)
+    for sentence in _SENTENCE.split(line):
+        own = _words(sentence)
+        # numbers alone say nothing in a text
+        if own and (title or any(not w[0].isdigit() for w in own)):
+            yield own
+
+
+def passages(text: str | None, title: bool = False) -> list[list[str]]:
+    """Features of each passage: its words, and its pairs of words."""
+    return [_features(own) for line in _lines(text, title) for own in _line_parts(line, title) if own]
+
+
+def _words(sentence: str) -> list[str]:
+    words = _WORD.findall(sentence.lower())
+    if _DIGIT.search(sentence):
+        return [("0" * min(len(w), 4) if w[0].isdigit() and w not in _CODES else w) for w in words]
+    return words
+
+
+def _features(words: list[str]) -> list[str]:
+    if words[-1] == "<holder>" and len(words) == 2 and words[0] in _HOLDER_KINDS:
+        return words
     return [*dict.fromkeys(words), *{f"{a} {b}" for a, b in zip(words, words[1:])}]
 
 
@@ -123,24 +144,42 @@ class Model:
     """Log odds of a passage: ``bias`` plus the weights of its features. Unknown words speak a little against it."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-
-    def odds(self, features: list[str]) -> float:
-        get = self.weights.get
-        total = self.bias
-        for f in features:
-            weight = get(f)
-            total += weight if weight is not None else 0.0 if " " in f else UNKNOWN_WORD
-        return total
+        self.bias, self.seen = bias, {}
+        self.words = {f: w for f, w in weights.items() if " " not in f}
+        self.pairs = {tuple(f.split(" ")): w for f, w in weights.items() if " " in f}
+
+    def odds(self, words: list[str]) -> float:
+        """Of the words of a passage, in order."""
+        known, pairs = self.words.get, self.pairs.get
+        total = self.bias + sum([known(w, UNKNOWN_WORD) for w in set(words)])
+        if len(words) == 2 and words[0] in _HOLDER_KINDS and words[1] == "<holder>":
+            return total
+        return total + sum([pairs(p, 0.0) for p in set(zip(words, words[1:]))])
 
     def record(self, text: str | None, title: bool = False) -> float:
         """Log odds of a record's text: its strongest passage, and a tenth of each further one that speaks for it."""
-        odds = sorted((self.odds(f) for f in passages(text, title)), reverse=True)
+        odds = []
+        for line in _lines(text, title):
+            # short lines are shared by the pages of a site
+            if len(line) >= 80:
+                odds.extend(self.odds(words) for words in _line_parts(line, title) if words)
+                continue
+            known = self.seen.get((line, title))
+            if known is None:
+                if len(self.seen) >= 100_000:
+                    self.seen.clear()
+                known = self.seen[line, title] = [self.odds(words) for words in _line_parts(line, title) if words]
+            odds.extend(known)
+        odds.sort(reverse=True)
         if not odds:
             return -math.inf
         return odds[0] + 0.1 * sum(min(5.0, o) for o in odds[1:] if o > 0)
 
 
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 def train(positive: list[list[str]], unlabelled: list[list[str]], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
     rows = positive + unlabelled
     counts: dict[str, int] = {}
@@ -154,26 +193,28 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], rounds: int =
     known = np.arange(len(rows)) < len(positive)
     trust = np.where(known, 1.0, UNLABELLED_WEIGHT)
     posterior = known.astype(float)
-    weights, bias = np.zeros(len(names)), math.log(prior / (1 - prior))
+    weights, bias = np.zeros(len(names)), _logit(prior)
     rate = np.bincount(column, minlength=len(names)) / max(1, len(rows))
     halved = np.array([0.5 if " " in f else 1.0 for f in names])  # a pair of words repeats what the words say
-    for _ in range(rounds):
+    for turn in range(rounds):
         # Rates of each feature in the two classes; what a passage lacks is left out, as most features are absent.
         on = np.bincount(column, (trust * posterior)[row], len(names))
         off = np.bincount(column, 1 - posterior[row], len(names))
         n_on, n_off = (trust * posterior).sum(), (1 - posterior).sum()
         weights = np.log((on + SMOOTHING * rate) / (n_on + SMOOTHING)) - np.log((off + SMOOTHING * rate) / (n_off + SMOOTHING))
         weights = np.minimum(weights * halved, MOST_WEIGHT)
+        if turn:
+            bias = _logit((posterior[~known].sum() + PRIOR * PRIOR_WEIGHT) / ((~known).sum() + PRIOR_WEIGHT))
         odds = bias + np.bincount(row, weights[column], len(rows))
         posterior = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
     return Model(dict(zip(names, weights.tolist())), bias)
 
 
 def _sample(df: DataFrame, id_col: str, column: Column, most: int) -> list:
-    """About ``most`` values of a text column, by the hash of the rows' ids, so that a frequent value is taken in proportion."""
-    share = max(1, math.ceil(df.count() / most))
-    rows = df.select(F.xxhash64(id_col).alias("h"), column.alias("x")).where(F.pmod(F.col("h"), F.lit(share)) == 0).where("x is not null")
-    return [r[0] for r in rows.orderBy("h", "x").select("x").collect()]
+    """At most ``most`` values of a text column, by the hash of ids and values, so that a frequent value is taken in proportion."""
+    share = max(1, df.count() // most)
+    rows = df.select(F.xxhash64(id_col, column).alias("h"), column.alias("x")).where(F.pmod(F.col("h"), F.lit(share)) == 0).where("x is not null")
+    return [r[0] for r in rows.orderBy("h", "x").limit(most).select("x").collect()]
 
 
 def fit(titles: DataFrame, trusted: Column, texts: DataFrame, id_col: str = "page_id", title_col: str = "title", text_col: str = "markdown") -> Model:

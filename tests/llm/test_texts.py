@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import main_content, markup, packing, residue, sentences, text_types
 from pagemill.llm.code_spans import code_lines
@@ -18,7 +19,7 @@ def model():
     positive = [f for line in residue.SEEDS.split("\n") for f in residue.passages(line, True)] * 3
     rng = random.Random(1)
     words = "bridge town people garden engine local quiet report table window build open live team year new old and the of in with for pages search".split()
-    unlabelled = [residue._features(" ".join(rng.choice(words) for _ in range(rng.randint(4, 14)))) for _ in range(3000)]
+    unlabelled = [residue._features([rng.choice(words) for _ in range(rng.randint(4, 14))]) for _ in range(3000)]
     unlabelled += [f for line in ("Home | News | About", "We use cookies to improve your visit.", "Read more", PROSE) for _ in range(60) for f in residue.passages(line)]
     return residue.train(positive, unlabelled)
 
@@ -33,6 +34,25 @@ def test_other_text_is_not(model, text):
     assert model.record(text) <= 0
 
 
+def test_expectation_maximization_learns_wordings_beside_trusted_ones():
+    """A wording no trusted record has, always with one they have, is learned from unlabelled passages; a single round does not know it."""
+    rng = random.Random(5)
+    words = "bridge town people garden engine local quiet report table window open live team year new old".split()
+    plain = [residue._features([rng.choice(words) for _ in range(8)]) for _ in range(4000)]
+    trusted = [residue._features("the requested document does not exist".split())] * 40
+    beside = [residue._features("the requested document does not exist zonk flurb".split())] * 40
+    one, many = (residue.train(trusted, plain + beside, rounds=r) for r in (1, 8))
+    assert one.odds(["zonk", "flurb"]) < 0 < many.odds(["zonk", "flurb"])
+    assert many.odds(["bridge", "town", "garden"]) < 0
+
+
+def test_samples_are_bounded(spark):
+    """One id on all rows, or one text: a sample is no larger for it."""
+    df = spark.range(5000).select(F.lit(7).alias("page_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("title"))
+    assert len(residue._sample(df, "page_id", F.col("title"), 100)) <= 100
+    assert main_content.fit_lines(df.withColumn("n", F.lit(3)), "page_id", "title", "n", 20) is None
+
+
 def test_residue_tables(spark, model):
     info = spark.createDataFrame([(1, "Page not found", "ok"), (2, None, "ok"), (3, "A new bridge for the town", "bad_title"), (1, "Page not found", "ok"), (5, "{{ page.title }}", None)], "page_id long, title string, reason string")
     sent = spark.createDataFrame([(2, "Access denied."), (3, PROSE), (4, None), (6, "")], "page_id long, markdown string")
