@@ -9,22 +9,41 @@ from pagemill.functions import fixed, urls
 
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its dot segments resolved: . goes, .. takes the segment before it; at the root there is none to take."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    steps = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def step(held, x):
+        up = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    folder = last.isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
 def joined(base: Column, link: Column) -> Column:
-    """A link resolved against its page, for absolute links, //host, /path, ?query, #fragment and plain names."""
-    scheme, authority, path = urls.part(base, 1), urls.part(base, 2), urls.part(base, 3)
+    """A link resolved against its page as browsers do: absolute links, //host, /path, ?query, #fragment and plain names.
+
+    Absolute links stay as they are, those of the page's own scheme too; dot segments of all others are resolved.
+    """
+    parts = urls.split_parts(base)
+    scheme, authority, path = parts[0], parts[1], parts[2]
     origin = F.concat(scheme, F.lit("://"), authority)
+    # what follows a path is not part of it
+    own, rest = F.regexp_extract(link, r"^[^?#;]*", 0), F.regexp_extract(link, r"^[^?#;]*(.*)$", 1)
     folder = F.regexp_replace(path, r"[^/]*$", "")
-    # dot segments of plain names: a leading ./ goes, each ../ takes a folder with it
-    plain = F.regexp_replace(link, r"^(\./)+", "")
+    whole = F.when(F.startswith(link, F.lit("/")), own).otherwise(F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own), "/{2,}", "/"))
+    dotted = F.contains(whole, F.lit("/."))
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
         .when(link == "", base)
+        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
         .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .when(F.startswith(plain, F.lit("../")), F.concat(origin, F.regexp_replace(folder, r"[^/]+/$", ""), F.regexp_replace(plain, r"^(\.\./)+", "")))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), plain))
+        .otherwise(F.concat(origin, F.when(dotted, _without_dots(whole)).otherwise(whole), rest))
     )
 
 

@@ -8,18 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import fixed, urls
+from pagemill.functions.urls import Address
 
 
-def classify_route(url: Column) -> Column:
+def classify_route(url: Column | Address) -> Column:
     """The route class of a url by its path; null for null."""
-    path = urls.path_of(url)
-    result = F.when(url.isNull(), F.lit(None).cast("string"))
-    for route, heads in fixed.DETAIL_ROUTES:
-        result = result.when(path.rlike(f"(?i)/({heads})/[^/]+"), route)
-    for route, names in fixed.LISTING_ROUTES:
-        result = result.when(path.rlike(f"(?i)^/({names})/?$"), route)
-    depth = F.size(urls.segments(url))
-    return result.when(depth == 0, "home").when(depth == 1, "section").otherwise("general_detail")
+    at = urls.address(url)
+    result = F.when(at.url.isNull(), F.lit(None).cast("string"))
+    # one search for any of the patterns spares most urls the search for each
+    some_detail = at.path.rlike("(?i)/(?:" + "|".join(heads for _, heads in fixed.DETAIL_ROUTES) + ")/[^/]")
+    detail = F.lit(None).cast("string")
+    for route, heads in reversed(fixed.DETAIL_ROUTES):
+        detail = F.when(at.path.rlike(f"(?i)/(?:{heads})/[^/]"), route).otherwise(detail)
+    depth = F.size(at.segments)
+    listing = F.lit("section")
+    for route, names in reversed(fixed.LISTING_ROUTES):
+        listing = F.when(at.path.rlike(f"(?i)^/(?:{names})/?$"), route).otherwise(listing)
+    return result.when(some_detail, detail).when(depth == 0, "home").when(depth == 1, listing).otherwise("general_detail")
 
 
 def is_detail(route: Column) -> Column:
@@ -50,20 +55,20 @@ def _any_word(text: Column, words: list[str]) -> Column:
     return F.coalesce(text, F.lit("")).rlike("|".join(words))
 
 
-def score(url: Column, source: Column, anchor: Column, depth: Column, follow: Column) -> Column:
-    """Points of a crawl candidate; a null source or anchor counts as an unknown one."""
-    path = F.lower(urls.path_of(url))
+def score(url: Column | Address, source: Column, anchor: Column, depth: Column, follow: Column, route: Column | None = None) -> Column:
+    """Points of a crawl candidate; a null source or anchor counts as an unknown one. ``route``: the url's, where it is known."""
+    at = urls.address(url)
     return (
         _points(fixed.SOURCE_POINTS, F.coalesce(source, F.lit("")), fixed.OTHER_SOURCE_POINTS)
-        + _points(fixed.ROUTE_POINTS, classify_route(url), 0)
+        + _points(fixed.ROUTE_POINTS, classify_route(at) if route is None else route, 0)
         + F.when(_any_word(F.lower(anchor), fixed.USEFUL_ANCHORS), 25).otherwise(0)
-        + F.when(F.size(urls.segments(url)) >= 2, 10).otherwise(0)
-        + F.when(F.contains(path, F.lit("-")), 8).otherwise(0)
-        - F.when(_any_word(path, fixed.LOW_VALUE_PATHS), 30).otherwise(0)
-        - F.when(urls.part(url, 4) != "", 25).otherwise(0)
-        - F.when(urls.is_blocked_query(url, follow), 100).otherwise(0)
-        - F.when(urls.is_action_endpoint(url) | urls.is_asset_or_system_path(url), 100).otherwise(0)
-        - F.when(urls.is_bare_detail_stub(url), 60).otherwise(0)
+        + F.when(F.size(at.segments) >= 2, 10).otherwise(0)
+        + F.when(F.contains(at.lower_path, F.lit("-")), 8).otherwise(0)
+        - F.when(_any_word(at.lower_path, fixed.LOW_VALUE_PATHS), 30).otherwise(0)
+        - F.when(at.query != "", 25).otherwise(0)
+        - F.when(urls.is_blocked_query(at, follow), 100).otherwise(0)
+        - F.when(urls.is_action_endpoint(at) | urls.is_asset_or_system_path(at), 100).otherwise(0)
+        - F.when(urls.is_bare_detail_stub(at), 60).otherwise(0)
         - depth * 6
     )
 

@@ -17,12 +17,17 @@ from pagemill.shared import materialize, once
 def candidates(links: DataFrame, roots: DataFrame, follow: bool = False) -> DataFrame:
     """Links (job_id, seq, parent, url, source, anchor_text) with their normalised url and its reason, route and depth-0 score.
 
-    ``roots``: (job_id, root) with the host of each job; it is joined, not collected.
+    ``roots``: (job_id, root) with the host of each job and, where there are rules, its disallowed prefixes; it is joined,
+    not collected. A url is taken apart once a row.
     """
-    rows = once(links.join(roots, "job_id"), "norm", urls.normalize_url(joined(F.col("parent"), F.col("url"))))
-    rows = once(rows, "reason", urls.reject_reason(F.col("norm"), F.col("root"), F.lit(follow), F.array().cast("array<string>")))
-    rows = rows.withColumn("route_type", routes.classify_route(F.col("norm")))
-    return once(rows, "score", routes.score(F.col("norm"), F.col("source"), F.col("anchor_text"), F.lit(0), F.lit(follow)))
+    if "disallowed" not in roots.columns:
+        roots = roots.withColumn("disallowed", F.array().cast("array<string>"))
+    rows = once(links.join(roots, "job_id"), "norm", joined(F.col("parent"), F.col("url")))
+    rows = urls.with_address(urls.with_normalized(rows, "norm", F.col("norm")), "at", "norm")
+    at = urls.Address(F.col("norm"), F.col("at"))
+    rows = once(rows, "reason", urls.reject_reason(at, F.col("root"), F.lit(follow), F.col("disallowed")))
+    rows = once(rows, "route_type", routes.classify_route(at))
+    return once(rows, "score", routes.score(at, F.col("source"), F.col("anchor_text"), F.lit(0), F.lit(follow), F.col("route_type"))).drop("at", "disallowed")
 
 
 def admitted(rows: DataFrame, depth: int) -> DataFrame:

@@ -125,13 +125,18 @@ def score(url: str, source: str, anchor: str, depth: str) -> str:
 def joined(base: str, link: str) -> str:
     origin = f"{part(base, 1)} || '://' || {part(base, 2)}"
     folder = f"regexp_replace({part(base, 3)}, '[^/]*$', '')"
-    plain = rf"regexp_replace({link}, '^(\./)+', '')"
+    own, rest = f"regexp_extract({link}, '^[^?#;]*')", f"regexp_extract({link}, '^[^?#;]*(.*)$', 1, 's')"
+    whole = f"(CASE WHEN starts_with({link}, '/') THEN {own} ELSE regexp_replace((CASE WHEN {folder} = '' THEN '/' ELSE {folder} END) || {own}, '/{{2,}}', '/', 'g') END)"
+    parts = f"string_split({whole}, '/')"
+    # lists of one step each, folded: '..' takes the last step away
+    steps = f"list_transform({parts}[2:len({parts}) - (CASE WHEN {parts}[-1] IN ('.', '..') THEN 0 ELSE 1 END)], lambda x: [x])"
+    folded = f"list_reduce(list_prepend([''], {steps}), lambda held, x: CASE WHEN x[1] = '..' THEN (CASE WHEN len(held) > 1 THEN held[1:len(held) - 1] ELSE held END) WHEN x[1] = '.' THEN held ELSE list_concat(held, x) END)"
+    last = f"(CASE WHEN {parts}[-1] IN ('.', '..') THEN '' ELSE {parts}[-1] END)"
+    resolved = f"(CASE WHEN contains({whole}, '/.') THEN array_to_string(list_append({folded}, {last}), '/') ELSE {whole} END)"
     return (
         rf"CASE WHEN regexp_matches({link}, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN {link} WHEN starts_with({link}, '//') THEN {part(base, 1)} || ':' || {link} "
-        f"WHEN starts_with({link}, '/') THEN {origin} || {link} WHEN starts_with({link}, '?') THEN {origin} || {part(base, 3)} || {link} WHEN {link} = '' THEN {base} "
-        f"WHEN starts_with({link}, '#') THEN regexp_replace({base}, '#.*$', '') || {link} "
-        rf"WHEN starts_with({plain}, '../') THEN {origin} || regexp_replace({folder}, '[^/]+/$', '') || regexp_replace({plain}, '^(\.\./)+', '') "
-        f"ELSE {origin} || (CASE WHEN {folder} = '' THEN '/' ELSE {folder} END) || {plain} END"
+        f"WHEN {link} = '' THEN {base} WHEN starts_with({link}, '?') THEN {origin} || {part(base, 3)} || {link} "
+        f"WHEN starts_with({link}, '#') THEN regexp_replace({base}, '#.*$', '') || {link} ELSE {origin} || {resolved} || {rest} END"
     )
 
 

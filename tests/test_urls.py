@@ -1,4 +1,4 @@
-from urllib.parse import parse_qsl, urlencode, urlsplit
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -57,6 +57,27 @@ def test_routes_and_scores(spark):
     assert [g[0] for g in values(spark, [a for a, _ in kinds], routes.classify_route(F.col("x")))] == [b for _, b in kinds]
 
 
+LINKS = [
+    "c", "./c", "../c", "../../c", "../../../c", "../../../../c", "c/./d", "c/../d", "c/..", "c/.", "..", ".", "../", "./", "/c/../d", "/../c", "/./c/.", "../c?x=../y", "c#../d", "c;v=../1", "?y=2", "#f", "", "//t.test/c", "https://t.test/a/../b", "c//d", "d/../../e/",
+]
+
+
+@pytest.mark.parametrize("base", ["https://s.test/a/b/c/d", "https://s.test/a/b/", "https://s.test/", "https://s.test", "https://s.test/a?q=/x/y"])
+def test_joined_is_like_the_standard_library(spark, base):
+    got = [g[0] for g in values(spark, LINKS, links.joined(F.lit(base), F.col("x")))]
+    assert dict(zip(LINKS, got)) == {link: link if "://" in link else urljoin(base, link) for link in LINKS}
+
+
+def test_an_address_taken_apart_once_gives_the_same_answers(spark):
+    every = [a for a, _ in REASONS] + [u for u, _ in NORMALIZED if u] + ["https://s.test/A/b;c=1/d;e=2?x=1&Y=2", "https://s.test/a\nb", "nonsense", "https://u@s.test:1/x"]
+    df = urls.with_address(spark.createDataFrame(list(enumerate(every)), "id int, x string"), "at", "x")
+    told = lambda u: [urls.reject_reason(u, F.lit("s.test"), F.lit(False), F.array(F.lit("/private"))), routes.classify_route(u), routes.score(u, F.lit("dom"), F.lit("view"), F.lit(1), F.lit(False)), urls.host_of(u), urls.path_of(u), urls.segments(u)]
+    once, each = (df.select("id", *[c.alias(f"c{k}") for k, c in enumerate(told(u))]).orderBy("id").collect() for u in (urls.Address(F.col("x"), F.col("at")), F.col("x")))
+    assert once == each
+    norms = urls.with_normalized(spark.createDataFrame(list(enumerate(every)), "id int, x string"), "norm", F.col("x")).orderBy("id").collect()
+    assert [r["norm"] for r in norms] == [g[0] for g in values(spark, every, urls.normalize_url(F.col("x")))]
+
+
 def test_handlers(spark):
     got = values(spark, ["submitForm2(event, 'a', '', 'jobs')", "viewItem('b', '/x/')", "location.href='/go'"], links.handler_paths(F.col("x")), links.script_targets(F.col("x")))
     assert got == [(["/jobs/a"], []), (["/x/b"], []), ([], ["/go"])]
