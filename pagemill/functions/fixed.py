@@ -19,14 +19,14 @@ ALLOWED_QUERY_KEYS = ["id", "slug", "post", "p"]
 
 # Schemes of links that are no pages; spellings of hrefs that lead nowhere.
 BLOCKED_SCHEMES = ["javascript:", "mailto:", "tel:", "sms:", "data:", "blob:", "whatsapp:", "skype:"]
-PLACEHOLDER_HREFS = ["", "#", "#!", "javascript:void(0)", "javascript:void(0);", "javascript:;"]
+PLACEHOLDER_HREFS = ["#", "", "#!", "javascript:void(0)", "javascript:void(0);", "javascript:;"]
 
 # Endings of paths that are files, path segments of assets and of systems.
 ASSET_EXTENSIONS = [
-    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "pdf", "zip", "rar", "7z", "gz", "tar", "dmg", "exe", "apk", "mp4", "mp3", "avi", "mov",
-    "css", "js", "xml", "json", "map", "woff", "woff2", "ttf", "eot",
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "pdf", "zip", "rar", "7z", "mp4", "mp3", "avi", "mov", "css", "js", "xml", "json", "woff", "woff2",
+    "ttf", "eot", "map", "gz", "tar", "dmg", "exe", "apk",
 ]
-ASSET_SEGMENTS = ["asset", "assets", "static", "media", "images", "img", "css", "js", "font", "fonts", "uploads", "cdn", "vendor", "dist", "build", "public"]
+ASSET_SEGMENTS = ["asset", "assets", "static", "media", "images", "img", "css", "js", "fonts", "font", "uploads", "cdn", "vendor", "dist", "build", "public"]
 SYSTEM_SEGMENTS = ["admin", "wp-admin", "wp-json", "cgi-bin", "ajax", "api", "webhook", "_next", "_nuxt", "__webpack"]
 
 # Server scripts whose path holds one of the words are actions.
@@ -42,7 +42,7 @@ DETAIL_ROUTES = [
     ("blog_detail", "blog|article|articles|news|post|posts|stories|insights|resources|guides|whitepapers|press-releases?|announcements?"),
     ("blog_detail", "blog-details?|article-details?|news-details?|post-details?|story-details?"),
     ("job_detail", "career-details?|job-details?|opening-details?|vacancy-details?"),
-    ("job_detail", "jobs?|careers?|positions?|openings?|vacancies?|vacancy|job-openings?"),
+    ("job_detail", "jobs?|career|careers|positions?|openings?|vacancies?|vacancy|job-openings?"),
     ("service_detail", "service-details?|solution-details?|product-details?"),
     ("service_detail", "services?|solutions?|offerings?|products?|capabilities"),
     ("portfolio_detail", "portfolio|case-studies?|case-study|projects?|work|our-work"),
@@ -66,7 +66,7 @@ LISTING_ROUTES = [
 # Paths that a canonical link may wrongly point to.
 GENERIC_PARENTS = (
     "blog-details?|article-details?|news-details?|post-details?|story-details?|service-details?|solution-details?|product-details?|"
-    "career-details?|job-details?|opening-details?|vacancy-details?|blogs?|articles?|news|posts?|insights?|resources?|services?|solutions?|"
+    "career-details?|job-details?|opening-details?|vacancy-details?|blog|blogs|article|articles|news|posts?|insights?|resources?|services?|solutions?|"
     "products?|offerings?|careers?|jobs?|openings?|vacancies?|job-openings?|portfolio|case-studies?|success-stories?|projects?|work"
 )
 DISCOVERY_ROUTES = ["home", "section", "blog_listing", "job_listing", "service_listing", "portfolio_listing", "team_listing", "about", "general"]
@@ -102,6 +102,17 @@ MOST_SITEMAPS = 100
 # Attributes that hold a link, in their order.
 LINK_ATTRIBUTES = ["href", "data-href", "data-url", "data-link", "router-link", "routerlink", "ng-href"]
 
+# Limits of what is done on a page, and the words of labels that are not clicked.
+MOST_BUTTONS, MOST_NAVIGATIONS, MENU_DEPTH, CLICK_DEPTH, DETAIL_BUTTONS, DETAIL_NAVIGATIONS, MOST_FRAGMENTS = 80, 60, 6, 6, 8, 4, 25
+HANDLER_TEXT_CHARS, LABEL_CHARS, ARIA_CHARS = 100, 120, 80
+NOISE_LABELS = [
+    "cookie", "accept", "agree", "consent", "got it", "dismiss", "close", "login", "sign in", "sign up", "register", "share", "facebook", "twitter", "linkedin",
+    "print", "cart", "checkout", "buy", "subscribe", "newsletter", "theme", "dark mode", "light mode", "language", "translate", "back to top", "scroll",
+]
+BETWEEN_DIALOGS = "\n\n---\n\n"
+# The stages of discovery on a page, in their order.
+STAGES = ["nav_hover", "click", "hash", "spa", "onclick", "dom", "html", "json_ld", "meta_refresh"]
+
 # Lines and image texts of user interfaces.
 UI_PHRASES = [
     "read more", "learn more", "view more", "view all", "view details", "click here", "submit", "send", "send message", "apply now", "explore",
@@ -142,6 +153,9 @@ NOISE_SELECTORS = [
 ]
 HEADING_SELECTORS = ["h1", "h2.page_title", "h2.details_item_title", "h2[class*='title']", "h3.post_title", "h3[class*='title']", "h2", "h3"]
 ENOUGH_CONTENT = 2000
+# Content selectors at which the search never ends; keys of linked data that hold addresses, themselves or below.
+WIDE_SELECTORS = ["body", "#content", "#main"]
+LINKED_DATA_KEYS, LINKED_DATA_KEYS_BELOW = ["@id", "url", "mainEntityOfPage"], ["@id", "url"]
 
 # Sending pages, jobs and rates.
 RETRIED_STATUSES, MOST_ATTEMPTS = [0, 408, 429, 500, 502, 503, 504], 4

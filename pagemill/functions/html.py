@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -107,32 +109,44 @@ def parse(html: str | None) -> Node:
 _STEP = re.compile(r"([a-z0-9]*)(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)(\*?=)'([^']*)'\])?")
 
 
-def matches(node: Node, step: str) -> bool:
-    tag, klass, ident, attr, sign, value = _STEP.fullmatch(step).groups()
-    if tag and node.tag != tag:
-        return False
-    if klass:
-        return klass in node.attrs.get("class", "").split()
-    if ident:
-        return node.attrs.get("id") == ident
-    if attr:
-        own = node.attrs.get(attr)
-        return own is not None and (value in own if sign == "*=" else own == value)
-    return True
+class Selector:
+    """A selector ``step`` or ``outer inner``, read once; a step is a tag, a class, an id or an attribute's value or part of it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        *self.outer, self.inner = [_STEP.fullmatch(step).groups() for step in text.split(" ")]
+
+    @staticmethod
+    def _step(node: Node, step: tuple) -> bool:
+        tag, klass, ident, attr, sign, value = step
+        if tag and node.tag != tag:
+            return False
+        if klass:
+            return klass in node.attrs.get("class", "").split()
+        if ident:
+            return node.attrs.get("id") == ident
+        own = node.attrs.get(attr) if attr else None
+        return not attr or own is not None and (value in own if sign == "*=" else own == value)
+
+    def matches(self, node: Node) -> bool:
+        if not node.tag or not self._step(node, self.inner):
+            return False
+        above, need = node.parent, len(self.outer)
+        while need and above is not None:
+            need -= bool(above.tag) and self._step(above, self.outer[need - 1])
+            above = above.parent
+        return not need
+
+
+@lru_cache(None)
+def _selector(text: str) -> Selector:
+    return Selector(text)
 
 
 def select(root: Node, selector: str) -> Iterator[Node]:
-    """Elements in document order for ``step`` or ``outer inner``."""
-    *outer, inner = selector.split(" ")
-    for node in root.walk():
-        if node.tag and matches(node, inner):
-            above, need = node.parent, list(outer)
-            while need and above is not None:
-                if above.tag and matches(above, need[-1]):
-                    need.pop()
-                above = above.parent
-            if not need:
-                yield node
+    """Elements a selector matches, in document order."""
+    held = _selector(selector)
+    return (node for node in root.walk() if held.matches(node))
 
 
 def first(root: Node, selector: str) -> Node | None:
@@ -160,23 +174,27 @@ def _json(node: Node):
         return None
 
 
+def _below(item, *path: str):
+    for key in path:
+        item = item.get(key) if isinstance(item, dict) else None
+    return item
+
+
+def _linked(item) -> Iterator[str]:
+    """What the keys of linked data tell: a text, or what stands below them, the first that is there."""
+    for key in fixed.LINKED_DATA_KEYS:
+        told = (_below(item, key), *(_below(item, key, below) for below in fixed.LINKED_DATA_KEYS_BELOW))
+        yield next((t for t in told if isinstance(t, str) and t), "")
+
+
 def data_urls(root: Node, url: str) -> list[str]:
     """Addresses in linked data, then paths in the data of a server-rendered application."""
-    out = []
-    for script in select(root, "script"):
-        if script.attrs.get("type") == "application/ld+json":
-            data = _json(script)
-            for item in data if isinstance(data, list) else [data]:
-                for key in ("@id", "url", "mainEntityOfPage"):
-                    value = item.get(key) if isinstance(item, dict) else None
-                    if isinstance(value, dict):
-                        value = value.get("@id") or value.get("url")
-                    if isinstance(value, str) and value.startswith("http"):
-                        out.append(value)
+    documents = [_json(s) for s in select(root, "script") if s.attrs.get("type") == "application/ld+json"]
+    items = [item for document in documents for item in (document if isinstance(document, list) else [document])]
+    addresses = [told for item in items for told in _linked(item) if told.startswith("http")]
     application = first(root, "script#__NEXT_DATA__")
-    if application:
-        out.extend(_join(url, s) for s in _strings_of(_json(application)) if s.startswith("/") and len(s) > 1)
-    return out
+    paths = _strings_of(_json(application)) if application else ()
+    return addresses + [_join(url, path) for path in paths if len(path) > 1 and path[0] == "/"]
 
 
 def _join(base: str, link: str) -> str:
@@ -208,27 +226,36 @@ def usable(raw: str) -> bool:
     return low not in fixed.PLACEHOLDER_HREFS and low != "/" and "{" not in low and not low.startswith(tuple(fixed.BLOCKED_SCHEMES))
 
 
+def _without_noise(root: Node) -> Node:
+    """The tree without the elements of noise, in one walk; what is below one goes with it."""
+    rules = [_selector(s) for s in fixed.NOISE_SELECTORS]
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not any(r.matches(c) for r in rules)]
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    return root
+
+
 def content(root: Node) -> tuple[Node, str, int]:
-    """The element with the most text among the content selectors, its selector and its number of characters.
+    """The element with the most text among the first of each content selector, its selector and its number of characters.
 
-    The search ends at an element, other than the widest ones, with more than ENOUGH_CONTENT characters.
+    Selectors count in their order up to the first that is not wide and has, as the longest so far, more than ENOUGH_CONTENT
+    characters; of equally long ones the earlier is taken.
     """
-    for selector in fixed.NOISE_SELECTORS:
-        for node in list(select(root, selector)):
-            if node.parent is not None and node in node.parent.children:
-                node.parent.children.remove(node)
-    best, chosen, most = None, "body", 0
-    for selector in fixed.CONTENT_SELECTORS:
-        node = first(root, selector)
-        chars = len(node.text()) if node else 0
-        if chars > most:
-            best, chosen, most = node, selector, chars
-            if chars > fixed.ENOUGH_CONTENT and selector not in ("body", "#content", "#main"):
-                break
-    if best is None:
-        best = first(root, "body") or root
-        return best, "body_fallback", len(best.text())
-    return best, chosen, most
+    firsts: dict[str, Node] = {}
+    for node in _without_noise(root).walk():
+        for selector in fixed.CONTENT_SELECTORS:
+            if selector not in firsts and _selector(selector).matches(node):
+                firsts[selector] = node
+    sizes = [(len(firsts[s].text()), s) for s in fixed.CONTENT_SELECTORS if s in firsts]
+    longest = [0, *accumulate((n for n, _ in sizes), max)]
+    ends = (k + 1 for k, (n, s) in enumerate(sizes) if n > max(longest[k], fixed.ENOUGH_CONTENT) and s not in fixed.WIDE_SELECTORS)
+    chars, selector = max(sizes[: next(ends, None)], key=lambda x: x[0], default=(0, ""))
+    if chars:
+        return firsts[selector], selector, chars
+    whole = first(root, "body") or root
+    return whole, "body_fallback", len(whole.text())
 
 
 def _inline(node: Node) -> str:

@@ -1,4 +1,4 @@
-"""First-wins removal of repeated urls and the duplicate gate, by windows and a short fixpoint."""
+"""First-wins removal of repeated urls and the duplicate gate, by aggregates and pointer jumping."""
 
 from __future__ import annotations
 
@@ -19,29 +19,29 @@ def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return packed.select(*keys, "row.*").select(*df.columns)
 
 
-def canonical_rejects(pages: DataFrame, most_rounds: int = 50) -> DataFrame:
+def canonical_rejects(pages: DataFrame) -> DataFrame:
     """(job_id, seq, reason): pages whose canonical link an earlier page has, or is, unless that page was itself turned away.
 
     ``pages``: job_id, seq, url (normalised, unique in its job), canonical (effective: null if it is the url itself or a
-    generic parent). Each page depends on at most one earlier page, so the rounds end; the state of a round is written out.
+    generic parent). A page with an earlier owner of its canonical link has the opposite fate of that owner. Chains of
+    owners are followed by pointer jumping: each round doubles what is covered, so a chain of n pages takes log2 n rounds,
+    however long it is; every round is written out.
     """
     same = pages.where("canonical is not null")
     first = same.groupBy("job_id", "canonical").agg(F.min("seq").alias("first_seq"))
     seen = same.join(first, ["job_id", "canonical"]).withColumn("repeated", F.col("seq") > F.col("first_seq"))
     owner = pages.select("job_id", F.col("url").alias("canonical"), F.col("seq").alias("owner_seq"))
     state = seen.join(owner, ["job_id", "canonical"], "left")
-    state = state.select("job_id", "seq", "canonical", "repeated", F.when(F.col("owner_seq") < F.col("seq"), F.col("owner_seq")).alias("owner_seq"))
-    state = materialize(state.withColumn("rejected", F.col("repeated") | F.col("owner_seq").isNotNull()), "canonical")
-    for _ in range(most_rounds):
-        owners = state.select("job_id", F.col("seq").alias("owner_seq"), F.col("rejected").alias("owner_rejected"))
-        step = state.join(owners, ["job_id", "owner_seq"], "left").withColumn("next", F.col("repeated") | (F.col("owner_seq").isNotNull() & ~F.coalesce("owner_rejected", F.lit(False))))
-        step = materialize(step.select("job_id", "seq", "canonical", "repeated", "owner_seq", "rejected", "next"), "canonical")
-        state = step.withColumn("rejected", F.col("next")).drop("next")
-        if step.where("next <> rejected").isEmpty():
-            break
-    else:
-        raise RuntimeError("the canonical links did not settle")
-    return state.where("rejected").select("job_id", "seq", F.concat(F.lit("duplicate_canonical:"), "canonical").alias("reason"))
+    earlier = F.when(~F.col("repeated") & (F.col("owner_seq") < F.col("seq")), F.col("owner_seq"))
+    # ``fate``: of a page without an owner to ask, whether it is turned away; of others, whether theirs is the owner's opposite
+    state = materialize(state.select("job_id", "seq", "canonical", earlier.alias("ask"), (F.col("repeated") | earlier.isNotNull()).alias("fate")), "canonical")
+    while not state.where("ask is not null").isEmpty():
+        asked = state.select("job_id", F.col("seq").alias("ask"), F.col("ask").alias("next"), F.col("fate").alias("other"))
+        step = state.join(asked, ["job_id", "ask"], "left")
+        # an owner without a canonical link of its own is not turned away
+        fate = F.when(F.col("ask").isNull(), F.col("fate")).otherwise(F.col("fate") != F.coalesce("other", F.lit(False)))
+        state = materialize(step.select("job_id", "seq", "canonical", F.col("next").alias("ask"), fate.alias("fate")), "canonical")
+    return state.where("fate").select("job_id", "seq", F.concat(F.lit("duplicate_canonical:"), "canonical").alias("reason"))
 
 
 def content_reasons(pages: DataFrame) -> DataFrame:

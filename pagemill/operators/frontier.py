@@ -55,22 +55,29 @@ def crawl_rounds(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, max_pag
     start = materialize(_start(seeds, max_pages), "seeds")
     budgets = start.groupBy("job_id").agg(F.max("max_pages").alias("budget"))
     largest = start.agg(F.max("max_pages")).first()[0] or 0
-    state = materialize(start.select("job_id", "norm", F.lit(0).alias("depth"), F.lit(100).alias("score"), "seq", F.lit("pending").alias("status")), "frontier")
+    # what was found and what was crawled only grow: each round writes its own rows
+    found = start.select("job_id", "norm", F.lit(0).alias("depth"), F.lit(100).alias("score"), "seq")
+    crawled = None
     best = Window.partitionBy("job_id").orderBy(F.desc("score"), "seq", "norm")
     for depth in range(1, max_depth + 2):
-        used = state.groupBy("job_id").agg(F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).alias("used"))
+        waiting = found if crawled is None else found.join(crawled, ["job_id", "norm"], "left_anti")
         # the bound on the rank alone lets each task keep a job's best rows only, before they are brought together
-        ranked = state.where("status = 'pending'").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= largest)
-        pending = ranked.join(used, "job_id").join(budgets, "job_id").where(F.col("rank") + F.col("used") <= F.col("budget")).select("job_id", "norm")
-        pending = materialize(pending, "claimed")
-        state = state.join(pending.withColumn("claimed", F.lit(True)), ["job_id", "norm"], "left").withColumn("status", F.when(F.col("claimed"), "completed").otherwise(F.col("status"))).drop("claimed")
-        if depth > max_depth or pending.isEmpty():
-            state = materialize(state, "frontier")
+        ranked = waiting.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= largest).join(budgets, "job_id")
+        if crawled is None:
+            ranked = ranked.where(F.col("rank") <= F.col("budget"))
+        else:
+            used = crawled.groupBy("job_id").agg(F.count("*").alias("used"))
+            ranked = ranked.join(used, "job_id", "left").where(F.col("rank") + F.coalesce("used", F.lit(0)) <= F.col("budget"))
+        now = materialize(ranked.select("job_id", "norm"), "crawled")
+        crawled = now if crawled is None else crawled.union(now)
+        if depth > max_depth or now.isEmpty():
             break
-        out = edges.join(pending.withColumnRenamed("norm", "parent_norm"), ["job_id", "parent_norm"], "left_semi")
-        new = admitted(out.join(state.select("job_id", "norm"), ["job_id", "norm"], "left_anti"), depth)
-        state = materialize(state.unionByName(new.select("job_id", "norm", F.lit(depth).alias("depth"), "score", "seq", F.lit("pending").alias("status"))), "frontier")
-    return state
+        out = edges.join(now.withColumnRenamed("norm", "parent_norm"), ["job_id", "parent_norm"], "left_semi")
+        new = admitted(out.join(found.select("job_id", "norm"), ["job_id", "norm"], "left_anti"), depth)
+        new = materialize(new.select("job_id", "norm", F.lit(depth).alias("depth"), "score", "seq"), "found")
+        found = found.union(new)
+    status = F.when(F.col("done"), "completed").otherwise("pending").alias("status")
+    return found.join(crawled.withColumn("done", F.lit(True)), ["job_id", "norm"], "left").select("job_id", "norm", "depth", "score", "seq", status)
 
 
 def _best_first(max_depth: int):

@@ -26,22 +26,35 @@ def locations(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit("(?i)" + fixed.SITEMAP_LOCATION), F.lit(1))
 
 
-def first_sitemaps(start_urls: DataFrame) -> DataFrame:
-    """(root, url, place) of the well-known places of each start url, with and without ``www.``."""
-    base = F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2))
-    www = F.concat(urls.part(F.col("url"), 1), F.lit("://www."), urls.part(F.col("url"), 2))
-    bases = F.when(urls.part(F.col("url"), 2).startswith("www."), F.array(base)).otherwise(F.array(base, www))
-    places = F.flatten(F.transform(bases, lambda b: F.array(*[F.concat(b, F.lit(p)) for p in fixed.SITEMAP_PATHS])))
-    return start_urls.select(urls.host_of(F.col("url")).alias("root"), F.posexplode(places).alias("place", "url"))
+def first_sitemaps(start_urls: DataFrame, robots: DataFrame | None = None) -> DataFrame:
+    """(root, url, place) of where sitemaps of each start url may be, with and without ``www.``: for each base the addresses its
+    robots file names, ``robots``: (host, body), and then the well-known places. ``place`` is an array that orders them.
+    """
+    at = urls.split_parts(F.col("url"))
+    bases = F.when(at[1].startswith("www."), F.array(at[1])).otherwise(F.array(at[1], F.concat(F.lit("www."), at[1])))
+    rows = start_urls.select(urls.host_of(F.col("url")).alias("root"), at[0].alias("scheme"), F.posexplode(bases).alias("base", "host"))
+    known = rows.select("root", "base", F.concat("scheme", F.lit("://"), "host").alias("origin"), F.posexplode(F.array(*[F.lit(p) for p in fixed.SITEMAP_PATHS])).alias("row", "path"))
+    found = known.select("root", F.concat("origin", "path").alias("url"), F.array(F.col("base").cast("long"), F.lit(1).cast("long"), F.col("row").cast("long")).alias("place"))
+    if robots is None:
+        return found
+    named = rows.join(robots, "host").select("root", "base", F.posexplode(named_sitemaps(F.col("body"))).alias("row", "url"))
+    return named.select("root", "url", F.array(F.col("base").cast("long"), F.lit(0).cast("long"), F.col("row").cast("long")).alias("place")).unionByName(found)
+
+
+def named_sitemaps(body: Column) -> Column:
+    """The addresses in the ``Sitemap:`` lines of a robots file, in order; null bodies have none."""
+    lines = F.filter(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), lambda x: F.startswith(F.lower(x), F.lit("sitemap:")))
+    return F.filter(F.transform(lines, lambda x: urls.strip(F.regexp_replace(x, r"^[^:]*:", ""))), lambda x: x != "")
 
 
 def sitemap_urls(seeds: DataFrame, bodies: DataFrame, most: int = fixed.MOST_SITEMAPS) -> DataFrame:
     """(root, url, parent) of the pages in the sitemaps of each root; ``seeds``: (root, url, place), ``bodies``: (url, body).
 
-    Sitemaps are read level by level, at most ``most`` for a root. Of an address found twice the last one's parent stays.
+    Sitemaps are read level by level, at most ``most`` for a root. A sitemap's place is its parent's with its row behind it,
+    so that places order all of a level however deep it is. Of an address found twice the last one's parent stays.
     Bodies that are missing or null have no address.
     """
-    level, queue, read, found = 0, seeds.groupBy("root", "url").agg(F.min("place").cast("long").alias("place")), None, None
+    level, queue, read, found = 0, seeds.groupBy("root", "url").agg(F.min("place").alias("place")), None, None
     while True:
         ranked = queue if read is None else queue.join(read.select("root", "url"), ["root", "url"], "left_anti")
         used = None if read is None else read.groupBy("root").agg(F.count("*").alias("used"))
@@ -53,10 +66,11 @@ def sitemap_urls(seeds: DataFrame, bodies: DataFrame, most: int = fixed.MOST_SIT
         read = now if read is None else materialize(read.union(now), "sitemaps-read")
         locs = now.join(bodies, "url").select("root", F.col("url").alias("parent"), "place", F.posexplode(locations(F.col("body"))).alias("row", "loc"))
         locs = locs.withColumn("url", urls.normalize_url(F.col("loc"))).where("url is not null and url <> ''")
-        order = F.struct(F.lit(level).alias("level"), "place", "row")
+        locs = locs.withColumn("place", F.concat("place", F.array(F.col("row").cast("long"))))
+        order = F.struct(F.lit(level).alias("level"), "place")
         locs = materialize(locs.withColumn("order", order).withColumn("nested", F.col("url").rlike(r"\.(xml|gz)$")), "locations")
         pages = locs.where(~F.col("nested") & urls.same_site(F.col("url"), F.col("root"))).select("root", "url", "parent", "order")
         found = pages if found is None else found.union(pages)
-        queue = locs.where("nested").groupBy("root", "url").agg((F.min("place") * 100_000 + F.min("row")).alias("place"))
+        queue = locs.where("nested").groupBy("root", "url").agg(F.min("place").alias("place"))
         level += 1
     return seeds.sparkSession.createDataFrame([], "root string, url string, parent string") if found is None else last_by(found, ["root", "url"], ["order"]).drop("order")

@@ -186,3 +186,60 @@ def test_sinks_and_sitemaps(spark, tmp_path):
     assert [r[0] for r in raw.orderBy("id").select(sitemaps.decoded(F.col("body"))).collect()] == ["<loc>x</loc>", "<loc>y</loc>", None]
     answers = spark.createDataFrame([('{"id": "7", "job_id": ""}',), ('{"document_id": "8", "id": "9"}',), (None,)], "a string")
     assert [r[0] for r in answers.select(payloads.document_id(F.col("a"))).collect()] == ["7", "8", None]
+
+
+def test_long_chains_of_canonical_links(spark):
+    """Page k names page k - 1: every second one is turned away, however long the chain."""
+    rows = [("j", k, f"u{k}", f"u{k - 1}" if k else None) for k in range(120)] + [("i", 1, "a", "z"), ("i", 2, "b", "z"), ("i", 3, "c", "b"), ("i", 4, "d", "c")]
+    df = spark.createDataFrame(rows, "job_id string, seq long, url string, canonical string")
+    got = {(r["job_id"], r["seq"]): r["reason"] for r in dedup.canonical_rejects(df).collect()}
+    assert got == {("j", k): f"duplicate_canonical:u{k - 1}" for k in range(1, 120, 2)} | {("i", 2): "duplicate_canonical:z", ("i", 4): "duplicate_canonical:c"}
+
+
+def test_nested_sitemaps_and_those_of_robots_files(spark):
+    from pagemill.sources import sitemaps
+
+    depth = 9
+    bodies = [(f"https://s.test/m{k}.xml", f"<loc>https://s.test/p{k}</loc><loc>https://s.test/m{k + 1}.xml</loc>") for k in range(depth)] + [("https://www.s.test/sitemap.xml", "<loc>https://s.test/w</loc>")]
+    robots = spark.createDataFrame([("s.test", "User-agent: *\r\nSITEMAP:  https://s.test/m0.xml \nSitemap:\nDisallow: /x"), ("www.s.test", None)], "host string, body string")
+    seeds = sitemaps.first_sitemaps(spark.createDataFrame([("https://s.test/",)], "url string"), robots)
+    ordered = [r["url"] for r in seeds.orderBy("place").collect()]
+    assert ordered[0] == "https://s.test/m0.xml" and ordered[1] == "https://s.test/sitemap.xml" and len(ordered) == 13
+    found = sitemaps.sitemap_urls(seeds, spark.createDataFrame(bodies, "url string, body string"))
+    assert {(r["url"], r["parent"]) for r in found.collect()} == {(f"https://s.test/p{k}", f"https://s.test/m{k}.xml") for k in range(depth)} | {("https://s.test/w", "https://www.s.test/sitemap.xml")}
+    assert sitemaps.sitemap_urls(seeds, spark.createDataFrame(bodies, "url string, body string"), most=3).count() < depth
+
+
+def test_discovery_stages(spark):
+    from pagemill.operators import discovery
+
+    page = ("j", "https://s.test/a/")
+    handlers = spark.createDataFrame([(*page, 1, "viewItem('b', '/x/')", "t" * 200), (*page, 2, "viewItem('b', '/x')", "later"), (*page, 3, None, None)], "job_id string, page string, row int, onclick string, text string")
+    assert [(r["norm"], r["row"], len(r["text"])) for r in discovery.handler_links(handlers).collect()] == [("https://s.test/x/b", 1, 100)]
+
+    limits = spark.createDataFrame([("blog_detail", 1, False), ("home", 1, False), ("home", 7, False), ("section", 1, True)], "route string, depth int, seen boolean")
+    got = [tuple(r[0]) for r in limits.select(discovery.stage_limits(F.col("route"), F.col("depth"), F.col("seen"))).collect()]
+    assert got == [(False, True, 8, 4, True, False), (True, True, 80, 60, False, True), (False, False, 0, 0, False, False), (False, True, 80, 60, True, True)]
+
+    controls = [(*page, k, text, aria, visible, nav, 6, True) for k, (text, aria, visible, nav) in enumerate([("More", None, True, False), ("MORE ", "", True, False), ("Accept all", None, True, False), ("Menu", None, True, True), ("Tab", "two", False, False), (None, "Open", True, False), ("Beyond", None, True, False)])]
+    shown = spark.createDataFrame(controls, "job_id string, page string, row int, text string, aria_label string, visible boolean, in_nav boolean, buttons int, skip_nav boolean")
+    assert sorted((r["row"], r["label"]) for r in discovery.clicked(shown).collect()) == [(0, "more"), (5, "open")]
+
+    after = spark.createDataFrame([(*page, 1, 0, "https://s.test/old#x"), (*page, 1, 1, "https://s.test/new"), (*page, 2, 0, "https://www.s.test/new/"), (*page, 2, 1, "https://s.test/two"), (*page, 2, 2, "mailto:x")], "job_id string, page string, row int, place int, url string")
+    base = spark.createDataFrame([(*page, "https://s.test/old"), (*page, None)], "job_id string, page string, url string")
+    assert sorted((r["row"], r["norm"]) for r in discovery.revealed_links(after, base).collect()) == [(1, "https://s.test/new"), (2, "https://s.test/two")]
+
+    anchors = spark.createDataFrame([(*page, k, h) for k, h in enumerate(["#", "#a", "#!", "#a", None, "/x"] + [f"#s{k}" for k in range(40)])], "job_id string, page string, row int, href string")
+    assert sorted(r["row"] for r in discovery.fragment_controls(anchors).collect()) == [1, *range(6, 29)]
+
+    dialogs = spark.createDataFrame([(*page, 2, " b "), (*page, 1, "a"), (*page, 3, " ")], "job_id string, page string, row int, text string")
+    assert discovery.revealed_text(dialogs).first()["text"] == "a\n\n---\n\nb"
+
+    offer = lambda *rows: spark.createDataFrame([(*page, k, u, s, "") for k, (u, s) in enumerate(rows)], "job_id string, page string, row int, url string, source string, text string")
+    order = discovery.in_stage_order({"dom": offer(("https://s.test/one", "dom")), "click": offer(("https://s.test/two", "click_revealed"), ("https://s.test/one/", "click_revealed"))})
+    assert [(r["seq"], r["source"]) for r in order.orderBy("seq").collect()] == [(1, "click_revealed"), (2, "click_revealed"), (3, "dom")]
+    first = discovery.first_offers(order.withColumn("visit", F.lit(1)))
+    assert {(r["norm"], r["source"]) for r in first.collect()} == {("https://s.test/one", "click_revealed"), ("https://s.test/two", "click_revealed")}
+
+    stages = spark.createDataFrame([("j", "click", 3, 1, False, "back"), ("j", "click", 1, None, True, None), ("j", "nav_hover", 5, None, False, None), ("j", "hash", 2, None, False, "goto")], "job_id string, stage string, found int, navigations int, nav_cached boolean, restored string")
+    assert discovery.interactions(stages).first().asDict() == {"job_id": "j", "menus_interacted": 1, "clicks_interacted": 2, "nav_links_found": 5, "click_links_found": 4, "hash_links_found": 2, "navigation_links_found": 1, "nav_fingerprint_cache_hits": 1, "restore_via_back": 1, "restore_via_goto": 1}
