@@ -173,7 +173,7 @@ class LineModel:
             if known is None:
                 own, words = _own_features(*key)
                 item = bool(_ITEM.match(line))
-                known = (self.bias + sum([get(f, 0.0) for f in own]), None if item else sum([get("/" + w, 0.0) for w in words]))
+                known = (self.bias + sum(filter(None, map(get, own))), None if item else sum(filter(None, map(get, ["/" + w for w in words]))))
                 if len(line) < 80:
                     if len(self.seen) >= 100_000:
                         self.seen.clear()

@@ -71,9 +71,7 @@ _CODES = frozenset("404 403 410 500 502 503".split())
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+(?=[^\sa-z])|\s+[-|]\s+")
 #: Paths, urls and ids say nothing of what a passage is.
 _OPAQUE = re.compile(r"\S*/\S+|\b(?=\w*\d)(?=\w*[a-z])\w{5,}\b")
-_OPAQUE_HINT = re.compile(r"/|[^\W\d]\d|\d[^\W\d]")
-#: What every placeholder but a slot in brackets has.
-_HINT = re.compile(r"\{|<%|%[A-Z]|@@|__")
+_MIXED = re.compile(r"[^\W\d]\d|\d[^\W\d]")
 #: Placeholders by their signs. Braces of formulas and commands, templates with parameters, links and bare marks do not match.
 _HOLDERS = [
     ("mustache", re.compile(r"\{\{\{?\s*[#/^&>]?\s*[\w.\- ]+?\s*\}?\}\}")),
@@ -104,8 +102,10 @@ def _lines(text: str | None, title: bool) -> list[str]:
 def _line_parts(line: str, title: bool) -> Iterator[list[str]]:
     """The words of each passage in order, in lower case (numbers by length); a placeholder found by its signs is one of its own."""
     line = without_spans(line)
-    if "[" in line or _HINT.search(line):
-        patterns = _HOLDERS if _HINT.search(line) else _SLOTS
+    # what every placeholder but a slot in brackets has
+    hint = "{" in line or "<%" in line or "@@" in line or "__" in line or "%" in line
+    if hint or "[" in line:
+        patterns = _HOLDERS if hint else _SLOTS
         for kind, pattern in patterns:
             for _ in pattern.finditer(line):
                 yield ["<" + kind + ">", "<holder>"]
@@ -113,8 +113,15 @@ def _line_parts(line: str, title: bool) -> Iterator[list[str]]:
             yield _words("<bracket> " + m.group(1))
         for _, pattern in patterns:
             line = pattern.sub(" <holder> ", line)
-    if _OPAQUE_HINT.search(line):
+    digits = _DIGIT.search(line)
+    if "/" in line or digits and _MIXED.search(line):
         line = _OPAQUE.sub(" ", line)
+    if not digits:
+        for sentence in _SENTENCE.split(line):
+            own = _WORD.findall(sentence.lower())
+            if own:
+                yield own
+        return
     for sentence in _SENTENCE.split(line):
         own = _words(sentence)
         # numbers alone say nothing in a text
@@ -140,21 +147,25 @@ def _features(words: list[str]) -> list[str]:
     return [*dict.fromkeys(words), *{f"{a} {b}" for a, b in zip(words, words[1:])}]
 
 
+class _Weights(dict):
+    def __missing__(self, word: str) -> float:
+        return UNKNOWN_WORD
+
+
 class Model:
     """Log odds of a passage: ``bias`` plus the weights of its features. Unknown words speak a little against it."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.bias, self.seen = bias, {}
-        self.words = {f: w for f, w in weights.items() if " " not in f}
+        self.words = _Weights((f, w) for f, w in weights.items() if " " not in f)
         self.pairs = {tuple(f.split(" ")): w for f, w in weights.items() if " " in f}
 
     def odds(self, words: list[str]) -> float:
         """Of the words of a passage, in order."""
-        known, pairs = self.words.get, self.pairs.get
-        total = self.bias + sum([known(w, UNKNOWN_WORD) for w in set(words)])
+        total = self.bias + sum(map(self.words.__getitem__, set(words)))
         if len(words) == 2 and words[0] in _HOLDER_KINDS and words[1] == "<holder>":
             return total
-        return total + sum([pairs(p, 0.0) for p in set(zip(words, words[1:]))])
+        return total + sum(filter(None, map(self.pairs.get, set(zip(words, words[1:])))))
 
     def record(self, text: str | None, title: bool = False) -> float:
         """Log odds of a record's text: its strongest passage, and a tenth of each further one that speaks for it."""
