@@ -45,14 +45,24 @@ def listing(pages: DataFrame, job_id: str | None = None, decision: str | None =
     """One page of the list of pages: sent ones first, then by score (null as 0), then in order of discovery."""
     if page < 1 or not 1 <= page_size <= 500:
         raise ValueError("page must be 1 or more, page_size 1 to 500")
-    rows = pages
-    for column, value in (("job_id", job_id), ("decision", decision), ("route_type", route_type)):
-        if value is not None:
-            rows = rows.where(F.col(column) == value)
+    rows = _of(pages, job_id, decision, route_type)
     order = [F.when(F.col("decision") == "SEND", 0).otherwise(1), F.desc(F.coalesce("score", F.lit(0))), "seq", "page_id"]
     return rows.distinct().orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def _of(pages: DataFrame, job_id: str | None, decision: str | None, route_type: str | None) -> DataFrame:
+    for column, value in (("job_id", job_id), ("decision", decision), ("route_type", route_type)):
+        if value is not None:
+            pages = pages.where(F.col(column) == value)
+    return pages
+
+
+def listing_total(pages: DataFrame, job_id: str | None = None, decision: str | None = None, route_type: str | None = None, page_size: int = 100) -> DataFrame:
+    """(total, pages): how many rows the list has, and pages of that size."""
+    rows = _of(pages, job_id, decision, route_type).distinct()
+    return rows.agg(F.count("*").alias("total"), F.ceil(F.count("*") / page_size).alias("pages"))
+
+
 def status_eta(status: Column, crawled: Column, discovered: Column, max_pages: Column, elapsed: Column) -> Column:
     """Seconds a job is expected to take yet: null before its first page and where nothing is left, 0 for final states.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import fixed, links, markdown, routes, text, urls
 from pagemill.functions.html import read_page
 from pagemill.functions.register import register
-from pagemill.operators import dedup, frontier, jobs
+from pagemill.operators import dedup, discovery, frontier, jobs
 from pagemill.plans import pipeline, samples, sql
 from pagemill.shared import materialize, once, spread, table
 from pagemill.sources import payloads, requests, robots, sitemaps
@@ -80,9 +80,24 @@ def url_host_parts(spark, sf_dir):
 _LINK_SQL = f"(SELECT DISTINCT l.job_id, l.seq, l.parent, l.url, l.source, l.anchor_text, {sql.host('j.url')} AS root, {sql.normalized(f'({sql.joined("l.parent", "l.url")})')} AS norm FROM link_graph l JOIN jobs j USING (job_id))"
 
 
-@query("url_reject_reason", f"SELECT reason, count(*) AS n FROM (SELECT {sql.reason('norm', 'root')} AS reason FROM {_LINK_SQL}) GROUP BY reason")
+_PREFIX_LIST = sorted(p for (p,) in samples.PREFIXES.rows)
+
+
+@query("url_reject_reason", f"SELECT reason, count(*) AS n FROM (SELECT {sql.reason('norm', 'root', sql.strings(_PREFIX_LIST))} AS reason FROM {_LINK_SQL}) GROUP BY reason")
 def url_reject_reason(spark, sf_dir):
-    return frontier.candidates(_links(spark, sf_dir), _job_roots(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
+    """All links, with the same rules of a robots file for each site."""
+    roots = _job_roots(spark, sf_dir).withColumn("disallowed", F.array(*[F.lit(p) for p in _PREFIX_LIST]))
+    return frontier.candidates(_links(spark, sf_dir), roots).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_REJECTED = f"(SELECT id, root, string_split(rules, ' ') AS rules, {sql.normalized('url')} AS norm FROM {samples.REJECTS.sql()})"
+
+
+@query("url_reject_literals", f"SELECT id, {sql.reason('norm', 'root', 'rules')} AS reason FROM {_REJECTED}")
+def url_reject_literals(spark, sf_dir):
+    """Each of the reasons, and several at once."""
+    rows = _rows(spark, samples.REJECTS).withColumn("norm", urls.normalize_url(F.col("url")))
+    return rows.select("id", urls.reject_reason(F.col("norm"), F.col("root"), F.lit(False), F.split("rules", " ")).alias("reason"))
 
 
 @query("url_predicates_literals", f"SELECT id, {sql.is_asset('url')} AS asset, {sql.is_system('url')} AS system, {sql.is_action('url')} AS action, {sql.is_stub('url')} AS stub, {sql.is_blocked_query('url')} AS blocked, {sql.is_blocked_query('url', True)} AS blocked_following FROM {samples.CLEAN_URLS.sql()}")
@@ -118,7 +133,12 @@ def sitemap_locs(spark, sf_dir):
     return _rows(spark, samples.SITEMAPS).select("url", F.explode(sitemaps.locations(F.col("body"))).alias("loc")).select("url", urls.normalize_url(F.col("loc")).alias("loc"))
 
 
-@query("sitemap_pages", "SELECT * FROM (VALUES ('site.test', 'https://site.test/a', 'https://site.test/pages.xml'), ('site.test', 'https://site.test/b', 'https://site.test/pages.xml'), ('site.test', 'https://site.test/c', 'https://site.test/sitemap.xml')) t(root, url, parent)")
+@query("sitemap_pages", f"""WITH RECURSIVE bases AS (SELECT unnest(['https://site.test', 'https://www.site.test']) AS base, unnest([0, 1]) AS b),
+start AS (SELECT base || p AS url, b * 100 + i AS place FROM bases, (SELECT unnest({sql.strings(fixed.SITEMAP_PATHS)}) AS p, unnest(range({len(fixed.SITEMAP_PATHS)})) AS i)),
+locs AS (SELECT url AS parent, row, {sql.normalized('loc')} AS url FROM (SELECT url, unnest(regexp_extract_all(body, '(?i)<loc>\\s*(.*?)\\s*</loc>', 1)) AS loc, generate_subscripts(regexp_extract_all(body, '(?i)<loc>\\s*(.*?)\\s*</loc>', 1), 1) AS row FROM {samples.SITEMAPS.sql()})),
+read AS (SELECT url, 0 AS level FROM start UNION SELECT l.url, r.level + 1 FROM read r JOIN locs l ON l.parent = r.url WHERE regexp_matches(l.url, '\\.(xml|gz)$') AND r.level < 5),
+levels AS (SELECT url, min(level) AS level FROM read GROUP BY url)
+SELECT 'site.test' AS root, l.url, arg_max(l.parent, v.level * 1000 + l.row) AS parent FROM locs l JOIN levels v ON v.url = l.parent WHERE l.url <> '' AND NOT regexp_matches(l.url, '\\.(xml|gz)$') AND {sql.host('l.url')} = 'site.test' GROUP BY l.url""")
 def sitemap_pages(spark, sf_dir):
     start = spark.sql("SELECT 'https://site.test/' AS url")
     return sitemaps.sitemap_urls(sitemaps.first_sitemaps(start), _rows(spark, samples.SITEMAPS))
@@ -204,7 +224,11 @@ def _crawl_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(rows, "norm", urls.normalize_url(F.col("url"))).where(f"norm <> '' or seq = {-(2**40)}").select("job_id", "norm", "seq", "max_pages")
 
 
-@query("frontier_crawl")
+_CRAWL_SEEDS = f"SELECT job_id, norm, seq, max_pages FROM (SELECT job_id, {sql.normalized('url')} AS norm, {-(2**40)} AS seq, max_pages FROM jobs UNION ALL SELECT p.job_id, {sql.normalized('p.url')}, p.seq - {2**39}, j.max_pages FROM page_info p JOIN jobs j USING (job_id) WHERE p.depth = 0) WHERE norm <> '' OR seq = {-(2**40)}"
+_CRAWL_EDGES = f"SELECT DISTINCT job_id, seq, {sql.normalized('parent')} AS parent_norm, norm, {sql.score('norm', 'source', 'anchor_text', '0')} AS score FROM {_LINK_SQL} WHERE {sql.reason('norm', 'root')} = 'accepted'"
+
+
+@query("frontier_crawl", sql.crawl(_CRAWL_EDGES, _CRAWL_SEEDS, 5))
 def frontier_crawl(spark, sf_dir):
     """The whole crawl in rounds, from all seeds to depth 5 within each job's budget; frontier_rounds is what its SQL says, the start pages alone."""
     return frontier.crawl_rounds(_edges(spark, sf_dir), _crawl_seeds(spark, sf_dir))
@@ -228,7 +252,7 @@ def links_html_regex(spark, sf_dir):
     return _rows(spark, samples.HTML).select("id", F.explode(links.source_links(F.col("html"))).alias("link"))
 
 
-@query("links_onclick", "SELECT * FROM (VALUES (1, '/career-details/dev-1'), (1, '/career-details/dev-1'), (2, '/section/item-2'), (2, '/section'), (3, '/a/b'), (6, '/x/y/z')) t(id, link) WHERE NOT (id = 2 AND link = '/section') UNION ALL SELECT 1, '/career-details/dev-1' WHERE false")
+@query("links_onclick", f"SELECT id, unnest({sql.handler_paths('onclick')}) AS link FROM {samples.ONCLICK.sql()}")
 def links_onclick(spark, sf_dir):
     return _rows(spark, samples.ONCLICK).select("id", F.explode(links.handler_paths(F.col("onclick"))).alias("link"))
 
@@ -252,7 +276,18 @@ def page_title_h1(spark, sf_dir):
     return rows.withColumn("effective_title", F.coalesce(F.nullif("h1", F.lit("")), "title"))
 
 
-@query("page_meta")
+def _tag_sql(pattern: str) -> str:
+    return sql.plain_text(f"regexp_extract(html, '(?is){pattern}', 1)")
+
+
+_HEAD_SQL = ", ".join(f"nullif({_tag_sql(p)}, '')" for p in ("<h1[^>]*>(.*?)</h1>", '<h2[^>]*class=.page_title.[^>]*>(.*?)</h2>', '<h3[^>]*class=.post_title.[^>]*>(.*?)</h3>', "<h2[^>]*>(.*?)</h2>", "<h3[^>]*>(.*?)</h3>"))
+_DATA_SQL = "regexp_extract(html, '(?is)<script type=.application/ld.json.>(.*?)</script>', 1)"
+_NEXT_SQL = "regexp_extract(html, '(?is)<script id=.__NEXT_DATA__.>(.*?)</script>', 1)"
+
+
+@query("page_meta", f"""SELECT id, coalesce({_HEAD_SQL}, '') AS best_heading, CASE WHEN canonical = '' THEN '' ELSE {sql.joined('url', 'canonical')} END AS canonical_url, CASE WHEN refresh = '' THEN '' ELSE {sql.joined('url', 'refresh')} END AS refresh_url, '' AS og_url,
+array_to_string(list_concat(list_filter([json_extract_string(data, '$."@id"'), coalesce(json_extract_string(data, '$.mainEntityOfPage."@id"'), json_extract_string(data, '$.mainEntityOfPage.url'))], lambda x: starts_with(x, 'http')), list_transform(list_filter([json_extract_string(next, '$.a.path')], lambda x: starts_with(x, '/')), lambda x: regexp_extract(url, '^[a-z]+://[^/]*') || x)), ' ') AS data_urls
+FROM (SELECT id, url, html, regexp_extract(html, '(?i)<link rel="canonical" href="([^"]*)"', 1) AS canonical, trim(regexp_extract(html, '(?i)http-equiv="refresh" content="[^"]*url=([^"]*)"', 1), chr(39)) AS refresh, nullif({_DATA_SQL}, '')::JSON AS data, nullif({_NEXT_SQL}, '')::JSON AS next FROM {samples.HTML.sql()})""")
 def page_meta(spark, sf_dir):
     return _rows(spark, samples.HTML).withColumn("page", read_page("html", "url")).select("id", "page.best_heading", "page.canonical_url", "page.refresh_url", "page.og_url", F.array_join("page.data_urls", " ").alias("data_urls"))
 
@@ -267,7 +302,10 @@ def page_content(spark, sf_dir):
     return _rows(spark, samples.HTML).withColumn("page", read_page("html", "url")).select("id", "page.markdown", "page.selector", "page.main_content_chars")
 
 
-@query("page_links_sql", "SELECT * FROM (VALUES (1, 'https://s.test/home'), (1, 'https://s.test/a/two.html'), (2, 'https://s.test/home'), (3, 'https://s.test/data')) t(id, url)")
+_ANCHOR_SQL = f"(SELECT id, url, unnest(list_filter(regexp_extract_all(html, '(?is)(?:<a[^>]*\\shref|data-href)=[\"'']([^\"'']*)[\"'']', 1), lambda x: x <> '' AND {sql.usable('x')})) AS link FROM {samples.HTML.sql()})"
+
+
+@query("page_links_sql", f"SELECT id, {sql.joined('url', 'link')} AS url FROM {_ANCHOR_SQL}")
 def page_links_sql(spark, sf_dir):
     """The links of pages by the table function in SQL."""
     register(spark)
@@ -275,16 +313,17 @@ def page_links_sql(spark, sf_dir):
     return spark.sql("SELECT h.id, l.url FROM pagemill_html h, LATERAL explode_links(h.html, h.url) l")
 
 
-@query("heading_probe")
+@query("heading_probe", f"""SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS place, tag, text, class FROM (SELECT id, k, regexp_extract(head, '^<([a-z0-9]+)', 1) AS tag, substr({sql.plain_text("regexp_replace(regexp_replace(head, '</?(b|i)>', '', 'g'), '^<[^>]*>|</[a-z0-9]+>$', '', 'g')")}, 1, 120) AS text, regexp_extract(head, '^<[^>]*class=.([^\"'']*)', 1) AS class
+FROM (SELECT id, unnest(regexp_extract_all(html, '(?is)<h[1-4][^>]*>.*?</h[1-4]>')) AS head, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-4][^>]*>.*?</h[1-4]>'), 1) AS k FROM {samples.HTML.sql()}))""")
 def heading_probe(spark, sf_dir):
     register(spark)
     return _rows(spark, samples.HTML).select("id", F.posexplode(F.call_function("headings", "html")).alias("place", "heading")).select("id", "place", "heading.*")
 
 
-@query("spa_routes", "SELECT * FROM (VALUES (1, 'https://s.test/a'), (1, 'https://s.test/b/c'), (1, 'https://s.test/')) t(id, url)")
+@query("spa_routes", f"SELECT id, {sql.joined(sql.q('https://s.test/p/q'), 'path')} AS url FROM (SELECT s.id, t.value ->> '$' AS path FROM {samples.STATES.sql()} s, json_tree(CASE WHEN json_valid(s.state) THEN s.state END) t WHERE t.type = 'VARCHAR') WHERE starts_with(path, '/')")
 def spa_routes(spark, sf_dir):
     register(spark)
-    rows = spark.sql("""SELECT * FROM VALUES (1, '{"x": ["/a", {"y": "/b/c"}, "no"], "z": "/"}'), (2, 'no json'), (3, CAST(NULL AS STRING)) AS t(id, state)""")
+    rows = _rows(spark, samples.STATES)
     return rows.select("id", F.explode(F.call_function("spa_routes", "state", F.lit("https://s.test/p/q"))).alias("url"))
 
 
@@ -294,13 +333,17 @@ def page_decisions(spark, sf_dir):
     return pipeline.decide(_rows(spark, samples.CRAWLED)).select(F.col("seq").cast("int").alias("seq"), "decision", "reason")
 
 
-@query("job_requests", "SELECT * FROM (VALUES (1, 300, ''), (2, 5, 'max_depth'), (3, 300, 'url agent_id'), (4, NULL, 'body'), (5, 0, 'tenant_id max_pages')) t(id, max_pages, faults)")
+@query("job_requests", f"""SELECT id, CASE WHEN body IS NOT NULL THEN coalesce((body ->> '$.max_pages')::INT, 300) END AS max_pages, CASE WHEN body IS NULL THEN 'body' ELSE array_to_string(list_filter([CASE WHEN NOT regexp_matches(coalesce(body ->> '$.url', ''), '^https?://') THEN 'url' END, CASE WHEN coalesce(body ->> '$.tenant_id', '') = '' THEN 'tenant_id' END, CASE WHEN coalesce(body ->> '$.agent_id', '') = '' THEN 'agent_id' END,
+{", ".join(f"CASE WHEN coalesce((body ->> '$.{n}')::INT, {d}) NOT BETWEEN {low} AND {high} THEN '{n}' END" for n, (d, low, high) in requests.NUMBERS.items())}], lambda x: x IS NOT NULL), ' ') END AS faults FROM {samples.REQUEST_BODIES.sql()}""")
 def job_requests(spark, sf_dir):
     rows = requests.read_requests(_rows(spark, samples.REQUEST_BODIES))
     return rows.select("id", "request.max_pages", F.array_join("faults", " ").alias("faults"))
 
 
-@query("nav_fingerprint_first", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, true)) t(id, is_first)")
+_REGIONS_SQL = " || ".join(f"CASE WHEN {r} = '' THEN '' ELSE '|' || {r} END" for r in (rf"trim(regexp_replace(regexp_extract(html, '(?is)<{t}[\s>].*?</{t}>'), '\s+', ' ', 'g'))" for t in ("nav", "header", "footer")))
+
+
+@query("nav_fingerprint_first", f"SELECT id, length(own) < 21 OR row_number() OVER (PARTITION BY own ORDER BY id) = 1 AS is_first FROM (SELECT id, {_REGIONS_SQL} AS own FROM {samples.HTML.sql()})")
 def nav_fingerprint_first(spark, sf_dir):
     rows = _rows(spark, samples.HTML).withColumn("job_id", F.lit("j")).withColumn("fingerprint", links.nav_fingerprint(F.col("html")))
     return dedup.first_fingerprints(rows, ["job_id"], "fingerprint", "id").select("id", "is_first")
@@ -402,7 +445,10 @@ def dedup_content(spark, sf_dir):
     return dedup.content_reasons(_gate_rows(spark, sf_dir)).select("job_id", "seq", "reason")
 
 
-@query("dedup_canonical", "SELECT * FROM (VALUES (3, 'duplicate_canonical:https://s.test/c'), (5, 'duplicate_canonical:https://s.test/a'), (8, 'duplicate_canonical:https://s.test/g')) t(seq, reason)")
+@query("dedup_canonical", f"""WITH RECURSIVE pages AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM {samples.GATE.sql()}),
+fold AS (SELECT 0::BIGINT AS n, 0 AS seq, NULL::VARCHAR AS reason, []::VARCHAR[] AS held UNION ALL
+SELECT p.n, p.seq, CASE WHEN list_contains(f.held, p.canonical) THEN 'duplicate_canonical:' || p.canonical END, CASE WHEN list_contains(f.held, p.canonical) THEN f.held ELSE list_concat(f.held, [p.url, coalesce(p.canonical, p.url)]) END FROM fold f JOIN pages p ON p.n = f.n + 1)
+SELECT seq, reason FROM fold WHERE reason IS NOT NULL""")
 def dedup_canonical(spark, sf_dir):
     rows = _rows(spark, samples.GATE).withColumn("job_id", F.lit("j")).withColumn("seq", F.col("seq").cast("long"))
     return dedup.canonical_rejects(rows).select(F.col("seq").cast("int").alias("seq"), "reason")
@@ -445,6 +491,57 @@ def pages_listing(spark, sf_dir):
     return jobs.listing(table(spark, sf_dir, "page_info"), decision="SEND", page=2, page_size=100).select("page_id", "decision", "score")
 
 
+@query("pages_total", "SELECT count(*) AS total, ceil(count(*) / 100)::BIGINT AS pages FROM (SELECT DISTINCT * FROM page_info WHERE decision = 'SEND')")
+def pages_total(spark, sf_dir):
+    """How many rows, and pages of the list, there are of sent pages."""
+    return jobs.listing_total(table(spark, sf_dir, "page_info"), decision="SEND", page_size=100)
+
+
+_REJECT_COUNT = f"SELECT job_id, count(*) FILTER (WHERE reason <> 'accepted') AS rejected FROM (SELECT job_id, {sql.reason('norm', 'root')} AS reason FROM {_LINK_SQL} WHERE norm <> '') GROUP BY job_id"
+
+
+@query("rejected_urls", _REJECT_COUNT)
+def rejected_urls(spark, sf_dir):
+    """Links turned away in each job, counted as often as they were met."""
+    rows = frontier.candidates(_links(spark, sf_dir), _job_roots(spark, sf_dir)).where("norm <> ''")
+    return rows.groupBy("job_id").agg(F.count_if(F.col("reason") != "accepted").alias("rejected"))
+
+
+_OFFERS = "(SELECT *, CASE source WHEN 'nav_hover' THEN 0 WHEN 'click_revealed' THEN 1 WHEN 'nav_click_revealed' THEN 1 WHEN 'card_click_revealed' THEN 1 WHEN 'popup_click_revealed' THEN 1 WHEN 'hash_nav' THEN 2 WHEN 'spa_routing' THEN 3 WHEN 'onclick_attr' THEN 4 WHEN 'html_regex' THEN 6 WHEN 'html_pattern' THEN 6 WHEN 'json_ld' THEN 7 WHEN 'meta_refresh' THEN 8 ELSE 5 END AS stage FROM (SELECT DISTINCT job_id, seq, parent, url, source FROM link_graph))"
+
+
+@query("stage_order_first", f"SELECT job_id, norm, parent, source FROM (SELECT *, row_number() OVER (PARTITION BY job_id, norm ORDER BY visit, stage, seq, url, source) AS place FROM (SELECT o.job_id, o.parent, o.source, o.stage, o.seq, o.url, v.visit, {sql.normalized(f'({sql.joined("o.parent", "o.url")})')} AS norm FROM {_OFFERS} o JOIN (SELECT job_id, parent, min(seq) AS visit FROM link_graph GROUP BY job_id, parent) v USING (job_id, parent)) WHERE norm <> '') WHERE place = 1")
+def stage_order_first(spark, sf_dir):
+    """Who offers each address first, when a page's stages come in their order: the union of the streams of candidates."""
+    stage_of = {"nav_hover": "nav_hover", "click_revealed": "click", "nav_click_revealed": "click", "card_click_revealed": "click", "popup_click_revealed": "click", "hash_nav": "hash", "spa_routing": "spa", "onclick_attr": "onclick", "html_regex": "html", "html_pattern": "html", "json_ld": "json_ld", "meta_refresh": "meta_refresh"}
+    rows = table(spark, sf_dir, "link_graph").select("job_id", F.col("parent").alias("page"), F.col("seq").alias("row"), "url", "source", F.lit("").alias("text")).distinct()
+    visits = rows.groupBy("job_id", "page").agg(F.min("row").alias("visit"))
+    names = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in stage_of.items() for x in pair]), F.coalesce("source", F.lit(""))), F.lit("dom"))
+    rows = materialize(rows.withColumn("name", names), "offers")
+    ordered = discovery.in_stage_order({name: rows.where(F.col("name") == name) for name in fixed.STAGES})
+    joined = ordered.withColumn("url", links.joined(F.col("page"), F.col("url"))).join(visits, ["job_id", "page"])
+    return discovery.first_offers(joined).select("job_id", "norm", F.col("page").alias("parent"), "source")
+
+
+_CLICK_SQL = f"(SELECT *, trim(lower(coalesce(text, ''))[1:120]) || ' ' || lower(coalesce(aria_label, ''))[1:80] AS raw FROM {samples.CONTROLS.sql()})"
+
+
+@query("clicked_controls", f"""SELECT row, label FROM (SELECT *, row_number() OVER (PARTITION BY page, label ORDER BY row) AS again FROM (SELECT *, trim(raw) AS label FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY row) AS place FROM {_CLICK_SQL})
+WHERE place <= 7 AND visible AND NOT in_nav) WHERE NOT ({' OR '.join(f"contains(label, {sql.q(w)})" for w in fixed.NOISE_LABELS)})) WHERE again = 1""")
+def clicked_controls(spark, sf_dir):
+    rows = _rows(spark, samples.CONTROLS).withColumn("job_id", F.lit("j")).withColumn("buttons", F.lit(7)).withColumn("skip_nav", F.lit(True))
+    return discovery.clicked(rows).select("row", "label")
+
+
+@query("stage_limits", f"""SELECT page_id, depth <= {fixed.CLICK_DEPTH} AS click, CASE WHEN depth > {fixed.CLICK_DEPTH} THEN 0 WHEN ends_with(route, '_detail') THEN {fixed.DETAIL_BUTTONS} ELSE {fixed.MOST_BUTTONS} END AS buttons, route IN {sql.one_of(fixed.DISCOVERY_ROUTES)} AND depth <= {fixed.MENU_DEPTH} AS hover, depth <= {fixed.CLICK_DEPTH} AND NOT ends_with(route, '_detail') AS hash
+FROM (SELECT DISTINCT page_id, depth, {sql.route('url')} AS route FROM page_info) WHERE depth IS NOT NULL""")
+def stage_limits(spark, sf_dir):
+    """What may be done on each page, by its route and depth."""
+    rows = table(spark, sf_dir, "page_info").where("depth is not null").select("page_id", "depth", routes.classify_route(F.col("url")).alias("route")).distinct()
+    rows = rows.withColumn("may", discovery.stage_limits(F.col("route"), F.col("depth"), F.lit(False)))
+    return rows.select("page_id", "may.click", "may.buttons", "may.hover", "may.hash")
+
+
 _ETA_SQL = """CASE WHEN crawled < 1 OR status = 'QUEUED' THEN NULL WHEN status IN ('COMPLETED', 'COMPLETED_WITH_ERRORS', 'FAILED') THEN 0 WHEN total - crawled <= 0 THEN NULL
 ELSE floor((total - crawled) / greatest(greatest(1, floor(crawled * 3 / 10)) / greatest(elapsed * 0.5::DOUBLE, 1) * 0.6::DOUBLE + crawled / greatest(elapsed * 1::DOUBLE, 1) * 0.4::DOUBLE, 0.02::DOUBLE)) END::BIGINT"""
 
@@ -497,7 +594,7 @@ def ttl_expiry(spark, sf_dir):
     return jobs.expired(rows.crossJoin(F.broadcast(now)), F.col("now")).select("job_id")
 
 
-@query("payload_json")
+@query("payload_json", """SELECT page_id, to_json({'tenant_id': tenant_id, 'agent_id': agent_id, 'url': url, 'title': title, 'markdown': markdown, 'content_hash': content_hash, 'crawler_report': {'depth': crawler_report.depth, 'score': crawler_report.score, 'source': crawler_report.source, 'route_type': crawler_report.route_type, 'main_content_chars': crawler_report.main_content_chars, 'preprocessing_report': crawler_report.preprocessing_report}})::VARCHAR AS payload FROM sent_pages""")
 def payload_json(spark, sf_dir):
     return payloads.payload(table(spark, sf_dir, "sent_pages"))
 

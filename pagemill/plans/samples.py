@@ -86,3 +86,12 @@ REQUEST_BODIES = Rows("id, body", [
     (1, '{"url": "https://s.test", "tenant_id": "t", "agent_id": "a", "unknown": 1}'), (2, '{"url": "https://s.test", "tenant_id": "t", "agent_id": "a", "max_pages": 5, "max_depth": 21}'),
     (3, '{"url": "ftp://s.test", "tenant_id": "t"}'), (4, None), (5, '{"url": "https://s.test", "agent_id": "a", "max_pages": 0}'),
 ])
+REJECTS = Rows("id, url, root, rules", [(k, u, "s.test", "/private /privateer") for k, u in enumerate([
+    "", None, "ftp://s.test/", "https://[x/", "https://t.test/", "https://blog.s.test/", "https://s.test/a.pdf", "https://s.test/static/a", "https://s.test/wp-admin/x", "https://s.test/send.php", "https://s.test/a?tag=x",
+    "https://s.test/a?id=1&p=2", "https://s.test/" + "a/" * 13, "https://s.test/blog-details", "https://s.test/privateer", "https://s.test/PRIVATE/x/", "https://s.test/ok?id=1", "https://www.s.test/ok", "https://s.test/static/a.pdf?tag=1", "http://s.test/private.png",
+])])
+STATES = Rows("id, state", [(1, '{"x": ["/a", {"y": "/b/c"}, "no"], "z": "/"}'), (2, "no json"), (3, None), (4, '["../up", "/one/../two", 5, null, true]')])
+CONTROLS = Rows("page, row, text, aria_label, visible, in_nav", [
+    ("p", 1, "Show more", None, True, False), ("p", 2, "SHOW MORE ", "", True, False), ("p", 3, "Accept all", None, True, False), ("p", 4, "Menu", None, True, True), ("p", 5, "Tab", "second", False, False),
+    ("p", 6, None, "Open panel", True, False), ("p", 7, "Details", "Subscribe here", True, False), ("p", 8, "Beyond", None, True, False), ("q", 1, "Details", "of the plan", True, False),
+])

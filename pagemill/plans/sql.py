@@ -90,12 +90,18 @@ def is_blocked_query(url: str, follow: bool = False) -> str:
     return f"({part(url, 4)} <> '' AND ({always}{'' if follow else ' OR ' + foreign}))"
 
 
-def reason(url: str, root: str) -> str:
+def robots_path(url: str) -> str:
+    own = f"regexp_replace(lower({path(url)}), '/+$', '')"
+    return f"(CASE WHEN {own} = '' THEN '/' ELSE {own} END)"
+
+
+def reason(url: str, root: str, prefixes: str = "[]::VARCHAR[]") -> str:
+    blocked = f"list_min(list_filter({prefixes}, lambda p: starts_with({robots_path(url)}, p)))"
     return (
         f"CASE WHEN {url} IS NULL THEN 'malformed_url' WHEN {url} = '' THEN 'empty_url' WHEN lower({part(url, 1)}) NOT IN ('http', 'https') THEN 'unsupported_scheme' "
         f"WHEN {host(url)} <> {root} THEN 'external_domain' WHEN {is_asset(url)} THEN 'asset_extension' WHEN {is_system(url)} THEN 'asset_or_system_path' "
         f"WHEN {is_action(url)} THEN 'action_endpoint' WHEN {is_blocked_query(url)} THEN 'query_policy' WHEN len({segments(url)}) > {fixed.MOST_SEGMENTS} THEN 'path_too_deep' "
-        f"WHEN {is_stub(url)} THEN 'bare_detail_stub' ELSE 'accepted' END"
+        f"WHEN {is_stub(url)} THEN 'bare_detail_stub' WHEN {blocked} IS NOT NULL THEN 'robots_disallowed:' || {blocked} ELSE 'accepted' END"
     )
 
 
@@ -182,3 +188,43 @@ def quality(text: str, title: str, chars: str, route_type: str) -> str:
         f"WHEN NOT {detail} AND length({body}) < {fixed.LEAST_CHARS} THEN 'too_short' WHEN len({words}) < {fixed.LEAST_PAGE_WORDS} THEN 'too_few_words' "
         f"WHEN len({words}) > {fixed.MANY_WORDS} AND len(list_distinct({words})) / len({words}) < {fixed.LEAST_DISTINCT_SHARE} THEN 'low_unique_word_ratio' ELSE 'ok' END"
     )
+
+
+def handler_paths(onclick: str) -> str:
+    """A list of the paths that handlers with quoted arguments build."""
+    found = lambda pattern, group: f"regexp_extract_all({onclick}, {q(pattern)}, {group})"
+    plain = lambda text: f"regexp_replace({text}, '^/+|/+$', '', 'g')"
+
+    def section(pattern):
+        both = f"list_zip({found('(?i)' + pattern, 1)}, {found('(?i)' + pattern, 3)})"
+        return f"list_transform(list_filter({both}, lambda x: NOT contains(x[2], '/')), lambda x: '/' || x[2] || '/' || {plain('x[1]')})"
+
+    folder = f"list_transform(list_zip({found('(?i)' + fixed.PATH_HANDLER_PATTERN, 1)}, {found('(?i)' + fixed.PATH_HANDLER_PATTERN, 2)}), lambda x: regexp_replace(x[2], '/+$', '') || '/' || {plain('x[1]')})"
+    quoted = rf"list_filter({found(fixed.QUOTED_PATH_PATTERN, 1)}, lambda x: NOT regexp_matches(x, '\.(js|css|png|jpg)$'))"
+    return f"CASE WHEN length({onclick}) >= {fixed.LEAST_HANDLER_CHARS} THEN list_concat({section(fixed.FORM_HANDLER_PATTERN)}, {section(fixed.PLAIN_FORM_HANDLER_PATTERN)}, {folder}, {quoted}) ELSE [] END"
+
+
+def usable(link: str) -> str:
+    return f"NOT ({strip(f'lower({link})')} IN {one_of(fixed.PLACEHOLDER_HREFS)} OR {strip(link)} = '/' OR contains({link}, '{{') OR regexp_matches({strip(f'lower({link})')}, '^({'|'.join(fixed.BLOCKED_SCHEMES)})'))"
+
+
+def plain_text(html: str) -> str:
+    """Stripped strings between tags, one after the other."""
+    return rf"trim(regexp_replace(regexp_replace({html}, '\s*<[^>]*>\s*', chr(1), 'g'), chr(1), '', 'g'))"
+
+
+def crawl(edges: str, seeds: str, depth: int) -> str:
+    """A crawl in rounds, unrolled: in each the best pending urls of a job are crawled within its budget, and their links admitted."""
+    parts = [
+        f"edges AS MATERIALIZED ({edges})", f"seeds AS MATERIALIZED ({seeds})", "budgets AS (SELECT job_id, max(max_pages) AS budget FROM seeds GROUP BY job_id)",
+        "f0 AS MATERIALIZED (SELECT job_id, norm, 0 AS depth, 100 AS score, min(seq) AS seq FROM seeds GROUP BY job_id, norm)",
+    ]
+    for d in range(depth + 1):
+        done = f"(SELECT job_id, norm FROM d{d - 1})" if d else "(SELECT NULL AS job_id, NULL AS norm WHERE false)"
+        now = f"SELECT job_id, norm FROM (SELECT f.job_id, f.norm, row_number() OVER (PARTITION BY f.job_id ORDER BY f.score DESC, f.seq, f.norm) AS place FROM f{d} f ANTI JOIN {done} x ON x.job_id = f.job_id AND x.norm = f.norm) JOIN budgets USING (job_id) LEFT JOIN (SELECT job_id, count(*) AS used FROM {done} GROUP BY job_id) USING (job_id) WHERE place + coalesce(used, 0) <= budget"
+        parts.append(f"n{d} AS MATERIALIZED ({now})")
+        parts.append(f"d{d} AS MATERIALIZED (SELECT * FROM n{d}" + (f" UNION ALL SELECT * FROM d{d - 1})" if d else ")"))
+        if d < depth:
+            new = f"SELECT e.job_id, e.norm, {d + 1} AS depth, arg_min(e.score - {6 * (d + 1)}, e.seq) AS score, min(e.seq) AS seq FROM edges e SEMI JOIN n{d} n ON n.job_id = e.job_id AND n.norm = e.parent_norm ANTI JOIN f{d} f ON f.job_id = e.job_id AND f.norm = e.norm WHERE e.score - {6 * (d + 1)} >= {fixed.LEAST_SCORE} GROUP BY e.job_id, e.norm"
+            parts.append(f"f{d + 1} AS MATERIALIZED (SELECT * FROM f{d} UNION ALL {new})")
+    return f"WITH {', '.join(parts)} SELECT f.job_id, f.norm, f.depth, f.score, f.seq, CASE WHEN x.norm IS NULL THEN 'pending' ELSE 'completed' END AS status FROM f{depth} f LEFT JOIN d{depth} x ON x.job_id = f.job_id AND x.norm = f.norm"

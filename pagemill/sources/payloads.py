@@ -11,7 +11,7 @@ REPORT_FIELDS = ["depth", "score", "source", "route_type", "main_content_chars",
 def payload(pages: DataFrame) -> DataFrame:
     """(page_id, payload): JSON of each page as it is sent."""
     report = F.struct(*[F.col(f"crawler_report.{f}") for f in REPORT_FIELDS]).alias("crawler_report")
-    body = F.struct("tenant_id", "agent_id", "url", "title", "markdown", report)
+    body = F.struct("tenant_id", "agent_id", "url", "title", "markdown", "content_hash", report)
     return pages.select("page_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
