@@ -158,6 +158,7 @@ WIDE_SELECTORS = ["body", "#content", "#main"]
 LINKED_DATA_KEYS, LINKED_DATA_KEYS_BELOW = ["@id", "url", "mainEntityOfPage"], ["@id", "url"]
 
 # Sending pages, jobs and rates.
+ERROR_CHARS, MOST_LOADS = 200, 2
 RETRIED_STATUSES, MOST_ATTEMPTS = [0, 408, 429, 500, 502, 503, 504], 4
 ABORT_AFTER, ABORT_RATE = 5, 0.8
 RATE_REQUESTS, RATE_SECONDS = 30, 60

@@ -152,3 +152,26 @@ def expired(jobs: DataFrame, now: Column, seconds: int = fixed.JOB_SECONDS) -> D
 def health(jobs: DataFrame) -> DataFrame:
     active = F.count_if(F.col("status").isin(fixed.ACTIVE_STATUSES))
     return jobs.agg(active.alias("active_jobs"), F.count("*").alias("total_jobs"), (active < fixed.MOST_ACTIVE).alias("admits"))
+
+
+def load_outcomes(attempts: DataFrame) -> DataFrame:
+    """(page_id, loaded, http_status, error) of page loads from their attempts (page_id, attempt, problem, http_status, error).
+
+    A load is tried a second time after an error; a timeout counts as loaded, with what had come. Of a page that never
+    loaded the last error stays, cut short; one that answered with 400 or more is loaded and has that status.
+    """
+    rows = attempts.distinct().where(F.col("attempt") <= fixed.MOST_LOADS)
+    good = F.coalesce(F.col("problem") != "error", F.lit(True))
+    out = rows.groupBy("page_id").agg(
+        F.min_by(F.when(good, F.struct("http_status")), F.when(good, F.col("attempt"))).alias("first"),
+        F.max(good).alias("loaded"),
+        F.max_by("error", F.when(~good, F.col("attempt"))).alias("error"),
+    )
+    return out.select("page_id", "loaded", "first.http_status", F.when(~F.col("loaded"), F.substring("error", 1, fixed.ERROR_CHARS)).alias("error"))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """(line): a JSON object for each event (ts, level, logger, msg, fields: a map of texts or null), its fields beside the others."""
+    head = F.create_map(F.lit("ts"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit("level"), F.col("level"), F.lit("logger"), F.col("logger"), F.lit("msg"), F.col("msg"))
+    more = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("ts", "level", "logger", "msg"))
+    return events.select(F.to_json(F.map_concat(head, more)).alias("line"))

@@ -587,6 +587,12 @@ def send_retry_outcome(spark, sf_dir):
     return jobs.send_outcomes(table(spark, sf_dir, "send_attempts"))
 
 
+@query("load_outcomes", f"""SELECT page_id, bool_or(good) AS loaded, arg_min(http_status, attempt) FILTER (WHERE good) AS http_status, CASE WHEN NOT bool_or(good) THEN substr(arg_max(error, attempt) FILTER (WHERE NOT good), 1, {fixed.ERROR_CHARS}) END AS error
+FROM (SELECT *, coalesce(problem <> 'error', true) AS good FROM {samples.LOADS.sql()} WHERE attempt <= {fixed.MOST_LOADS}) GROUP BY page_id""")
+def load_outcomes(spark, sf_dir):
+    return jobs.load_outcomes(_rows(spark, samples.LOADS))
+
+
 @query("ttl_expiry", f"SELECT job_id FROM jobs WHERE status IN {sql.one_of(fixed.FINAL_STATUSES)} AND created_at < (SELECT max(updated_at) FROM jobs) - INTERVAL {fixed.JOB_SECONDS} SECONDS")
 def ttl_expiry(spark, sf_dir):
     rows = table(spark, sf_dir, "jobs")

@@ -95,3 +95,4 @@ CONTROLS = Rows("page, row, text, aria_label, visible, in_nav", [
     ("p", 1, "Show more", None, True, False), ("p", 2, "SHOW MORE ", "", True, False), ("p", 3, "Accept all", None, True, False), ("p", 4, "Menu", None, True, True), ("p", 5, "Tab", "second", False, False),
     ("p", 6, None, "Open panel", True, False), ("p", 7, "Details", "Subscribe here", True, False), ("p", 8, "Beyond", None, True, False), ("q", 1, "Details", "of the plan", True, False),
 ])
+LOADS = Rows("page_id, attempt, problem, http_status, error", [(1, 1, None, 200, None), (2, 1, "error", None, "reset"), (2, 2, None, 404, None), (3, 1, "error", None, "refused"), (3, 2, "error", None, "e" * 300), (4, 1, "timeout", None, "slow"), (5, 1, "error", None, "a"), (5, 2, "error", None, "b"), (5, 3, None, 200, None)])

@@ -1,3 +1,4 @@
+import pytest
 """Streams, fed file by file, against the batch operators."""
 
 import random
@@ -60,3 +61,51 @@ def test_live_jobs(spark, tmp_path):
     got = drained(spark, limits.live_jobs(fed(spark, df, "ts", tmp_path, 5), "ts", "job", "status"), "live", tmp_path)
     seen = {tuple(r) for r in got.collect()}
     assert ("a", "COMPLETED", True) in seen and not any(j == "b" and x for j, _, x in seen)
+
+
+def test_sending_with_retries(spark, tmp_path):
+    import json
+
+    from pyspark.sql import types as T
+
+    from pagemill.sources.settings import Settings
+    from pagemill.streaming import sending
+
+    asked = []
+
+    def post(body):
+        kind = json.loads(body)["url"]
+        asked.append(kind)
+        if kind == "raises":
+            raise OSError("no route")
+        return {"fine": 201, "busy": 503, "wrong": 422, "late": 200 if asked.count("late") > 2 else 429}[kind], "said"
+
+    waits = []
+    outcome = {kind: sending.sent(json.dumps({"url": kind}), post, waits.append) for kind in ("fine", "busy", "wrong", "late", "raises")}
+    assert outcome == {"fine": (True, 201, "said", 1), "busy": (False, 503, "said", 4), "wrong": (False, 422, "said", 1), "late": (True, 200, "said", 3), "raises": (False, 0, "no route", 4)}
+    assert waits == [1.0, 2.0, 4.0, 1.0, 2.0, 1.0, 2.0, 4.0]
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/sent_pages.parquet").limit(5)
+    pages.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(T.StructType.fromJson(pages.schema.jsonValue())).parquet(f"{tmp_path}/in")
+    sending.send_stream(stream, lambda body: (200, str(len(body))), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/out").where("ok and attempts = 1").count() == 5
+
+    with pytest.raises(ValueError, match="receiver"):
+        Settings.of(spark).ready_to_send()
+    spark.conf.set("spark.pagemill.most_active_jobs", " 3 ")
+    assert Settings.of(spark).most_active_jobs == 3
+    spark.conf.set("spark.pagemill.most_active_jobs", "many")
+    with pytest.raises(ValueError, match="most_active_jobs"):
+        Settings.of(spark)
+    spark.conf.unset("spark.pagemill.most_active_jobs")
+
+
+def test_log_lines(spark):
+    import json
+
+    from pagemill.operators import jobs
+
+    rows = spark.sql("SELECT timestamp'2024-01-02 03:04:05.678' AS ts, 'INFO' AS level, 'crawl' AS logger, 'a \"b\"' AS msg, map('url', 'u', 'level', 'x') AS fields UNION ALL SELECT NULL, 'WARN', 'api', NULL, NULL")
+    lines = [json.loads(r["line"]) for r in jobs.log_lines(rows).collect()]
+    assert lines[0] == {"ts": "2024-01-02 03:04:05,678", "level": "INFO", "logger": "crawl", "msg": 'a "b"', "url": "u"} and lines[1]["level"] == "WARN"
