@@ -164,7 +164,7 @@ def _count_slots(size: int, least_words: int):
             sets = [shingles(h, size) for t in batch.column(0).to_pylist() if len(h := word_hashes(t, cache)) >= least_words]
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(RARITY_SLOTS - 1)).astype(np.int64), minlength=RARITY_SLOTS)
-        slices = [x.tobytes() for x in np.split(counts, RARITY_SLICES)]
+        slices = [x.tobytes() for x in np.split(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), RARITY_SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(RARITY_SLICES), pa.int32()), pa.array(slices, pa.binary())], ["slice", "counts"])
 
     return run
@@ -174,7 +174,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(x, np.int64)
+            x = np.frombuffer(x, np.uint32).astype(np.int64)
             totals[k] = totals[k] + x if k in totals else x
     classes = [np.log2(np.maximum(x, 1)).astype(np.uint8).tobytes() for x in totals.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(classes, pa.binary())], ["slice", "counts"])
@@ -183,7 +183,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity_table(texts: DataFrame, size: int, least_words: int) -> np.ndarray:
     """Class (whole log2 of the count) of each slot of shingle hashes, counted over all texts; RARITY_SLOTS bytes."""
     parts = texts.mapInArrow(_count_slots(size, least_words), "slice int, counts binary")
-    done = parts.repartition(min(8, RARITY_SLICES), "slice").mapInArrow(_sum_slices, "slice int, counts binary").collect()
+    done = parts.repartitionById(RARITY_SLICES, F.col("slice")).mapInArrow(_sum_slices, "slice int, counts binary").collect()
     table = np.zeros(RARITY_SLOTS, np.uint8).reshape(RARITY_SLICES, -1)
     for row in done:
         table[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
@@ -257,11 +257,20 @@ def _join_cell(num: int, den: int):
     return run
 
 
-def _verify(size: int, num: int, den: int):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            a, b = ([shingles(word_hashes(t, cache), size) for t in batch.column(k).to_pylist()] for k in (2, 3))
+            sets = [shingles(word_hashes(t, cache), size).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "own"])
+
+    return run
+
+
+def _verify(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
             both = np.array([overlap(x, y) for x, y in zip(a, b)], np.int64)
             total = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
             keep = pa.array(both * (num + den) >= num * total)
@@ -277,12 +286,15 @@ def keyed(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def exact_links(candidates: DataFrame, pages: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (a, b) of keys those at or above the threshold, compared shingle by shingle."""
+    """Of candidate pairs (a, b) of keys those at or above the threshold, compared shingle by shingle.
+
+    Each text is taken apart once; what is brought to its pairs is its sorted shingles.
+    """
     ends = candidates.select(F.col("a").alias("key")).union(candidates.select(F.col("b").alias("key"))).distinct()
     held = keyed(pages, id_col, text_col).select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    held = materialize(held, "near-texts")
-    both = candidates.join(held.withColumnRenamed("key", "a").withColumnRenamed("text", "text_a"), "a").join(held.withColumnRenamed("key", "b").withColumnRenamed("text", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, num, den), "a long, b long, similarity double")
+    held = materialize(held.mapInArrow(_sets(size), "key long, own binary"), "near-sets")
+    both = candidates.join(held.select(F.col("key").alias("a"), F.col("own").alias("of_a")), "a").join(held.select(F.col("key").alias("b"), F.col("own").alias("of_b")), "b")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(_verify(num, den), "a long, b long, similarity double")
 
 
 def similar_texts(pages: DataFrame, id_col: str, text_col: str, size: int = 5, num: int = 4, den: int = 5, least_words: int = 1, cells: int | None = None) -> DataFrame:
