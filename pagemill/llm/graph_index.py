@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.shingles import WordHashes, mix, overlap, shingles, word_hashes
-from pagemill.llm.stored import StoredTable, bucket_count, note, noted
+from pagemill.llm.stored import StoredTable, bucket_count, note, noted, together
 from pagemill.shared import discard, materialize, shared_folder, spread
 
 ROUTES = 6
@@ -456,8 +456,7 @@ class History:
         else:
             routed = routed.withColumn("part", F.lit(0))
         shards = routed.select("route", "cell", "part", "key", "vector").groupBy("route", "cell", "part").applyInArrow(_build, _SHARDS)
-        self.shards.append(shards)
-        self.keys.append(hashes.select("h1", "h2").distinct())
+        together(self.spark, lambda: self.shards.append(shards), lambda: self.keys.append(hashes.select("h1", "h2").distinct()))
         self.about["batches"].append((batch, staged_path))
         self.about["shards"] += 1
         note(self.spark, self.folder, self.about)
@@ -488,9 +487,9 @@ def seen_before(pages: DataFrame, id_col: str, text_col: str, batch_col: str, ur
     history = History(spark, None, cells or max(1, pages.count() // CELL), size, num, den, least_words)
     folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
     # each text is looked at once, whatever its batch; the batches then come in one by one
-    history.stage(spread(rows.where("text is not null").select("batch", F.xxhash64("text").alias("key"), "text"))).write.partitionBy("batch").parquet(f"{folder}/staged")
+    staging = history.stage(spread(rows.where("text is not null").select("batch", F.xxhash64("text").alias("key"), "text")))
     hashes = rows.select("id", "batch", F.xxhash64("text").alias("t1"), F.when(F.col("text").isNotNull(), F.xxhash64("text", F.lit("text"))).alias("t2"), F.xxhash64("url").alias("u1"), F.when(F.col("url").isNotNull(), F.xxhash64("url", F.lit("url"))).alias("u2"))
-    hashes.write.partitionBy("batch").parquet(f"{folder}/hashes")
+    together(spark, lambda: staging.write.partitionBy("batch").parquet(f"{folder}/staged"), lambda: hashes.write.partitionBy("batch").parquet(f"{folder}/hashes"))
     found = []
     fields = ", ".join(f for f in _STAGED.split(", ") if not f.startswith("batch"))
     numbers = [r[0] for r in spark.read.schema(hashes.schema).parquet(f"{folder}/hashes").select("batch").distinct().orderBy("batch").collect()]

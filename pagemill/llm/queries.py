@@ -134,6 +134,16 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"""WITH lines AS MATERIALIZED (SELECT page_id, line_no, site, {_LINE} AS own FROM (SELECT page_id, {_SITE} AS site, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no FROM sent_pages)),
 often AS (SELECT site, own FROM lines WHERE length(own) >= 20 GROUP BY site, own HAVING count(DISTINCT page_id) >= 6)
 SELECT DISTINCT page_id, line_no::INT AS line_no FROM lines JOIN often USING (site, own)""",
+        "p4_groups": f"""WITH RECURSIVE {_SHINGLES}, links AS MATERIALIZED (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+same AS (SELECT page_id AS a, min(page_id) OVER (PARTITION BY markdown) AS b FROM sent_pages WHERE markdown IS NOT NULL),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT a, b FROM same UNION SELECT b, a FROM same),
+reach AS (SELECT page_id AS root, page_id AS node FROM sent_pages UNION SELECT r.root, e.b FROM reach r JOIN edges e ON e.a = r.node),
+degree AS (SELECT l.a AS page_id, count(DISTINCT y.markdown) AS links FROM links l JOIN words x ON x.page_id = l.a JOIN words y ON y.page_id = l.b WHERE x.markdown <> y.markdown GROUP BY l.a)
+SELECT r.root AS page_id, min(r.node) AS class_id, coalesce(any_value(d.links), 0) AS links FROM reach r LEFT JOIN degree d ON d.page_id = r.root GROUP BY r.root""",
+        "p5_rebuilt": f"""WITH raw AS MATERIALIZED (SELECT page_id, {_SITE} AS site, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS line_no FROM sent_pages),
+lines AS MATERIALIZED (SELECT *, {_LINE} AS own FROM raw), often AS (SELECT site, own FROM lines WHERE length(own) >= 20 GROUP BY site, own HAVING count(DISTINCT page_id) >= 6),
+marked AS (SELECT l.page_id, l.line, l.line_no, o.own IS NOT NULL AS gone FROM lines l LEFT JOIN often o USING (site, own))
+SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS markdown, count(*) FILTER (WHERE gone)::INT AS removed FROM marked GROUP BY page_id HAVING count(*) FILTER (WHERE gone) > 0""",
         "p6_found": f"""WITH {_SHINGLES}, pages AS (SELECT page_id, batch_no, {sql.normalized('url')} AS norm FROM sent_pages)
 SELECT DISTINCT page_id FROM (SELECT CASE WHEN x.batch_no < y.batch_no THEN y.page_id ELSE x.page_id END AS page_id FROM alike JOIN words x ON x.page_id = a JOIN words y ON y.page_id = b WHERE x.batch_no <> y.batch_no
 UNION SELECT p.page_id FROM pages p JOIN (SELECT norm, min(batch_no) AS first FROM pages WHERE norm <> '' GROUP BY norm) f USING (norm) WHERE p.batch_no > f.first)""",

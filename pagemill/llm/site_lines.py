@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.stored import StoredTable, bucket_count, note, noted
+from pagemill.llm.stored import StoredTable, bucket_count, note, noted, together
 from pagemill.shared import discard, materialize, shared_folder, spread
 
 LEAST_CHARS = 20
@@ -79,8 +79,7 @@ class LineCounts:
             crossed = repeated.where((F.col("documents") < self.least) & (F.col("documents") > 0)).select("h1", "h2")
             out = out.union(self.index.read().join(crossed, ["h1", "h2"], "left_semi").select("id", "line_no"))
         out = materialize(out.distinct(), "line-removals")
-        self.index.append(found.select("h1", "h2", "id", "line_no"))
-        self.counts.append(delta.select("h1", "h2", "n"))
+        together(self.spark, lambda: self.index.append(found.select("h1", "h2", "id", "line_no")), lambda: self.counts.append(delta.select("h1", "h2", "n")))
         self.about["merged"] += 1
         note(self.spark, self.folder, self.about)
         return out

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.shared import discard
@@ -36,13 +39,28 @@ def bucket_count(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _file(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/about.json")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def noted(spark: SparkSession, folder: str, fresh: dict) -> dict:
     """What ``note`` wrote in the folder, over what a fresh one has."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/about")
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return fresh | json.loads(spark.read.text(f"{folder}/about").first()[0])
-    return fresh
+    files, path = _file(spark, folder)
+    if not files.exists(path):
+        return fresh
+    return fresh | json.loads(spark.read.text(f"{folder}/about.json", wholetext=True).first()[0])
 
 
 def note(spark: SparkSession, folder: str, about: dict) -> None:
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+    files, path = _file(spark, folder)
+    out = files.create(path, True)
+    out.write(bytearray(json.dumps(about).encode()))
+    out.close()
+
+
+def together(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Run writes that do not depend on each other at the same time; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(w)) for w in writes]:
+            done.result()
