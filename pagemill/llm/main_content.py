@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +48,16 @@ SMOOTHING = 3.0
 SHORT_LINE = 130
 BROKEN_CODE = 4.0
 _ITEM = re.compile(r"\s*(?:[-*+•–]|\d{1,3}[.)])\s")
-_STOP = re.compile(r"[.!?…][\"'”»“)*_]*$")
+_STOPS, _CLOSERS = frozenset(".!?…"), "\"'”»“)*_"
 _MENU = re.compile(r"\s[|›»]\s|^\S+ > ")
 _MARKS = re.compile(r"^\s*(?:[-*+•>]|\d+[.)])\s|\]\(|\[[^\]]*\]|\s[|›»·]\s|\s>\s|\*\*|>>|©|\([cC]\)")
 
 
+#: Signs of which each mark but a leading one has one, and the leading one.
+_MARK_SIGN = re.compile(r"[\[\]|›»·>*©]|\([cC]\)")
+_LEAD = re.compile(r"\s*(?:[-*+•>]|\d+[.)])\s")
+
+
 class TagCounter(HTMLParser):
     """Counts text and tags of the lines fed to it; a tag may stretch over lines."""
 
@@ -89,24 +96,29 @@ def ratios(lines: list[str]) -> np.ndarray:
             inside = bool(counter.rawdata)
         else:
             text, tags = len(line), 0
-        out[k] = text / max(1, tags + (_short_marks(line) if len(line) < 80 else len(_MARKS.findall(line))))
+        out[k] = text / max(1, tags + (_short_marks(line) if len(line) < 80 else _marks(line)))
     return out
 
 
+def _marks(line: str) -> int:
+    return len(_MARKS.findall(line)) if _MARK_SIGN.search(line) else bool(_LEAD.match(line))
+
+
 @lru_cache(100_000)
 def _short_marks(line: str) -> int:
-    return len(_MARKS.findall(line))
+    return _marks(line)
 
 
-def two_means(values: np.ndarray, rounds: int = 20) -> float:
+def two_means(values: list[float], rounds: int = 20) -> float:
     """Threshold between two clusters of numbers: the middle of their means."""
-    low, high = float(values.min()), float(values.max())
-    cut = (low + high) / 2
+    held = sorted(values)
+    total, n = list(accumulate(held, initial=0.0)), len(held)
+    cut = (held[0] + held[-1]) / 2
     for _ in range(rounds):
-        above = values > cut
-        if above.all() or not above.any():
+        below = bisect_right(held, cut)
+        if below in (0, n):
             break
-        new = (values[above].mean() + values[~above].mean()) / 2
+        new = ((total[n] - total[below]) / (n - below) + total[below] / below) / 2
         if abs(new - cut) < 1e-6:
             break
         cut = new
@@ -116,10 +128,10 @@ def two_means(values: np.ndarray, rounds: int = 20) -> float:
 def support(lines: list[str]) -> np.ndarray:
     """How much each line speaks for content: log smoothed ratio less the threshold of the text's two clusters."""
     raw = ratios(lines)
-    padded = np.pad(raw, _RADIUS, mode="edge")
+    padded = np.concatenate([np.full(_RADIUS, raw[0]), raw, np.full(_RADIUS, raw[-1])])
     smooth = sum(w * padded[k : k + len(raw)] for k, w in enumerate(_KERNEL))
     value = (np.log1p(raw) + np.log1p(smooth)) / 2
-    return value - two_means(value)
+    return value - two_means(value.tolist())
 
 
 def _own_features(line: str, before: bool, after: bool) -> tuple[list[str], list[str]]:
@@ -130,7 +142,7 @@ def _own_features(line: str, before: bool, after: bool) -> tuple[list[str], list
     size = f"n{n}" if n < 6 else f"n{6 + int(2 * math.log2(n / 6))}"
     first, final = text[0], text[-1]
     begins = "#" if text.startswith("# ") else "##" if first == "#" else first if not first.isalnum() else "A" if first.isupper() else "0" if first.isdigit() else "a"
-    own = [*words, size, "<" + begins, ">" + ("." if _STOP.search(text) else final if not final.isalnum() else "a"), f"{before:d}|{after:d}"]
+    own = [*words, size, "<" + begins, ">" + ("." if text.rstrip(_CLOSERS)[-1:] in _STOPS else final if not final.isalnum() else "a"), f"{before:d}|{after:d}"]
     if text.isupper():
         own.append("^")
     if len(text) != len(line):
@@ -208,25 +220,35 @@ class LineModel:
         return cls(weights, math.log(n_on / n_off))
 
 
-def start_form(lines: list[str], first: int) -> float:
+def start_form(line: str, after_blank: bool) -> float:
     """How well a line begins a body: a main heading, after a blank line, no menu."""
-    line = lines[first]
-    form = 1.5 * (first == 0 or not lines[first - 1].strip())
+    form = 1.5 * after_blank
     if line.startswith("#"):
         return form + 4.0 * (not line.startswith("##"))
-    return form - 2.5 * bool(_MENU.search(line))
+    return form - 2.5 * (_short_menu(line) if len(line) < 80 else bool(_MENU.search(line)))
+
+
+@lru_cache(100_000)
+def _short_menu(line: str) -> bool:
+    return bool(_MENU.search(line))
+
+
+def stop_form(line: str, alone: bool, before_blank: bool) -> float:
+    """How well a line ends a body: before a blank line, not as a short line by itself, as prompts and notices are."""
+    return 1.5 * before_blank - 2.5 * (alone and len(line) < SHORT_LINE)
 
 
-def stop_form(lines: list[str], stop: int) -> float:
-    """How well a body ends before ``stop``: before a blank line, not with a short line by itself, as prompts and notices are."""
-    alone = stop > 1 and not lines[stop - 2].strip() and len(lines[stop - 1]) < SHORT_LINE
-    return 1.5 * (stop >= len(lines) or not lines[stop].strip()) - 2.5 * alone
+def forms(lines: list[str], own: list[int]) -> tuple[list[float], list[float]]:
+    """Of each of the ``own`` lines how well it begins and how well it ends a body."""
+    held, last = set(own), len(lines) - 1
+    starts = [start_form(lines[k], k == 0 or k - 1 not in held) for k in own]
+    stops = [stop_form(lines[k], k > 0 and k - 1 not in held, k == last or k + 1 not in held) for k in own]
+    return starts, stops
 
 
-def _fences(lines: list[str]) -> np.ndarray:
+def _fences(lines: list[str]) -> list[int]:
     """Parity of the number of code fences before each line."""
-    marks = [line.lstrip().startswith(("```", "~~~")) for line in lines]
-    return np.cumsum([0, *marks]) % 2
+    return list(accumulate((line.lstrip().startswith(("```", "~~~")) for line in lines), lambda a, b: a ^ b, initial=0))
 
 
 def line_scores(lines: list[str], own: list[int], model: LineModel | None) -> np.ndarray:
@@ -237,21 +259,19 @@ def line_scores(lines: list[str], own: list[int], model: LineModel | None) -> np
     return value + LEARNED * model.odds(lines)
 
 
-def best_region(lines: list[str], own: list[int], total: np.ndarray, parity: np.ndarray) -> tuple[float, int, int]:
+def best_region(own: list[int], sums: list[float], sides: list[int], starts: list[float], stops: list[float]) -> tuple[float, int, int]:
     """(merit, a, b) of the region own[a:b] with the best sum of scores and form, over all regions, in one pass."""
-    open_ = {0: (-np.inf, 0), 1: (-np.inf, 0)}  # the best start so far, by the parity of the fences before it
-    best = (-np.inf, 0, 1)
-    sums, sides = total.tolist(), parity.tolist()
-    for b in range(1, len(own) + 1):
-        k = own[b - 1]
-        start = start_form(lines, k) - sums[b - 1]
+    open_ = {0: (-math.inf, 0), 1: (-math.inf, 0)}  # the best start so far, by the parity of the fences before it
+    best = (-math.inf, 0, 1)
+    for b, k in enumerate(own):
+        start = starts[b] - sums[b]
         if start > open_[sides[k]][0]:
-            open_[sides[k]] = (start, b - 1)
-        end, here = sums[b] + stop_form(lines, k + 1), sides[k + 1]
+            open_[sides[k]] = (start, b)
+        end, here = sums[b + 1] + stops[b], sides[k + 1]
         for side, (merit, a) in open_.items():
             value = end + merit - BROKEN_CODE * (side != here)
             if value > best[0]:
-                best = (value, a, b)
+                best = (value, a, b + 1)
     return best
 
 
@@ -277,18 +297,18 @@ def body_range(lines: list[str], body_chars: int | None, model: LineModel | None
     own = [k for k, n in enumerate(sizes) if n]
     if not own or body_chars == 0:
         return 0, 0
-    total, parity = np.concatenate([[0.0], np.cumsum(line_scores(lines, own, model))]), _fences(lines)
-    merit, a, b = best_region(lines, own, total, parity)
+    sums, sides = [0.0, *np.cumsum(line_scores(lines, own, model)).tolist()], _fences(lines)
+    starts, stops = forms(lines, own)
+    merit, a, b = best_region(own, sums, sides, starts, stops)
     if body_chars is not None:
-        before = np.cumsum([0, *(sizes[k] for k in own)])
-        best = (merit - min(MOST_MISS, MISS * abs(int(before[b] - before[a]) - body_chars)), a, b)
-        for x, y in near_count(before, body_chars):
-            miss = MISS * abs(int(before[y] - before[x]) - body_chars)
-            here = total[y] - total[x] - miss
-            if miss < MOST_MISS and here + 7.0 > best[0]:  # the forms of the ends add at most 7
-                first, stop = own[x], own[y - 1] + 1
-                here += start_form(lines, first) + stop_form(lines, stop) - BROKEN_CODE * float(parity[first] != parity[stop])
-                best = max(best, (here, x, y), key=lambda r: r[0])
+        before = list(accumulate((sizes[k] for k in own), initial=0))
+        best = (merit - min(MOST_MISS, MISS * abs(before[b] - before[a] - body_chars)), a, b)
+        for x, y in near_count(np.array(before), body_chars):
+            miss = MISS * abs(before[y] - before[x] - body_chars)
+            if miss < MOST_MISS:
+                here = sums[y] - sums[x] - miss + starts[x] + stops[y - 1] - BROKEN_CODE * (sides[own[x]] != sides[own[y - 1] + 1])
+                if here > best[0]:
+                    best = (here, x, y)
         _, a, b = best
     return own[a], own[b - 1] + 1
 
