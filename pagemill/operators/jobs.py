@@ -86,18 +86,49 @@ def engine_eta(queue: Column, crawled: Column, max_pages: Column, recent: Column
     return F.when(left == 0, F.lit(0).cast("long")).otherwise(F.floor(eta).cast("long"))
 
 
-def rolling_rate(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """``events`` with the number of events of their key in the ``seconds`` up to them, and the span of these in seconds."""
-    window = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("recent", F.count("*").over(window)).withColumn("span", (micros(ts) - F.min(micros(ts)).over(window)) / F.lit(1_000_000.0))
-
-
-def circuit_breaker(sends: DataFrame, key: str, order: list[str], failed: str) -> DataFrame:
-    """``sends`` with ``aborted``: whether sending is given up at or before the row; once given up, it stays so."""
-    window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total, bad = F.count("*").over(window), F.sum(F.col(failed).cast("int")).over(window)
-    tripped = (total >= fixed.ABORT_AFTER) & (bad / total > fixed.ABORT_RATE)
-    return sends.withColumn("tripped", tripped).withColumn("aborted", F.max("tripped").over(window)).drop("tripped")
+#: Seconds of one key's rows that one task looks at: a key that holds a third of all rows is many tasks' work.
+BLOCK_SECONDS = 3600
+
+
+def _block(ts: str, seconds: int) -> Column:
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
+
+
+def rolling_rate(events: DataFrame, key: str, ts: str, seconds: int = 60, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """``events`` with the number of events of their key in the ``seconds`` up to them, and the span of these in seconds.
+
+    A key's events are dealt to blocks of time; those less than ``seconds`` before the end of one are lent to the next.
+    Rows without a time have no count.
+    """
+    block_seconds = max(block_seconds, seconds)
+    own, after = _block(ts, block_seconds), F.floor((micros(ts) + seconds * 1_000_000) / F.lit(block_seconds * 1_000_000))
+    rows = events.withColumn("__block", F.explode(F.when(own < after, F.array(own, after)).otherwise(F.array(own))))
+    window = Window.partitionBy(key, "__block").orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    counted = rows.withColumn("recent", F.count(ts).over(window)).withColumn("span", (micros(ts) - F.min(micros(ts)).over(window)) / F.lit(1_000_000.0))
+    return counted.where(F.col("__block").eqNullSafe(own)).drop("__block")
+
+
+def circuit_breaker(sends: DataFrame, key: str, order: list[str], failed: str, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """``sends`` with ``aborted``: whether sending is given up at or before the row; once given up, it stays so.
+
+    ``order`` begins with a time. Counts run within blocks of time; what the blocks before have is added from the blocks'
+    sums, of which there are few, so that no task has all rows of a key.
+    """
+    rows = sends.withColumn("__block", _block(order[0], block_seconds))
+    blocks = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(blocks), F.lit(0))
+    sums = rows.groupBy(key, "__block").agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("int")).alias("bad"))
+    sums = sums.select(F.col(key).alias("__key"), F.col("__block").alias("__at"), before("n").alias("__n"), before("bad").alias("__bad"))
+    rows = rows.join(sums, F.col(key).eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__at"))).drop("__key", "__at")
+    window = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("__n") + F.count("*").over(window)
+    bad = F.col("__bad") + F.coalesce(F.sum(F.col(failed).cast("int")).over(window), F.lit(0))
+    rows = rows.withColumn("__tripped", (total >= fixed.ABORT_AFTER) & (bad / total > fixed.ABORT_RATE)).withColumn("__aborted", F.max("__tripped").over(window))
+    # the first block that trips decides for all later ones
+    first = rows.where("__tripped").groupBy(F.col(key).alias("__key")).agg(F.min("__block").alias("__first"))
+    rows = rows.join(first, F.col(key).eqNullSafe(F.col("__key")), "left")
+    aborted = F.col("__aborted") | F.coalesce(F.col("__first") < F.col("__block"), F.lit(False))
+    return rows.withColumn("aborted", aborted).drop("__block", "__n", "__bad", "__tripped", "__aborted", "__key", "__first")
 
 
 def _limited(max_requests: int, seconds: float, key: str, ts: str):

@@ -243,3 +243,24 @@ def test_discovery_stages(spark):
 
     stages = spark.createDataFrame([("j", "click", 3, 1, False, "back"), ("j", "click", 1, None, True, None), ("j", "nav_hover", 5, None, False, None), ("j", "hash", 2, None, False, "goto")], "job_id string, stage string, found int, navigations int, nav_cached boolean, restored string")
     assert discovery.interactions(stages).first().asDict() == {"job_id": "j", "menus_interacted": 1, "clicks_interacted": 2, "nav_links_found": 5, "click_links_found": 4, "hash_links_found": 2, "navigation_links_found": 1, "nav_fingerprint_cache_hits": 1, "restore_via_back": 1, "restore_via_goto": 1}
+
+
+def test_hot_keys_in_blocks_of_time(spark):
+    """One key has most rows, over many blocks: the same counts as row by row."""
+    rng = random.Random(6)
+    rows = [(k, "hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), rng.randrange(0, 40_000), rng.random() < (0.3 if k % 2 else 0.95)) for k in range(600)] + [(1000, "hot", None, True)]
+    df = spark.createDataFrame(rows, "id long, user string, sec int, failed boolean").withColumn("ts", F.timestamp_seconds("sec"))
+    recent = {r["id"]: (r["recent"], r["span"]) for r in jobs.rolling_rate(df, "user", "ts", 900, 1000).collect()}
+    assert len(recent) == len(rows)
+    for i, user, sec, _ in rows[:600]:
+        near = [s for _, u, s, _ in rows if u == user and s is not None and sec - 900 <= s <= sec]
+        assert recent[i] == (len(near), float(sec - min(near)))
+    dated = df.where("sec is not null")
+    got = {r["id"]: r["aborted"] for r in jobs.circuit_breaker(dated, "user", ["ts", "id"], "failed", 700).collect()}
+    for user in ("hot", "a", "b", None):
+        total = bad = 0
+        given_up = False
+        for i, _, _, failed in sorted((r for r in rows[:600] if r[1] == user), key=lambda r: (r[2], r[0])):
+            total, bad = total + 1, bad + failed
+            given_up |= total >= fixed.ABORT_AFTER and bad / total > fixed.ABORT_RATE
+            assert got[i] == given_up
