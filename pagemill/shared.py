@@ -12,6 +12,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +34,27 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folders[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but those that say ``keep``, are deleted at the end: nothing that is read later may depend on them."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        discard(spark, *_scratch.get())
+        _scratch.reset(token)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back; the result has no lineage to recompute."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch.get() is not None and not keep:
+        _scratch.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
