@@ -40,6 +40,8 @@ GRID = (0.0005, 0.05, 0.2, 0.5, 0.8, 1.0)
 NEAR_WORDS = 2
 #: Words of a paragraph without any end mark from which the spaces between words are places, too.
 LONG_UNIT = 40
+#: The same of characters, in scripts that write no spaces; there every two characters have a place between them.
+LONG_SCRIPT = 60
 #: Occurrences of a word, at the rate of all words, that its own rate of closing a sentence leans on.
 GAP_LEAN = 20.0
 #: Distinct counts a task holds before it hands them on.
@@ -55,6 +57,7 @@ _MARKER = re.compile(r"[^\S\r\n]*(?:[-*•·–—+‣▪◦]\s|#{1,6}\s|(?:\d{1
 _NUMBERED = re.compile(r"[^\S\r\n]*(?:\d{1,3}|[a-zA-Z])\.\s")
 _PLACE = re.compile(rf"([^\s{END_MARKS}]*)([{END_MARKS}]+(?:\s(?=»))?[{CLOSERS}]*)(\s*)(?=(\S?\S?\S{{0,18}}))|(?<=[฀-๿])([^\S\r\n]+)(?=([฀-๿]\S?\S?))")
 _GAP = re.compile(r"(\S+)[^\S\r\n]+(?=(\S{1,20}))|(\S+)(?:\r\n|\r|\n)[^\S\r\n]*(?=(\S{1,20}))")
+_SCRIPT = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+")
 _MARK = re.compile(rf"[{END_MARKS}]")
 _INSIDE = re.compile(rf"(?<=[^\s{END_MARKS}{CLOSERS}])[^\S\r\n]+([{OPENERS}]|[^\W\d_]+|\d)")
 
@@ -102,6 +105,11 @@ def gaps(text: str, low: int, high: int) -> list[Place]:
     return found
 
 
+def script_gaps(text: str, low: int, high: int) -> list[Place]:
+    """The places between two characters of text[low:high], which has neither spaces nor end marks; classes are pairs of characters."""
+    return [Place(k, "<gap> " + text[k - 2 : k], "<script gap>", "<script> " + text[k : k + 2], 1) for k in range(low + 2, high - 1)]
+
+
 def _quote_kind(text: str, closer_at: int, closer: str, low: int) -> str:
     """Whether a quotation or bracket that closes here began where a sentence can begin ('s') or inside one ('m')."""
     opener = {"»": "«", "”": "“„", "“": "„", "’": "‘", "」": "「", "』": "『", "）": "（", ")": "(", "]": "["}.get(closer, closer)
@@ -262,6 +270,7 @@ class _Counts:
     def __init__(self):
         self.counts: Counter = Counter()
         self.inside: Counter = Counter()
+        self.pairs: Counter = Counter()
 
     def add(self, text: str) -> list[tuple[int, list[Place]]]:
         """Count a text; its units as (start, places)."""
@@ -272,12 +281,14 @@ class _Counts:
             chain, tail = chain_of(text, a, at, b)
             out.append((a, chain))
             self.inside.update(_INSIDE.findall(text, at, b))
+            if "。" in text[a:b]:
+                self._script(text[a:b])
             if tail is not None:
                 counts["end", tail.before, tail.shape] += 1
             if not chain:
                 counts["lengths", "", ""] += 1
                 counts["short", "", ""] += text.count(" ", a, b) < NEAR_WORDS
-            elif chain[0].shape != "<gap>":  # what has no mark tells nothing of marks
+            elif chain[0].shape not in ("<gap>", "<script gap>"):  # what has no mark tells nothing of marks
                 if tail is None and "\u0e00" <= text[b - 1] <= "\u0e7f":
                     counts["end", "<thai>", "<thai>"] += 1
                 for p in chain:
@@ -287,9 +298,22 @@ class _Counts:
                     counts["segment", _BETWEEN.join([_WITHIN.join((p.before, p.shape, p.after)) for p in segment]), ""] += 1
         return out
 
+    def _script(self, unit: str) -> None:
+        """Pairs of characters in a script without spaces: wherever they stand, and before and after end marks."""
+        for m in _SCRIPT.finditer(unit):
+            run = m.group()
+            self.pairs.update(zip(run, run[1:]))
+            if unit[m.end() : m.end() + 1] in ("。", "！", "？"):
+                self.counts["closing", run[-2:], ""] += 1
+            if unit[m.start() - 1 : m.start()] in ("", "。", "！", "？"):
+                self.counts["opening", run[:2], ""] += 1
+
     def taken(self) -> Counter:
         """The counts so far, which are then forgotten."""
         out = self.counts
+        for (x, y), n in self.pairs.items():
+            out["pair", x + y, ""] += n
+        self.pairs = Counter()
         for word, n in self.inside.items():
             out["inside", next_class(word), ""] += n
         self.counts, self.inside = Counter(), Counter()
@@ -303,8 +327,11 @@ def chain_of(text: str, a: int, at: int, b: int) -> tuple[list[Place], Place | N
     tail = found.pop() if found and found[-1].start >= b - at else None
     for p in found:
         p.start += at
-    if not found and tail is None and text.count(" ", at, b) >= LONG_UNIT - 1 and not _MARK.search(text, at, b):
-        found = gaps(text, at, b)
+    if not found and tail is None and b - at >= LONG_SCRIPT and not _MARK.search(text, at, b):
+        if text.count(" ", at, b) >= LONG_UNIT - 1:
+            found = gaps(text, at, b)
+        elif _SCRIPT.fullmatch(text, at, b):
+            found = script_gaps(text, at, b)
     return found, tail
 
 
@@ -333,19 +360,24 @@ def _expected(rows: Iterable[tuple[str, float]], model: HiddenEventModel) -> Cou
     return counts
 
 
+_PAIR_KINDS = ("pair", "closing", "opening")
+
+
 class Evidence:
     """The counts the model is made of: words (start, inside, after), the rest of the words, classes (ends, seen, shape),
-    shapes (ends, seen), and units without places (all, short ones)."""
+    shapes (ends, seen), units without places (all, short ones), and pairs of characters (seen, closing, opening)."""
 
-    def __init__(self, words: dict, rest: tuple, classes: dict, shapes: dict, lengths: float, short: float):
-        self.words, self.rest, self.classes, self.shapes, self.lengths, self.short = words, rest, classes, shapes, lengths, short
+    def __init__(self, words: dict, rest: tuple, classes: dict, shapes: dict, lengths: float, short: float, pairs: dict):
+        self.words, self.rest, self.classes, self.shapes, self.lengths, self.short, self.pairs = words, rest, classes, shapes, lengths, short, pairs
 
     @classmethod
     def of(cls, counts: dict) -> Evidence:
         words, shapes = defaultdict(lambda: [0.0, 0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
-        totals, by_shape = defaultdict(lambda: [0.0, 0.0]), defaultdict(Counter)
+        totals, by_shape, pairs = defaultdict(lambda: [0.0, 0.0]), defaultdict(Counter), defaultdict(lambda: [0.0, 0.0, 0.0])
         for (kind, word, shape), n in counts.items():
-            if kind in ("start", "inside", "after"):
+            if kind in _PAIR_KINDS:
+                pairs[word][_PAIR_KINDS.index(kind)] += n
+            elif kind in ("start", "inside", "after"):
                 words[word][("start", "inside", "after").index(kind)] += n
             elif kind in ("end", "seen"):
                 totals[word][kind == "seen"] += n
@@ -355,7 +387,7 @@ class Evidence:
         kept = {w: tuple(v) for w, v in words.items() if sum(v) >= LEAST_COUNT}
         # a class met in several shapes has its most frequent one
         classes = {w: (*v, max(by_shape[w], key=lambda s: (by_shape[w][s], s))) for w, v in totals.items() if sum(v) >= LEAST_COUNT}
-        return cls(kept, tuple(sum(v[k] for v in rare) for k in range(3)), classes, {s: tuple(v) for s, v in shapes.items()}, counts.get(("lengths", "", ""), 0), counts.get(("short", "", ""), 0))
+        return cls(kept, tuple(sum(v[k] for v in rare) for k in range(3)), classes, {s: tuple(v) for s, v in shapes.items()}, counts.get(("lengths", "", ""), 0), counts.get(("short", "", ""), 0), {w: tuple(v) for w, v in pairs.items() if sum(v) >= LEAST_COUNT})
 
 
 def train(texts: list[str], rounds: int = ROUNDS) -> HiddenEventModel:
@@ -439,6 +471,13 @@ def _add_gaps(model: HiddenEventModel, evidence: Evidence) -> None:
     model.event_shape["<gap>"] = _clip(usual)
     for word, n in inside.items():
         model.event["<gap> " + word] = _clip((closing[word] + GAP_LEAN * usual) / (closing[word] + n + GAP_LEAN))
+    pairs = evidence.pairs
+    seen, closes, opens = (sum(v[k] for v in pairs.values()) + 1.0 for k in range(3))
+    model.event_shape["<script gap>"] = usual = _clip(closes / seen)
+    for pair, (n, closing_, opening) in pairs.items():
+        model.event["<gap> " + pair] = _clip((closing_ + GAP_LEAN * usual) / (n + GAP_LEAN))
+        model.start["<script> " + pair] = (opening + GAP_LEAN * n / seen) / (opens + GAP_LEAN)
+        model.inside["<script> " + pair] = n / seen if n else 1 / seen
 
 
 def sentence_starts(text: str, model: HiddenEventModel) -> list[int]:
@@ -513,7 +552,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = _Packed()
             for id_, text in zip(ids[a : a + TEXTS_A_ROW], texts[a : a + TEXTS_A_ROW]):
                 packed.add(id_, held.add(text))
-            full = len(held.counts) + len(held.inside) > _MOST_COUNTS
+            full = len(held.counts) + len(held.inside) + len(held.pairs) > _MOST_COUNTS
             yield _rows_of(held.taken() if full else {}, packed.dump())
     yield _rows_of(held.taken())
 
@@ -550,12 +589,14 @@ def fit(rows: DataFrame) -> HiddenEventModel:
     shapes = {r["shape"]: (r["end"], r["seen"]) for r in ends.groupBy("shape").agg(of("end"), of("seen")).collect()}
     single = {r["kind"]: r["n"] for r in summed.where("kind in ('lengths', 'short')").collect()}
     held = summed.where("kind = 'segment'").select("word", "n")
+    by_pair = summed.where("kind in ('pair', 'closing', 'opening')").groupBy("word").agg(*[of(kind) for kind in _PAIR_KINDS])
+    pairs = {r["word"]: (r["pair"], r["closing"], r["opening"]) for r in by_pair.where(f"pair + closing + opening >= {LEAST_COUNT}").collect()}
 
     def expected(model: HiddenEventModel) -> dict:
         told = held.mapInArrow(_expect(spark.sparkContext.broadcast(model)), _COUNTS)
         return {(r[0], r[1], r[2]): r[3] for r in told.groupBy("kind", "word", "shape").agg(F.sum("n")).collect()}
 
-    return _maximized(Evidence(kept, tuple(rest), classes, shapes, single.get("lengths", 0.0), single.get("short", 0.0)), expected)
+    return _maximized(Evidence(kept, tuple(rest), classes, shapes, single.get("lengths", 0.0), single.get("short", 0.0), pairs), expected)
 
 
 def _find(model):

@@ -292,6 +292,24 @@ def test_paragraphs_without_marks(spark, events):
     assert sentences.sentence_starts("A heading with no mark\nThe next line", events) == [0]
 
 
+def test_scripts_without_marks_and_spaces(spark):
+    """Chinese and Japanese paragraphs without any mark: most sentences are found again by the characters around their ends."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text like '%。%'").select("text").collect()]
+    model = sentences.train(texts)
+    true = found = both = 0
+    for text in texts:
+        for a, b in sentences.units(text):
+            parts = [re.sub(r"[^\u3040-\u30ff\u3400-\u9fff]", "", x) for x in re.split("[。！？]", text[a:b])]
+            bare = "".join(parts)
+            if len(bare) < sentences.LONG_SCRIPT:
+                continue
+            starts = {sum(map(len, parts[:k])) for k, x in enumerate(parts) if x}
+            got = set(sentences.sentence_starts(bare, model))
+            true, found, both = true + len(starts), found + len(got), both + len(starts & got)
+    assert true > 1000 and both >= 0.65 * true and both >= 0.8 * found
+    assert sentences.sentence_starts("新桥今天开放", model) == [0]
+
+
 def test_written_places_give_the_same_sentences(spark):
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [None, "", " "]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
