@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.shingles import WordHashes, mix, overlap, shingles, word_hashes
 from pagemill.llm.stored import StoredTable, bucket_count, note, noted, together
-from pagemill.shared import discard, materialize, shared_folder, spread
+from pagemill.shared import discard, materialize, scratch, shared_folder, spread
 
 ROUTES = 6
 CELL = 2048
@@ -500,10 +500,11 @@ def seen_before(pages: DataFrame, id_col: str, text_col: str, batch_col: str, ur
         staged = spark.read.schema(fields).parquet(path) if path else spark.createDataFrame([], fields)
         texts = own.join(staged.select(F.col("key").alias("t1")).distinct(), "t1", "left_semi")
         if history.about["batches"]:
-            like = own.join(history.like(staged).withColumnRenamed("key", "t1"), "t1", "left_semi").where("t2 is not null").select("id")
-            again = history.known(texts, "t1", "t2").select("id")
-            urls = history.known(own.where("u2 is not null"), "u1", "u2").select("id")
-            found.append(materialize(like.union(again).union(urls).distinct(), "seen"))
+            with scratch(spark):
+                like = own.join(history.like(staged).withColumnRenamed("key", "t1"), "t1", "left_semi").where("t2 is not null").select("id")
+                again = history.known(texts, "t1", "t2").select("id")
+                urls = history.known(own.where("u2 is not null"), "u1", "u2").select("id")
+                found.append(materialize(like.union(again).union(urls).distinct(), "seen", keep=True))
         accepted = texts.select(F.col("t1").alias("h1"), F.col("t2").alias("h2")).union(own.where("u2 is not null").select("u1", "u2"))
         if number != numbers[-1]:
             history.accept(number, staged, path, accepted)

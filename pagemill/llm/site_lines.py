@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.stored import StoredTable, bucket_count, note, noted, together
-from pagemill.shared import discard, materialize, shared_folder, spread
+from pagemill.shared import discard, materialize, scratch, shared_folder, spread
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 6
@@ -67,6 +67,10 @@ class LineCounts:
         A document belongs to one partition. Counts are combined before the shuffle, so a line of a third of all
         documents is a few rows by then.
         """
+        with scratch(self.spark):
+            return self._merged(found)
+
+    def _merged(self, found: DataFrame) -> DataFrame:
         delta = found.select("id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"))
         if self.about["merged"]:
             delta = delta.join(self.state(), ["h1", "h2"], "left").fillna(0, ["documents"])
@@ -78,7 +82,7 @@ class LineCounts:
         if self.about["merged"]:
             crossed = repeated.where((F.col("documents") < self.least) & (F.col("documents") > 0)).select("h1", "h2")
             out = out.union(self.index.read().join(crossed, ["h1", "h2"], "left_semi").select("id", "line_no"))
-        out = materialize(out.distinct(), "line-removals")
+        out = materialize(out.distinct(), "line-removals", keep=True)
         together(self.spark, lambda: self.index.append(found.select("h1", "h2", "id", "line_no")), lambda: self.counts.append(delta.select("h1", "h2", "n")))
         self.about["merged"] += 1
         note(self.spark, self.folder, self.about)
