@@ -225,6 +225,12 @@ def test_history_is_kept_from_batch_to_batch(spark, tmp_path, monkeypatch):
             got = {r[0] for r in own.join(history.like(staged), "key").select("page").collect()}
         history.accept(number, staged, path, own.select(F.col("key").alias("h1"), F.xxhash64("text", F.lit("text")).alias("h2")))
         assert history.known(own.withColumn("second", F.xxhash64("text", F.lit("text"))), "key", "second").count() == own.count()
+    # a batch is brought to the stored shards, which stay where they are
+    asks = staged.select("key", "cells", "vector").mapInArrow(graph_index._routed, "route int, cell int, key long, vector binary").withColumn("part", F.lit(0))
+    by = ["route", "cell", "part"]
+    near = asks.select(*by, "key", "vector").groupBy(*by).cogroup(history.shards.read().groupBy(*by)).applyInArrow(graph_index._search(4), graph_index._FOUND)
+    assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    history.drop()
     pairs, part = brute_pairs(rows, 3, 3, 5, 60), {i: b for i, _, b in rows}
     want = {x for a, b in pairs for x, y in ((a, b), (b, a)) if part[x] == 3 and part[y] < 3}
     assert got <= want and len(got) >= 0.95 * len(want)
