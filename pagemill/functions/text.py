@@ -87,9 +87,14 @@ def without_noise_lines(text: Column) -> Column:
 def without_repeated_lines(text: Column) -> Column:
     """First occurrence of each line by its compared text; lines of fewer than four compared characters all stay."""
     own = lines(text)
-    # a lambda's variable holds the compared lines, so that they are made once and not for each line
-    first = F.transform(F.array(F.transform(own, compared)), lambda keys: F.filter(own, lambda x, i: (F.length(F.get(keys, i)) < 4) | (F.array_position(keys, F.get(keys, i)) == i + 1)))
-    return F.array_join(F.get(first, F.lit(0)), "\n")
+    ranked = F.array_sort(F.transform(own, lambda x, i: F.struct(compared(x).alias("own"), i.alias("place"))))
+    # a lambda's variable holds both arrays, so that they are made once; after the sort equal lines stand side by side
+
+    def firsts(held):
+        new = F.filter(held["ranked"], lambda x, i: (F.length(x["own"]) < 4) | (i == 0) | (F.get(held["ranked"], i - 1)["own"] != x["own"]))
+        return F.transform(F.array_sort(F.transform(new, lambda x: x["place"])), lambda place: F.get(held["lines"], place))
+
+    return F.array_join(F.get(F.transform(F.array(F.struct(own.alias("lines"), ranked.alias("ranked"))), firsts), F.lit(0)), "\n")
 
 
 def without_repeated_headings(text: Column) -> Column:
