@@ -54,7 +54,6 @@ _WIDE = "。！？｡"
 _BLANK = re.compile(r"(?:\r\n|\r|\n| )[^\S\r\n]*(?:\r\n|\r|\n| )\s*")
 _LINE = re.compile(r"\r\n|\r|\n| ")
 _MARKER = re.compile(r"[^\S\r\n]*(?:[-*•·–—+‣▪◦]\s|#{1,6}\s|(?:\d{1,3}|[a-zA-Z])[.)]\s|\(\w{1,3}\)\s)")
-_NUMBERED = re.compile(r"[^\S\r\n]*(?:\d{1,3}|[a-zA-Z])\.\s")
 _PLACE = re.compile(rf"([^\s{END_MARKS}]*)([{END_MARKS}]+(?:\s(?=»))?[{CLOSERS}]*)(\s*)(?=(\S?\S?\S{{0,18}}))|(?<=[฀-๿])([^\S\r\n]+)(?=([฀-๿]\S?\S?))")
 _GAP = re.compile(r"(\S+)[^\S\r\n]+(?=(\S{1,20}))|(\S+)(?:\r\n|\r|\n)[^\S\r\n]*(?=(\S{1,20}))")
 _SCRIPT = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+")
