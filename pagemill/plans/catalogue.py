@@ -292,7 +292,10 @@ def page_meta(spark, sf_dir):
     return _rows(spark, samples.HTML).withColumn("page", read_page("html", "url")).select("id", "page.best_heading", "page.canonical_url", "page.refresh_url", "page.og_url", F.array_join("page.data_urls", " ").alias("data_urls"))
 
 
-@query("page_links")
+_LINK_PAIRS = " UNION ALL ".join(f"SELECT id, url, unnest(list_zip(regexp_extract_all(html, '{p}', 1), regexp_extract_all(html, '{p}', 2))) AS x, generate_subscripts(regexp_extract_all(html, '{p}', 1), 1) + {k} AS k FROM {samples.HTML.sql()}" for k, p in ((0, "(?is)<a[^>]*\\shref=[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>"), (1000, "(?is)<[a-z]+[^>]*\\sdata-href=[\"'']([^\"'']*)[\"''][^>]*>(.*?)</")))
+
+
+@query("page_links", f"SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS place, {sql.joined('url', 'link')} AS url, 'dom_post_interaction' AS source, {sql.plain_text('text')} AS text FROM (SELECT id, url, k, x[1] AS link, x[2] AS text FROM ({_LINK_PAIRS})) WHERE {sql.usable('link')}")
 def page_links(spark, sf_dir):
     return _rows(spark, samples.HTML).withColumn("page", read_page("html", "url")).select("id", F.posexplode("page.links").alias("place", "link")).select("id", "place", "link.*")
 
