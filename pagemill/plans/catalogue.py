@@ -234,7 +234,7 @@ def frontier_crawl(spark, sf_dir):
     return frontier.crawl_rounds(_edges(spark, sf_dir), _crawl_seeds(spark, sf_dir))
 
 
-@query("frontier_exact")
+@query("frontier_exact", sql.best_first(_CRAWL_EDGES, _CRAWL_SEEDS, 5))
 def frontier_exact(spark, sf_dir):
     return frontier.crawl_exact(_edges(spark, sf_dir), _crawl_seeds(spark, sf_dir))
 

@@ -228,3 +228,20 @@ def crawl(edges: str, seeds: str, depth: int) -> str:
             new = f"SELECT e.job_id, e.norm, {d + 1} AS depth, arg_min(e.score - {6 * (d + 1)}, e.seq) AS score, min(e.seq) AS seq FROM edges e SEMI JOIN n{d} n ON n.job_id = e.job_id AND n.norm = e.parent_norm ANTI JOIN f{d} f ON f.job_id = e.job_id AND f.norm = e.norm WHERE e.score - {6 * (d + 1)} >= {fixed.LEAST_SCORE} GROUP BY e.job_id, e.norm"
             parts.append(f"f{d + 1} AS MATERIALIZED (SELECT * FROM f{d} UNION ALL {new})")
     return f"WITH {', '.join(parts)} SELECT f.job_id, f.norm, f.depth, f.score, f.seq, CASE WHEN x.norm IS NULL THEN 'pending' ELSE 'completed' END AS status FROM f{depth} f LEFT JOIN d{depth} x ON x.job_id = f.job_id AND x.norm = f.norm"
+
+
+def best_first(edges: str, seeds: str, depth: int) -> str:
+    """A crawl with one worker, step by step: the best url that waits, the first of equals, then its links in order."""
+    least = fixed.LEAST_SCORE
+    waiting = "list_max(list_filter(list_transform(found, lambda x, i: {'score': CASE WHEN x.visit < 0 THEN x.score END, 'place': -i}), lambda x: x.score IS NOT NULL))"
+    here = "p.found[p.place].depth"
+    new = f"list_filter(coalesce(l.links, []), lambda x: x.score - 6 * ({here} + 1) >= {least} AND {here} < {depth} AND NOT list_contains(list_transform(p.found, lambda y: y.norm), x.norm))"
+    return f"""WITH RECURSIVE raw AS MATERIALIZED ({edges}), seeds AS MATERIALIZED ({seeds}),
+links AS MATERIALIZED (SELECT job_id, parent_norm, list({{'norm': norm, 'score': score}} ORDER BY seq) AS links FROM (SELECT job_id, parent_norm, norm, score, min(seq) AS seq FROM raw WHERE score - 6 >= {least} GROUP BY ALL) GROUP BY job_id, parent_norm),
+start AS (SELECT job_id, max(budget) AS budget, list({{'norm': norm, 'depth': 0, 'score': 100, 'visit': -1}} ORDER BY seq) AS found FROM (SELECT job_id, norm, min(seq) AS seq, max(max_pages) AS budget FROM seeds GROUP BY job_id, norm) GROUP BY job_id),
+crawl AS (SELECT job_id, budget, 0 AS done, found, true AS going FROM start UNION ALL
+SELECT job_id, budget, done + (place IS NOT NULL)::INT, CASE WHEN place IS NULL THEN found ELSE list_concat(list_transform(found, lambda x, i: {{'norm': x.norm, 'depth': x.depth, 'score': x.score, 'visit': CASE WHEN i = place THEN done ELSE x.visit END}}), list_filter(fresh, lambda x, i: list_position(list_transform(fresh, lambda y: y.norm), x.norm) = i)) END, place IS NOT NULL
+FROM (SELECT p.*, list_transform({new}, lambda x: {{'norm': x.norm, 'depth': {here} + 1, 'score': x.score - 6 * ({here} + 1), 'visit': -1}}) AS fresh
+FROM (SELECT *, -({waiting}).place AS place FROM crawl WHERE going AND done < budget) p LEFT JOIN links l ON l.job_id = p.job_id AND l.parent_norm = p.found[p.place].norm)),
+last AS (SELECT job_id, arg_max(found, done) AS found FROM crawl GROUP BY job_id)
+SELECT job_id, x.norm, x.depth, x.score, x.visit FROM (SELECT job_id, unnest(found) AS x FROM last)"""
