@@ -330,7 +330,19 @@ def spa_routes(spark, sf_dir):
     return rows.select("id", F.explode(F.call_function("spa_routes", "state", F.lit("https://s.test/p/q"))).alias("url"))
 
 
-@query("page_decisions", "SELECT * FROM (VALUES (1, 'SEND', 'ok'), (2, 'SKIP_DUPLICATE', 'duplicate_content_and_title:https://s.test/blog/one'), (3, 'SKIP_DUPLICATE', 'duplicate_canonical:https://s.test/blog/one'), (4, 'PAGE_ERROR', 'http_404'), (5, 'SKIP_LOW_QUALITY', 'too_short'), (6, 'SKIP_LOW_QUALITY', 'bad_title'), (8, 'SEND', 'ok')) t(seq, decision, reason)")
+_JUDGED_SQL = sql.quality("md", "title", "chars", "route")
+_SIGNED_SQL = f"""(SELECT *, row_number() OVER (ORDER BY seq) AS n, {sql.signature('md')} AS sig, lower(title) || '|' || lower(h1) AS meta, CASE WHEN link IS NOT NULL AND {sql.normalized(f"({sql.joined('url', 'link')})")} <> norm THEN {sql.normalized(f"({sql.joined('url', 'link')})")} END AS canonical FROM judged WHERE reason = 'ok')"""
+
+
+@query("page_decisions", f"""WITH RECURSIVE once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY seq) AS place FROM (SELECT *, {sql.normalized('url')} AS norm FROM {samples.CRAWLED.sql()})) WHERE place = 1 AND norm <> ''),
+read AS (SELECT seq, url, norm, http_status, {sql.route('norm')} AS route, coalesce(nullif(h1, ''), {_tag_sql("<title>(.*?)</title>")}) AS title, h1, trim(regexp_replace(bare, '<[^>]*>', ' ', 'g')) || coalesce(chr(10) || chr(10) || revealed_text, '') AS md, length({sql.plain_text('bare')}) AS chars, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') AS link
+FROM (SELECT *, {_tag_sql("<h1>(.*?)</h1>")} AS h1, regexp_replace(html, '(?is)<title>.*?</title>', '') AS bare FROM once)),
+judged AS MATERIALIZED (SELECT *, CASE WHEN http_status >= 400 THEN 'http_' || http_status ELSE {_JUDGED_SQL} END AS reason FROM read),
+fold AS (SELECT 0::BIGINT AS n, 0 AS seq, NULL::VARCHAR AS gate, []::VARCHAR[] AS held, []::STRUCT(sig VARCHAR, url VARCHAR, meta VARCHAR)[] AS contents UNION ALL
+SELECT n, seq, gate, CASE WHEN starts_with(gate, 'duplicate_canonical') THEN held ELSE list_concat(held, [norm, coalesce(canonical, norm)]) END, CASE WHEN starts_with(gate, 'duplicate_canonical') OR first IS NOT NULL THEN contents ELSE list_append(contents, {{'sig': sig, 'url': norm, 'meta': meta}}) END
+FROM (SELECT *, CASE WHEN list_contains(held, canonical) THEN 'duplicate_canonical:' || canonical WHEN first IS NULL THEN 'ok' WHEN NOT ends_with(route, '_detail') THEN 'duplicate_content:' || first.url WHEN first.meta = meta THEN 'duplicate_content_and_title:' || first.url ELSE 'ok' END AS gate
+FROM (SELECT g.*, f.held, f.contents, list_filter(f.contents, lambda x: x.sig = g.sig)[1] AS first FROM fold f JOIN {_SIGNED_SQL} g ON g.n = f.n + 1)))
+SELECT seq, CASE WHEN starts_with(reason, 'http_') THEN 'PAGE_ERROR' WHEN reason <> 'ok' THEN 'SKIP_LOW_QUALITY' WHEN gate <> 'ok' THEN 'SKIP_DUPLICATE' ELSE 'SEND' END AS decision, CASE WHEN reason <> 'ok' THEN reason ELSE gate END AS reason FROM judged LEFT JOIN (SELECT seq, gate FROM fold WHERE n > 0) USING (seq)""")
 def page_decisions(spark, sf_dir):
     """The whole way of a job's pages from HTML to a decision."""
     return pipeline.decide(_rows(spark, samples.CRAWLED)).select(F.col("seq").cast("int").alias("seq"), "decision", "reason")
