@@ -16,7 +16,8 @@ def micros(ts: Column | str) -> Column:
 
 
 def page_counters(pages: DataFrame) -> DataFrame:
-    """Counters of each job's pages, of distinct rows: (job_id, crawled, sent, failed_sends, skipped_duplicates, skipped_quality, page_errors)."""
+    """Counters of each job's pages, of distinct rows: (job_id, crawled, sent, failed_sends, skipped_duplicates, skipped_quality, page_errors,
+    finished: those that came to an end of any kind)."""
     count = lambda c: F.count_if(c)
     return pages.distinct().groupBy("job_id").agg(
         F.count("*").alias("crawled"),
@@ -25,9 +26,15 @@ def page_counters(pages: DataFrame) -> DataFrame:
         count(F.col("decision") == "SKIP_DUPLICATE").alias("skipped_duplicates"),
         count(F.col("decision") == "SKIP_LOW_QUALITY").alias("skipped_quality"),
         count(F.col("decision") == "PAGE_ERROR").alias("page_errors"),
+        count(F.col("decision").isNotNull() | F.col("status").isNotNull()).alias("finished"),
     )
 
 
+def discovered(pages: DataFrame, norm: str) -> DataFrame:
+    """(job_id, discovered): how many different addresses each job came upon."""
+    return pages.where(F.col(norm) != "").select("job_id", norm).distinct().groupBy("job_id").agg(F.count("*").alias("discovered"))
+
+
 def final_status(failed_sends: Column, sent: Column) -> Column:
     """FAILED if sending was given up, COMPLETED_WITH_ERRORS if some sends failed; errors of pages do not matter."""
     total = failed_sends + sent

@@ -472,7 +472,8 @@ def dedup_canonical(spark, sf_dir):
 # --- jobs ---
 
 _COUNT_SQL = """(SELECT job_id, count(*) AS crawled, count(*) FILTER (WHERE decision = 'SEND' AND status = 'completed') AS sent, count(*) FILTER (WHERE status = 'failed_send') AS failed_sends,
-count(*) FILTER (WHERE decision = 'SKIP_DUPLICATE') AS skipped_duplicates, count(*) FILTER (WHERE decision = 'SKIP_LOW_QUALITY') AS skipped_quality, count(*) FILTER (WHERE decision = 'PAGE_ERROR') AS page_errors
+count(*) FILTER (WHERE decision = 'SKIP_DUPLICATE') AS skipped_duplicates, count(*) FILTER (WHERE decision = 'SKIP_LOW_QUALITY') AS skipped_quality, count(*) FILTER (WHERE decision = 'PAGE_ERROR') AS page_errors,
+count(*) FILTER (WHERE decision IS NOT NULL OR status IS NOT NULL) AS finished
 FROM (SELECT DISTINCT * FROM page_info) GROUP BY job_id)"""
 
 
@@ -481,6 +482,12 @@ def job_stats(spark, sf_dir):
     return jobs.page_counters(table(spark, sf_dir, "page_info"))
 
 
+@query("discovered_counts", f"SELECT job_id, count(DISTINCT norm) AS discovered FROM (SELECT job_id, {sql.normalized('url')} AS norm FROM page_info) WHERE norm <> '' GROUP BY job_id")
+def discovered_counts(spark, sf_dir):
+    rows = urls.with_normalized(table(spark, sf_dir, "page_info").select("job_id", "url"), "norm", F.col("url"))
+    return jobs.discovered(rows, "norm")
+
+
 @query("final_status", f"SELECT job_id, CASE WHEN sent + failed_sends >= {fixed.ABORT_AFTER} AND failed_sends / (sent + failed_sends) > {fixed.ABORT_RATE} THEN 'FAILED' WHEN failed_sends > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS status FROM {_COUNT_SQL}")
 def final_status(spark, sf_dir):
     return job_stats(spark, sf_dir).select("job_id", jobs.final_status(F.col("failed_sends"), F.col("sent")).alias("status"))
