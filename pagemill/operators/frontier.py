@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import fixed, routes, urls
 from pagemill.functions.links import joined
 from pagemill.operators.dedup import first_by
-from pagemill.shared import materialize, once
+from pagemill.shared import bucketed, materialize, once
 
 
 def candidates(links: DataFrame, roots: DataFrame, follow: bool = False) -> DataFrame:
@@ -53,6 +53,8 @@ def crawl_rounds(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, max_pag
     there is another.
     """
     start = materialize(_start(seeds, max_pages), "seeds")
+    # the links of a page are looked up in every round, and stay where they are
+    edges = bucketed(edges.where("reason = 'accepted'").select("job_id", "parent_norm", "norm", "reason", "score", "seq"), ["job_id", "parent_norm"], "edges")
     budgets = start.groupBy("job_id").agg(F.max("max_pages").alias("budget"))
     largest = start.agg(F.max("max_pages")).first()[0] or 0
     # what was found and what was crawled only grow: each round writes its own rows

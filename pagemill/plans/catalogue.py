@@ -200,7 +200,9 @@ def frontier_topk(spark, sf_dir):
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frontier.candidates(_links(spark, sf_dir), _job_roots(spark, sf_dir)).where("reason = 'accepted'")
-    return materialize(rows.select("job_id", "seq", urls.normalize_url(F.col("parent")).alias("parent_norm"), "norm", "reason", "score"), "edges")
+    # pages have many links: each is normalised once
+    parents = urls.with_normalized(table(spark, sf_dir, "link_graph").select("parent").distinct(), "parent_norm", F.col("parent"))
+    return rows.join(parents, "parent").select("job_id", "seq", "parent_norm", "norm", "reason", "score")
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +238,7 @@ def frontier_crawl(spark, sf_dir):
 
 @query("frontier_exact", sql.best_first(_CRAWL_EDGES, _CRAWL_SEEDS, 5))
 def frontier_exact(spark, sf_dir):
-    return frontier.crawl_exact(_edges(spark, sf_dir), _crawl_seeds(spark, sf_dir))
+    return frontier.crawl_exact(materialize(_edges(spark, sf_dir), "edges"), _crawl_seeds(spark, sf_dir))
 
 
 # --- html ---

@@ -58,6 +58,16 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Write ``df`` once into the shared folder, bucketed and sorted by some columns: joins by these do not move it again."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread_out = df.repartition(buckets, *by)
+    spread_out.write.option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete folders of the shared storage that nothing will read any more."""
     for path in paths:
